@@ -1,11 +1,12 @@
 """Zstandard dictionaries as classifiers: quality (good against bad) and language.
 
 Quality: two dictionaries are trained on bounded samples of good and bad labelled text. A text's
-signal is (size with bad - size with good) / (their sum); a logistic curve fitted on sampled rows
-that trained neither dictionary turns it into a score.
+signal is (size with bad - size with good) / (their sum). A logistic curve fitted on sampled rows
+that trained neither dictionary turns it into a score; the log ratio that the text reaches without
+a dictionary is the curve's second input, since endless repetition fits any dictionary equally.
 
 Language: each language has a raw-content dictionary of sampled text; the smallest encoding names
-the language. The margin to the runner-up, relative to it, is scored and narrow ones rejected.
+the language. Texts are lower-cased on both sides. The margin to the runner-up, relative to it, is scored and narrow ones rejected.
 
 Defined cases: null and empty texts have signal 0 (quality) and are ``und`` with score 0
 (language), as are texts without a letter; equal sizes go to the language that sorts first, with
@@ -54,31 +55,46 @@ def train_dictionary(texts: list[bytes], size: int) -> bytes:
         return b""
 
 
-def signal(text: str | None, good, bad) -> float:
+def signal(text: str | None, good, bad, plain) -> tuple[float, float]:
+    """(normalised size difference, log of the size share without a dictionary)."""
     raw = (text or "").encode()
     if not raw:
-        return 0.0
+        return 0.0, 0.0
     g, b = len(good.compress(raw)), len(bad.compress(raw))
-    return (b - g) / (b + g)
+    return (b - g) / (b + g), float(np.log(len(plain.compress(raw)) / len(raw)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept by Newton's method."""
-    scale = max(float(np.abs(x).max(initial=0)), 1e-9)
-    z = np.stack([x / scale, np.ones_like(x)], 1)
-    b = np.zeros(2)
-    for _ in range(50):
+def _plain():
+    import zstandard as z
+
+    return z.ZstdCompressor(compression_params=z.ZstdCompressionParameters.from_level(3, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3) -> np.ndarray:
+    """Slopes and, last, the intercept, by Newton's method with step halving."""
+    scale = np.maximum(np.abs(x).max(0, initial=0), 1e-9)
+    z = np.column_stack([x / scale, np.ones(len(x))])
+
+    def loss(b: np.ndarray) -> float:
+        m = z @ b
+        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + l2 * (b @ b) / 2)
+
+    b = np.zeros(z.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-z @ b))
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + l2 * np.eye(2)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + l2 * np.eye(len(b))
         step = np.linalg.solve(h, z.T @ (weight * (y - p)) - l2 * b)
-        b += step
-        if np.abs(step).max() < 1e-9:
+        t = 1.0
+        while t > 1e-6 and loss(b + t * step) > loss(b):
+            t /= 2
+        b = b + t * step
+        if np.abs(t * step).max() < 1e-9:
             break
-    return float(b[0] / scale), float(b[1])
+    return np.append(b[:-1] / scale, b[-1])
 
 
-def fit_quality_dictionaries(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = 1500, dictionary_bytes: int = 65_536) -> tuple[bytes, bytes, float, float] | None:
-    """(good, bad, slope, intercept); ``per_class`` and MAX_SAMPLE_CHARS bound what reaches the driver."""
+def fit_quality_dictionaries(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = 1500, dictionary_bytes: int = 112_640) -> tuple[bytes, bytes, np.ndarray] | None:
+    """(good, bad, curve); ``per_class`` and MAX_SAMPLE_CHARS bound what reaches the driver."""
     chosen, totals = balanced_sample(labelled_ids(labels, label).where(keep), per_class)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, MAX_SAMPLE_CHARS))
     rows = sample.select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("part")).orderBy("doc_id", "text").collect()
@@ -87,27 +103,26 @@ def fit_quality_dictionaries(docs: DataFrame, labels: DataFrame, keep: Column, l
         made.append(train_dictionary([r["text"].encode() for r in rows if r["y"] == y and r["part"]], dictionary_bytes))
     if not all(made):
         return None
-    good, bad = (_compressor(d, raw=False) for d in made)
+    good, bad, plain = *(_compressor(d, raw=False) for d in made), _plain()
     held = [r for r in rows if not r["part"]]
-    x, y = np.array([signal(r["text"], good, bad) for r in held]), np.array([r["y"] for r in held], float)
+    x, y = np.array([signal(r["text"], good, bad, plain) for r in held]).reshape(-1, 2), np.array([r["y"] for r in held], float)
     weight = np.where(y == 1, totals.get(1, 0) / max((y == 1).sum(), 1), totals.get(0, 0) / max((y == 0).sum(), 1))
-    slope, intercept = fit_logistic(x, y, weight * len(y) / max(weight.sum(), 1e-9))
-    return made[0], made[1], slope, intercept
+    return made[0], made[1], fit_logistic(x, y, weight * len(y) / max(weight.sum(), 1e-9))
 
 
-def score_compression_quality(docs: DataFrame, model: tuple[bytes, bytes, float, float] | None, threshold: float = 0.3) -> DataFrame:
+def score_compression_quality(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | None, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted, signal."""
     schema = "doc_id long, score double, predicted int, signal double"
     out = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model:
-            good, bad = (_compressor(d, raw=False) for d in model[:2])
+            good, bad, plain = *(_compressor(d, raw=False) for d in model[:2]), _plain()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            x = np.array([signal(t, good, bad) if model else 0.0 for t in texts])
-            score = 1 / (1 + np.exp(-(model[2] * x + model[3]))) if model else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x)], schema=out)
+            x = np.array([signal(t, good, bad, plain) if model else (0.0, 0.0) for t in texts]).reshape(-1, 2)
+            score = 1 / (1 + np.exp(-(x @ model[2][:-1] + model[2][-1]))) if model else np.full(len(texts), 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0])], schema=out)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -132,7 +147,7 @@ def fit_languages(docs: DataFrame, keep: Column, per_language: int = 400, dictio
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     texts: dict[str, list[bytes]] = {}
     for r in picked:
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+        texts.setdefault(r["lang"], []).append(r["text"].lower().encode())
     return {lang: b"\n".join(t)[:dictionary_bytes] for lang, t in sorted(texts.items())}
 
 
@@ -155,7 +170,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margin
         def predict(text: str | None) -> tuple[str, float, bool]:
             if not text or not coders or not any(map(str.isalpha, text)):
                 return UND, 0.0, True
-            raw = text.encode()
+            raw = text.lower().encode()
             sizes = sorted((len(c.compress(raw)), lang) for lang, c in coders)
             margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
             return sizes[0][1], min(1.0, margin / full_margin), margin < min_margin
