@@ -14,6 +14,7 @@ from .packing import op7_best_fit_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op3_multipart_secrets
 from .simhash import op9_simhash_near_dedup
+from .suffix_dedup import op6_suffix_array_dedup
 from .token_binary import op5_token_binary
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_multipart_secrets": _over(op3_multipart_secrets, "documents"),
         "op4_compression_language_id": _over(op4_compression_language_id, "documents"),
         "op5_token_binary": _over(op5_token_binary, "documents"),
+        "op6_suffix_array_dedup": _over(op6_suffix_array_dedup, "documents"),
         "op7_best_fit_packing": _over(op7_best_fit_packing, "documents"),
         "op8_benchmark_decontamination": _over(op8_benchmark_decontamination, "documents", "benchmark"),
         "op9_simhash_near_dedup": _over(op9_simhash_near_dedup, "documents"),
