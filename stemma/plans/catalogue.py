@@ -1,15 +1,832 @@
-"""The registered queries of the graph engine and their DuckDB counterparts."""
+"""The registered queries of the graph engine and their DuckDB counterparts.
+
+Each query is a function of (nodes, edges, ...) operators bound to the derived graph of
+``testbed``; its SQL is written independently against the same tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import community, graph, ledger, packs, quality, resolve, review, search
+from ..sources import documents as docs_
+from ..sources import registry
+from . import testbed as tb
+from .shipping import ship
+from .testbed import EDGES_SQL, GRAPH_SQL, NODES_SQL, REVIEWS_SQL, SUBGRAPH_SQL, normalize_sql, with_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: _shipped(f) for name, f in _QUERIES.items()}
+
 
+def _shipped(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _ne(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tb.nodes(s, d), tb.edges(s, d)
+
+
+def _r(c: Column | str, places: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, places)
+
+
+# Subgraph and visibility ------------------------------------------------------------------
+
+
+@query("verified_subgraph", SUBGRAPH_SQL + "SELECT id, relation_type, src, dst FROM ve")
+def _(s, d):
+    return graph.verified_subgraph(*_ne(s, d)).select("id", "relation_type", "src", "dst")
+
+
+@query("node_degree", SUBGRAPH_SQL + "SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ve UNION ALL SELECT dst FROM ve) GROUP BY id")
+def _(s, d):
+    return graph.degree(graph.verified_subgraph(*_ne(s, d)))
+
+
+@query("store_counts", GRAPH_SQL + "SELECT 'nodes' AS what, count(*) FILTER (status = 'proposed') AS proposed, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'rejected') AS rejected, count(*) AS total FROM kg_nodes UNION ALL SELECT 'edges', count(*) FILTER (status = 'proposed'), count(*) FILTER (status = 'verified'), count(*) FILTER (status = 'rejected'), count(*) FROM kg_edges")
+def _(s, d):
+    n, e = _ne(s, d)
+    one = lambda what, rows: quality.store_counts(rows).select(F.lit(what).alias("what"), "proposed", "verified", "rejected", "total")
+    return one("nodes", n).unionByName(one("edges", e))
+
+
+@query("relation_type_counts", SUBGRAPH_SQL + "SELECT relation_type, count(*) AS n FROM ve GROUP BY relation_type")
+def _(s, d):
+    return graph.verified_subgraph(*_ne(s, d)).groupBy("relation_type").agg(F.count("*").alias("n"))
+
+
+@query("node_visibility_default", with_sql(NODES_SQL) + "SELECT id, entity_type, status FROM kg_nodes WHERE status = 'verified'")
+def _(s, d):
+    return graph.visible(tb.nodes(s, d)).select("id", "entity_type", "status")
+
+
+@query("node_visibility_with_proposed", with_sql(NODES_SQL) + "SELECT id, entity_type, status FROM kg_nodes WHERE status IN ('verified', 'proposed')")
+def _(s, d):
+    return graph.visible(tb.nodes(s, d), True).select("id", "entity_type", "status")
+
+
+@query("current_edges", with_sql(EDGES_SQL) + "SELECT id, status FROM kg_edges WHERE invalidated_ts IS NULL")
+def _(s, d):
+    return graph.current(tb.edges(s, d)).select("id", "status")
+
+
+@query("edge_endpoints", GRAPH_SQL + "SELECT e.id, s.name AS src_name, d.name AS dst_name, s.entity_type AS src_entity_type, d.entity_type AS dst_entity_type FROM kg_edges e JOIN kg_nodes s ON e.src = s.id JOIN kg_nodes d ON e.dst = d.id WHERE e.status = 'verified'")
+def _(s, d):
+    n, e = _ne(s, d)
+    return graph.with_endpoints(graph.visible(e), n).select("id", "src_name", "dst_name", "src_entity_type", "dst_entity_type")
+
+
+@query("edges_between_customers_and_parts", GRAPH_SQL + "SELECT e.id FROM kg_edges e WHERE (SELECT entity_type FROM kg_nodes WHERE id = e.src) = 'Customer' AND (SELECT entity_type FROM kg_nodes WHERE id = e.dst) = 'Part'")
+def _(s, d):
+    n, e = _ne(s, d)
+    return graph.with_endpoints(e, n).where("src_entity_type = 'Customer' AND dst_entity_type = 'Part'").select("id")
+
+
+@query("property_equality", "SELECT event_id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract(props, '$.k') AS BIGINT) = 3")
+def _(s, d):
+    return tb.table(s, d, "events").where(graph.property_equals(F.col("props"), "k", 3)).select("event_id")
+
+
+@query("visible_ids", with_sql(NODES_SQL) + "SELECT CAST(pos AS BIGINT) AS pos, id FROM (SELECT unnest(range(0, 40)) AS pos, 'C' || (pos % 25) AS id) WHERE id IN (SELECT id FROM kg_nodes WHERE status = 'verified')")
+def _(s, d):
+    ids = s.range(40).select(F.col("id").alias("pos"), F.concat(F.lit("C"), (F.col("id") % 25).cast("string")).alias("id"))
+    return graph.filter_ids(ids, tb.nodes(s, d)).select("pos", "id")
+
+
+@query("compact_nodes", with_sql(NODES_SQL) + "SELECT id, name, entity_type, status, substr('aka ' || normalized_name || ' · k: ' || k, 1, 120) AS snippet FROM kg_nodes WHERE status = 'verified'")
+def _(s, d):
+    n = graph.visible(tb.nodes(s, d)).withColumn("aliases", F.array("normalized_name")).withColumn("properties", F.create_map(F.lit("k"), F.col("k").cast("string")))
+    return graph.compact(n)
+
+
+# Names ------------------------------------------------------------------------------------
+
+
+@query("name_normalize", f"SELECT p_partkey, {normalize_sql('p_name')} AS normalized_name FROM part")
+def _(s, d):
+    return tb.table(s, d, "part").select("p_partkey", T.normalize_name(F.col("p_name")).alias("normalized_name"))
+
+
+_NS = "strpos(normalized_name, q) > 0"
+
+
+@query("name_search_ranked", with_sql(NODES_SQL) + f", probe AS (SELECT substr(min(normalized_name), 1, 4) AS q FROM kg_nodes WHERE entity_type = 'Part') SELECT id, name, CAST(CASE WHEN normalized_name = q THEN 0 WHEN starts_with(normalized_name, q) THEN 1 ELSE 2 END AS INTEGER) AS bucket FROM kg_nodes, probe WHERE status IN ('verified', 'proposed') AND {_NS} ORDER BY bucket, length(name), name, id LIMIT 8")
+def _(s, d):
+    n = tb.nodes(s, d)
+    probe = n.where("entity_type = 'Part'").agg(F.substring(F.min("normalized_name"), 1, 4).alias("q")).first()["q"]
+    return search.name_search(n, probe).select("id", "name", "bucket")
+
+
+def _aliases(n: DataFrame) -> DataFrame:
+    """Every part is also known by its name without the first four characters."""
+    return n.where("entity_type = 'Part'").select(F.col("id").alias("node_id"), F.expr("substring(normalized_name, 5)").alias("normalized_alias"), F.col("name").alias("surface"))
+
+
+_PROBE = "(SELECT min(normalized_name) FROM kg_nodes WHERE entity_type = 'Part')"
+
+
+@query(
+    "entity_lookup_tiers",
+    with_sql(NODES_SQL)
+    + f", probe AS (SELECT substr({_PROBE}, 5) AS q), hit AS (SELECT id, 1 AS tier, 1.0::DOUBLE AS score FROM kg_nodes, probe WHERE status = 'verified' AND normalized_name = q"
+    " UNION ALL SELECT id, 2, 0.95::DOUBLE FROM kg_nodes, probe WHERE status = 'verified' AND entity_type = 'Part' AND substr(normalized_name, 5) = q)"
+    " SELECT id, CAST(min(tier) AS INTEGER) AS tier, max(score) AS score FROM hit GROUP BY id ORDER BY 2, 3 DESC, 1 LIMIT 5",
+)
+def _(s, d):
+    n = tb.nodes(s, d)
+    probe = n.where("entity_type = 'Part'").agg(F.expr("substring(min(normalized_name), 5)").alias("q")).first()["q"]
+    return search.entity_lookup(n, _aliases(n), probe)
+
+
+# Review -----------------------------------------------------------------------------------
+
+_PENDING = (
+    with_sql(NODES_SQL, EDGES_SQL, REVIEWS_SQL)
+    + ", pend AS (SELECT 'node' AS kind, id AS item_id, entity_type AS type_name, name AS label, confidence, created_ts FROM kg_nodes WHERE status = 'proposed'"
+    " UNION ALL SELECT 'edge', e.id, relation_type, coalesce(a.name, substr(src, 1, 10)) || ' → ' || coalesce(b.name, substr(dst, 1, 10)), e.confidence, e.created_ts FROM kg_edges e LEFT JOIN kg_nodes a ON a.id = src LEFT JOIN kg_nodes b ON b.id = dst WHERE e.status = 'proposed'),"
+    " latest AS (SELECT kind, item_id, arg_max(score, (created_ts, seq)) AS critic_score FROM reviews GROUP BY ALL),"
+    " q AS (SELECT pend.*, critic_score, coalesce(abs(confidence - critic_score) >= 0.35, false) AS disagrees FROM pend LEFT JOIN latest USING (kind, item_id))"
+)
+_QCOLS = ["item_id", "kind", "type_name", "label", "disagrees", "pos"]
+_SORT = {"created": "", "confidence": "confidence NULLS LAST,", "confidence_desc": "confidence DESC NULLS LAST,", "critic": "critic_score NULLS LAST,"}
+
+
+def _queue_query(order: str) -> None:
+    over = f"{_SORT[order]} created_ts, kind, item_id"
+
+    @query("review_queue_" + order, _PENDING + f" SELECT item_id, kind, type_name, label, disagrees, CAST(row_number() OVER (ORDER BY {over}) AS INTEGER) AS pos FROM q ORDER BY pos LIMIT 100")
+    def _(s, d):
+        return review.review_queue(*_ne(s, d), tb.reviews(s, d), order).select(*_QCOLS)
+
+
+for _o in review.ORDERS:
+    _queue_query(_o)
+
+
+@query("review_page_keyset", _PENDING + " SELECT item_id, kind, CAST(row_number() OVER (ORDER BY confidence DESC NULLS LAST, created_ts, kind, item_id) - 20 AS INTEGER) AS pos FROM q ORDER BY pos LIMIT 20 OFFSET 20")
+def _(s, d):
+    n, e = _ne(s, d)
+    first = review.review_queue(n, e, tb.reviews(s, d), "confidence_desc", 20)
+    last = first.where("pos = 20").first()
+    cursor = review.cursor_of(last, "confidence_desc") if last else None
+    return review.review_queue(n, e, tb.reviews(s, d), "confidence_desc", 20, cursor).select("item_id", "kind", "pos")
+
+
+_LATEST = with_sql(NODES_SQL, REVIEWS_SQL)
+
+
+@query("critic_latest", with_sql(REVIEWS_SQL) + "SELECT item_id, engine, arg_max(score, (created_ts, seq)) AS score, CAST(arg_max(seq, (created_ts, seq)) AS BIGINT) AS seq FROM reviews GROUP BY ALL")
+def _(s, d):
+    return review.latest_review(tb.reviews(s, d), by_engine=True).select("item_id", "engine", F.col("review_score").alias("score"), F.col("review_seq").cast("long").alias("seq"))
+
+
+@query("critic_unscored", _LATEST + "SELECT id FROM kg_nodes n WHERE status IN ('verified', 'proposed') AND NOT EXISTS (SELECT 1 FROM reviews r WHERE r.engine = 'click' AND r.item_id = n.id)")
+def _(s, d):
+    return review.unscored(tb.nodes(s, d), tb.reviews(s, d), "click").select("id")
+
+
+@query("critic_disagreement", _LATEST + ", latest AS (SELECT item_id, arg_max(score, (created_ts, seq)) AS critic_score FROM reviews GROUP BY item_id) SELECT id, confidence, critic_score FROM kg_nodes JOIN latest ON id = item_id WHERE status IN ('verified', 'proposed') AND abs(confidence - critic_score) >= 0.35")
+def _(s, d):
+    return review.disagreements(tb.nodes(s, d), tb.reviews(s, d)).select("id", "confidence", "critic_score")
+
+
+# Quality ----------------------------------------------------------------------------------
+
+_REJ = _LATEST + ", sc AS (SELECT score FROM reviews JOIN kg_nodes ON id = item_id WHERE status = 'rejected' AND score IS NOT NULL)"
+
+
+@query("conformal_threshold", _REJ + " SELECT CAST((SELECT count(*) FROM sc) AS BIGINT) AS n, (SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score) AS r FROM sc) WHERE r = CAST(ceil(((SELECT count(*) FROM sc) + 1) * (1 - 0.1::DOUBLE)) AS BIGINT)) AS threshold")
+def _(s, d):
+    scored = tb.reviews(s, d).join(tb.nodes(s, d).where("status = 'rejected'").select(F.col("id").alias("item_id")), "item_id")
+    return quality.conformal_threshold(scored, 0.1)
+
+
+@query(
+    "conformal_triage",
+    _LATEST
+    + ", stream AS (SELECT kind, arg_max(engine, (created_ts, seq)) AS engine FROM reviews GROUP BY kind),"
+    " latest AS (SELECT kind, item_id, engine, arg_max(score, (created_ts, seq)) AS score FROM reviews JOIN stream USING (kind, engine) GROUP BY ALL),"
+    " sc AS (SELECT latest.*, status FROM latest JOIN kg_nodes ON id = item_id),"
+    " rej AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY score) AS r, count(*) OVER (PARTITION BY kind) AS n FROM sc WHERE status = 'rejected')"
+    " SELECT kind, engine, count(*) FILTER (status = 'rejected') AS n_rejected, count(*) FILTER (status = 'verified') AS n_verified, any_value(t.threshold) AS threshold, CAST(19 AS BIGINT) AS needed"
+    " FROM sc LEFT JOIN (SELECT kind, min(score) FILTER (r = CAST(ceil((n + 1) * (1 - 0.05::DOUBLE)) AS BIGINT)) AS threshold FROM rej GROUP BY kind) t USING (kind) GROUP BY kind, engine",
+)
+def _(s, d):
+    return quality.conformal_triage(tb.nodes(s, d), tb.reviews(s, d)).select("kind", "engine", "n_rejected", "n_verified", "threshold", "needed")
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    conf = (F.col("n_chars") % 1000).cast("double") / F.lit(1000.0)
+    return tb.table(s, d, "labels").join(tb.table(s, d, "documents").select("doc_id", conf.alias("confidence")), "doc_id").select("confidence", F.col("quality").alias("label"))
+
+
+_PAIRS = "WITH pairs AS (SELECT CAST(n_chars % 1000 AS DOUBLE) / 1000.0::DOUBLE AS confidence, quality AS label FROM labels JOIN documents USING (doc_id)) "
+
+
+@query("ece_bins", _PAIRS + "SELECT CAST(least(floor(confidence * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(confidence), 6) AS claimed, round(avg(CAST(label AS DOUBLE)), 6) AS observed FROM pairs GROUP BY 1")
+def _(s, d):
+    return quality.ece_bins(_pairs(s, d)).select("bin", "n", _r("claimed").alias("claimed"), _r("observed").alias("observed"))
+
+
+@query("ece_total", _PAIRS + ", b AS (SELECT least(floor(confidence * 10), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg(CAST(label AS DOUBLE)) AS o FROM pairs GROUP BY 1) SELECT round(sum(n * abs(c - o)) / sum(n), 4) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
+def _(s, d):
+    return quality.ece(_pairs(s, d))
+
+
+_ISO = (
+    _PAIRS + ", tied AS (SELECT confidence AS x, CAST(count(*) AS DOUBLE) AS w, CAST(sum(label) AS DOUBLE) AS s FROM pairs GROUP BY 1), cum AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS q, sum(s) OVER (ORDER BY x) AS p, w, s FROM tied),"
+    " seg AS (SELECT j.i AS j, k.i AS k, (k.p - j.p + j.s) / (k.q - j.q + j.w) AS m FROM cum j JOIN cum k ON k.i >= j.i),"
+    " down AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM seg),"
+    " fit AS (SELECT cum.i, cum.x, max(down.m) AS value FROM cum JOIN down ON down.k = cum.i AND down.j <= cum.i GROUP BY ALL),"
+    " step AS (SELECT x AS boundary, value, lag(value) OVER (ORDER BY i) AS before FROM fit),"
+    " curve AS (SELECT boundary, value FROM step WHERE before IS NULL OR abs(value - before) > 1e-12)"
+)
+
+
+@query("isotonic_curve", _ISO + " SELECT boundary, round(value, 6) AS value FROM curve")
+def _(s, d):
+    return quality.isotonic_curve(_pairs(s, d)).select("boundary", _r("value").alias("value"))
+
+
+@query("calibration_predict", _ISO + " SELECT k, round(coalesce((SELECT arg_max(value, boundary) FROM curve WHERE boundary <= k / 20.0::DOUBLE), (SELECT arg_min(value, boundary) FROM curve)), 6) AS calibrated FROM (SELECT unnest(range(0, 21)) AS k)")
+def _(s, d):
+    grid = s.range(21).select(F.col("id").alias("k"), (F.col("id") / F.lit(20.0)).alias("confidence"))
+    return quality.isotonic_predict(grid, quality.isotonic_curve(_pairs(s, d))).select("k", _r("calibrated").alias("calibrated"))
+
+
+def _gold(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = tb.edges(s, d).where("relation_type IN ('located_in', 'supplies')")
+    h = F.col("created_ts").cast("long")
+    return e.where(h % 3 != 0), e.where(h % 5 != 0)
+
+
+_GOLD = with_sql(EDGES_SQL) + ", base AS (SELECT DISTINCT relation_type, src, dst, CAST(created_ts AS BIGINT) AS h FROM kg_edges WHERE relation_type IN ('located_in', 'supplies')), gold AS (SELECT relation_type, src, dst FROM base WHERE h % 3 <> 0), found AS (SELECT relation_type, src, dst FROM base WHERE h % 5 <> 0)"
+_TRIPLE = ["relation_type", "src", "dst"]
+
+
+@query("triple_prf", _GOLD + ", c AS (SELECT count(*) FILTER (g AND f) AS tp, count(*) FILTER (f AND NOT g) AS fp, count(*) FILTER (g AND NOT f) AS fn FROM (SELECT bool_or(g) AS g, bool_or(NOT g) AS f FROM (SELECT *, true AS g FROM gold UNION ALL SELECT *, false FROM found) GROUP BY relation_type, src, dst)) SELECT tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS \"precision\", round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM c")
+def _(s, d):
+    return quality.precision_recall(*_gold(s, d), _TRIPLE).select("tp", "fp", "fn", *[_r(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("missing_triples_top20", _GOLD + " SELECT * FROM gold EXCEPT SELECT * FROM found ORDER BY relation_type, src, dst LIMIT 20")
+def _(s, d):
+    return quality.missing(*_gold(s, d), _TRIPLE)
+
+
+@query("bootstrap_f1")
+def _(s, d):
+    return quality.bootstrap_interval(quality.precision_recall(*_gold(s, d), _TRIPLE))
+
+
+@query("run_status", "SELECT user_id AS run_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' WHEN count(*) FILTER (event_type <> 'view') > 0 THEN 'interrupted' ELSE 'complete' END AS status, count(*) FILTER (event_type = 'view') AS succeeded, count(*) AS chunks FROM events GROUP BY user_id")
+def _(s, d):
+    e = tb.table(s, d, "events").select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "view", "succeeded").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type")).alias("status"))
+    return quality.run_status(e)
+
+
+# Search -----------------------------------------------------------------------------------
+
+
+def _bm25_sql(source: str, terms: list[str], where: str = "") -> str:
+    quoted = ", ".join(f"'{t}'" for t in terms)
+    return (
+        f"WITH d AS ({source}), tok AS (SELECT key, kind, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM d),"
+        " n AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM tok),"
+        f" tf AS (SELECT key, kind, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM tok, (SELECT unnest([{quoted}]) AS term)),"
+        " df AS (SELECT term, count(*) FILTER (f > 0) AS df FROM tf GROUP BY term),"
+        " s AS (SELECT key, kind, sum(greatest_idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS r FROM (SELECT tf.*, avg_dl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS greatest_idf FROM tf JOIN df USING (term), n WHERE f > 0) GROUP BY key, kind)"
+        f" SELECT key, round(r / (1 + r), 6) AS score FROM s {where}"
+    )
+
+
+_DOC_BM25 = ["ing", "tion", "password", "license"]
+
+
+@query("bm25_search", _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", _DOC_BM25, "ORDER BY r / (1 + r) DESC, key LIMIT 10"))
+def _(s, d):
+    return search.top_k(search.bm25(tb.table(s, d, "documents"), "doc_id", "text", " ".join(_DOC_BM25)), 10).select("key", _r("score").alias("score"))
+
+
+@query("bm25_search_typed", _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", ["de", "la"], "WHERE kind = 'fr' ORDER BY r / (1 + r) DESC, key LIMIT 10"))
+def _(s, d):
+    docs = tb.table(s, d, "documents")
+    scored = search.bm25(docs, "doc_id", "text", "de la").join(docs.where("lang = 'fr'").select(F.col("doc_id").alias("key")), "key", "left_semi")
+    return search.top_k(scored, 10).select("key", _r("score").alias("score"))
+
+
+@query("term_postings", "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY term")
+def _(s, d):
+    p = search.postings(tb.table(s, d, "documents"), "doc_id", "text")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _query_vector(s: SparkSession, d: str) -> list[float]:
+    return list(tb.table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+_COS = f"CASE WHEN {_DOT.format(a='{a}', b='{a}')} = 0 OR {_DOT.format(a='{b}', b='{b}')} = 0 THEN 0 ELSE {_DOT} / (sqrt({_DOT.format(a='{a}', b='{a}')}) * sqrt({_DOT.format(a='{b}', b='{b}')})) END"
+_VEC = "vec AS (SELECT e.vec_id AS key, ({} + 1) / 2 AS score FROM embeddings e, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0))".format(_COS.format(a="embedding", b="q"))
+
+
+@query("cosine_topk", f"WITH {_VEC} SELECT key, round(score, 6) AS score FROM vec ORDER BY vec.score DESC, key LIMIT 10")
+def _(s, d):
+    return search.top_k(search.vector_search(tb.table(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d)), 10).select("key", _r("score").alias("score"))
+
+
+@query(
+    "vector_knn_pairs",
+    "WITH e AS (SELECT vec_id, label, embedding, sqrt(" + _DOT.format(a="embedding", b="embedding") + ") AS nrm FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, " + _DOT.format(a="x.embedding", b="y.embedding") + " / (x.nrm * y.nrm) AS c FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id),"
+    " r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM p) SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(c), 6) AS cosine FROM r WHERE rn <= 5 AND c >= 0.2 GROUP BY 1, 2",
+)
+def _(s, d):
+    return search.knn_pairs(tb.table(s, d, "embeddings"), "vec_id", "embedding", "label", threshold=0.2).select("a", "b", _r("cosine").alias("cosine"))
+
+
+_LEX = "lex AS (SELECT key, rank FROM (SELECT doc_id AS key, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 20), vecs AS (SELECT key, rank FROM (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM vec) WHERE rank <= 20)"
+
+
+@query("rrf_fusion", f"WITH {_VEC}, {_LEX}, u AS (SELECT key, 1.0 / (60 + rank) AS s FROM lex UNION ALL SELECT key, 1.0 / (60 + rank) FROM vecs) SELECT key, round(CAST(sum(s) / (2 / 61.0) AS DOUBLE), 6) AS score FROM u GROUP BY key")
+def _(s, d):
+    lexical = search.top_k(tb.table(s, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("score")), 20)
+    near = search.top_k(search.vector_search(tb.table(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d)), 20)
+    return search.rrf([lexical, near]).select("key", _r("score").alias("score"))
+
+
+_HYB = _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", ["password"]).removeprefix("WITH ").replace(" SELECT key, round(r / (1 + r), 6) AS score FROM s ", "")
+
+
+@query(
+    "hybrid_search",
+    f"WITH {_HYB}, {_VEC}, l AS (SELECT key, row_number() OVER (ORDER BY r / (1 + r) DESC, key) AS rank FROM s), v AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM vec),"
+    " u AS (SELECT key, 1 AS leg, CAST(1 AS DOUBLE) / (60 + rank) AS s FROM l WHERE rank <= 20 UNION ALL SELECT key, 2, CAST(1 AS DOUBLE) / (60 + rank) FROM v WHERE rank <= 20)"
+    " SELECT key, round(sum(u.s) / ((SELECT count(DISTINCT leg) FROM u) / CAST(61 AS DOUBLE)), 6) AS score FROM u GROUP BY key ORDER BY sum(u.s) DESC, key LIMIT 10",
+)
+def _(s, d):
+    found = search.hybrid_search(tb.table(s, d, "documents"), "doc_id", "text", "password", tb.table(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d))
+    return found.select("key", _r("score").alias("score"))
+
+
+@query("hash_embedding")
+def _(s, d):
+    return tb.table(s, d, "part").select("p_partkey", search.hash_embedding(F.col("p_name")).alias("embedding"))
+
+
+# Graph ------------------------------------------------------------------------------------
+
+_PAGE = SUBGRAPH_SQL + ", page AS (SELECT id FROM vn WHERE entity_type = 'Supplier' ORDER BY name, id LIMIT 20)"
+
+
+@query("graph_query_page", SUBGRAPH_SQL + ", page AS (SELECT id FROM vn WHERE entity_type IN ('Supplier', 'Nation') ORDER BY name, id LIMIT 40 OFFSET 5) SELECT id, relation_type FROM kg_edges WHERE status = 'verified' AND invalidated_ts IS NULL AND src IN (FROM page) AND dst IN (FROM page)")
+def _(s, d):
+    _, e = graph.graph_page(*_ne(s, d), where=F.col("entity_type").isin("Supplier", "Nation"), limit=40, offset=5)
+    return e.select("id", "relation_type")
+
+
+_WAYS = SUBGRAPH_SQL + ", ways AS (SELECT src AS at, dst AS far FROM ve UNION ALL SELECT dst, src FROM ve)".replace(" at,", " here,").replace("AS at", "AS here")
+
+
+@query("neighbors_1hop", _WAYS + " SELECT DISTINCT far AS id FROM ways WHERE here = 'N3'")
+def _(s, d):
+    n, e = _ne(s, d)
+    return graph.adjacency(graph.verified_subgraph(n, e)).where("at = 'N3'").select(F.col("far").alias("id")).distinct()
+
+
+@query("traverse_2hop", _WAYS + ", h1 AS (SELECT DISTINCT far AS id FROM ways WHERE here = 'R1' AND far <> 'R1'), h2 AS (SELECT DISTINCT far AS id FROM ways WHERE here IN (FROM h1) AND far NOT IN (FROM h1) AND far <> 'R1') SELECT 'R1' AS id, CAST(0 AS INTEGER) AS hop FROM vn WHERE id = 'R1' UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2")
+def _(s, d):
+    found, _e = graph.traverse(*_ne(s, d), ["R1"], max_hops=2, limit=None)
+    return found.select("id", "hop")
+
+
+@query("shortest_path", _WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs AS (SELECT 'S1' AS id, 0 AS hop UNION SELECT far, hop + 1 FROM bfs JOIN ways ON here = id WHERE hop < 4) SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE id = 'R0' HAVING min(hop) IS NOT NULL")
+def _(s, d):
+    return graph.shortest_path(*_ne(s, d), "S1", "R0").groupBy().agg(F.max("step").alias("hops")).where("hops IS NOT NULL")
+
+
+_LOCAL = "(SELECT src, dst FROM ve WHERE relation_type IN ('located_in', 'part_of'))"
+
+
+@query(
+    "connected_components",
+    SUBGRAPH_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", loc AS {_LOCAL}, w AS (SELECT src AS a, dst AS b FROM loc UNION SELECT dst, src FROM loc), root AS (SELECT id, id AS r FROM vn WHERE entity_type IN ('Region')), reach AS (SELECT id, r FROM root UNION SELECT b, r FROM reach JOIN w ON a = id)"
+    " SELECT vn.id, coalesce((SELECT min(m) FROM (SELECT r, min(id) AS m FROM reach GROUP BY r) t JOIN reach x USING (r) WHERE x.id = vn.id), lone.component) AS component FROM vn LEFT JOIN (WITH RECURSIVE c AS (SELECT id AS s, id FROM vn WHERE id NOT IN (SELECT id FROM reach) UNION SELECT s, b FROM c JOIN w ON a = c.id) SELECT s, min(id) AS component FROM c GROUP BY s) lone ON lone.s = vn.id",
+)
+def _(s, d):
+    n, e = _ne(s, d)
+    return graph.connected_components(graph.visible(n), graph.verified_subgraph(n, e).where("relation_type IN ('located_in', 'part_of')"))
+
+
+def _labels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, e = _ne(s, d)
+    near = graph.verified_subgraph(n, e).where("relation_type IN ('located_in', 'part_of')")
+    return graph.visible(n), near, community.communities(community.label_propagation(graph.visible(n), near))
+
+
+@query("label_propagation_communities")
+def _(s, d):
+    return _labels(s, d)[2].select("id", "community_id")
+
+
+@query("community_summary")
+def _(s, d):
+    n, e, members = _labels(s, d)
+    return community.summaries(n, e, members.select("id", "community_id"))
+
+
+@query("relations_inside_types", SUBGRAPH_SQL + "SELECT s.entity_type AS src_type, d.entity_type AS dst_type, relation_type, count(*) AS n FROM ve JOIN vn s ON src = s.id JOIN vn d ON dst = d.id GROUP BY ALL")
+def _(s, d):
+    n, e = _ne(s, d)
+    rows = graph.with_endpoints(graph.verified_subgraph(n, e), n)
+    return rows.groupBy(F.col("src_entity_type").alias("src_type"), F.col("dst_entity_type").alias("dst_type"), "relation_type").agg(F.count("*").alias("n"))
+
+
+@query("entity_context")
+def _(s, d):
+    n, e = _ne(s, d)
+    return graph.entity_context(n, graph.visible(e, True), _citations(s, d), tb.table(s, d, "documents"), "N3").select("id", "relations", "mentions")
+
+
+def _citations(s: SparkSession, d: str) -> DataFrame:
+    n = tb.nodes(s, d)
+    return n.select(F.lit("node").alias("kind"), F.col("id").alias("item_id"), F.col("source_doc").alias("doc_id"), (F.col("k") % 50).cast("int").alias("start"), (F.col("k") % 50 + 20).cast("int").alias("end"))
+
+
+_CITE = with_sql(NODES_SQL) + ", cite AS (SELECT 'node' AS kind, id AS item_id, source_doc AS doc_id, CAST(k % 50 AS INTEGER) AS s, CAST(k % 50 + 20 AS INTEGER) AS e FROM kg_nodes)"
+
+
+@query("document_context", _CITE + " SELECT cite.kind, item_id, name AS label, CASE WHEN e <= least(length(text), 40000) THEN s END AS start, CASE WHEN e <= least(length(text), 40000) THEN e END AS \"end\" FROM cite JOIN documents USING (doc_id) JOIN kg_nodes ON id = item_id WHERE doc_id = 7")
+def _(s, d):
+    n, e = _ne(s, d)
+    return graph.document_context(_citations(s, d), n, e, tb.table(s, d, "documents"), 7)
+
+
+@query("span_excerpts", _CITE + " SELECT item_id, CASE WHEN least(e, length(text)) <= s THEN '' ELSE substr(substr(text, greatest(s - 160, 0) + 1, s - greatest(s - 160, 0)) || '>>>' || substr(text, s + 1, least(e, length(text)) - s) || '<<<' || substr(text, least(e, length(text)) + 1, 160), 1, 600) END AS excerpt FROM cite JOIN documents USING (doc_id)")
+def _(s, d):
+    rows = _citations(s, d).join(tb.table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("item_id", T.span_excerpt(F.col("text"), F.col("start"), F.col("end")).alias("excerpt"))
+
+
+@query("provenance_records", with_sql(NODES_SQL, REVIEWS_SQL) + ", latest AS (SELECT item_id, arg_max(score, (created_ts, seq)) AS critic_score FROM reviews GROUP BY item_id) SELECT id AS item_id, source, critic_score FROM kg_nodes LEFT JOIN documents ON doc_id = source_doc LEFT JOIN latest ON item_id = id WHERE status = 'verified'")
+def _(s, d):
+    n = graph.visible(tb.nodes(s, d)).select(F.lit("node").alias("kind"), F.col("id").alias("item_id"))
+    p = graph.provenance(n, _citations(s, d), tb.table(s, d, "documents"), tb.reviews(s, d))
+    return p.select("item_id", F.get("citations", F.lit(0))["source"].alias("source"), F.col("review_score").alias("critic_score"))
+
+
+# Resolution -------------------------------------------------------------------------------
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    return tb.nodes(s, d).where("entity_type = 'Part'").select(F.col("k").alias("seq"), "entity_type", "name", "normalized_name", "confidence")
+
+
+_PARTS = with_sql(NODES_SQL) + ", m AS (SELECT k AS seq, * FROM kg_nodes WHERE entity_type = 'Part')"
+
+
+@query("resolve_entities", _PARTS + " SELECT entity_type, normalized_name, arg_min(name, seq) AS name, min(seq) AS minted_by, count(*) AS citations, max(confidence) AS confidence FROM m WHERE normalized_name <> '' GROUP BY entity_type, normalized_name")
+def _(s, d):
+    return resolve.resolve_mentions(_mentions(s, d))
+
+
+@query("resolve_alias_chains")
+def _(s, d):
+    m = _mentions(s, d).withColumn("alias_keys", F.array(F.expr("substring(normalized_name, 5)")))
+    return resolve.resolve_sequentially(m)
+
+
+@query("bind_mentions", _PARTS + ", vis AS (SELECT * FROM kg_nodes WHERE status <> 'rejected' AND entity_type = 'Part'), ex AS (SELECT normalized_name AS key, min(id) AS exact_id FROM vis GROUP BY 1), al AS (SELECT substr(normalized_name, 5) AS key, min(id) AS alias_id FROM vis GROUP BY 1) SELECT seq, coalesce(exact_id, alias_id) AS node_id FROM m LEFT JOIN ex ON ex.key = normalized_name LEFT JOIN al ON al.key = normalized_name")
+def _(s, d):
+    n = tb.nodes(s, d)
+    return resolve.bind_to_existing(_mentions(s, d), n, _aliases(n)).select("seq", "node_id")
+
+
+@query("alias_union", _PARTS + ", f AS (SELECT normalized_name AS key, lower(split_part(name, ' ', 1)) AS na, arg_min(split_part(name, ' ', 1), seq) AS surface FROM m GROUP BY 1, 2) SELECT key, string_agg(surface, ',' ORDER BY surface) AS aliases FROM f GROUP BY key")
+def _(s, d):
+    rows = _mentions(s, d).select(F.col("normalized_name").alias("key"), "seq", F.split_part("name", F.lit(" "), F.lit(1)).alias("surface")).withColumn("normalized_alias", F.lower("surface"))
+    return resolve.union_aliases(rows, ["key"]).select("key", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("edge_dedupe", "SELECT 'supplies' AS relation_type, l_suppkey AS src, l_partkey AS dst, count(*) AS citations, min(l_orderkey * 10 + l_linenumber) AS minted_by FROM lineitem GROUP BY l_suppkey, l_partkey")
+def _(s, d):
+    rows = tb.table(s, d, "lineitem").select(F.lit("supplies").alias("relation_type"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return resolve.dedupe_edges(rows)
+
+
+def _suppliers(s: SparkSession, d: str) -> DataFrame:
+    return graph.visible(tb.nodes(s, d), True).where("entity_type IN ('Supplier', 'Nation', 'Region')")
+
+
+_BLOCK = with_sql(NODES_SQL) + (
+    ", vis AS (SELECT id, entity_type, normalized_name AS t FROM kg_nodes WHERE status <> 'rejected' AND entity_type IN ('Supplier', 'Nation', 'Region')),"
+    " key AS (SELECT DISTINCT id, entity_type, t AS key, false AS gram FROM vis UNION ALL SELECT DISTINCT id, entity_type, substr(t, i, 3), true FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM vis WHERE length(t) >= 3)),"
+    " ok AS (SELECT entity_type, key, gram FROM key GROUP BY ALL HAVING count(*) > 1 AND (NOT gram OR count(*) <= 64)),"
+    " pair AS (SELECT DISTINCT x.id AS a, y.id AS b FROM key x JOIN key y USING (entity_type, key, gram) JOIN ok USING (entity_type, key, gram) WHERE x.id < y.id)"
+)
+
+
+@query("merge_block_pairs", _BLOCK + " SELECT a, b FROM pair")
+def _(s, d):
+    return resolve.block_pairs(_suppliers(s, d))
+
+
+@query("merge_containment", _BLOCK + " SELECT a, b FROM pair JOIN vis x ON x.id = a JOIN vis y ON y.id = b WHERE x.t <> y.t AND least(length(x.t), length(y.t)) >= 4 AND (strpos(x.t, y.t) > 0 OR strpos(y.t, x.t) > 0)")
+def _(s, d):
+    n = _suppliers(s, d)
+    return resolve.containment(resolve.pair_names(resolve.block_pairs(n), n)).select("a", "b")
+
+
+_PART_ALIAS = with_sql(NODES_SQL) + ", pal AS (SELECT id, substr(normalized_name, 5) AS key FROM kg_nodes WHERE entity_type = 'Part')"
+
+
+@query("merge_shared_alias", _PART_ALIAS + " SELECT key, count(*) AS nodes, min(id) AS first FROM pal GROUP BY key HAVING count(*) > 1")
+def _(s, d):
+    a = _aliases(tb.nodes(s, d))
+    return a.groupBy(F.col("normalized_alias").alias("key")).agg(F.count("*").alias("nodes"), F.min("node_id").alias("first")).where("nodes > 1")
+
+
+@query("merge_name_similarity")
+def _(s, d):
+    n = _suppliers(s, d)
+    pairs = resolve.pair_names(resolve.block_pairs(n), n)
+    return pairs.withColumn("ratio", resolve.name_ratio("name_a", "name_b")).where(F.col("ratio") >= resolve.NAME_RATIO).select("a", "b", _r("ratio").alias("ratio"))
+
+
+@query("merge_candidates")
+def _(s, d):
+    n = _suppliers(s, d)
+    none = s.createDataFrame([], "node_id string, normalized_alias string")
+    return resolve.scan_candidates(n, none).select("a", "b", _r("score").alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    "merge_nodes_effect",
+    GRAPH_SQL
+    + ", moved AS (SELECT id, relation_type, CASE WHEN src = 'S3' THEN 'S4' ELSE src END AS src, CASE WHEN dst = 'S3' THEN 'S4' ELSE dst END AS dst, status, invalidated_ts, src = 'S3' OR dst = 'S3' AS moved FROM kg_edges),"
+    " marked AS (SELECT *, row_number() OVER (PARTITION BY relation_type, src, dst, status IN ('proposed', 'verified') AND invalidated_ts IS NULL ORDER BY moved, id) > 1 AND moved AND status IN ('proposed', 'verified') AND invalidated_ts IS NULL AS again FROM moved)"
+    " SELECT id, src, dst, CASE WHEN again OR (moved AND src = dst) THEN 'rejected' ELSE status END AS status FROM marked WHERE src = 'S4' OR dst = 'S4'",
+)
+def _(s, d):
+    _n, e = resolve.merge_nodes(*_ne(s, d), "S4", "S3")
+    return e.where("src = 'S4' OR dst = 'S4'").select("id", "src", "dst", "status")
+
+
+@query(
+    "bulk_approve_effect",
+    GRAPH_SQL
+    + ", n2 AS (SELECT id, entity_type, CASE WHEN status = 'proposed' AND coalesce(confidence >= 0.5, false) THEN 'verified' ELSE status END AS status FROM kg_nodes),"
+    " e2 AS (SELECT e.id, CASE WHEN e.status = 'proposed' AND coalesce(e.confidence >= 0.5, false) AND s.status = 'verified' AND d.status = 'verified' THEN 'verified' ELSE e.status END AS status FROM kg_edges e LEFT JOIN n2 s ON s.id = src LEFT JOIN n2 d ON d.id = dst)"
+    " SELECT 'node' AS kind, status, count(*) AS n FROM n2 GROUP BY status UNION ALL SELECT 'edge', status, count(*) FROM e2 GROUP BY status",
+)
+def _(s, d):
+    n, e = review.bulk_approve(*_ne(s, d), min_confidence=0.5)
+    one = lambda kind, rows: rows.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "status", "n")
+    return one("node", n).unionByName(one("edge", e))
+
+
+@query("invalidate_effect", with_sql(EDGES_SQL) + "SELECT id, CASE WHEN src = 'S1' AND status = 'verified' AND invalidated_ts IS NULL THEN 9e9::DOUBLE ELSE invalidated_ts END AS invalidated_ts FROM kg_edges WHERE relation_type = 'supplies'")
+def _(s, d):
+    e = tb.edges(s, d).where("relation_type = 'supplies'")
+    return review.invalidate(e, e.where("src = 'S1'").select("id"), 9e9).select("id", "invalidated_ts")
+
+
+@query("reopen_effect", GRAPH_SQL + ", live AS (SELECT src AS id FROM kg_edges WHERE status = 'verified' AND invalidated_ts IS NULL UNION SELECT dst FROM kg_edges WHERE status = 'verified' AND invalidated_ts IS NULL) SELECT status, count(*) AS n FROM (SELECT CASE WHEN entity_type = 'Customer' AND id NOT IN (FROM live) THEN 'proposed' ELSE status END AS status FROM kg_nodes) GROUP BY status")
+def _(s, d):
+    n, e = _ne(s, d)
+    return review.reopen(n, e, n.where("entity_type = 'Customer'")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Documents --------------------------------------------------------------------------------
+
+
+@query("doc_dedupe_content_hash", "SELECT 'sha256:' || sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def _(s, d):
+    return docs_.first_by_hash(tb.table(s, d, "documents"), "doc_id")
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    t = tb.table(s, d, "documents")
+    doi = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("10.1/"), (F.col("doc_id") % 400).cast("string")))
+    return t.select(F.col("doc_id").alias("arrival"), "source", F.col("text"), doi.alias("doi"), F.concat(F.lit("u"), (F.col("doc_id") % 500).cast("string")).alias("source_uri"))
+
+
+@query("collapse_duplicates", "WITH r AS (SELECT doc_id AS arrival, source, text, CASE WHEN doc_id % 3 <> 0 THEN 'doi:10.1/' || (doc_id % 400) ELSE 'uri:u' || (doc_id % 500) END AS identity, CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END AS k FROM documents) SELECT identity, arrival, records FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY length(text) DESC, k, arrival) AS rn, count(*) OVER (PARTITION BY identity) AS records FROM r) WHERE rn = 1")
+def _(s, d):
+    return docs_.collapse_duplicates(_records(s, d), ["src3", "src1"]).select("identity", "arrival", "records")
+
+
+@query("chunk_documents")
+def _(s, d):
+    c = docs_.chunk_documents(tb.table(s, d, "documents").select("doc_id", "text"))
+    return c.select("doc_id", "chunk", "char_offset", F.length("text").alias("n_chars"), T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("chunk_counts", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, greatest(1, CAST(length(text) // 4 AS INTEGER)) AS tokens FROM documents WHERE length(text) <= 12000")
+def _(s, d):
+    c = docs_.chunk_documents(tb.table(s, d, "documents").select("doc_id", "text"))
+    one = c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.first("text").alias("text")).where("chunks = 1 AND length(text) <= 12000")
+    return one.select("doc_id", F.length("text").alias("n_chars"), T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+_MENTION = "regexp_extract_all(t, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b')"
+_DOCS_M = "WITH d AS (SELECT p_partkey AS doc_id, replace(p_name || ' ' || p_brand || ' ' || p_type, ' ', '') || ' ' || p_brand || 'Maker ' || replace(p_type, ' ', '') AS t FROM part), m AS (SELECT doc_id, " + _MENTION + " AS all_m FROM d), u AS (SELECT doc_id, list_filter(all_m, lambda x, i: list_position(all_m, x) = i) AS m FROM m) "
+
+
+def _mention_docs(s: SparkSession, d: str) -> DataFrame:
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return tb.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(bare(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit(" "), F.col("p_brand"), F.lit("Maker "), bare(F.col("p_type"))).alias("text"))
+
+
+@query("mock_extract_entities", _DOCS_M + "SELECT doc_id, CAST(unnest(range(1, len(m) + 1)) AS INTEGER) AS pos, unnest(m) AS name FROM u")
+def _(s, d):
+    return docs_.mock_entities(_mention_docs(s, d))
+
+
+@query("mock_extract_relations", _DOCS_M + "SELECT doc_id, CAST(i AS INTEGER) AS pos, m[i] AS src, m[i + 1] AS dst FROM (SELECT doc_id, m, unnest(range(1, len(m))) AS i FROM u)")
+def _(s, d):
+    return docs_.mock_relations(_mention_docs(s, d))
+
+
+@query("html_to_text")
+def _(s, d):
+    return tb.table(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t")).select("page_id", "t.title", "t.text")
+
+
+@query("doi_normalize", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '10.1/ab' || doc_id WHEN 1 THEN '10.1/ab' || doc_id WHEN 2 THEN NULL WHEN 3 THEN '10.1/ab' || doc_id ELSE NULL END AS doi FROM documents")
+def _(s, d):
+    k = F.col("doc_id").cast("string")
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" https://doi.org/10.1/AB"), k)).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("doi:10.1/ab"), k, F.lit(".,)"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("11.1/"), k)).when(F.col("doc_id") % 5 == 3, F.concat(F.lit("HTTP://dx.doi.org/10.1/aB"), k, F.lit(";")))
+    return tb.table(s, d, "documents").select("doc_id", T.normalize_doi(raw).alias("doi"))
+
+
+@query("evidence_grade", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'peer_reviewed' WHEN 1 THEN 'preprint' WHEN 2 THEN 'preprint' WHEN 3 THEN 'registration' WHEN 4 THEN 'unknown' ELSE 'other' END AS grade FROM documents")
+def _(s, d):
+    m = F.col("doc_id") % 6
+    source = F.when(m == 0, "crossref").when(m == 1, "crossref").when(m == 2, "arxiv").when(m == 3, "clinicaltrials").when(m == 4, "core").otherwise("semanticscholar")
+    kind = F.when(m == 0, "Journal-Article").when(m == 1, "posted-content").when(m == 5, "Review")
+    return tb.table(s, d, "documents").select("doc_id", T.evidence_grade(source, kind).alias("grade"))
+
+
+@query("cas_checksum", "WITH c AS (SELECT p_partkey AS k, CAST(10 + p_partkey % 900000 AS VARCHAR) AS a, lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS b, p_partkey % 10 AS c FROM part) SELECT k, (SELECT sum(CAST(substr(reverse(a || b), i, 1) AS INTEGER) * i) FROM (SELECT unnest(range(1, length(a || b) + 1)) AS i)) % 10 = c AS valid FROM c")
+def _(s, d):
+    k = F.col("p_partkey")
+    value = F.concat_ws("-", (k % 900000 + 10).cast("string"), F.lpad((k % 100).cast("string"), 2, "0"), (k % 10).cast("string"))
+    return tb.table(s, d, "part").select(k.alias("k"), T.cas_valid(value).alias("valid"))
+
+
+# Registry ---------------------------------------------------------------------------------
+
+
+def _codes(s: SparkSession, d: str) -> DataFrame:
+    return tb.table(s, d, "part").select(F.lower("p_name").alias("surface"), F.col("p_brand").alias("code"))
+
+
+@query("registry_resolve", "WITH reg AS (SELECT lower(p_name) AS surface, min(p_brand) AS code FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1) SELECT p_partkey, reg.code, CASE WHEN reg.code IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM part LEFT JOIN reg ON surface = lower(p_name)")
+def _(s, d):
+    rows = _codes(s, d)
+    reg = registry.build_registry(rows.join(registry.surface_conflicts(rows), "surface", "left_anti"))
+    return registry.resolve(tb.table(s, d, "part").select("p_partkey", F.lower("p_name").alias("surface")), reg).select("p_partkey", "code", "status")
+
+
+@query("eppo_conflicts", "SELECT lower(p_name) AS surface, count(DISTINCT p_brand) AS codes FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def _(s, d):
+    return registry.surface_conflicts(_codes(s, d))
+
+
+# Packs ------------------------------------------------------------------------------------
+
+
+@query("pack_export_counts", SUBGRAPH_SQL + "SELECT 'nodes' AS what, (SELECT count(*) FROM vn) AS n UNION ALL SELECT 'edges', (SELECT count(*) FROM ve) UNION ALL SELECT 'citations', (SELECT count(*) FROM vn) UNION ALL SELECT 'documents', (SELECT count(*) FROM documents WHERE doc_id IN (SELECT source_doc FROM vn))")
+def _(s, d):
+    tables = packs.pack_tables(*_ne(s, d), _citations(s, d), tb.table(s, d, "documents").select("doc_id"))
+    out = None
+    for what, rows in tables.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _snapshots(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = tb.nodes(s, d)
+    old = n.where(F.col("k") % 10 != 0).select("id", "name", "entity_type", "confidence")
+    new = n.where(F.col("k") % 7 != 0).select("id", F.when(F.col("k") % 11 == 0, F.concat("name", F.lit("*"))).otherwise(F.col("name")).alias("name"), "entity_type", F.when(F.col("k") % 17 == 0, None).otherwise(F.col("confidence")).alias("confidence"))
+    return old, new
+
+
+_SNAP = with_sql(NODES_SQL) + ", o AS (SELECT id, name, entity_type, confidence FROM kg_nodes WHERE k % 10 <> 0), w AS (SELECT id, CASE WHEN k % 11 = 0 THEN name || '*' ELSE name END AS name, entity_type, CASE WHEN k % 17 = 0 THEN NULL ELSE confidence END AS confidence FROM kg_nodes WHERE k % 7 <> 0), b AS (SELECT coalesce(o.id, w.id) AS id, o.id IS NULL AS added, w.id IS NULL AS removed, o.name IS DISTINCT FROM w.name AS dn, o.confidence IS DISTINCT FROM w.confidence AS dc FROM o FULL JOIN w ON o.id = w.id)"
+
+
+@query("pack_diff", _SNAP + " SELECT id, CASE WHEN added THEN 'added' WHEN removed THEN 'removed' ELSE 'changed' END AS change, CASE WHEN added OR removed THEN '' ELSE concat_ws(',', CASE WHEN dc THEN 'confidence' END, CASE WHEN dn THEN 'name' END) END AS fields FROM b WHERE added OR removed OR dn OR dc")
+def _(s, d):
+    return packs.diff(*_snapshots(s, d), ["confidence", "entity_type", "name"])
+
+
+@query("semantic_deltas", _SNAP + " SELECT count(*) FILTER (added) AS additions, count(*) FILTER (removed) AS invalidations, count(*) FILTER (NOT added AND NOT removed AND dn) AS replacements FROM b")
+def _(s, d):
+    return packs.semantic_deltas(*_snapshots(s, d), ["name", "entity_type"])
+
+
+@query(
+    "extraction_completeness",
+    "WITH st AS (SELECT DISTINCT user_id % 97 AS doc_id, event_type AS engine FROM events), runs AS (SELECT o_orderkey AS run_id, o_custkey % 97 AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' ELSE 'signup' END AS engine, o_orderstatus = 'F' AS complete FROM orders),"
+    " ch AS (SELECT l_orderkey AS run_id, count(*) FILTER (l_linestatus <> 'F') AS open FROM lineitem GROUP BY 1), k AS (SELECT doc_id, engine, bool_or(complete AND coalesce(open, 1) = 0) AS ok, count(*) AS runs FROM runs LEFT JOIN ch USING (run_id) GROUP BY ALL)"
+    " SELECT doc_id, engine, CASE WHEN ok THEN 'satisfied' WHEN runs > 0 THEN 'incomplete' ELSE 'unknown' END AS state, coalesce(runs, 0) AS runs FROM st LEFT JOIN k USING (doc_id, engine)",
+)
+def _(s, d):
+    streams = tb.table(s, d, "events").select((F.col("user_id") % 97).alias("doc_id"), F.col("event_type").alias("engine"))
+    m = F.col("o_orderkey") % 4
+    runs = tb.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 97).alias("doc_id"), F.when(m == 0, "click").when(m == 1, "view").when(m == 2, "purchase").otherwise("signup").alias("engine"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"))
+    chunks = tb.table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", "succeeded").otherwise("pending").alias("status"))
+    return packs.completeness(streams, runs, chunks)
+
+
+# Ledger -----------------------------------------------------------------------------------
+
+
+@query("chat_history_trim", "SELECT conv_id, turn, role, CAST(row_number() OVER (ORDER BY conv_id, turn) AS INTEGER) AS pos FROM (SELECT * FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 200)")
+def _(s, d):
+    return ledger.chat_history(tb.table(s, d, "conversations")).select("conv_id", "turn", "role", "pos")
+
+
+@query("chat_keep_per_conversation", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
+def _(s, d):
+    return ledger.keep_newest(tb.table(s, d, "conversations"), 2, [F.desc("turn")], ["conv_id"]).select("conv_id", "turn")
+
+
+@query("cost_by_engine", "SELECT event_type AS engine, count(*) AS calls, round(sum(value), 2) AS elapsed FROM events GROUP BY 1")
+def _(s, d):
+    log = tb.table(s, d, "events").select(F.col("event_type").alias("engine"), F.col("value").alias("elapsed"))
+    return ledger.cost_summary(log).select("engine", "calls", F.round("elapsed", 2).alias("elapsed"))
+
+
+@query("artifacts_latest", "SELECT a.event_id AS id, a.event_type AS kind, documents.source FROM (SELECT * FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 50) a LEFT JOIN documents ON doc_id = a.user_id")
+def _(s, d):
+    arts = tb.table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_ts"), F.col("user_id").alias("doc_id"))
+    return ledger.list_artifacts(arts, tb.table(s, d, "documents"), "view", 50).select("id", "kind", "source")
+
+
+def _annotations(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("user_id")
+    rows = tb.table(s, d, "events").select(F.concat(F.lit("N"), (k % 25).cast("string")).alias("node_id"), F.when(k % 2 == 0, "uniprot").otherwise("mygene").alias("resource"), F.when(k % 3 == 0, "accepted").when(k % 3 == 1, "rejected").otherwise("pending").alias("status"), F.col("event_id").alias("seq"))
+    return ledger.latest_by(rows, ["node_id", "resource"], ["seq"])
+
+
+_ANN = "ann AS (SELECT node_id, resource, arg_max(status, event_id) AS status FROM (SELECT 'N' || (user_id % 25) AS node_id, CASE WHEN user_id % 2 = 0 THEN 'uniprot' ELSE 'mygene' END AS resource, CASE user_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, event_id FROM events) GROUP BY ALL)"
+
+
+@query("annotation_counts", f"WITH {_ANN} SELECT v.status, count(node_id) AS n FROM (VALUES ('pending'), ('accepted'), ('rejected'), ('stale')) v(status) LEFT JOIN ann ON ann.status = v.status GROUP BY v.status")
+def _(s, d):
+    return quality.zero_filled(_annotations(s, d), "status", ["pending", "accepted", "rejected", "stale"])
+
+
+@query("enrichment_worklist", with_sql(NODES_SQL, _ANN) + "SELECT w.id, w.name, r.resource FROM (SELECT * FROM kg_nodes WHERE status = 'verified' AND length(name) BETWEEN 2 AND 20 AND strpos(name, ' ') = 0 ORDER BY created_ts, id LIMIT 50) w, (VALUES ('uniprot'), ('mygene')) r(resource) WHERE NOT EXISTS (SELECT 1 FROM ann WHERE ann.node_id = w.id AND ann.resource = r.resource AND ann.status IN ('accepted', 'rejected'))")
+def _(s, d):
+    return ledger.enrichment_worklist(tb.nodes(s, d), _annotations(s, d), ["uniprot", "mygene"])
+
+
+@query("items_per_schema", with_sql(NODES_SQL) + "SELECT CAST(v AS BIGINT) AS id, count(id) AS items FROM (SELECT unnest(range(1, 5)) AS v) LEFT JOIN kg_nodes ON k % 3 + 1 = v GROUP BY v")
+def _(s, d):
+    versions = s.range(1, 5).select("id")
+    items = tb.nodes(s, d).select((F.col("k") % 3 + 1).alias("schema_version_id"))
+    return ledger.items_per_schema(versions, items)
+
+
+@query("unprocessed_documents", with_sql(NODES_SQL) + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT source_doc FROM kg_nodes)")
+def _(s, d):
+    return docs_.unprocessed(tb.table(s, d, "documents"), tb.nodes(s, d)).select("doc_id")
+
+
+@query("windowed_costs", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS calls, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def _(s, d):
+    from ..streaming.ingest import windowed_costs
+
+    return windowed_costs(tb.table(s, d, "events")).select(F.col("window.start").alias("start"), "event_type", "calls", F.round("total", 2).alias("total"))
