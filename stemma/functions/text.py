@@ -56,7 +56,7 @@ def content_hash(text: Column) -> Column:
 
 def fenced_block(text: Column) -> Column:
     """The first fenced block's body, null where there is none or it is empty."""
-    body = F.trim(F.regexp_extract(text, r"(?is)```(?:json)?\s*\n?(.*?)```", 1))
+    body = F.regexp_replace(F.regexp_extract(text, r"(?is)```(?:json)?\s*\n?(.*?)```", 1), r"^\s+|\s+$", "")
     return F.when(body != "", body)
 
 
