@@ -2,7 +2,7 @@
 
 Only how many pieces have each length matters to a packing, so the instance is the histogram of
 piece lengths (at most ``capacity`` numbers, whatever the corpus holds) and a solution is a list of
-patterns with multiplicities. The reduction takes the longest remaining length s with room r:
+patterns with multiplicities. The reduction takes each length s, longest first, with room r:
 
 * nothing fits beside s: the pattern {s} is fixed;
 * a piece of length exactly r exists: {s, r} fills the sequence and dominates every other use of s;
@@ -10,8 +10,9 @@ patterns with multiplicities. The reduction takes the longest remaining length s
 * at most two more fit and the longest single l <= r is no shorter than any fitting pair's sum:
   {s, l} dominates.
 
-A fixed pattern is applied as often as counts allow and the instance shrinks; where no rule
-applies, s is set aside for the remainder, which best-fit decreasing packs on counts as well.
+A fixed pattern is applied as often as counts allow and the instance shrinks; lengths that no rule
+settles stay in it (and may still be partners), and best-fit decreasing packs the remainder on
+counts as well.
 
 Pieces then find their place by (length, rank among the pieces of that length): ranks come from
 counts for each writer partition, so no length, however common, is ever gathered in one task.
@@ -26,7 +27,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,11 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return ([head] if head else []) + [capacity] * (n // capacity)
 
 
-def _longest_within(lengths: list[int], room: int) -> int | None:
-    at = bisect_right(lengths, room)
-    return lengths[at - 1] if at else None
-
-
 def dominance_reduce(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], Counter]:
     """Fix dominating patterns; returns them with multiplicities, and the counts that no rule settles."""
     left = Counter({k: v for k, v in counts.items() if v})
-    rest: Counter = Counter()
     fixed: list[tuple[Pattern, int]] = []
-    lengths = sorted(left)  # every length with pieces left
+    lengths = sorted(left)  # every length with pieces left, settled or not
 
     def take(pattern: Pattern, times: int) -> None:
         fixed.append((pattern, times))
@@ -67,36 +62,40 @@ def dominance_reduce(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
             if not left[length]:
                 lengths.remove(length)
 
-    while lengths:
-        s = lengths[-1]
+    for s in sorted(left, reverse=True):
         room = capacity - s
-        n = left[s]
-        if room < lengths[0]:
-            take(((s, 1),), n)
-            continue
-        partner = _longest_within(lengths, room)
-        pair = partner if partner != s or n > 1 else None
-        two_least = lengths[0] * 2 if left[lengths[0]] > 1 else lengths[0] + (lengths[1] if len(lengths) > 1 else capacity)
-        if pair is None:
-            take(((s, 1),), n)
-        elif pair == room or two_least > room:
-            take(((s, 2),) if pair == s else ((s, 1), (pair, 1)), n // 2 if pair == s else min(n, left[pair]))
-        elif pair != s and two_least + lengths[0] > room and pair >= _best_pair(lengths, left, room):
-            # The pair's best sum can change once a length runs out, so one length is exhausted at a time.
-            take(((s, 1), (pair, 1)), min(n, left[pair]))
-        else:
-            rest[s] += n
-            left[s] = 0
-            lengths.pop()
-    return fixed, rest
+        while n := left[s]:
+            others = lambda x: left[x] - (x == s)
+            least: list[int] = []  # the three shortest pieces beside s
+            for x in lengths:
+                least += [x] * min(3, others(x))
+                if len(least) >= 3:
+                    break
+            fits = bisect_right(lengths, room)
+            if fits and not others(lengths[fits - 1]):
+                fits -= 1
+            if not fits:
+                take(((s, 1),), n if not least or least[0] > room else 1)
+                continue
+            pair = lengths[fits - 1]
+            one_more = len(least) < 2 or least[0] + least[1] > room
+            two_more = len(least) < 3 or sum(least[:3]) > room
+            if pair == room or one_more or two_more and pair >= _best_pair(lengths, others, room):
+                take(((s, 2),) if pair == s else tuple(sorted(((s, 1), (pair, 1)), reverse=True)), n // 2 if pair == s else min(n, left[pair]))
+            else:
+                break
+    return fixed, Counter({k: v for k, v in left.items() if v})
 
 
-def _best_pair(lengths: list[int], left: Counter, room: int) -> int:
+def _best_pair(lengths: list[int], others: Callable[[int], int], room: int) -> int:
+    """The largest sum of two pieces within ``room``."""
     best, lo, hi = 0, 0, len(lengths) - 1
     while lo <= hi:
         total = lengths[lo] + lengths[hi]
-        if total > room or (lo == hi and left[lengths[lo]] < 2):
+        if total > room or not others(lengths[hi]) or lo == hi and others(lengths[lo]) < 2:
             hi -= 1
+        elif not others(lengths[lo]):
+            lo += 1
         else:
             best = max(best, total)
             lo += 1
