@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -24,9 +25,16 @@ def default_path() -> str:
 
 
 class PieceEncoder:
-    """encode(texts) -> list of uint32 arrays, equal to encode_batch(texts, add_special_tokens=False)."""
+    """encode(texts) -> list of uint32 arrays, equal to encode_batch(texts, add_special_tokens=False).
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    A piece is what stands between two cuts; all but a text's first keep the space before them. A
+    piece of letters with closing marks is two tokens of the pre-tokenizer, so its ids are those of
+    the letters and those of the marks.
+    """
+
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str, max_pieces: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -36,55 +44,70 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.first: dict[str, int] = {}  # pieces without a space before them
+        self.later: dict[str, int] = {}  # by what follows their space
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i + 1] closes piece i
         self.count = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
+    def _append(self, names: list[str], index: dict[str, int], lens: np.ndarray, ids: np.ndarray) -> None:
+        base, n = int(self.ends[self.count]), len(names)
+        while base + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.count + n + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[base : base + len(ids)] = ids
+        self.ends[self.count + 1 : self.count + 1 + n] = base + np.cumsum(lens)
+        index.update(zip(names, range(self.count, self.count + n)))
+        self.count += n
+
+    def _gather(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = self.ends[pieces]
+        lens = self.ends[pieces + 1] - starts
+        shift = np.repeat(starts - (np.cumsum(lens) - lens), lens)
+        return lens, self.flat[shift + np.arange(len(shift))]
+
+    def _learn(self, names: list[str], index: dict[str, int], space: str) -> None:
+        for at in range(0, len(names), 20_000):
+            part = names[at : at + 20_000]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([space + p for p in part], add_special_tokens=False)]
             lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(lens.sum()))
-            base = int(self.ends[self.count])
-            while base + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.count + len(encoded) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[base : base + len(ids)] = ids
-            self.ends[self.count + 1 : self.count + 1 + len(encoded)] = base + np.cumsum(lens)
-            for i, p in enumerate(pieces[at : at + 20_000], self.count):
-                self.index[p] = i
-            self.count += len(encoded)
+            self._append(part, index, lens, np.fromiter(chain.from_iterable(encoded), np.uint32, int(lens.sum())))
+
+    def _learn_later(self, names: set[str]) -> None:
+        marked = [(p, stem) for p in names if p[-1:] in self.MARKS and (stem := p.rstrip(self.MARKS)).isalpha()]
+        names.difference_update(p for p, _ in marked)
+        names.update(stem for _, stem in marked if stem not in self.later)
+        self._learn(list(names), self.later, " ")
+        if marked:
+            tails = [p[len(stem) :] for p, stem in marked]
+            self._learn(list(set(tails).difference(self.first)), self.first, "")
+            halves = np.array([(self.later[stem], self.first[t]) for (_, stem), t in zip(marked, tails)], np.int64)
+            lens, ids = self._gather(halves.ravel())
+            self._append([p for p, _ in marked], self.later, lens.reshape(-1, 2).sum(1), ids)
 
     @staticmethod
     def _cut(text: str) -> list[str]:
         if _TWO_SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
-            first, *rest = _SAFE_CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *(" " + r for r in rest)]
+            return _SAFE_CUT.split(text)
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.count > self.max_pieces:
             self._reset()
         whole = [any(s in t for s in self.special) for t in texts]
         cuts = [[] if w or not t else self._cut(t) for t, w in zip(texts, whole)]
-        index = self.index
-        fresh = list(dict.fromkeys(p for cut in cuts for p in cut if p not in index))
-        if fresh:
-            self._learn(fresh)
-        out = []
-        for text, cut, w in zip(texts, cuts, whole):
+        heads = [cut.pop(0) if cut else None for cut in cuts]
+        self._learn(list({h for h in heads if h is not None}.difference(self.first)), self.first, "")
+        self._learn_later(set().union(*cuts).difference(self.later))
+        out, get = [], self.later.__getitem__
+        for text, head, cut, w in zip(texts, heads, cuts, whole):
             if w:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            pieces = np.fromiter(map(index.__getitem__, cut), np.int64, len(cut))
-            starts, ends = self.ends[pieces], self.ends[pieces + 1]
-            lens = ends - starts
-            total = int(lens.sum())
-            shift = np.repeat(starts - (np.cumsum(lens) - lens), lens)
-            out.append(self.flat[shift + np.arange(total)])
+            elif head is None:
+                out.append(np.zeros(0, np.uint32))
+            else:
+                out.append(self._gather(np.fromiter(chain((self.first[head],), map(get, cut)), np.int64, len(cut) + 1))[1])
         return out
 
 
