@@ -35,7 +35,7 @@ from .tokens import END_ID, chunks, default_path, encoder
 MAGIC = b"SVB1"
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _HEAD = struct.Struct("<4sIQ")
-_SCHEMA = "part int, block_no int, n_ids long, null_docs int, block binary"
+_SCHEMA = "part int, before long, n_ids long, null_docs int, block binary"
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +141,18 @@ def write_token_blocks(docs: DataFrame, tokenizer_path: str | None = None, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        expand, part, no = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
+        expand, part, before = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0
         ids, lens, ranks, held, nulls = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return rows_to_batch([(part, no, held, nulls, build_block(ids, lens, np.concatenate(ranks)))], out)
+            return rows_to_batch([(part, before, held, nulls, build_block(ids, lens, np.concatenate(ranks)))], out)
 
         for batch in batches:
             for key, wide, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rank = table.value[np.frombuffer(expand.decompress(blob), "<u4" if wide else "<u2")]
                 if held and (held + len(rank) > block_ids or (key is None) != (nulls == len(ids) > 0)):
                     yield flush()
-                    no, ids, lens, ranks, held, nulls = no + 1, [], [], [], 0, 0
+                    before, ids, lens, ranks, held, nulls = before + held, [], [], [], 0, 0
                 ids.append(-(2**63) if key is None else key)
                 nulls += key is None
                 lens.append(len(rank))
@@ -180,30 +180,23 @@ def digest_token_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
 
 def _decode(blocks: DataFrame, by_rank: np.ndarray, schema: str, value) -> DataFrame:
     spark = blocks.sparkSession
-    # One total for each partition of the writer; a block's place inside its partition is a window over that partition alone.
+    # A block knows the ids before it in its own partition; one total for each partition of the writer does the rest.
     totals = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    base, sums = 0, {}
-    for part in sorted(totals):
-        sums[part] = base
-        base += totals[part]
-    first = spark.createDataFrame(list(sums.items()) or [(0, 0)], "part int, part_start long")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("part").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.select("part", "block_no", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("in_part")).join(F.broadcast(first), "part").select("part", "block_no", (F.col("part_start") + F.col("in_part")).alias("start"))
+    starts = dict(zip(sorted(totals), np.cumsum([0, *(totals[p] for p in sorted(totals))]).tolist()))
     table = spark.sparkContext.broadcast(by_rank)
     out = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, nulls, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for part, before, nulls, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                start = starts[part] + before
                 keys, lens, ranks = read_block(block)
                 ids = table.value[ranks] if len(ranks) else ranks
                 ends = np.cumsum(lens, dtype=np.int64)
                 rows = [(None if i < nulls else int(k), int(start + e - n), int(n), value(ids[e - n : e])) for i, (k, n, e) in enumerate(zip(keys, lens, ends))]
                 yield rows_to_batch(rows, out)
 
-    return blocks.join(places, ["part", "block_no"]).select("start", "null_docs", "block").mapInArrow(run, schema)
+    return blocks.select("part", "before", "null_docs", "block").mapInArrow(run, schema)
 
 
 def op5_token_binary(docs: DataFrame, **options) -> DataFrame:
