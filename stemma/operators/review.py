@@ -77,8 +77,8 @@ def disagreements(nodes: DataFrame, reviews: DataFrame, gap: float = DISAGREEMEN
 
 
 def upsert_reviews(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace by (kind, item_id, engine); scores are clamped to 0..1."""
-    clamped = new.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
+    """Replace by (kind, item_id, engine); scores are clamped to 0..1, rows without one left out."""
+    clamped = new.where("score IS NOT NULL").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
     return old.join(clamped, ["kind", "item_id", "engine"], "left_anti").unionByName(clamped)
 
 
