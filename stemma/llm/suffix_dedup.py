@@ -376,6 +376,50 @@ def _send_segments(b: Batch, mode: np.ndarray, buckets: int) -> Iterator[tuple[i
         yield int(where[a]), _pack(key[a:e], segment[a:e], ids[a:e], (end - first)[a:e].astype("<i4"), text)
 
 
+def _candidates(text: bytes, first: np.ndarray, windows: np.ndarray, keys: np.ndarray, block_bytes: int) -> Iterator[tuple[list[bytes], tuple[np.ndarray, np.ndarray]]]:
+    """What suffix arrays must tell apart: (strings, (window numbers, their places in the strings' windows)).
+
+    A window whose hash stands alone has no equal, so only stretches of windows with a repeated
+    hash go on, and equal stretches once. Windows are numbered through, segment by segment.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    codes = _mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
+    sums = np.concatenate([[U(0)], np.cumsum(codes[raw] * np.cumprod(np.full(len(raw), U(_STEP))))])
+    back = np.cumprod(np.concatenate([[U(1)], np.full(len(raw), U(_BACK))]))
+    span = lambda a, b: (sums[b] - sums[a]) * back[a]
+    number = np.cumsum(windows) - windows
+    start = np.repeat(first - number, windows) + np.arange(int(windows.sum()))
+    order = np.argsort(hashed := span(start, start + LENGTH), kind="stable")
+    same = hashed[order][1:] == hashed[order][:-1]
+    again = np.zeros(len(start), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    if not again.any():
+        return
+    edge = np.zeros(len(start), bool)
+    edge[number[windows > 0]] = True
+    opens = np.flatnonzero(again & (edge | ~np.append(False, again[:-1])))
+    closes = np.flatnonzero(again & (np.append(edge[1:], True) | ~np.append(again[1:], False)))
+    count = closes - opens + 1
+    whole = span(start[opens], start[closes] + LENGTH)
+    key = np.repeat(keys, windows)[opens]
+    order = np.lexsort((whole, count, key))
+    fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (count[order][1:] != count[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
+    lead, kind = order[fresh], np.cumsum(fresh) - 1  # distinct stretches, by key; the stretch of each in order
+    sizes, a = np.cumsum(count[lead] + LENGTH - 1), 0
+    edges = np.append(np.flatnonzero(fresh), len(order))
+    while a < len(lead):
+        e = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + block_bytes)))
+        while e < len(lead) and key[lead[e]] == key[lead[e - 1]]:  # an anchor's stretches stay together
+            e += 1
+        strings = [text[x : y + LENGTH] for x, y in zip(start[opens[lead[a:e]]].tolist(), start[closes[lead[a:e]]].tolist())]
+        place = np.cumsum(count[lead[a:e]]) - count[lead[a:e]]
+        mine = slice(int(edges[a]), int(edges[e]))
+        members, n = order[mine], count[order[mine]]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield strings, (np.repeat(opens[members], n) + inner, np.repeat(place[kind[mine] - a], n) + inner)
+        a = e
+
+
 def _settle_segments(pdf: pd.DataFrame, block_bytes: int = 1 << 18) -> pd.DataFrame:
     """Of one bucket: the smallest doc_id of every window of every segment, by suffix arrays."""
     batches = pdf["batch"].to_numpy()
@@ -393,18 +437,11 @@ def _settle_segments(pdf: pd.DataFrame, block_bytes: int = 1 << 18) -> pd.DataFr
     windows = size[lead] - LENGTH + 1
     places = np.cumsum(windows) - windows
     least = np.repeat(ids[lead], windows)
-    keys, a = key[lead], 0
-    while a < len(lead):
-        e = max(a + 1, int(np.searchsorted(np.cumsum(size[lead[a:]]), block_bytes)) + a)
-        while e < len(lead) and keys[e] == keys[e - 1]:  # an anchor's segments stay together
-            e += 1
-        if e - a > 1:
-            classes = np.concatenate(window_classes([text[first[x] : first[x] + size[x]] for x in lead[a:e].tolist()]))
-            span = slice(int(places[a]), int(places[a]) + len(classes))
-            low = np.full(int(classes.max()) + 1, NULL_ID)
-            np.minimum.at(low, classes, least[span])
-            least[span] = low[classes]
-        a = e
+    for segments, at in _candidates(text, first[lead], windows, key[lead], block_bytes):
+        classes = np.concatenate(window_classes(segments))
+        low = np.full(int(classes.max()) + 1, NULL_ID)
+        np.minimum.at(low, classes[at[1]], least[at[0]])
+        least[at[0]] = low[classes[at[1]]]
     rows = []
     order = np.argsort(owner, kind="stable")
     edges = np.append(_runs(owner[order]), len(order))
