@@ -7,6 +7,9 @@ only the tasks it ran.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship
 
 
+#: Bounds of an Arrow batch, set on the session by every Python stage: workers share an executor's memory with its heap.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,9 +85,42 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     ship(spark)  # every Python stage asks for its schema first
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+#: What one operator keeps in a Python worker from task to task; workers outlive stages.
+worker_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The owner's cache in this worker; other owners' caches are let go."""
+    for other in [k for k in worker_caches if k != owner]:
+        del worker_caches[other]
+    return worker_caches.setdefault(owner, {})
+
+
+def trim_worker() -> None:
+    """Give freed memory back to the system; a worker's next stage may be another operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker without the caches that earlier stages left."""
+
+    def alone_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("").clear()
+        trim_worker()
+        yield from run(batches)
+        trim_worker()
+
+    return alone_run
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null keys give null."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, fold, hashed_sample
+from .common import _arrow_schema, alone, fold, hashed_sample
 from .quality_rules import balanced_sample, labelled_ids
 
 #: Texts longer than this aren't sampled for learning (they are scored whole like any other).
@@ -124,7 +124,7 @@ def score_compression_quality(docs: DataFrame, model: tuple[bytes, bytes, np.nda
             score = 1 / (1 + np.exp(-(x @ model[2][:-1] + model[2][-1]))) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0])], schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(alone(run), schema)
 
 
 def op2_compression_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margin
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(alone(run), schema)
 
 
 def op4_compression_language_id(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, rows_to_batch
+from .common import _arrow_schema, alone, rows_to_batch
 
 WINDOW = 10
 #: Bytes of words, A-Z as a-z; every other ASCII byte parts words.
@@ -129,10 +129,10 @@ class SuffixAutomaton:
             if b - a + 1 >= self.least:
                 yield int(a), int(b) + 1
         if self.least == 1:
-            alone = known.copy()
-            alone[:-1] &= ~joined
-            alone[1:] &= ~joined
-            for a in np.flatnonzero(alone):
+            single = known.copy()
+            single[:-1] &= ~joined
+            single[1:] &= ~joined
+            for a in np.flatnonzero(single):
                 yield int(a), int(a) + 1
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
@@ -227,7 +227,7 @@ def _scan_pass(source: DataFrame, shared, text_at: int, width: int, schema: str,
             new = rows_to_batch(rows, added)
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new.columns], schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(alone(run), schema)
 
 
 def word_places(text: str) -> np.ndarray:
@@ -273,7 +273,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
                     columns[chars_at] = pa.array(chars, arrow.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return kept.mapInArrow(run, ddl)
+    return kept.mapInArrow(alone(run), ddl)
 
 
 def op8_benchmark_decontamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, persist_table, rows_to_batch
-from .tokens import chunks, default_path, encoder
+from .tokens import default_path, encoder, slices
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -175,18 +175,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         seen: Counter = Counter()
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                rows = []
-                for key, ids in zip(keys[a:b], enc.encode([t or "" for t in texts[a:b]])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    at = 0
-                    for piece, n in enumerate(cut_lengths(len(ids), capacity)):
-                        rows.append((key, piece, at, n, zlib.crc32(ids[at : at + n].tobytes()), part, seen[n]))
-                        seen[n] += 1
-                        at += n
-                yield rows_to_batch(rows, out)
+        for keys, texts in slices(batches):
+            rows = []
+            for key, ids in zip(keys, enc.encode(texts)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                at = 0
+                for piece, n in enumerate(cut_lengths(len(ids), capacity)):
+                    rows.append((key, piece, at, n, zlib.crc32(ids[at : at + n].tobytes()), part, seen[n]))
+                    seen[n] += 1
+                    at += n
+            yield rows_to_batch(rows, out)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, hashed_sample
+from .common import _arrow_schema, alone, hashed_sample
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW = 5
@@ -163,7 +163,7 @@ def _features_of(docs: DataFrame, extra: list[str]) -> DataFrame:
             x = [statistics(t)[1] for t in batch.column(len(extra)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], pa.array(x, out.field(len(extra)).type)], schema=out)
 
-    return docs.select(*extra, "text").mapInArrow(run, schema)
+    return docs.select(*extra, "text").mapInArrow(alone(run), schema)
 
 
 def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
@@ -207,7 +207,7 @@ def score_quality(docs: DataFrame, trees: FlatTrees, threshold: float = 0.5) ->
             columns = [batch.column(0).cast(pa.int64()), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(alone(run), schema)
 
 
 def op1_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

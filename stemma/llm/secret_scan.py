@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _arrow_schema
+from .common import _arrow_schema, alone
 
 KINDS = ["assign", "access", "hex", "account", "bare", "endpoint"]
 MAX_GAP = 400
@@ -116,7 +116,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             linked = pa.array([sum(k not in base for k, _, _ in f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(count, KINDS[:3]), pa.array(digests, pa.string()), pa.array([join(f) for f in found], pa.string()), linked], schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(alone(run), schema)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -153,7 +153,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 columns[chars_at] = pa.array(chars, out.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(alone(run), ddl)
 
 
 def op3_multipart_secrets(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, drop_table, persist_table, rows_to_batch
+from .common import _arrow_schema, alone, drop_table, persist_table, rows_to_batch
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(alone(run), schema)
 
 
 def covering_masks(radius: int, positions: list[int], seed: int = 1) -> list[int]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, drop_table, persist_table, rows_to_batch
-from .tokens import END_ID, chunks, default_path, encoder
+from .tokens import END_ID, default_path, encoder, slices
 
 MAGIC = b"SVB1"
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -92,19 +92,17 @@ def _tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         enc, squeeze = encoder(path), zstandard.ZstdCompressor(level=1)
         counts = np.zeros(enc.tokenizer.get_vocab_size() + 1, np.int64)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                rows = []
-                for key, ids in zip(keys[a:b], enc.encode([t or "" for t in texts[a:b]])):
-                    ids = np.append(ids, np.uint32(end_id))
-                    top = int(ids.max())
-                    if top >= len(counts):
-                        counts = np.concatenate([counts, np.zeros(top + 1 - len(counts), np.int64)])
-                    counts += np.bincount(ids, minlength=len(counts))
-                    wide = top > 0xFFFF
-                    rows.append((0, key, wide, squeeze.compress(ids.astype("<u4" if wide else "<u2").tobytes())))
-                yield rows_to_batch(rows, out)
+        for keys, texts in slices(batches):
+            rows = []
+            for key, ids in zip(keys, enc.encode(texts)):
+                ids = np.append(ids, np.uint32(end_id))
+                top = int(ids.max())
+                if top >= len(counts):
+                    counts = np.concatenate([counts, np.zeros(top + 1 - len(counts), np.int64)])
+                counts += np.bincount(ids, minlength=len(counts))
+                wide = top > 0xFFFF
+                rows.append((0, key, wide, squeeze.compress(ids.astype("<u4" if wide else "<u2").tobytes())))
+            yield rows_to_batch(rows, out)
         if counts.any():
             yield rows_to_batch([(1, None, None, squeeze.compress(counts.astype("<i8").tobytes()))], out)
 

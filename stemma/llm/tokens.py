@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from .common import worker_cache
 
 END_ID = 0
 _TWO_SPACES = re.compile(r"\s\s")
@@ -34,7 +38,7 @@ class PieceEncoder:
 
     MARKS = ".,!?;:"
 
-    def __init__(self, path: str, max_pieces: int = 1_200_000):
+    def __init__(self, path: str, max_pieces: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,23 +115,24 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each tokenizer file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
-
-
-def chunks(texts: list, max_chars: int = 4_000_000):
-    """Slices of ``texts`` of bounded total length (one long text makes a slice of its own)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > max_chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+    cache = worker_cache("tokens")
+    if path not in cache:
+        cache[path] = PieceEncoder(path)
+    return cache[path]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, max_chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
+    """(keys, texts) of at most ``rows`` rows and about ``max_chars`` characters (a longer text stands alone); null texts are empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            keys, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            start = size = 0
+            for i, t in enumerate(texts):
+                if size and size + len(t) > max_chars:
+                    yield keys[start:i], texts[start:i]
+                    start, size = i, 0
+                size += len(t)
+            yield keys[start:], texts[start:]
