@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, persist_table, rows_to_batch
-from .tokens import default_path, encoder, slices
+from .tokens import CACHE_PIECES, default_path, encoder, slices
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -167,13 +167,13 @@ def _slots(plan: list[tuple[Pattern, int]]) -> dict[int, tuple[np.ndarray, ...]]
     return {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in by_length.items()}
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row a piece, with the writer's partition and the piece's rank among its length there."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
     out = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer_path, cache_pieces), TaskContext.get().partitionId()
         seen: Counter = Counter()
         for keys, texts in slices(batches):
             rows = []
@@ -189,10 +189,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = persist_table(token_pieces(docs, tokenizer_path or default_path(), capacity, end_id), "pieces")
+    pieces = persist_table(token_pieces(docs, tokenizer_path or default_path(), capacity, end_id, cache_pieces), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_part.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))

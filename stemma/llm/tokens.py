@@ -18,6 +18,8 @@ import pyarrow as pa
 from .common import worker_cache
 
 END_ID = 0
+#: Pieces an encoder remembers (about 200 bytes each) before it starts afresh.
+CACHE_PIECES = 1_200_000
 _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -38,7 +40,7 @@ class PieceEncoder:
 
     MARKS = ".,!?;:"
 
-    def __init__(self, path: str, max_pieces: int = 450_000):
+    def __init__(self, path: str, max_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -115,11 +117,12 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """One encoder for each tokenizer file and worker process."""
     cache = worker_cache("tokens")
     if path not in cache:
         cache[path] = PieceEncoder(path)
+    cache[path].max_pieces = max_pieces
     return cache[path]
 
 
