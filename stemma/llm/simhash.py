@@ -184,8 +184,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows without a doc_id can't be named in a decision and stay.
     """
-    fps = near_duplicates(docs, radius)
-    chosen = fps.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    return first_of_each(docs, near_duplicates(docs, radius))
+
+
+def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps under the components of ``named`` (doc_id, component_id)."""
+    chosen = named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
     joined = docs.join(chosen, "doc_id").select(*docs.columns, "_copies")
     once = joined.where("_copies = 1").drop("_copies")
     again = joined.where("_copies > 1").drop("_copies").dropDuplicates(["doc_id"])
