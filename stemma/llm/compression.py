@@ -6,7 +6,9 @@ that trained neither dictionary turns it into a score; the log ratio that the te
 a dictionary is the curve's second input, since endless repetition fits any dictionary equally.
 
 Language: each language has a raw-content dictionary of sampled text; the smallest encoding names
-the language. Texts are lower-cased on both sides. The margin to the runner-up, relative to it, is scored and narrow ones rejected.
+the language. Texts are lower-cased on both sides and encoded in blocks of ``BLOCK_BYTES``, each from
+the bare dictionary, so that what a dictionary saves grows with the text and the margin doesn't fall
+with length; sizes are summed over the blocks. The margin to the runner-up, relative to it, is scored and narrow ones rejected.
 
 Defined cases: null and empty texts have signal 0 (quality) and are ``und`` with score 0
 (language), as are texts without a letter; equal sizes go to the language that sorts first, with
@@ -29,6 +31,8 @@ from .quality_rules import balanced_sample, labelled_ids
 
 #: Texts longer than this aren't sampled for learning (they are scored whole like any other).
 MAX_SAMPLE_CHARS = 16_384
+#: Languages are told on blocks of this many bytes, summed over the whole text.
+BLOCK_BYTES = 4096
 UND = "und"
 
 
@@ -171,7 +175,8 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margin
             if not text or not coders or not any(map(str.isalpha, text)):
                 return UND, 0.0, True
             raw = text.lower().encode()
-            sizes = sorted((len(c.compress(raw)), lang) for lang, c in coders)
+            blocks = [raw[a : a + BLOCK_BYTES] for a in range(0, len(raw), BLOCK_BYTES)]
+            sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in coders)
             margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
             return sizes[0][1], min(1.0, margin / full_margin), margin < min_margin
 
