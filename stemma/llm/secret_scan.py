@@ -39,6 +39,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ACCOUNT = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key_?id|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>|]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.A)
+# Every plain address has this; other links need a strong span, an account or a URL.
+_DOTTED = re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]")
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -60,15 +62,14 @@ def weak_spans(text: str) -> dict[str, list[Span]]:
     return {"account": [m.span() for m in ACCOUNT.finditer(text)], "bare": bare, "endpoint": [m.span() for m in ENDPOINT.finditer(text)]}
 
 
-def _near(part: Span, others: list[Span], starts: list[int], scope_ends: list[int], gap: int) -> bool:
-    """Whether one of ``others`` (sorted, disjoint) lies within ``gap`` of the part, in its scope, beside it."""
+def _near(part: Span, others: list[Span], edges: tuple[list[int], list[int]], scope_ends: list[int], gap: int) -> bool:
+    """Whether the nearest of ``others`` (sorted, disjoint) that ends before or starts after the part lies within ``gap``, in its scope."""
+    starts, ends = edges
     scope = bisect_right(scope_ends, part[0])
-    at = bisect_left(starts, part[0])
-    for k in (at - 2, at - 1, at, at + 1):
+    for k in (bisect_right(ends, part[0]) - 1, bisect_left(starts, part[1])):
         if 0 <= k < len(others):
             a, b = others[k]
-            apart = max(a - part[1], part[0] - b)
-            if 0 <= apart <= gap and bisect_right(scope_ends, a) == scope:
+            if max(a - part[1], part[0] - b) <= gap and bisect_right(scope_ends, a) == scope:
                 return True
     return False
 
@@ -82,10 +83,10 @@ def link_parts(text: str, found: dict[str, list[Span]], weak: dict[str, list[Spa
     taken = lambda s: any(a < s[1] and s[0] < b for a, b in strong_at[max(0, bisect_left(strong_at, (s[0], 0)) - 2) : bisect_left(strong_at, (s[1], 0)) + 1])
     weak = {k: [s for s in v if not taken(s)] for k, v in weak.items()}
     families = {"secret": [found["assign"], found["hex"], weak["bare"]], "identity": [found["access"], weak["account"]], "endpoint": [weak["endpoint"]]}
-    starts = {k: [[a for a, _ in part] for part in v] for k, v in families.items()}
+    edges = {k: [([a for a, _ in part], [b for _, b in part]) for part in v] for k, v in families.items()}
 
     def joined(part: Span, wanted: tuple[str, ...]) -> bool:
-        return any(_near(part, others, at, scope_ends, gap) for k in wanted for others, at in zip(families[k], starts[k]))
+        return any(_near(part, others, at, scope_ends, gap) for k in wanted for others, at in zip(families[k], edges[k]))
 
     wants = {"account": ("secret",), "bare": ("identity", "endpoint"), "endpoint": ("secret",)}
     return {k: [s for s in v if joined(s, wants[k])] for k, v in weak.items()}
@@ -95,7 +96,7 @@ def secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every reported span, in order."""
     text = text or ""
     found = strong_spans(text)
-    if found["assign"] or found["hex"] or found["access"] or "://" in text or "=" in text or ":" in text:
+    if found["assign"] or found["hex"] or found["access"] or "://" in text or "=" in text or ":" in text or _DOTTED.search(text):
         found |= link_parts(text, found, weak_spans(text))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((k, a, b) for k, spans in found.items() for a, b in spans), key=lambda s: (s[1], order[s[0]], s[2]))

@@ -1,0 +1,21 @@
+"""Weak credential parts that need their nearest complement, whatever stands inside or before it."""
+
+from __future__ import annotations
+
+from stemma.llm import secret_scan
+
+TOKENS = ["k3yAbCdEfGhIjKlMnOpQr", "zZ9AbCdEfGhIjKlMnOpQs", "qQ7AbCdEfGhIjKlMnOpQt", "xX5AbCdEfGhIjKlMnOpQu"]
+
+
+def test_plain_address_beside_a_token():
+    text = f"host 10.0.0.5 key {TOKENS[0]} end"
+    assert [(k, text[a:b]) for k, a, b in secret_scan.secrets(text)] == [("endpoint", "10.0.0.5"), ("bare", TOKENS[0])]
+    assert secret_scan.secrets("version 1.2.3 of 10.0.0.5") == [] == secret_scan.secrets(f"only {TOKENS[0]}")
+
+
+def test_tokens_inside_a_url_hide_none_behind_it():
+    url = "https://h.example/a." + ".".join(TOKENS[:3])
+    text = f"{url} {TOKENS[3]}"
+    assert ("endpoint", 0, len(url)) in secret_scan.secrets(text)
+    assert ("bare", len(url) + 1, len(text)) in secret_scan.secrets(text)
+    assert "endpoint" not in [k for k, _, _ in secret_scan.secrets(url)]
