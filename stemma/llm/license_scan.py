@@ -9,7 +9,13 @@ distinct words, reaches ``THRESHOLD``; with a = ceil(threshold * |T|) the join k
 * length: |B| >= a;
 * position: from their first common word on, both sides have a words left at least;
 
-and is then verified by intersection. Word frequencies are document counts over the whole corpus.
+and is then verified by intersection.
+
+A notice may be wrapped over lines: the words of a text with several lines are cut into such blocks
+too, across its line breaks. So long a stretch would put words of unrelated lines together, and so a
+pair from these counts only where a window of the template's own length reaches a.
+
+Word frequencies are document counts over the whole corpus.
 Only the rarest words open a pair, so frequent words never gather candidates.
 
 Defined cases: null text is empty (no words, nulls for places, empty labels, score 0); repeated
@@ -110,23 +116,32 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     ranks = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))])
 
     step = block_words // 2
+    lengths = F.create_map(*[F.lit(x) for t, (_, text) in enumerate(templates) for x in (t, len(text.split()))])
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - step - 1, F.lit(0)), F.lit(step)), lambda s: F.slice(v, s + 1, block_words))
+    lead_only = lambda bs: F.filter(bs, lambda b: F.arrays_overlap(b, lead_words))
+    ranked = lambda b: F.array_sort(F.transform(F.array_intersect(b, _strings(vocabulary)), lambda w: F.element_at(ranks, w)))
     lines = F.transform(F.split("t", "\n"), lambda line: _split(line))
-    cut = F.flatten(F.transform(lines, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - step - 1, F.lit(0)), F.lit(step)), lambda s: F.slice(v, s + 1, block_words))))
-    blocks = F.transform(F.filter(cut, lambda b: F.arrays_overlap(b, lead_words)), lambda b: F.array_sort(F.transform(F.array_intersect(b, _strings(vocabulary)), lambda w: F.element_at(ranks, w))))
+    by_line = F.transform(lead_only(F.flatten(F.transform(lines, cut))), lambda b: F.struct(ranked(b).alias("block"), F.lit(None).cast("array<int>").alias("run")))
+    across = F.transform(lead_only(cut(F.col("w"))), lambda b: F.struct(ranked(b).alias("block"), F.transform(b, lambda w: F.try_element_at(ranks, w)).alias("run")))
+    blocks = F.when(F.contains("t", F.lit("\n")), F.concat(by_line, across)).otherwise(by_line)
     scanned = words.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         *[_places(p).alias(f"p{i}") for i, p in enumerate(PHRASES)],
-        F.when(F.arrays_overlap("w", lead_words), blocks).otherwise(F.array().cast("array<array<int>>")).alias("blocks"),
+        F.when(F.arrays_overlap("w", lead_words), blocks).otherwise(F.array().cast("array<struct<block:array<int>,run:array<int>>>")).alias("blocks"),
     )
     scanned = persist_table(scanned, "licenses")
 
     table = F.broadcast(spark.createDataFrame(index, "r int, template int, j int, ordered array<int>, need int, label string"))  # prefixes of the fixed templates
-    tokens = scanned.where(F.size("blocks") > 0).select("doc_id", F.explode("blocks").alias("block")).distinct().select("doc_id", "block", F.posexplode("block").alias("i", "r"))
+    tokens = scanned.where(F.size("blocks") > 0).select("doc_id", F.explode("blocks").alias("b")).distinct().select("doc_id", "b.block", "b.run", F.posexplode("b.block").alias("i", "r"))
     pairs = tokens.join(table, "r").where((F.size("block") >= F.col("need")) & (F.col("i") <= F.size("block") - F.col("need")))
-    first = pairs.groupBy("doc_id", "block", "template").agg(F.min(F.struct("i", "j")).alias("at"), F.first("ordered").alias("ordered"), F.first("need").alias("need"), F.first("label").alias("label"))
+    first = pairs.groupBy("doc_id", "block", "run", "template").agg(F.min(F.struct("i", "j")).alias("at"), F.first("ordered").alias("ordered"), F.first("need").alias("need"), F.first("label").alias("label"))
     open_ = first.where(F.least(F.size("ordered") - F.col("at.j"), F.size("block") - F.col("at.i")) >= F.col("need"))
-    both = F.size(F.array_intersect("ordered", "block"))
+    length = F.element_at(lengths, F.col("template"))
+    windows = F.sequence(F.lit(1), F.greatest(F.size("run") - length + 1, F.lit(1)))
+    inside = F.array_max(F.transform(windows, lambda i: F.size(F.array_intersect("ordered", F.slice("run", i, length)))))
+    whole = F.size(F.array_intersect("ordered", "block"))
+    both = F.when(F.col("run").isNull() | (whole < F.col("need")), whole).otherwise(inside)
     found = open_.select("doc_id", "label", both.alias("common"), "need", F.size("ordered").alias("of")).where("common >= need")
     found = found.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("of")).alias("best"))
 
