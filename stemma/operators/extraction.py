@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +24,16 @@ def key_of(name: str) -> str:
 
 
 def locate(text: str, surface: str) -> tuple[int, int] | None:
-    """Where a surface stands: as written in either case, else by its letters and digits alone."""
+    """Where a surface stands: as written in either case, else its letters and digits with anything else between."""
     if surface and (m := re.search(re.escape(surface), text, re.I)):
         return m.span()
-    wanted = re.sub("[^0-9a-z]+", "", surface.casefold())
-    if not wanted:
-        return None
-    kept = [(c, i) for i, original in enumerate(text) for c in original.casefold() if c.isascii() and c.isalnum()]
-    at = "".join(c for c, _ in kept).find(wanted)
-    return (kept[at][1], kept[at + len(wanted) - 1][1] + 1) if at >= 0 else None
+    letters = re.sub("[^0-9a-z]+", "", surface.casefold())
+    folded = text.casefold()
+    m = re.search("[^0-9a-z]*".join(letters), folded) if letters else None
+    if m is None or len(folded) == len(text):
+        return m and m.span()
+    reach = list(accumulate(len(c.casefold()) for c in text))  # folded characters up to and with each one
+    return bisect_right(reach, m.start()), bisect_right(reach, m.end() - 1) + 1
 
 
 @dataclass

@@ -22,29 +22,50 @@ def ece(pairs: DataFrame, bins: int = 10) -> DataFrame:
     return t.agg(F.round(F.sum(F.col("n") * F.abs(F.col("claimed") - F.col("observed"))) / F.sum("n"), 4).alias("ece"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
-def pool_adjacent(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
-    """(left boundary, value) steps of the isotonic fit to (x, weight, sum) in x order."""
-    blocks: list[list[float]] = []
+def pool_adjacent(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """The isotonic fit to (x, weight, sum) in x order, as pooled points of the same form, their means rising.
+
+    The fit is the slope of the greatest convex minorant of the running sums, so a vertex stays
+    only while the slope turns up at it.
+    """
+    xs, corners, weight, total = [], [(0.0, 0.0)], 0.0, 0.0
     for x, w, s in points:
-        blocks.append([x, w, s])
-        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
-            _, w2, s2 = blocks.pop()
-            blocks[-1][1] += w2
-            blocks[-1][2] += s2
-    return [(x, s / w) for x, w, s in blocks]
+        weight, total = weight + w, total + s
+        xs.append(x)
+        while len(corners) > 1:
+            (w0, s0), (w1, s1) = corners[-2:]
+            if (s1 - s0) * (weight - w1) < (total - s1) * (w1 - w0):
+                break
+            corners.pop()
+            xs.pop()
+        corners.append((weight, total))
+    return [(x, w1 - w0, s1 - s0) for x, (w0, s0), (w1, s1) in zip(xs, corners, corners[1:])]
+
 
+def isotonic_steps(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
+    """(left boundary, value) of the fit."""
+    return [(x, s / w) for x, w, s in pool_adjacent(points)]
 
-def isotonic_curve(pairs: DataFrame) -> DataFrame:
-    """boundary, value: a step function. Ties are pooled by Spark; the fit sees one row a confidence.
 
-    Confidences are scores of few digits, so the pooled rows are few whatever the input's size.
+def isotonic_curve(pairs: DataFrame, partitions: int = 32) -> DataFrame:
+    """boundary, value: a step function.
+
+    Spark pools ties; each range of confidences is then fitted where it lies, and the last task
+    fits the pooled points of the ranges alone. Points pooled within a range are pooled in the
+    whole fit too, so the result is that of one fit over all.
     """
     tied = pairs.where("confidence IS NOT NULL").groupBy("confidence").agg(F.count("*").cast("double").alias("w"), F.sum(F.col("label").cast("double")).alias("s"))
+    ranges = tied.repartitionByRange(partitions, "confidence").sortWithinPartitions("confidence")
+
+    def pool(batches):
+        held = pd.concat([pd.DataFrame(columns=["confidence", "w", "s"], dtype=float), *batches])
+        yield pd.DataFrame(pool_adjacent(list(held.itertuples(index=False, name=None))), columns=["x", "w", "s"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(pool_adjacent(list(pdf.sort_values("confidence")[["confidence", "w", "s"]].itertuples(index=False, name=None))), columns=["boundary", "value"])
+        return pd.DataFrame(isotonic_steps(list(pdf.sort_values("x")[["x", "w", "s"]].itertuples(index=False, name=None))), columns=["boundary", "value"])
 
-    return tied.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "boundary double, value double")
+    pooled = ranges.mapInPandas(pool, "x double, w double, s double")
+    return pooled.groupBy(F.lit(1)).applyInPandas(fit, "boundary double, value double")
 
 
 def isotonic_predict(rows: DataFrame, curve: DataFrame, x: str = "confidence") -> DataFrame:

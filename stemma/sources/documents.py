@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash, mentions
 
 CHUNK_CHARS, OVERLAP_CHARS = 12_000, 600
+_BLANK = re.compile(" ")
 FULLTEXT_LEAST, FULLTEXT_MOST = 500, 250_000
 
 
@@ -65,18 +68,28 @@ def fan_out(batches: dict[str, DataFrame | Exception]) -> tuple[DataFrame | None
 
 
 def chunk_bounds(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[int, int]]:
-    """Chunks of about ``size`` characters: ends step back, starts step forward, to a space."""
-    n, at, out = len(text), 0, []
-    while True:
-        end = min(at + size, n)
-        if end < n and (space := text.rfind(" ", at + size // 2, end)) > at:
-            end = space
-        out.append((at, end))
-        if end >= n:
-            return out
-        start = end - overlap
-        space = text.find(" ", start, end)
-        at = max(space + 1 if space >= 0 else start, at + 1)
+    """Chunks of about ``size`` characters that share about ``overlap``, cut at blanks where there are any.
+
+    An end is the last blank of the chunk's second half; the next start follows the first blank of
+    the shared stretch.
+    """
+    blanks = [m.start() for m in _BLANK.finditer(text)]
+    bounds = [(0, _chunk_end(blanks, 0, size, len(text)))]
+    while bounds[-1][1] < len(text):
+        last, end = bounds[-1]
+        k = bisect_left(blanks, max(end - overlap, 0))
+        start = blanks[k] + 1 if k < len(blanks) and blanks[k] < end else max(end - overlap, 0)
+        start = max(start, last + 1)
+        bounds.append((start, _chunk_end(blanks, start, size, len(text))))
+    return bounds
+
+
+def _chunk_end(blanks: list[int], start: int, size: int, n: int) -> int:
+    reach = start + size
+    if reach >= n:
+        return n
+    k = bisect_left(blanks, reach)
+    return blanks[k - 1] if k and blanks[k - 1] >= max(start + size // 2, start + 1) else reach
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

@@ -12,7 +12,7 @@ from stemma.plans import session as S
 from stemma.plans.shipping import ship
 
 SCHEMA = {"entities": {"Component": {"tier": ["gold", "iron"], "note": []}, "Person": {}}, "relations": {"uses": ("Component", "Component"), "knows": ("*", "*")}}
-TEXT = "The rate-limiter uses TokenBucket daily."
+TEXT = "The salt-sampler uses RiverSluice daily."
 
 
 def answer(**payload):
@@ -20,8 +20,8 @@ def answer(**payload):
 
 
 def test_locate():
-    assert X.locate(TEXT, "tokenbucket") == (22, 33)
-    assert X.locate(TEXT, "RateLimiter") == (4, 16)
+    assert X.locate(TEXT, "riversluice") == (22, 33)
+    assert X.locate(TEXT, "SaltSampler") == (4, 16)
     assert X.locate(TEXT, "absent") is None and X.locate(TEXT, "??") is None
 
 
@@ -29,25 +29,25 @@ def test_answers(spark):
     ship(spark)
     a = answer(
         entities=[
-            {"name": "RateLimiter", "entity_type": "Component", "confidence": 7, "properties": {"tier": "gold", "x": "y"}, "source_span": {"start": 0, "end": 3}},
-            {"name": "rate-limiter", "entity_type": "Component", "aliases": ["Limiter"]},
+            {"name": "SaltSampler", "entity_type": "Component", "confidence": 7, "properties": {"tier": "gold", "x": "y"}, "source_span": {"start": 0, "end": 3}},
+            {"name": "salt-sampler", "entity_type": "Component", "aliases": ["Sampler"]},
             {"name": "Ghost", "entity_type": "Component"},
-            {"name": "TokenBucket", "entity_type": "Nope"},
+            {"name": "RiverSluice", "entity_type": "Nope"},
         ],
         relations=[
-            {"relation_type": "uses", "source": {"name": "RateLimiter", "entity_type": "Component"}, "target": {"name": "TokenBucket", "entity_type": "Component"}},
-            {"relation_type": "uses", "source": {"name": "RateLimiter", "entity_type": "Component"}, "target": {"name": "Bob", "entity_type": "Person"}},
+            {"relation_type": "uses", "source": {"name": "SaltSampler", "entity_type": "Component"}, "target": {"name": "RiverSluice", "entity_type": "Component"}},
+            {"relation_type": "uses", "source": {"name": "SaltSampler", "entity_type": "Component"}, "target": {"name": "Bob", "entity_type": "Person"}},
             {"relation_type": "zzz"},
         ],
     )
     df = spark.createDataFrame([(1, 100, TEXT, a), (2, 0, TEXT, "nothing"), (3, 0, TEXT, None)], "doc_id long, char_offset int, text string, answer string")
     rows = X.parse_answers(df, SCHEMA).collect()
     first = {r["name"]: r for r in rows if r["doc_id"] == 1 and r["kind"] == "entity"}
-    assert set(first) == {"RateLimiter", "TokenBucket", "Bob"}
-    e = first["RateLimiter"]
-    assert (e["start"], e["end"], e["confidence"], e["properties"], e["aliases"]) == (104, 116, 1.0, {"tier": "gold"}, ["Limiter"])
-    assert first["TokenBucket"]["synthesized"] and first["TokenBucket"]["start"] == 122 and first["Bob"]["start"] is None
-    assert [(r["src"], r["dst"]) for r in rows if r["kind"] == "relation"] == [("RateLimiter", "TokenBucket")]
+    assert set(first) == {"SaltSampler", "RiverSluice", "Bob"}
+    e = first["SaltSampler"]
+    assert (e["start"], e["end"], e["confidence"], e["properties"], e["aliases"]) == (104, 116, 1.0, {"tier": "gold"}, ["Sampler"])
+    assert first["RiverSluice"]["synthesized"] and first["RiverSluice"]["start"] == 122 and first["Bob"]["start"] is None
+    assert [(r["src"], r["dst"]) for r in rows if r["kind"] == "relation"] == [("SaltSampler", "RiverSluice")]
     assert [r["doc_id"] for r in rows if r["doc_id"] > 1] == [2, 3]
 
 
@@ -70,11 +70,11 @@ def loaded(spark, tmp_path_factory):
     from stemma.operators.search import hash_embedding
 
     ship(spark)
-    rows = [("a", "T", "Rate Limiter", "ratelimiter", ["Throttle"], {"k": "v"}, "verified", 0.9), ("b", "T", "Token Bucket", "tokenbucket", [], {}, "verified", None), ("c", "T", "Hidden", "hidden", [], {}, "rejected", 0.1)]
+    rows = [("a", "T", "Salt Sampler", "saltsampler", ["Brine"], {"k": "v"}, "verified", 0.9), ("b", "T", "River Sluice", "riversluice", [], {}, "verified", None), ("c", "T", "Hidden", "hidden", [], {}, "rejected", 0.1)]
     n = spark.createDataFrame(rows, "id string, entity_type string, name string, normalized_name string, aliases array<string>, properties map<string,string>, status string, confidence double").withColumn("embedding", hash_embedding("name")).withColumn("embedding_model", F.lit("hash")).withColumn("created_ts", F.lit(1.0))
     e = spark.createDataFrame([("ab", "uses", "a", "b", "verified", 0.5, None, 1.0)], S.TABLES["edges"])
     c = spark.createDataFrame([("node", "a", 1, 0, 4)], S.TABLES["citations"])
-    d = spark.createDataFrame([(1, "Rate limiter text", "s", 1.0)], S.TABLES["documents"])
+    d = spark.createDataFrame([(1, "Salt sampler text", "s", 1.0)], S.TABLES["documents"])
     path = str(tmp_path_factory.mktemp("graph") / "snap")
     S.Graph(n, e, c, d).save(path)
     return S.Graph.open(spark, path), path
@@ -85,14 +85,14 @@ def test_session(loaded, tmp_path):
 
     g, path = loaded
     s = S.PackSession(g)
-    found, tier = s.semantic_search("limiter")
+    found, tier = s.semantic_search("sampler")
     assert tier == "fts5" and [r["key"] for r in found.collect()] == ["a"]
-    found, tier = S.PackSession(g, hash_vector, "hash").semantic_search("TokenBucket", expand=True)
+    found, tier = S.PackSession(g, hash_vector, "hash").semantic_search("RiverSluice", expand=True)
     assert tier == "fts5+vec-rrf+llm-expansion" and found.orderBy("rank").first()["key"] == "b"
-    assert s.entity_lookup("throttle").first()["id"] == "a"
+    assert s.entity_lookup("brine").first()["id"] == "a"
     assert [r["node_id"] for r in s.find_path("a", "b").orderBy("step").collect()] == ["a", "b"]
     row = s.get_entity("a").first()
-    assert row["relations"][0]["far_name"] == "Token Bucket" and row["mentions"][0]["excerpt"].startswith(">>>Rate<<<")
+    assert row["relations"][0]["far_name"] == "River Sluice" and row["mentions"][0]["excerpt"].startswith(">>>Salt<<<")
     assert s.communities().count() == 1 and g.list_documents().count() == 1
     S.bundle(path, str(tmp_path / "x.zip"))
     assert (tmp_path / "x.zip").stat().st_size > 500

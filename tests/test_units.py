@@ -22,8 +22,8 @@ def values(spark, column, rows, kind="string"):
 
 
 def test_normalize_name(spark):
-    got = values(spark, T.normalize_name, ["Rate Limiter", "rate-limiter", "C", "C++", "IL-6", "Straße 12", None])
-    assert got == ["ratelimiter", "ratelimiter", "c", "c++", "il-6", "strasse12", None]
+    got = values(spark, T.normalize_name, ["Salt Sampler", "salt-sampler", "C", "C++", "IL-6", "Straße 12", None])
+    assert got == ["saltsampler", "saltsampler", "c", "c++", "il-6", "strasse12", None]
 
 
 def test_doi(spark):
@@ -68,10 +68,10 @@ def test_conformal(spark):
 
 
 def test_isotonic():
-    assert quality.pool_adjacent([(0.1, 1, 1), (0.2, 1, 0), (0.8, 1, 1)]) == [(0.1, 0.5), (0.8, 1.0)]
+    assert quality.isotonic_steps([(0.1, 1, 1), (0.2, 1, 0), (0.8, 1, 1)]) == [(0.1, 0.5), (0.8, 1.0)]
     rng = random.Random(3)
     for _ in range(100):
-        fit = quality.pool_adjacent([(i, 1, rng.random()) for i in range(20)])
+        fit = quality.isotonic_steps([(i, 1, rng.random()) for i in range(20)])
         assert all(a[1] < b[1] for a, b in zip(fit, fit[1:]))
 
 
@@ -175,14 +175,14 @@ def test_rrf_and_cosine(spark):
 
 
 def test_hash_vector():
-    v = search.hash_vector("Rate Limiter")
+    v = search.hash_vector("Salt Sampler")
     assert len(v) == 256 and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
-    assert v == search.hash_vector("  rate   limiter ") and not any(search.hash_vector(""))
+    assert v == search.hash_vector("  salt   sampler ") and not any(search.hash_vector(""))
 
 
 def test_expand_query():
-    assert search.expand_query("RateLimiter") == ["Rate Limiter"]
-    assert "tokenbucket" in [x.lower() for x in search.expand_query("Token Bucket")]
+    assert search.expand_query("SaltSampler") == ["Salt Sampler"]
+    assert "riversluice" in [x.lower() for x in search.expand_query("River Sluice")]
 
 
 def test_resolve_chains(spark):
@@ -205,7 +205,7 @@ def test_merge_guards(tiny):
 
 
 def test_candidates(spark):
-    n = spark.createDataFrame([("1", "T", "ratelimiter", "verified"), ("2", "T", "ratelimiters", "verified"), ("3", "T", "zebra", "verified")], "id string, entity_type string, normalized_name string, status string")
+    n = spark.createDataFrame([("1", "T", "saltsampler", "verified"), ("2", "T", "saltsamplers", "verified"), ("3", "T", "zebra", "verified")], "id string, entity_type string, normalized_name string, status string")
     a = spark.createDataFrame([("3", "stripes"), ("1", "stripes")], "node_id string, normalized_alias string")
     got = {(r["a"], r["b"]): r for r in resolve.scan_candidates(n, a).collect()}
     assert set(got) == {("1", "2"), ("1", "3")} and got[("1", "3")]["score"] == pytest.approx(0.95)
