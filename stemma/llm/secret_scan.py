@@ -1,20 +1,22 @@
 """Secret scans with multipart credential linking.
 
 Strong kinds (assign, access, hex) are reported wherever they stand. Weak parts say little alone:
-an account identifier, a bare token of mixed letters and digits, an endpoint. They are joined as
-intervals within a scope - a stretch of text without an empty line - and a weak part is reported
-only when a complementary part lies within ``MAX_GAP`` characters of it in the same scope:
+an account identifier, a bare token of mixed letters and digits, an endpoint. Parts are joined as
+intervals within a scope, a stretch of text without an empty line, and a weak part is reported
+only when a complementary part that doesn't overlap it stands in the same scope:
 
 * an identifier needs a secret (assign, hex or bare token);
 * a bare token needs an identifier (access key or account) or an endpoint;
 * an endpoint needs a secret.
 
 The join never forms pairs: parts of a kind are sorted and disjoint, so the nearest one on either
-side of a part decides.
+side of a part decides. A weak part that overlaps a strong one is that strong one's and drops out.
 
-Defined cases: null text is empty; spans are code points, end exclusive, ordered by start, then by
-kind as in ``KINDS``; equal spans of different kinds are all reported; repeated rows are scanned
-alike; an empty table gives no rows. Extra columns are ignored (``scan``) or kept (``redact``).
+Defined cases: null text is empty; a text of any length is scanned whole, in time that grows with
+its length and the logarithm of its parts; spans are code points, end exclusive, ordered by start,
+then by kind as in ``KINDS``, then by end; equal spans of different kinds are all reported; rows
+that repeat, or whose doc_id is null or repeated, are scanned alike and apart; an empty table gives
+no rows. Extra columns of any name are ignored (``scan``) or kept (``redact``).
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from pyspark.sql import DataFrame
 from .common import _arrow_schema, alone
 
 KINDS = ["assign", "access", "hex", "account", "bare", "endpoint"]
-MAX_GAP = 400
 # The patterns of the strong kinds (with the least length of the part that counts).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -39,8 +40,6 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ACCOUNT = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key_?id|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>|]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.A)
-# Every plain address has this; other links need a strong span, an account or a URL.
-_DOTTED = re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]")
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -56,48 +55,60 @@ def strong_spans(text: str) -> dict[str, list[Span]]:
     }
 
 
-
 def weak_spans(text: str) -> dict[str, list[Span]]:
     bare = [m.span() for m in BARE.finditer(text) if any(c.isalpha() for c in m[0])]
     return {"account": [m.span() for m in ACCOUNT.finditer(text)], "bare": bare, "endpoint": [m.span() for m in ENDPOINT.finditer(text)]}
 
 
-def _near(part: Span, others: list[Span], edges: tuple[list[int], list[int]], scope_ends: list[int], gap: int) -> bool:
-    """Whether the nearest of ``others`` (sorted, disjoint) that ends before or starts after the part lies within ``gap``, in its scope."""
-    starts, ends = edges
-    scope = bisect_right(scope_ends, part[0])
-    for k in (bisect_right(ends, part[0]) - 1, bisect_left(starts, part[1])):
-        if 0 <= k < len(others):
-            a, b = others[k]
-            if max(a - part[1], part[0] - b) <= gap and bisect_right(scope_ends, a) == scope:
-                return True
-    return False
+def merged(spans: list[Span]) -> list[Span]:
+    """Sorted disjoint stretches that the spans cover."""
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Family:
+    """Parts of one kind: sorted and disjoint, so both edges rise."""
+
+    def __init__(self, parts: list[Span]):
+        self.starts, self.ends = [a for a, _ in parts], [b for _, b in parts]
+
+    def overlaps(self, part: Span) -> bool:
+        k = bisect_right(self.ends, part[0])
+        return k < len(self.starts) and self.starts[k] < part[1]
+
+    def meets(self, part: Span, scope: Span) -> bool:
+        """Whether the nearest member before or after the part, clear of it, starts inside the scope."""
+        before, after = bisect_right(self.ends, part[0]) - 1, bisect_left(self.starts, part[1])
+        return any(0 <= k < len(self.starts) and scope[0] <= self.starts[k] < scope[1] for k in (before, after))
 
 
-def link_parts(text: str, found: dict[str, list[Span]], weak: dict[str, list[Span]], gap: int = MAX_GAP) -> dict[str, list[Span]]:
-    """The weak parts with a complement nearby."""
+def link_parts(text: str, found: dict[str, list[Span]], weak: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """The weak parts with a complement in their scope."""
     if not any(weak.values()):
         return {k: [] for k in weak}
-    scope_ends = [m.end() for m in _SCOPE.finditer(text)]
-    strong_at = sorted({*found["assign"], *found["hex"], *found["access"]})
-    taken = lambda s: any(a < s[1] and s[0] < b for a, b in strong_at[max(0, bisect_left(strong_at, (s[0], 0)) - 2) : bisect_left(strong_at, (s[1], 0)) + 1])
-    weak = {k: [s for s in v if not taken(s)] for k, v in weak.items()}
-    families = {"secret": [found["assign"], found["hex"], weak["bare"]], "identity": [found["access"], weak["account"]], "endpoint": [weak["endpoint"]]}
-    edges = {k: [([a for a, _ in part], [b for _, b in part]) for part in v] for k, v in families.items()}
+    edges = [0, *(m.end() for m in _SCOPE.finditer(text)), len(text) + 1]
+    strong = Family(merged([s for spans in found.values() for s in spans]))
+    weak = {k: [s for s in v if not strong.overlaps(s)] for k, v in weak.items()}
+    secret = [Family(v) for v in (found["assign"], found["hex"], weak["bare"])]
+    wanted = {"account": secret, "bare": [Family(found["access"]), Family(weak["account"]), Family(weak["endpoint"])], "endpoint": secret}
 
-    def joined(part: Span, wanted: tuple[str, ...]) -> bool:
-        return any(_near(part, others, at, scope_ends, gap) for k in wanted for others, at in zip(families[k], edges[k]))
+    def joined(kind: str, part: Span) -> bool:
+        k = bisect_right(edges, part[0])
+        return any(family.meets(part, (edges[k - 1], edges[k])) for family in wanted[kind])
 
-    wants = {"account": ("secret",), "bare": ("identity", "endpoint"), "endpoint": ("secret",)}
-    return {k: [s for s in v if joined(s, wants[k])] for k, v in weak.items()}
+    return {k: [s for s in v if joined(k, s)] for k, v in weak.items()}
 
 
 def secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every reported span, in order."""
     text = text or ""
     found = strong_spans(text)
-    if found["assign"] or found["hex"] or found["access"] or "://" in text or "=" in text or ":" in text or _DOTTED.search(text):
-        found |= link_parts(text, found, weak_spans(text))
+    found |= link_parts(text, found, weak_spans(text))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((k, a, b) for k, spans in found.items() for a, b in spans), key=lambda s: (s[1], order[s[0]], s[2]))
 

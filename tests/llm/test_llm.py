@@ -186,7 +186,7 @@ def test_op3_weak_parts_need_company():
     kinds = [k for k, _, _ in secret_scan.secrets("user=bob password=hunter22 https://h.example")]
     assert kinds == ["account", "assign", "endpoint"]
     far = "password=hunter22" + " x" * 400 + " user=bob"
-    assert [k for k, _, _ in secret_scan.secrets(far)] == ["assign"]
+    assert [k for k, _, _ in secret_scan.secrets(far)] == ["assign", "account"]  # the scope decides, not the distance
     assert [k for k, _, _ in secret_scan.secrets("password=hunter22\n\nuser=bob")] == ["assign"]
 
 
