@@ -18,9 +18,15 @@ pair from these counts only where a window of the template's own length reaches
 Word frequencies are document counts over the whole corpus.
 Only the rarest words open a pair, so frequent words never gather candidates.
 
-Defined cases: null text is empty (no words, nulls for places, empty labels, score 0); repeated
-rows give repeated results; rows that share a doc_id but not the text share the method's labels;
-an empty table gives no rows. Extra columns are ignored.
+``TELLING`` names words that a label can't do without: a template that only such a word tells from
+another one counts where the block (or, across line breaks, the window) holds it.
+
+Rows are told apart by a number of their own, written with them, so a doc_id may repeat or be null.
+
+Defined cases: null text is empty (no words, nulls for places, empty labels, score 0); a text of
+any length is scanned whole, in blocks; repeated rows, and rows that share a doc_id or have none,
+each get their own text's result; equal scores need no order, as labels are a sorted set; an empty
+table gives no rows. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -52,6 +58,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD, BLOCK_WORDS = 0.8, 200
+# The words that tell a label's templates from those of its neighbours.
+TELLING = {"cc-by-nc": "nc", "cc-by-sa": "sharealike", "lgpl": "lesser"}
 _APART = "".join(chr(b) for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) and b != 10)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,9 +74,10 @@ def _strings(values: list[str]) -> Column:
 
 
 def normalised(docs: DataFrame) -> DataFrame:
-    """doc_id, t (words parted by blanks, lines kept), w (words)."""
+    """doc_id, row (a number of the row's own), t (words parted by blanks, lines kept), w (words)."""
     t = F.translate(F.coalesce("text", F.lit("")), _APART + _UPPER, " " * len(_APART) + _LOWER)
-    return docs.select("doc_id", t.alias("t")).select("doc_id", "t", _split(F.col("t")).alias("w"))
+    named = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), t.alias("t"))
+    return named.select("doc_id", "row", "t", _split(F.col("t")).alias("w"))
 
 
 def _places(phrase: str) -> Column:
@@ -110,7 +119,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         ordered = sorted(rank[w] for w in s)
         need = math.ceil(threshold * len(ordered) - 1e-9)
         for j, r in enumerate(ordered[: len(ordered) - need + 1]):
-            index.append((r, t, j, ordered, need, label))
+            index.append((r, t, j, ordered, need, label, rank.get(TELLING.get(label, ""))))
             lead.add(r)
     lead_words = _strings([w for w in vocabulary if rank[w] in lead])
     ranks = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))])
@@ -126,30 +135,31 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     blocks = F.when(F.contains("t", F.lit("\n")), F.concat(by_line, across)).otherwise(by_line)
     scanned = words.select(
         "doc_id",
+        "row",
         F.size("w").cast("long").alias("n_words"),
         *[_places(p).alias(f"p{i}") for i, p in enumerate(PHRASES)],
         F.when(F.arrays_overlap("w", lead_words), blocks).otherwise(F.array().cast("array<struct<block:array<int>,run:array<int>>>")).alias("blocks"),
     )
     scanned = persist_table(scanned, "licenses")
 
-    table = F.broadcast(spark.createDataFrame(index, "r int, template int, j int, ordered array<int>, need int, label string"))  # prefixes of the fixed templates
-    tokens = scanned.where(F.size("blocks") > 0).select("doc_id", F.explode("blocks").alias("b")).distinct().select("doc_id", "b.block", "b.run", F.posexplode("b.block").alias("i", "r"))
+    table = F.broadcast(spark.createDataFrame(index, "r int, template int, j int, ordered array<int>, need int, label string, telling int"))  # prefixes of the fixed templates
+    tokens = scanned.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("b")).distinct().select("row", "b.block", "b.run", F.posexplode("b.block").alias("i", "r"))
     pairs = tokens.join(table, "r").where((F.size("block") >= F.col("need")) & (F.col("i") <= F.size("block") - F.col("need")))
-    first = pairs.groupBy("doc_id", "block", "run", "template").agg(F.min(F.struct("i", "j")).alias("at"), F.first("ordered").alias("ordered"), F.first("need").alias("need"), F.first("label").alias("label"))
+    first = pairs.groupBy("row", "block", "run", "template").agg(F.min(F.struct("i", "j")).alias("at"), *[F.first(c).alias(c) for c in ("ordered", "need", "label", "telling")])
     open_ = first.where(F.least(F.size("ordered") - F.col("at.j"), F.size("block") - F.col("at.i")) >= F.col("need"))
     length = F.element_at(lengths, F.col("template"))
     windows = F.sequence(F.lit(1), F.greatest(F.size("run") - length + 1, F.lit(1)))
-    inside = F.array_max(F.transform(windows, lambda i: F.size(F.array_intersect("ordered", F.slice("run", i, length)))))
-    whole = F.size(F.array_intersect("ordered", "block"))
-    both = F.when(F.col("run").isNull() | (whole < F.col("need")), whole).otherwise(inside)
-    found = open_.select("doc_id", "label", both.alias("common"), "need", F.size("ordered").alias("of")).where("common >= need")
-    found = found.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("of")).alias("best"))
+    shared = lambda words: F.when(F.col("telling").isNull() | F.array_contains(words, F.col("telling")), F.size(F.array_intersect("ordered", words))).otherwise(0)
+    inside = F.array_max(F.transform(windows, lambda i: shared(F.slice("run", i, length))))
+    both = F.when(F.col("run").isNull() | (shared(F.col("block")) < F.col("need")), shared(F.col("block"))).otherwise(inside)
+    found = open_.select("row", "label", both.alias("common"), "need", F.size("ordered").alias("of")).where("common >= need")
+    found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("of")).alias("best"))
 
     starts = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
     own = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    based = scanned.select("doc_id", "n_words", starts.alias("starts"), own.alias("own"))
+    based = scanned.select("doc_id", "row", "n_words", starts.alias("starts"), own.alias("own"))
     all_labels = F.array_sort(F.array_distinct(F.concat("own", F.coalesce("more", F.array().cast("array<string>")))))
-    return based.join(found, "doc_id", "left").select(
+    return based.join(found, "row", "left").select(
         "doc_id",
         "n_words",
         F.size("starts").cast("long").alias("n_base"),
@@ -166,8 +176,8 @@ def op10_license_scan(docs: DataFrame) -> DataFrame:
 
 
 def op10_sql() -> str:
-    """DuckDB: every block against every template."""
-    listed = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+    """DuckDB: every block of a line, and every window of a text with several lines, against every template."""
+    listed = ", ".join(f"({i}, '{label}', '{text}', '{TELLING.get(label, '')}')" for i, (label, text) in enumerate(TEMPLATES))
     phrases = " UNION ALL ".join(
         f"SELECT rid, '{label}' AS label, unnest(list_filter(range(0, greatest(len(w) - {len(p.split()) - 1}, 0)), lambda i: {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))})) AS place FROM doc" for p, label in PHRASES.items()
     )
@@ -180,15 +190,19 @@ WITH doc AS (
 ), base AS (
   SELECT rid, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY rid
 ), template AS (
-  SELECT k, label, list_distinct(string_split(body, ' ')) AS words FROM (VALUES {listed}) AS v(k, label, body)
+  SELECT k, label, telling, len(string_split(body, ' ')) AS length, list_distinct(string_split(body, ' ')) AS words FROM (VALUES {listed}) AS v(k, label, body, telling)
 ), line AS (
   SELECT rid, regexp_extract_all(line, '{word}') AS w FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM doc)
 ), block AS (
   SELECT rid, w[s + 1 : s + {BLOCK_WORDS}] AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {step + 1}, 0) + 1, {step})) AS s FROM line)
+), near AS (
+  SELECT rid, w, template.* FROM doc, template WHERE strpos(t, chr(10)) > 0 AND len(list_intersect(words, w)) >= ceil({THRESHOLD} * len(words) - 1e-9)
+), stretch AS (
+  SELECT rid, label, telling, words, w[s + 1 : s + length] AS b FROM (SELECT *, unnest(range(0, greatest(len(w) - length, 0) + 1)) AS s FROM near)
 ), hit AS (
-  SELECT rid, label, len(list_intersect(words, b)) AS common, len(words) AS size FROM block, template WHERE len(b) > 0
+  SELECT rid, label, telling, words, b FROM block, template WHERE len(b) > 0 UNION ALL FROM stretch
 ), found AS (
-  SELECT rid, label, max(common / CAST(size AS DOUBLE)) AS best FROM hit WHERE common >= ceil({THRESHOLD} * size - 1e-9) GROUP BY rid, label
+  SELECT rid, label, max(common / CAST(size AS DOUBLE)) AS best FROM (SELECT rid, label, len(list_intersect(words, b)) AS common, len(words) AS size FROM hit WHERE telling = '' OR list_contains(b, telling)) WHERE common >= ceil({THRESHOLD} * size - 1e-9) GROUP BY rid, label
 ), named AS (
   SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM found UNION ALL SELECT rid, label FROM places) GROUP BY rid
 ), best AS (SELECT rid, max(best) AS best FROM found GROUP BY rid)
