@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,11 +18,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.shipping import ship
 
 
-#: Bounds of an Arrow batch, set on the session by every Python stage: workers share an executor's memory with its heap.
+#: Bounds of an Arrow batch, set by every Python stage on a session that has none of its own: workers share an executor's memory with its heap.
 BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 
 
@@ -30,11 +32,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests, local runs) one is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder of the session; where none is set, a single-machine session gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stemma-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -80,14 +82,32 @@ def rows_to_batch(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def _arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     ship(spark)  # every Python stage asks for its schema first
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    for key, value in (("maxRecordsPerBatch", str(BATCH_ROWS)), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if _is_default(spark, name):  # plans are made when they run, so this can't be taken back; a caller's own value stays
+            spark.conf.set(name, value)
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def _is_default(spark: SparkSession, name: str) -> bool:
+    return not spark._jsparkSession.sessionState().conf().contains(name)
+
+
+def with_columns_schema(docs: DataFrame, names: list[str], added: str) -> StructType:
+    """The fields of ``names`` and then those of ``added`` (DDL)."""
+    return StructType([docs.schema[c] for c in names] + StructType.fromDDL(added).fields)
+
+
+def spread_pieces(text: Column, size: int, count: int) -> Column:
+    """At most ``count`` stretches of ``size`` characters of a text, evenly spread from its start to its end."""
+    n = F.length(text)
+    many = F.least(F.ceil(n / size), F.lit(count)).cast("int")
+    gap = F.when(n <= size * count, F.lit(size)).otherwise(F.floor((n - size) / (count - 1)).cast("int"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(text, 1 + i * gap, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
 #: What one operator keeps in a Python worker from task to task; workers outlive stages.

@@ -1,36 +1,48 @@
 """Zstandard dictionaries as classifiers: quality (good against bad) and language.
 
-Quality: two dictionaries are trained on bounded samples of good and bad labelled text. A text's
+Quality: two dictionaries are built from bounded samples of good and bad labelled text. A text's
 signal is (size with bad - size with good) / (their sum). A logistic curve fitted on sampled rows
-that trained neither dictionary turns it into a score; the log ratio that the text reaches without
-a dictionary is the curve's second input, since endless repetition fits any dictionary equally.
+that gave neither dictionary anything turns it into a score; the log ratio that the text reaches
+without a dictionary is the curve's second input, since endless repetition fits any dictionary
+equally. Where a class has too little text for trained dictionaries its dictionary is the sampled
+text itself (raw content); ``model`` says which kind scored (``trained``, ``raw``, ``plain``).
 
 Language: each language has a raw-content dictionary of sampled text; the smallest encoding names
 the language. Texts are lower-cased on both sides and encoded in blocks of ``BLOCK_BYTES``, each from
 the bare dictionary, so that what a dictionary saves grows with the text and the margin doesn't fall
 with length; sizes are summed over the blocks. The margin to the runner-up, relative to it, is scored and narrow ones rejected.
 
+Samples are bounded in rows (``per_class``, ``per_language``) and, as a text of any length gives
+``PIECES`` stretches spread over the whole of it at most, in bytes. Scoring takes whole texts.
+
 Defined cases: null and empty texts have signal 0 (quality) and are ``und`` with score 0
-(language), as are texts without a letter; equal sizes go to the language that sorts first, with
-margin 0; one learned language leaves no runner-up and margin 1; without labels of both classes
-every score is 0.5, without learned languages every text is ``und``. Repeated rows are scored
-alike; extra columns are ignored.
+(language), as are texts without a letter; texts of any length are compressed whole, quality in
+one frame and language block by block; equal sizes go to the language that sorts first, with
+margin 0; one learned language leaves no runner-up and margin 1. Without labels of both classes
+the plain ratio alone scores (``PLAIN_CURVE``); where the rows kept for the curve lack a class, all
+sampled rows fit it; without learned languages every text is ``und``. Repeated rows, and rows with
+a null or repeated doc_id, are scored alike; a repeated doc_id or text is learned from once; an
+empty table gives no rows and an empty sample. Extra columns are ignored by the queries and kept by
+``predict_language``, whose own columns replace any of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, alone, fold, hashed_sample
+from .common import _arrow_schema, alone, fold, spread_pieces, with_columns_schema
 from .quality_rules import balanced_sample, labelled_ids
 
-#: Texts longer than this aren't sampled for learning (they are scored whole like any other).
-MAX_SAMPLE_CHARS = 16_384
+#: What a sampled text is learned from: at most so many stretches of so many characters, spread over all of it.
+PIECES, PIECE_CHARS, LANGUAGE_PIECE_CHARS = 8, 2048, 512
+#: The curve of a model without labels of both classes: (signal, log ratio, intercept).
+PLAIN_CURVE = (0.0, 1.5, 2.0)
 #: Languages are told on blocks of this many bytes, summed over the whole text.
 BLOCK_BYTES = 4096
 UND = "und"
@@ -49,14 +61,18 @@ def _compressor(dictionary: bytes, raw: bool):
 # Quality ------------------------------------------------------------------------------------
 
 
-def train_dictionary(texts: list[bytes], size: int) -> bytes:
+def build_dictionary(texts: list[bytes], size: int) -> tuple[bytes, str]:
+    """(dictionary, kind): trained on the pieces, or the pieces themselves where they are too few."""
     import zstandard
 
-    pool = [t[a : a + 2048] for t in texts for a in range(0, len(t), 2048)]
     try:
-        return zstandard.train_dictionary(size, pool, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(size, texts, k=256, d=8).as_bytes(), "trained"
     except zstandard.ZstdError:  # too little text for statistics
-        return b""
+        return b"\n".join(texts)[-size:], "raw"
+
+
+def _coder(dictionary: bytes, kind: str):
+    return _compressor(dictionary, raw=kind == "raw") if dictionary else _plain()
 
 
 def signal(text: str | None, good, bad, plain) -> tuple[float, float]:
@@ -97,36 +113,79 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     return np.append(b[:-1] / scale, b[-1])
 
 
-def fit_quality_dictionaries(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = 1500, dictionary_bytes: int = 112_640) -> tuple[bytes, bytes, np.ndarray] | None:
-    """(good, bad, curve); ``per_class`` and MAX_SAMPLE_CHARS bound what reaches the driver."""
+@dataclass
+class QualityModel:
+    """Dictionaries (bytes, kind) of good and bad text, and the curve's slopes and intercept."""
+
+    good: tuple[bytes, str]
+    bad: tuple[bytes, str]
+    curve: tuple[float, ...]
+
+    @property
+    def kind(self) -> str:
+        kinds = {k for d, k in (self.good, self.bad) if d}
+        return "plain" if not (self.good[0] and self.bad[0]) else "raw" if "raw" in kinds else "trained"
+
+    def signals(self, texts: list[str | None]) -> np.ndarray:
+        good, bad, plain = _coder(*self.good), _coder(*self.bad), _plain()
+        return np.array([signal(t, good, bad, plain) for t in texts]).reshape(-1, 2)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.curve[:-1]) + self.curve[-1], -700, 700)))
+
+
+def fit_quality_dictionaries(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = 1500, dictionary_bytes: int = 112_640) -> QualityModel:
+    """Learned from at most ``per_class`` labelled documents a class, chosen by key hash.
+
+    What reaches the driver is ``PIECES`` stretches of each document for the dictionaries and two
+    numbers of each for the curve.
+    """
     chosen, totals = balanced_sample(labelled_ids(labels, label).where(keep), per_class)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, MAX_SAMPLE_CHARS))
-    rows = sample.select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("part")).orderBy("doc_id", "text").collect()
-    made = []
-    for y in (1, 0):
-        made.append(train_dictionary([r["text"].encode() for r in rows if r["y"] == y and r["part"]], dictionary_bytes))
-    if not all(made):
-        return None
-    good, bad, plain = *(_compressor(d, raw=False) for d in made), _plain()
-    held = [r for r in rows if not r["part"]]
-    x, y = np.array([signal(r["text"], good, bad, plain) for r in held]).reshape(-1, 2), np.array([r["y"] for r in held], float)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0).withColumn("part", part)  # at most 2 * per_class ids
+    pieces = sample.where("part > 0").select("doc_id", "y", spread_pieces(F.col("text"), PIECE_CHARS, PIECES).alias("pieces"))
+    rows = sorted(tuple(r) for r in pieces.groupBy("doc_id", "y").agg(F.min("pieces")).collect())
+    good, bad = (build_dictionary([p.encode() for _, k, some in rows if k == y for p in some], dictionary_bytes) for y in (1, 0))
+    model = QualityModel(good, bad, PLAIN_CURVE)
+    if model.kind == "plain":
+        return model
+    found = _signals(sample, model)
+    held = found.where("part = 0").select("doc_id", "y", "x0", "x1").groupBy("doc_id", "y").agg(F.min(F.struct("x0", "x1")).alias("x"))
+    got = sorted((r["doc_id"], r["y"], *r["x"]) for r in held.collect())
+    if len({y for _, y, _, _ in got}) < 2:
+        every = found.groupBy("doc_id", "y").agg(F.min(F.struct("x0", "x1")).alias("x"))
+        got = sorted((r["doc_id"], r["y"], *r["x"]) for r in every.collect())
+    x, y = np.array([r[2:] for r in got], float).reshape(-1, 2), np.array([r[1] for r in got], float)
     weight = np.where(y == 1, totals.get(1, 0) / max((y == 1).sum(), 1), totals.get(0, 0) / max((y == 0).sum(), 1))
-    return made[0], made[1], fit_logistic(x, y, weight * len(y) / max(weight.sum(), 1e-9))
+    return QualityModel(good, bad, tuple(fit_logistic(x, y, weight * len(y) / max(weight.sum(), 1e-9)).tolist()))
 
 
-def score_compression_quality(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | None, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted, signal."""
-    schema = "doc_id long, score double, predicted int, signal double"
+def _signals(sample: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id, y, part, x0, x1 of sampled whole texts."""
+    names = ["doc_id", "y", "part"]
+    schema = with_columns_schema(sample, names, "x0 double, x1 double")
+    out = _arrow_schema(sample.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = model.signals(batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x[:, 0]), pa.array(x[:, 1])], schema=out)
+
+    return sample.select(*names, "text").mapInArrow(alone(run), schema)
+
+
+def score_compression_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score, predicted, signal, model (which kind scored)."""
+    schema = "doc_id long, score double, predicted int, signal double, model string"
     out = _arrow_schema(docs.sparkSession, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dictionary_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model:
-            good, bad, plain = *(_compressor(d, raw=False) for d in model[:2]), _plain()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            x = np.array([signal(t, good, bad, plain) if model else (0.0, 0.0) for t in texts]).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-(x @ model[2][:-1] + model[2][-1]))) if model else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0])], schema=out)
+            x = shared.value.signals(batch.column(1).to_pylist())
+            score = shared.value.scores(x)
+            said = pa.array([shared.value.kind] * len(score), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0]), said], schema=out)
 
     return docs.select("doc_id", "text").mapInArrow(alone(run), schema)
 
@@ -134,58 +193,74 @@ def score_compression_quality(docs: DataFrame, model: tuple[bytes, bytes, np.nda
 def op2_compression_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit_quality_dictionaries(docs, labels, fold(F.col("doc_id"), 5) != 0)
     held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
-    return score_compression_quality(docs, model).select("doc_id", held, "score", "predicted", "signal")
+    return score_compression_quality(docs, model).select("doc_id", held, "score", "predicted", "signal", "model")
 
 
 # Language -----------------------------------------------------------------------------------
 
 
 def fit_languages(docs: DataFrame, keep: Column, per_language: int = 400, dictionary_bytes: int = 262_144) -> dict[str, bytes]:
-    """Raw dictionaries from ``per_language`` sampled texts each (by text hash, equal texts once)."""
-    rows = docs.select("text", "lang").where(keep & F.col("lang").isNotNull() & F.length("text").between(1, MAX_SAMPLE_CHARS))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # Text hashes first: only the chosen rows' texts move.
-    hashes = rows.select("lang", F.xxhash64("text").alias("h")).groupBy("lang", "h").agg(F.count("*").alias("_n")).withColumn("slot", F.pmod("h", F.lit(64)))
-    inner = F.row_number().over(Window.partitionBy("lang", "slot").orderBy("h"))
-    few = hashes.withColumn("r", inner).where(F.col("r") <= per_language).withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "h")
-    picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["lang", "h"]).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
-    texts: dict[str, list[bytes]] = {}
-    for r in picked:
-        texts.setdefault(r["lang"], []).append(r["text"].lower().encode())
-    return {lang: b"\n".join(t)[:dictionary_bytes] for lang, t in sorted(texts.items())}
+    """Raw dictionaries of the ``per_language`` texts with the smallest hashes of each language (equal texts once).
+
+    A bound on the hash, from each language's count of distinct texts, leaves about twice as many
+    rows as are wanted, so neither a language nor a common text is ever gathered whole.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("lang", "text").where(keep & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a language
+    bounds = [(r["lang"], int(min(2 * per_language / max(r["n"], 1), 1) * (2**64 - 1)) - 2**63) for r in sizes]
+    few = rows.join(F.broadcast(spark.createDataFrame(bounds, "lang string, most long")), "lang").where("h <= most")
+    picked = few.select("lang", "h", spread_pieces(F.col("text"), LANGUAGE_PIECE_CHARS, PIECES).alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
+    texts: dict[str, list[list[bytes]]] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
+        if len(mine := texts.setdefault(r["lang"], [])) < per_language:
+            mine.append([p.lower().encode() for p in r["pieces"]])
+    return {lang: interleave(mine, dictionary_bytes) for lang, mine in texts.items()}
+
+
+def interleave(texts: list[list[bytes]], size: int) -> bytes:
+    """The first pieces of all texts, then their second ones and so on, up to ``size`` bytes: every text has its share."""
+    out, room = [], size
+    for k in range(max(map(len, texts), default=0)):
+        for pieces in texts:
+            if k < len(pieces) and len(pieces[k]) < room:
+                out.append(pieces[k])
+                room -= len(pieces[k]) + 1
+    return b"\n".join(out)
+
+
+def language_of(text: str | None, coders: list[tuple[str, object]], min_margin: float, full_margin: float) -> tuple[str, float, bool]:
+    """(language, score, whether it is rejected) by summed block sizes."""
+    if not text or not coders or not any(map(str.isalpha, text)):
+        return UND, 0.0, True
+    raw = text.lower().encode()
+    blocks = [raw[a : a + BLOCK_BYTES] for a in range(0, len(raw), BLOCK_BYTES)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in coders)
+    margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+    return sizes[0][1], min(1.0, margin / full_margin), margin < min_margin
 
 
 def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.01, full_margin: float = 0.2) -> DataFrame:
-    """The columns of ``docs`` with lang_pred, lang_score, lang_rejected.
+    """The columns of ``docs`` with lang_pred, lang_score, lang_rejected (in place of any so named).
 
     The score is the margin as a share of ``full_margin``, 1 at most.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    schema = f"{kept}, lang_pred string, lang_score double, lang_rejected boolean"
+    added = ["lang_pred", "lang_score", "lang_rejected"]
+    names = [c for c in docs.columns if c not in added]
+    schema = with_columns_schema(docs, names, "lang_pred string, lang_score double, lang_rejected boolean")
     out = _arrow_schema(spark, schema)
     shared = spark.sparkContext.broadcast(dictionaries)  # dictionary_bytes for each language
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [(lang, _compressor(d, raw=True)) for lang, d in shared.value.items()]
-
-        def predict(text: str | None) -> tuple[str, float, bool]:
-            if not text or not coders or not any(map(str.isalpha, text)):
-                return UND, 0.0, True
-            raw = text.lower().encode()
-            blocks = [raw[a : a + BLOCK_BYTES] for a in range(0, len(raw), BLOCK_BYTES)]
-            sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in coders)
-            margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
-            return sizes[0][1], min(1.0, margin / full_margin), margin < min_margin
-
         for batch in batches:
-            rows = [predict(t) for t in batch.column(text_at).to_pylist()]
+            rows = [language_of(t, coders, min_margin, full_margin) for t in batch.column(text_at).to_pylist()]
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], schema=out)
 
-    return docs.mapInArrow(alone(run), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(alone(run), schema)
 
 
 def op4_compression_language_id(docs: DataFrame) -> DataFrame:
