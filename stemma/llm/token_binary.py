@@ -5,36 +5,45 @@ Format ("SVB1", one block in each row of the output table's ``block`` column, li
     4s magic, u32 documents, u64 ids | i64 doc_id[documents] | u32 ids of each document[documents]
     | control bytes, 2 bits an id (its byte count less one, first id lowest) | data bytes of the ranks
 
+and one rank table, in the row whose ``part`` is -1:
+
+    4s magic "SVBR", u32 ranks | u32 id of each rank[ranks]
+
 A rank is the place of an id when all ids of the corpus are ordered by falling frequency (ties by
 id), so the commonest 256 ids take one byte. Control and data bytes stand apart: a control byte
-indexes a table of four lengths, and a running sum of these gives every id's place at once.
+indexes a table of four lengths, and a running sum of these gives every id's place at once. The
+files hold all that reading them takes: ``read_token_blocks`` needs their path alone.
 
 Blocks are written in ascending doc_id order (range partitions, sorted inside) by Spark's own
 Parquet writer, whose commit protocol covers lost executors; they are read back from that table.
 
-Defined cases: null text counts as empty (only the end id); an empty table gives no block; rows
-that repeat a doc_id stay apart, in unspecified order among themselves; a null doc_id sorts first
-and is stored as the smallest long with a set flag in ``null_docs``. Extra columns are ignored.
+Defined cases: null text counts as empty (only the end id); a text of any length is one document,
+in a block of its own where it is longer than ``block_ids``; an empty table gives no block; rows
+that repeat a doc_id stay apart, in unspecified order among themselves; null doc_ids sort first and
+are counted in ``null_docs``, their places holding the smallest long. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, drop_table, persist_table, rows_to_batch
+from .common import _arrow_schema, drop_table, persist_table, rows_to_batch, scratch_root
 from .tokens import END_ID, default_path, encoder, slices
 
-MAGIC = b"SVB1"
+MAGIC, RANKS_MAGIC = b"SVB1", b"SVBR"
+#: Ids of one writer task, about: tasks grow in number with the corpus.
+PART_IDS = 1 << 24
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
-_HEAD = struct.Struct("<4sIQ")
+_HEAD, _RANKS_HEAD = struct.Struct("<4sIQ"), struct.Struct("<4sI")
 _SCHEMA = "part int, before long, n_ids long, null_docs int, block binary"
 
 
@@ -82,6 +91,18 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lens, decode_ranks(raw[at : at + quads], raw[at + quads :], ids)
 
 
+def build_ranks(by_rank: np.ndarray) -> bytes:
+    return _RANKS_HEAD.pack(RANKS_MAGIC, len(by_rank)) + by_rank.astype("<u4").tobytes()
+
+
+def read_ranks(block: bytes) -> np.ndarray:
+    """The id of each rank."""
+    magic, n = _RANKS_HEAD.unpack_from(block)
+    if magic != RANKS_MAGIC:
+        raise ValueError("not a rank table")
+    return np.frombuffer(block, "<u4", n, _RANKS_HEAD.size)
+
+
 def _tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of kind 0: a document's ids (16 or 32 bits, deflated); kind 1: id counts of a batch."""
     schema = "kind int, doc_id long, wide boolean, ids binary"
@@ -109,8 +130,8 @@ def _tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _frequency_order(tokenized: DataFrame) -> np.ndarray:
-    """Ids by falling frequency; what reaches the driver is one row an id of the vocabulary."""
+def _frequency_order(tokenized: DataFrame) -> tuple[np.ndarray, int]:
+    """Ids by falling frequency, and how many there are in all; the driver gets one row an id of the vocabulary."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -123,14 +144,14 @@ def _frequency_order(tokenized: DataFrame) -> np.ndarray:
 
     rows = tokenized.where("kind = 1").select("ids").mapInArrow(spread, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
-    return ids[np.lexsort((ids, -n))].astype(np.uint32)
+    return ids[np.lexsort((ids, -n))].astype(np.uint32), int(n.sum())
 
 
-def write_token_blocks(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, block_ids: int = 1 << 20, partitions: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Encode ``docs`` (doc_id, text); returns the table of blocks as read back, and the id of each rank."""
+def write_token_blocks(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, block_ids: int = 1 << 20, partitions: int | None = None) -> str:
+    """Encode ``docs`` (doc_id, text) into a table of blocks in the shared folder; returns its path."""
     spark = docs.sparkSession
     tokenized = persist_table(_tokenize(docs, tokenizer_path or default_path(), end_id), "tokens")
-    by_rank = _frequency_order(tokenized)
+    by_rank, total = _frequency_order(tokenized)
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     table = spark.sparkContext.broadcast(rank_of)  # at most a vocabulary
@@ -159,37 +180,43 @@ def write_token_blocks(docs: DataFrame, tokenizer_path: str | None = None, end_i
         if held:
             yield flush()
 
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_IDS), 1)
     ordered = tokenized.where("kind = 0").select("doc_id", "wide", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    blocks = persist_table(ordered.mapInArrow(run, _SCHEMA), "svb")
+    head = spark.createDataFrame([(-1, 0, 0, 0, build_ranks(by_rank))], _SCHEMA)
+    path = f"{scratch_root(spark)}/svb-{uuid.uuid4().hex}"
+    ordered.mapInArrow(run, _SCHEMA).write.parquet(path)
+    head.coalesce(1).write.mode("append").parquet(path)
     drop_table(tokenized)
-    return blocks, by_rank
+    return path
 
 
-def read_token_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
+def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Decode a block table: doc_id, start (ids before it in the whole output), n_tokens, ids (array)."""
-    return _decode(blocks, by_rank, "doc_id long, start long, n_tokens long, ids array<long>", lambda ids: ids.astype(np.int64).tolist())
+    return _decode(spark, path, "doc_id long, start long, n_tokens long, ids array<long>", lambda ids: ids.astype(np.int64).tolist())
 
 
-def digest_token_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
+def digest_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the blocks."""
-    return _decode(blocks, by_rank, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    return _decode(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
 
 
-def _decode(blocks: DataFrame, by_rank: np.ndarray, schema: str, value) -> DataFrame:
-    spark = blocks.sparkSession
+def _decode(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
+    stored = spark.read.schema(_SCHEMA).parquet(path)
+    by_rank = read_ranks(stored.where("part = -1").select("block").first()["block"])  # at most a vocabulary
+    blocks = stored.where("part >= 0")
     # A block knows the ids before it in its own partition; one total for each partition of the writer does the rest.
     totals = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     starts = dict(zip(sorted(totals), np.cumsum([0, *(totals[p] for p in sorted(totals))]).tolist()))
-    table = spark.sparkContext.broadcast(by_rank)
+    table = spark.sparkContext.broadcast((by_rank, starts))
     out = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_of, before_part = table.value
         for batch in batches:
             for part, before, nulls, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                start = starts[part] + before
+                start = before_part[part] + before
                 keys, lens, ranks = read_block(block)
-                ids = table.value[ranks] if len(ranks) else ranks
+                ids = id_of[ranks] if len(ranks) else ranks
                 ends = np.cumsum(lens, dtype=np.int64)
                 rows = [(None if i < nulls else int(k), int(start + e - n), int(n), value(ids[e - n : e])) for i, (k, n, e) in enumerate(zip(keys, lens, ends))]
                 yield rows_to_batch(rows, out)
@@ -198,5 +225,4 @@ def _decode(blocks: DataFrame, by_rank: np.ndarray, schema: str, value) -> DataF
 
 
 def op5_token_binary(docs: DataFrame, **options) -> DataFrame:
-    blocks, by_rank = write_token_blocks(docs, **options)
-    return digest_token_blocks(blocks, by_rank)
+    return digest_token_blocks(docs.sparkSession, write_token_blocks(docs, **options))
