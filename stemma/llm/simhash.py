@@ -9,14 +9,17 @@ the radius is missed.
 Equal fingerprints are one row before any table is built. Inside a bucket nothing is paired: a
 task joins the bucket's fingerprints into connected sets and sends one edge a member, so what
 leaves a bucket is linear in it. A bucket larger than ``bucket_rows`` never reaches one task: its
-rows are dealt anew by a second covering family on the bits its table left out, and only the
-pieces that are still too large (they hold near copies of one text) are joined in blocks against
-their own pivot. Components then come from minimum labels with pointer jumping, each round
-written to the shared checkpoint folder.
+rows are dealt anew by another covering family, whose masks keep half of the bits again, and so is
+what is still too large. After ``DEALS`` deals a bucket's members agree on all but a few bits, so
+few of them are left; such a bucket is cut into blocks, and each pair of blocks is one task.
+Components then come from minimum labels with pointer jumping, each round written to the shared
+checkpoint folder.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and link like
-any other; fewer than 4 words give one shingle of them all; repeated rows share a component; a
-null doc_id is never the smallest of a component unless it is alone; an empty table gives no rows.
+any other; a text of any length votes with all its shingles; fewer than 4 words give one shingle of
+them all; repeated rows share a component; a null doc_id is never the smallest of a component
+unless it is alone (then the component is null); an empty table gives no rows. Extra columns of any
+name are ignored by the query and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, alone, drop_table, persist_table, rows_to_batch
 
 SHINGLE, RADIUS, BITS, SEED = 4, 4, 64, 42
+BUCKET_ROWS, DEALS = 4096, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LANES = np.uint64(0x0101010101010101)
 
@@ -117,36 +120,81 @@ def link_sets(fps: np.ndarray, radius: int, block: int = 2048) -> np.ndarray:
     return label
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (a, b), a < b as representative and member, that connect all fingerprints within ``radius``."""
-    masks = [_signed(m) for m in covering_masks(radius, list(range(BITS)))]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask")).select("fp", "t", F.expr("fp & mask").alias("key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    sizes = persist_table(sizes, "buckets")
-    pairs = sizes.where("n = 2 AND bit_count(low ^ high) <= %d" % radius).select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowded = sizes.where(F.col("n").between(3, bucket_rows)).select("t", "key")
-    edges = pairs.unionByName(_join_buckets(keyed.join(crowded, ["t", "key"], "left_semi"), ["t", "key"], radius))
-    huge = sizes.where(F.col("n") > bucket_rows).select("t", "key")
-    if not huge.isEmpty():
-        edges = edges.unionByName(_huge_buckets(keyed.join(huge, ["t", "key"], "left_semi"), radius))
-    return edges.distinct()
-
+    edges, deal, rows = None, 0, _deal(distinct.withColumn("bucket", F.lit(0).cast("long")), radius, 1)
+    while True:
+        sizes = persist_table(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"), "buckets")
+        pairs = sizes.where("n = 2 AND bit_count(low ^ high) <= %d" % radius).select(F.col("low").alias("a"), F.col("high").alias("b"))
+        crowded = sizes.where(F.col("n").between(3, bucket_rows)).select("bucket")
+        found = pairs.unionByName(_join_buckets(rows.join(crowded, "bucket", "left_semi"), radius))
+        edges = found if edges is None else edges.unionByName(found)
+        huge = sizes.where(F.col("n") > bucket_rows).select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
+        if huge.isEmpty():
+            return edges.distinct()
+        if deal == DEALS:
+            return edges.unionByName(_join_blocks(rows.join(huge, "bucket"), radius)).distinct()
+        deal += 1
+        rows = persist_table(_deal(rows.join(huge.select("bucket"), "bucket", "left_semi"), radius, deal + 1), "dealt")
+
+
+def _deal(rows: DataFrame, radius: int, seed: int) -> DataFrame:
+    """bucket, fp: each bucket's rows by what every mask of a covering family keeps; no pair within the radius is parted.
+
+    A bucket's name is a hash. Buckets that share one are joined as one, and links are verified.
+    """
+    masks = [_signed(m) for m in covering_masks(radius, list(range(BITS)), seed)]
+    each = rows.select("bucket", "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
+    return each.select(F.xxhash64("bucket", "t", F.expr("fp & mask"), F.lit(seed)).alias("bucket"), "fp")
+
+
+def _parted(group: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Fingerprints of each group (equal neighbours of ``group``) that holds a pair within the radius."""
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(group)))
+    for n in range(2, 17):  # the many small groups of unrelated fingerprints, those of a size at once
+        at = starts[sizes == n]
+        for k in range(0, len(at), 4096):
+            rows = fps[at[k : k + 4096, None] + np.arange(n)]
+            near = np.bitwise_count(rows[:, :, None] ^ rows[:, None, :]) <= radius
+            yield from rows[near.sum((1, 2)) > n]
+    for a, n in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist()):
+        yield fps[a : a + n]
+
+
+def _join_buckets(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges inside the buckets of (bucket, fp), which come sorted; a task holds a batch and one bucket."""
+    schema = "a long, b long"
+    out = _arrow_schema(rows.sparkSession, schema)
+
+    def links(group: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for some in _parted(group, fps.view(np.uint64), radius):
+            some = np.unique(some.view(np.int64))
+            root = some[link_sets(some.view(np.uint64), radius)]
+            a.append(root[root != some])
+            b.append(some[root != some])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=out)
 
-def _join_buckets(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = np.sort(pdf["fp"].to_numpy())
-        root = fps[link_sets(fps.view(np.uint64), radius)]
-        moved = root != fps
-        return pd.DataFrame({"a": root[moved], "b": fps[moved]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            group, fps = np.concatenate([group, batch.column(0).to_numpy()]), np.concatenate([fps, batch.column(1).to_numpy()])
+            whole = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last bucket may go on
+            if whole:
+                yield links(group[:whole], fps[:whole])
+                group, fps = group[whole:], fps[whole:]
+        if len(group):
+            yield links(group, fps)
 
-    return rows.groupBy(*keys).applyInPandas(join, "a long, b long")
+    return rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def _huge_buckets(rows: DataFrame, radius: int) -> DataFrame:
-    """Deal a bucket anew by covering masks of every 64-bit position under other vectors: no pair is lost."""
-    masks = [_signed(m) for m in covering_masks(radius, list(range(BITS)), seed=2)]
-    dealt = rows.select("t", "key", "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t2", "mask")).select("t", "key", "t2", F.expr("fp & mask").alias("key2"), "fp")
-    return _join_buckets(dealt, ["t", "key", "t2", "key2"], radius)
+def _join_blocks(rows: DataFrame, radius: int) -> DataFrame:
+    """Rows (bucket, fp, blocks): each pair of a bucket's blocks, of ``bucket_rows`` members or so, is one bucket."""
+    mine = F.pmod(F.xxhash64("fp", F.lit(7)), "blocks").cast("int")
+    met = rows.select("bucket", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return _join_buckets(met.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp"), radius)
 
 
 def components(edges: DataFrame, node: str = "fp", rounds: int = 60) -> DataFrame:
@@ -164,6 +212,7 @@ def components(edges: DataFrame, node: str = "fp", rounds: int = 60) -> DataFram
         labels = fresh.drop("old")
         labels._stemma_path = fresh._stemma_path
         if done:
+            drop_table(both)
             return labels.withColumnRenamed("u", node)
     raise RuntimeError("components did not settle")
 
