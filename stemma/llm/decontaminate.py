@@ -10,12 +10,17 @@ Streaming is skipped only where it provably can't reach a window: a window needs
 consecutive words that occur in some item, with every neighbouring pair of them a pair of some
 item; such stretches are found on arrays, and the automaton starts afresh at each.
 
-The automaton's size is checked before it is broadcast: items are taken in blocks of at most
-``block_words`` words, each a pass over the documents, and the passes' hit intervals are united.
+Items are taken in blocks of at most ``block_words`` words: one block's automaton at a time is built
+on the driver, turned into flat arrays, broadcast and let go after its pass over the documents, and
+the passes' hit intervals are united. So neither the driver nor a worker ever holds more than one
+block, whatever the items come to.
 
 Defined cases: null texts have no words; items without words are ignored; repeated items each
-count; repeated document rows are kept (rows are told apart by a per-row key); empty tables give
-empty results. Extra columns are ignored.
+count; texts of any length stream through whole; document rows that repeat, or whose doc_id repeats
+or is null, are scanned apart and kept; empty tables give empty results (no items: no hits).
+``longest`` is the longest match inside the stretches that can reach a window, 0 where there is
+none. Extra columns are ignored by the query; ``find_hits`` keeps them, its own columns replacing
+any of the same name, and ``remove_contamination`` keeps all columns of any name.
 """
 
 from __future__ import annotations
@@ -27,10 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import _arrow_schema, alone, rows_to_batch
+from .common import _arrow_schema, alone, drop_table, persist_table, rows_to_batch, with_columns_schema
 
 WINDOW = 10
+#: Words of the items whose automaton is held at a time (about 100 bytes each once flat).
+BLOCK_WORDS = 500_000
 #: Bytes of words, A-Z as a-z; every other ASCII byte parts words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD_BYTE = bytes(0 if b == 32 else 1 for b in _NORMAL)
@@ -81,6 +89,7 @@ class SuffixAutomaton:
             up = self.link[v]
             self.short_link[v] = up if self.short[up] else self.short_link[up]
         self.least = min([min(len(s), window) for s in sequences], default=window)
+        self._flatten()
         n = max(len(self.vocabulary), 1)
         self.pairs = np.unique(np.array([a * n + b for s in sequences for a, b in zip(s, s[1:])], np.int64))
 
@@ -114,6 +123,24 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
+    def _flatten(self) -> None:
+        """Transitions as one sorted array of (state, word) keys and one of targets; the maps are let go."""
+        width = max(len(self.vocabulary), 1)
+        keys = np.fromiter((v * width + w for v, on in enumerate(self.next) for w in on), np.int64)
+        targets = np.fromiter((t for on in self.next for t in on.values()), np.int32)
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], targets[order]
+        self.next = []
+        self.link, self.length, self.window_state, self.short_link = (np.array(x, np.int32) for x in (self.link, self.length, self.window_state, self.short_link))
+        self.short = {v: by for v, by in enumerate(self.short) if by}
+        self.window_items = {v: items for v, items in enumerate(self.window_items) if items}
+
+    def step(self, state: int, word: int) -> int:
+        """The state after ``word``; -1 if there is none."""
+        key = state * max(len(self.vocabulary), 1) + word
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.targets[at]) if at < len(self.keys) and self.keys[at] == key else -1
+
     def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """Maximal runs of item words joined by item pairs that are long enough for a window."""
         known = ids >= 0
@@ -142,27 +169,26 @@ class SuffixAutomaton:
         hits: list[tuple[int, int]] = []
         items: set[int] = set()
         longest = 0
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        window = self.window
         for a, b in self.stretches(ids):
             state = matched = 0
             for i, w in enumerate(ids[a:b].tolist(), a):
-                while state and w not in nxt[state]:
-                    state = link[state]
-                    matched = length[state]
-                if w in nxt[state]:
-                    state = nxt[state][w]
-                    matched += 1
+                while (to := self.step(state, w)) < 0 and state:
+                    state = int(self.link[state])
+                    matched = int(self.length[state])
+                if to >= 0:
+                    state, matched = to, matched + 1
                 longest = max(longest, matched)
                 if matched >= window:
                     hits.append((i - window + 1, i + 1))
-                    items.update(self.window_items[self.window_state[state]])
+                    items.update(self.window_items.get(int(self.window_state[state]), ()))
                 v = state
                 while v:
-                    for n, found in (self.short[v] or {}).items():
+                    for n, found in self.short.get(v, {}).items():
                         if n <= matched:
                             hits.append((i - n + 1, i + 1))
                             items.update(found)
-                    v = self.short_link[v]
+                    v = int(self.short_link[v])
         return unite(hits), items, longest
 
 
@@ -176,37 +202,44 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
-    """The items in blocks whose size is known before they are collected."""
+def _item_blocks(items: DataFrame, window: int, block_words: int) -> tuple[int, Iterator[SuffixAutomaton]]:
+    """How many blocks there are, and their automata one by one; a block's size is known before it is collected."""
     rows = items.select(F.col("item_id"), F.col("text")).where("text IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(size) // (2 * block_words)))  # a word and its gap take two characters at least
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield SuffixAutomaton([(r["item_id"], normal_words(r["text"])) for r in part.orderBy("item_id", "text").collect()], window)
 
+    def build() -> Iterator[SuffixAutomaton]:
+        for k in range(blocks):
+            part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            texts = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
+            yield SuffixAutomaton([(key, normal_words(t)) for key, t in texts], window)
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> DataFrame:
-    """The columns of ``docs`` with n_words, hits (array of word intervals), items (ids as text), longest."""
-    names = docs.columns
-    spark = docs.sparkSession
-    out = None
-    found = "n_words long, hits array<array<int>>, item_ids array<string>, longest int"
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    schema = f"{kept}, {found}"
-    automata = list(_item_blocks(items, window, block_words))
-    for automaton in automata:
-        shared = spark.sparkContext.broadcast(automaton)
-        source = docs if out is None else out
-        out = _scan_pass(source, shared, names.index("text"), len(names), schema, merge=source is not docs)
-        if len(automata) > 1:
-            from .common import persist_table
+    return blocks, build()
 
-            out = persist_table(out, "hits")
-    return out
 
-
-def _scan_pass(source: DataFrame, shared, text_at: int, width: int, schema: str, merge: bool) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The columns of ``docs`` with n_words, hits (array of word intervals), item_ids (as text), longest."""
+    spark = docs.sparkSession
+    added = "n_words long, hits array<array<int>>, item_ids array<string>, longest int"
+    names = [c for c in docs.columns if c not in ("n_words", "hits", "item_ids", "longest")]
+    schema = with_columns_schema(docs, names, added)
+    source = docs.select(*[F.col(f"`{c}`") for c in names])
+    blocks, automata = _item_blocks(items, window, block_words)
+    for k, automaton in enumerate(automata):
+        shared = spark.sparkContext.broadcast(automaton)
+        del automaton
+        out = _scan_pass(source, shared, names.index("text"), len(names), schema, merge=k > 0)
+        if blocks == 1:
+            return out
+        fresh = persist_table(out, "hits")
+        shared.destroy()
+        if k:
+            drop_table(source)
+        source = fresh
+    return source
+
+
+def _scan_pass(source: DataFrame, shared, text_at: int, width: int, schema: StructType, merge: bool) -> DataFrame:
     arrow = _arrow_schema(source.sparkSession, schema)
     added = pa.schema(list(arrow)[width:])
 
@@ -239,41 +272,34 @@ def word_places(text: str) -> np.ndarray:
     return np.stack([point[np.flatnonzero(edge == 1)], point[np.flatnonzero(edge == -1)]], 1)
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Cut hit spans from the texts; documents hit over more than ``max_coverage`` of their words go.
 
     A span is cut from its first word's start to its last word's end. Untouched documents keep
     their rows exactly; in cut ones ``n_chars``, where there is such a column, follows the text.
     """
-    hits = find_hits(docs, items, window, block_words)
-    kept = hits.select(*docs.columns, "n_words", "hits").where("aggregate(hits, 0L, (s, h) -> s + h[1] - h[0]) <= %r * n_words" % float(max_coverage))
     names = docs.columns
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    arrow = _arrow_schema(docs.sparkSession, ddl)
-    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest")  # so no name can clash
+    hits = find_hits(docs.select(rest, "text"), items, window, block_words)
+    kept = hits.where("aggregate(hits, 0L, (s, h) -> s + h[1] - h[0]) <= %r * n_words" % float(max_coverage)).select("rest", "text", "hits")
+    schema = with_columns_schema(kept, ["rest", "text"], "changed boolean")
+    arrow = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            spans = batch.column(len(names) + 1).to_pylist()
-            if any(spans):
-                texts = columns[text_at].to_pylist()
-                chars = columns[chars_at].to_pylist() if chars_at is not None else None
-                for i, cut in enumerate(spans):
-                    if cut:
-                        places, parts, at = word_places(texts[i]), [], 0
-                        for a, b in cut:
-                            parts.append(texts[i][at : places[a][0]])
-                            at = places[b - 1][1]
-                        texts[i] = "".join([*parts, texts[i][at:]])
-                        if chars is not None:
-                            chars[i] = len(texts[i])
-                columns[text_at] = pa.array(texts, arrow.field(text_at).type)
-                if chars is not None:
-                    columns[chars_at] = pa.array(chars, arrow.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return kept.mapInArrow(alone(run), ddl)
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, cut in enumerate(spans):
+                if cut:
+                    places, parts, at = word_places(texts[i]), [], 0
+                    for a, b in cut:
+                        parts.append(texts[i][at : places[a][0]])
+                        at = places[b - 1][1]
+                    texts[i] = "".join([*parts, texts[i][at:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([bool(x) for x in spans])], schema=arrow)
+
+    done = kept.mapInArrow(alone(run), schema)
+    n_chars = lambda was: F.when(F.col("changed"), F.length("text").cast(was.dataType)).otherwise(F.col("rest.n_chars"))
+    return done.select(*[F.col("text") if c == "text" else (n_chars(docs.schema[c]) if c == "n_chars" else F.col(f"rest.`{c}`")).alias(c) for c in names])
 
 
 def op8_benchmark_decontamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
