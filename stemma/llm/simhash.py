@@ -238,11 +238,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``keep_one`` keeps under the components of ``named`` (doc_id, component_id)."""
-    chosen = named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    joined = docs.join(chosen, "doc_id").select(*docs.columns, "_copies")
-    once = joined.where("_copies = 1").drop("_copies")
-    again = joined.where("_copies > 1").drop("_copies").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    chosen = named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    rows = docs.select("doc_id", F.struct("*").alias("row"))  # so no name can clash
+    joined = rows.join(chosen, "doc_id")
+    again = joined.where("copies > 1").dropDuplicates(["doc_id"])
+    return joined.where("copies = 1").unionByName(again).select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op9_simhash_near_dedup(docs: DataFrame, **options) -> DataFrame:
