@@ -14,19 +14,23 @@ documents reaches one:
    the least hashed 16-byte string is its anchor; windows in a row with one anchor form a segment.
    Equal windows have equal anchors, and so lie in segments of the same anchor.
 2. For each batch and anchor one entry goes to the anchor's bucket. Anchors of a single document
-   are done with. Where all segments of an anchor are equal, the smallest doc_id decides for all.
+   are done with. Where all segments of an anchor have one digest, the smallest doc_id decides for all.
 3. Where they differ, each batch sends its distinct segments; a bucket builds suffix arrays over
    them, and equal 50-byte prefixes of neighbouring suffixes form the classes whose smallest
    doc_id is returned. An anchor with more than ``HOT_SEGMENTS`` segments sends single windows
-   keyed by their own hash instead, so no bucket gathers a frequent passage's surroundings.
+   keyed by their own digest instead, so no bucket gathers a frequent passage's surroundings.
 4. Batches mark the bytes of windows that a smaller doc_id holds.
 
 Every message is one for each batch and key, so a passage that a third of all documents share
-weighs no more than one entry a batch. Anchors and segments are told apart by 64-bit hashes.
-
-Defined cases: null text is empty; texts under 50 bytes lose nothing; repeats inside one document
-stay; rows that repeat a doc_id don't remove each other's text; a null doc_id counts as larger
-than all others; an empty table gives no rows. Extra columns are ignored.
+weighs no more than one entry a batch. Segments are told apart by 96-bit digests of two independent
+hashes, hot windows by 128 bits of BLAKE2b; a 64-bit hash alone decides nothing (anchors that share
+one only share a bucket's entry, and stretches are compared byte by byte before they are merged).
+
+Defined cases: null text is empty; texts under 50 bytes lose nothing; a text of any length is one
+document, in a batch of its own where it is longer than ``batch_bytes``; repeats inside one
+document stay; rows that repeat a doc_id don't remove each other's text; a null doc_id counts as
+larger than all others, and rows without one don't remove each other's text; an empty table gives
+no rows. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -174,13 +178,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _slice_anchors(raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of the windows that fit: (first window, last window, anchor place, anchor, segment hash)."""
+    """Segments of the windows that fit: (first window, last window, anchor place, anchor, digest, 32 more bits of it)."""
     n = len(raw) - GRAM + 1
     x = raw.astype(U)
     x = x[:-1] | x[1:] << U(8)
     x = x[:-2] | x[2:] << U(16)
     x = x[:-4] | x[4:] << U(32)
     grams = _mix(_mix(x[:n]) * U(0x2545F4914F6CDD1D) + x[8 : 8 + n])
+    others = _mix(_mix(x[8 : 8 + n] ^ U(0xA24BAED4963EE407)) * U(0x9FB21C651E98DF25) + x[:n])
     bits = U(max(n, 1).bit_length())
     least = (grams >> bits << bits) | np.arange(n, dtype=U)
     span = 1
@@ -193,12 +198,15 @@ def _slice_anchors(raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(start) != 1)])) if len(start) else np.zeros(0, np.int64)
     first, last = start[new], start[np.append(new[1:], len(start))[: len(new)] - 1]
     place = place[new]
-    power = np.full(n, U(_STEP))
-    sums = np.concatenate([[U(0)], np.cumsum(grams * np.cumprod(power))])
+    power = np.cumprod(np.full(n, U(_STEP)))
     back = np.cumprod(np.concatenate([[U(1)], np.full(max(n - 1, 0), U(_BACK))]))
-    inside = (sums[last + SPAN] - sums[first]) * back[first]
-    segment = _mix(inside + (place - first).astype(U) * U(0xD6E8FEB86659FD93) + (last - first).astype(U))
-    return first, last, place, grams[place], segment
+    shape = (place - first).astype(U) * U(0xD6E8FEB86659FD93) + (last - first).astype(U)
+
+    def digest(hashes: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[U(0)], np.cumsum(hashes * power)])
+        return _mix((sums[last + SPAN] - sums[first]) * back[first] + shape)
+
+    return first, last, place, grams[place], digest(grams), (digest(others) >> U(32)).astype(np.uint32)
 
 
 def anchors(raw: np.ndarray, lens: np.ndarray, step: int = 1 << 19) -> tuple[np.ndarray, ...]:
@@ -213,10 +221,10 @@ def anchors(raw: np.ndarray, lens: np.ndarray, step: int = 1 << 19) -> tuple[np.
         if b < n and len(found[0]) and found[1][-1] == step - 1:  # a segment may go on: take it up again whole
             nxt = a + int(found[0][-1])
             found = tuple(f[:-1] for f in found)
-        parts.append((found[0] + a, found[1] + a, found[2] + a, found[3], found[4]))
+        parts.append((found[0] + a, found[1] + a, found[2] + a, *found[3:]))
         a = nxt
     empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (empty, empty, empty, empty.astype(U), empty.astype(U))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (empty, empty, empty, empty.astype(U), empty.astype(U), empty.astype(np.uint32))
 
 
 # Messages ---------------------------------------------------------------------------------
@@ -251,13 +259,22 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Where a sorted row differs from the one before it."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
 class Batch:
     """Some documents: ids, lengths and bytes, with their segments."""
 
     def __init__(self, blob: bytes):
         self.ids, self.lens, self.raw = _unpack(blob)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.first, self.last, self.place, self.anchor, self.segment = anchors(self.raw, self.lens)
+        self.first, self.last, self.place, self.anchor, self.segment, self.more = anchors(self.raw, self.lens)
         self.doc = np.searchsorted(self.starts, self.first, "right") - 1
         self.doc_id = self.ids[self.doc]
 
@@ -302,15 +319,15 @@ def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
 def _send_anchors(blob: bytes, buckets: int) -> Iterator[tuple[int, bytes]]:
     """One entry for each anchor of the batch: its segment, smallest doc_id, distinct segments, whether two documents."""
     b = Batch(blob)
-    order = np.lexsort((b.segment, b.anchor))
-    anchor, segment, ids = b.anchor[order], b.segment[order], b.doc_id[order]
+    order = np.lexsort((b.more, b.segment, b.anchor))
+    anchor, segment, more, ids = b.anchor[order], b.segment[order], b.more[order], b.doc_id[order]
     at = _runs(anchor)
     if not len(at):
         return
-    fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
+    fresh = _fresh(anchor, segment, more)
     kinds = np.minimum(np.add.reduceat(fresh.astype(np.int64), at), 65535).astype(np.uint16)
     low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-    entry = (anchor[at], segment[at], low, kinds, (low != high).astype(np.uint8))
+    entry = (anchor[at], segment[at], more[at], low, kinds, (low != high).astype(np.uint8))
     where = entry[0] % U(buckets)
     order = np.lexsort((entry[0], where))
     where = where[order]
@@ -319,21 +336,23 @@ def _send_anchors(blob: bytes, buckets: int) -> Iterator[tuple[int, bytes]]:
         yield int(where[a]), _pack(*(c[order[a:e]] for c in entry))
 
 
-def _settle_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+def _settle_anchors(pdf: pd.DataFrame, hot: int = HOT_SEGMENTS) -> pd.DataFrame:
     """Of one bucket: tell each batch which of its anchors repeat across documents."""
     batches = pdf["batch"].to_numpy()
     parts = [_unpack(x) for x in pdf["payload"]]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    anchor, segment, low, kinds, many = (np.concatenate(c) for c in zip(*parts))
+    anchor, segment, more, low, kinds, many = (np.concatenate(c) for c in zip(*parts))
     order = np.argsort(anchor, kind="stable")
-    anchor, segment, low, kinds, many, owner = (c[order] for c in (anchor, segment, low, kinds, many, owner))
+    anchor, segment, more, low, kinds, many, owner = (c[order] for c in (anchor, segment, more, low, kinds, many, owner))
     at = _runs(anchor)
     count = np.diff(np.append(at, len(anchor)))
     least, most = np.minimum.reduceat(low, at), np.maximum.reduceat(low, at)
     shared = (least != most) | (np.maximum.reduceat(many, at) > 0)
     total = np.add.reduceat(kinds.astype(np.int64), at)
-    differ = (np.minimum.reduceat(segment, at) != np.maximum.reduceat(segment, at)) | (np.maximum.reduceat(kinds, at) > 1)
-    mode = np.where(differ, np.where(total > HOT_SEGMENTS, _HOT, _NONE), _ONE).astype(np.uint8)
+    differ = np.maximum.reduceat(kinds, at) > 1
+    for part in (segment, more):
+        differ |= np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)
+    mode = np.where(differ, np.where(total > hot, _HOT, _NONE), _ONE).astype(np.uint8)
     spread = lambda x: np.repeat(x, count)
     tell = spread(shared) & (spread(differ) | (low > spread(least)) | (many > 0))
     owner, anchor, least, mode = owner[tell], anchor[tell], spread(least)[tell], spread(mode)[tell]
@@ -343,18 +362,18 @@ def _settle_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["batch", "payload"])
 
 
-def _open_segments(b: Batch, mode: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What is still to be compared: (key, segment, first byte, end byte, doc_id); hot anchors by single windows."""
+def _open_segments(b: Batch, mode: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is still to be compared: (key, digest, more of it, first byte, end byte, doc_id); hot anchors by single windows."""
     some = np.flatnonzero(mode == _NONE)
     hot = np.flatnonzero(mode == _HOT)
     counts = b.last[hot] - b.first[hot] + 1
     first = np.repeat(b.first[hot] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    key = np.zeros(0, U)
-    if len(first):
-        key = np.fromiter((int.from_bytes(hashlib.blake2b(b.raw[a : a + LENGTH].tobytes(), digest_size=8).digest(), "little") for a in first.tolist()), U, len(first))
+    digests = b"".join(hashlib.blake2b(b.raw[a : a + LENGTH].tobytes(), digest_size=16).digest() for a in first.tolist())
+    windows = np.frombuffer(digests, "<u8").reshape(-1, 2)
     return (
-        np.concatenate([b.anchor[some], key]),
-        np.concatenate([b.segment[some], key]),
+        np.concatenate([b.anchor[some], windows[:, 0]]),
+        np.concatenate([b.segment[some], windows[:, 1]]),
+        np.concatenate([b.more[some], np.zeros(len(first), np.uint32)]),
         np.concatenate([b.first[some], first]),
         np.concatenate([b.last[some], first]) + LENGTH,
         np.concatenate([b.doc_id[some], np.repeat(b.doc_id[hot], counts)]),
@@ -362,18 +381,18 @@ def _open_segments(b: Batch, mode: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _send_segments(b: Batch, mode: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    key, segment, first, end, ids = _open_segments(b, mode)
+    key, segment, more, first, end, ids = _open_segments(b, mode)
     if not len(key):
         return
     where = key % U(buckets)
-    order = np.lexsort((ids, segment, key, where))  # the first of equal segments has the smallest doc_id
-    key, segment, first, end, ids, where = (c[order] for c in (key, segment, first, end, ids, where))
-    one = np.concatenate([[True], (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])])
-    key, segment, first, end, ids, where = (c[one] for c in (key, segment, first, end, ids, where))
+    order = np.lexsort((ids, more, segment, key, where))  # the first of equal segments has the smallest doc_id
+    key, segment, more, first, end, ids, where = (c[order] for c in (key, segment, more, first, end, ids, where))
+    one = _fresh(key, segment, more)
+    key, segment, more, first, end, ids, where = (c[one] for c in (key, segment, more, first, end, ids, where))
     edges = np.append(_runs(where), len(where))
     for a, e in zip(edges[:-1], edges[1:]):
         text = np.frombuffer(b"".join(b.raw[x:y].tobytes() for x, y in zip(first[a:e].tolist(), end[a:e].tolist())), np.uint8)
-        yield int(where[a]), _pack(key[a:e], segment[a:e], ids[a:e], (end - first)[a:e].astype("<i4"), text)
+        yield int(where[a]), _pack(key[a:e], segment[a:e], more[a:e], ids[a:e], (end - first)[a:e].astype("<i4"), text)
 
 
 def _candidates(text: bytes, first: np.ndarray, windows: np.ndarray, keys: np.ndarray, block_bytes: int) -> Iterator[tuple[list[bytes], tuple[np.ndarray, np.ndarray]]]:
@@ -403,7 +422,10 @@ def _candidates(text: bytes, first: np.ndarray, windows: np.ndarray, keys: np.nd
     whole = span(start[opens], start[closes] + LENGTH)
     key = np.repeat(keys, windows)[opens]
     order = np.lexsort((whole, count, key))
-    fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (count[order][1:] != count[order][:-1]) | (whole[order][1:] != whole[order][:-1])])
+    fresh = _fresh(key[order], count[order], whole[order])
+    begin, end = start[opens[order]], start[closes[order]] + LENGTH
+    for k in np.flatnonzero(~fresh).tolist():  # an equal hash proposes, the bytes decide
+        fresh[k] = text[begin[k] : end[k]] != text[begin[k - 1] : end[k - 1]]
     lead, kind = order[fresh], np.cumsum(fresh) - 1  # distinct stretches, by key; the stretch of each in order
     sizes, a = np.cumsum(count[lead] + LENGTH - 1), 0
     edges = np.append(np.flatnonzero(fresh), len(order))
@@ -425,12 +447,12 @@ def _settle_segments(pdf: pd.DataFrame, block_bytes: int = 1 << 18) -> pd.DataFr
     batches = pdf["batch"].to_numpy()
     parts = [_unpack(x) for x in pdf["payload"]]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    key, segment, ids, size = (np.concatenate(c) for c in list(zip(*parts))[:4])
+    key, segment, more, ids, size = (np.concatenate(c) for c in list(zip(*parts))[:5])
     size = size.astype(np.int64)
-    text = b"".join(p[4].tobytes() for p in parts)
+    text = b"".join(p[5].tobytes() for p in parts)
     first = np.cumsum(size) - size
-    order = np.lexsort((ids, segment, key))
-    fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (segment[order][1:] != segment[order][:-1])])
+    order = np.lexsort((ids, more, segment, key))
+    fresh = _fresh(key[order], segment[order], more[order])
     kind = np.zeros(len(key), np.int64)
     kind[order] = np.cumsum(fresh) - 1
     lead = order[fresh]  # of each distinct segment, the entry with the smallest doc_id
@@ -449,7 +471,7 @@ def _settle_segments(pdf: pd.DataFrame, block_bytes: int = 1 << 18) -> pd.DataFr
         mine = order[a:e]
         k = kind[mine]
         take = np.repeat(places[k] - (np.cumsum(windows[k]) - windows[k]), windows[k]) + np.arange(int(windows[k].sum()))
-        rows.append((int(batches[owner[mine[0]]]), _pack(key[mine], segment[mine], windows[k], least[take])))
+        rows.append((int(batches[owner[mine[0]]]), _pack(key[mine], segment[mine], more[mine], windows[k], least[take])))
     return pd.DataFrame(rows, columns=["batch", "payload"])
 
 
@@ -460,11 +482,11 @@ def _finish(b: Batch, mode: np.ndarray, least: np.ndarray, payloads: list[bytes]
     np.add.at(covered, b.first[whole], 1)
     np.add.at(covered, b.last[whole] + LENGTH, -1)
     if payloads:
-        key, segment, first, _, ids = _open_segments(b, mode)
-        keys, segments, windows, low = (np.concatenate(c) for c in zip(*map(_unpack, payloads)))
+        key, segment, more, first, _, ids = _open_segments(b, mode)
+        keys, segments, mores, windows, low = (np.concatenate(c) for c in zip(*map(_unpack, payloads)))
         places = np.cumsum(windows) - windows
-        known = {(k, s): i for i, (k, s) in enumerate(zip(keys.tolist(), segments.tolist()))}
-        at = np.fromiter((known[x] for x in zip(key.tolist(), segment.tolist())), np.int64, len(key))
+        known = {x: i for i, x in enumerate(zip(keys.tolist(), segments.tolist(), mores.tolist()))}
+        at = np.fromiter((known[x] for x in zip(key.tolist(), segment.tolist(), more.tolist())), np.int64, len(key))
         n = windows[at]
         inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         gone = low[np.repeat(places[at], n) + inner] < np.repeat(ids, n)
@@ -483,7 +505,7 @@ def _digests(b: Batch, gone: np.ndarray) -> Iterator[tuple]:
         yield (None if key == NULL_ID else key, n, removed, spans, kept.tobytes())
 
 
-def remove_repeats(docs: DataFrame, batch_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, batch_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -502,7 +524,7 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = 2 << 20, bucket_bytes: in
                 yield rows_to_batch([(bucket, key, payload) for bucket, payload in _send_anchors(blob, buckets)], sent)
 
     asked = texts.select("batch", "blob").mapInArrow(ask, message)
-    anchored = persist_table(asked.groupBy("bucket").applyInPandas(lambda pdf: _settle_anchors(pdf), "batch long, payload binary"), "anchors")
+    anchored = persist_table(asked.groupBy("bucket").applyInPandas(lambda pdf: _settle_anchors(pdf, hot_segments), "batch long, payload binary"), "anchors")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
