@@ -18,8 +18,11 @@ Pieces then find their place by (length, rank among the pieces of that length):
 counts for each writer partition, so no length, however common, is ever gathered in one task.
 The plan has at most a few entries for each length and is the only thing broadcast.
 
-Defined cases: null text is empty (one piece holding the end id); an empty table gives no rows;
-repeated rows are separate documents; a null doc_id is carried through.
+Defined cases: null text is empty (one piece holding the end id); a text of any length is encoded
+whole and cut into as many pieces as it takes; an empty table gives no rows; rows that repeat, or
+that share a doc_id, are separate documents; a null doc_id is carried through; pieces of equal
+length are interchangeable and take their places in the writers' order. Extra columns of any name
+are ignored.
 """
 
 from __future__ import annotations

@@ -6,10 +6,12 @@ documents of a batch down all trees at once by array indexing. ``MONOTONE`` feat
 lower a score: a split that would break the order is refused, and a split's midpoint bounds both
 sides below it, so the constraint holds for whole trees and so for their sum.
 
-Defined cases: null and empty texts have all statistics zero and fail the base rule; when the
-labels don't hold both classes no trees are grown and the base rule alone decides; rows of
-``labels`` with null or other values are left out; repeated rows are scored alike; an empty table
-gives no rows. Extra columns are ignored.
+Defined cases: null and empty texts have all statistics zero and fail the base rule; texts of any
+length are counted whole; when the labels don't hold both classes no trees are grown and the base
+rule alone decides; rows of ``labels`` with null or other values are left out; equal gains go to
+the first feature and the lowest cut; rows that repeat, or whose doc_id repeats or is null, are
+scored alike and a repeated doc_id is learned from once; an empty table gives no rows. Extra
+columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -183,9 +185,10 @@ def fit_quality_trees(docs: DataFrame, labels: DataFrame, label: str = "quality"
     """``per_class`` bounds the labelled rows of each class that are fitted on (the documented sample)."""
     chosen, totals = balanced_sample(labelled_ids(labels, label), per_class)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
-    rows = _features_of(sample, ["doc_id", "y"]).orderBy("doc_id").toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    y = rows.column("y").to_numpy().astype(float)
+    found = _features_of(sample, ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    rows = sorted((r["doc_id"], r["y"], r["x"]) for r in found.collect())
+    x = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES))
+    y = np.array([r[1] for r in rows], float)
     weight = np.where(y == 1, totals.get(1, 0) / max((y == 1).sum(), 1), totals.get(0, 0) / max((y == 0).sum(), 1))
     weight = weight * len(y) / max(weight.sum(), 1e-9)
     return fit_trees(x, y, weight, monotone={FEATURES.index(k): v for k, v in MONOTONE.items()})
