@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..plans.checkpoints import cut
 from .graph import between, connected_components, degree
 
 ROUNDS, TOP = 20, 5
@@ -32,14 +33,22 @@ def propagate(nodes: list[str], pairs: list[tuple[str, str]], rounds: int = ROUN
     return label
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """id, label. Components can't touch each other, so each runs alone; edges are undirected, loops dropped."""
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, most_edges: int = 5_000_000) -> DataFrame:
+    """id, label. Components can't touch each other, so each runs alone; edges are undirected, loops dropped.
+
+    Labels spread in id order, one after the other, so a component is one task. One of more than
+    ``most_edges`` edges is refused with its size rather than given to a task that can't hold it.
+    """
     from ..plans.shipping import ship
 
     ship(nodes.sparkSession)
-    inside = between(edges, nodes).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    parts = connected_components(nodes, inside.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    rows = parts.select("component", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(inside.join(parts.withColumnRenamed("id", "a"), "a").select("component", "a", "b"))
+    inside = cut(between(edges, nodes).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    parts = cut(connected_components(nodes, inside.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    placed = cut(inside.join(parts.withColumnRenamed("id", "a"), "a").select("component", "a", "b"))
+    largest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest > most_edges:
+        raise ValueError(f"a component of {largest} edges is more than one task takes ({most_edges}); thin the edge set")
+    rows = parts.select("component", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(placed)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = pdf["b"].isna()
@@ -49,11 +58,19 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS)
     return rows.groupBy("component").applyInPandas(run, "id string, label string")
 
 
-def communities(labels: DataFrame) -> DataFrame:
-    """id, label, community_id: numbered by falling size, then smallest member."""
+def communities(labels: DataFrame, partitions: int = 64) -> DataFrame:
+    """id, label, community_id: numbered by falling size, then smallest member.
+
+    Numbers come from ranges of the order: each range counts its own, and a small table of range
+    sizes gives the numbers before it.
+    """
     sized = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    number = sized.withColumn("n", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
-    return labels.join(number.select("label", F.concat(F.lit("community-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("community_id")), "label")
+    dealt = cut(sized.repartitionByRange(partitions, F.desc("size"), "first").withColumn("part", F.spark_partition_id()))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "first")) - 1
+    before = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row a range
+    number = dealt.withColumn("n", inner).join(F.broadcast(before), "part").select("label", (F.col("n") + F.col("before")).cast("string").alias("n"))
+    name = F.concat(F.lit("community-"), F.when(F.length("n") < 3, F.lpad("n", 3, "0")).otherwise(F.col("n")))
+    return labels.join(number.select("label", name.alias("community_id")), "label")
 
 
 def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:

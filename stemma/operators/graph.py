@@ -57,13 +57,12 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], max_hops: in
 
     Edges that an expanded node touches are returned even where the far node fell to the limit.
     """
-    spark = nodes.sparkSession
-    seen_nodes = visible(nodes, include_proposed)
-    ways = adjacency(current(visible(edges, include_proposed)), direction, relation_types)
-    first = seen_nodes.where(F.col("id").isin(starts)).select("id", F.lit(0).alias("hop"))
+    seen = cut(visible(nodes, include_proposed))
+    ways = cut(adjacency(current(visible(edges, include_proposed)), direction, relation_types))  # made once, read every hop
+    first = seen.where(F.col("id").isin(starts)).select("id", F.lit(0).alias("hop"))
     reached, frontier, touched = cut(first), first, None
     for hop in range(1, max_hops + 1):
-        step = ways.join(frontier.select(F.col("id").alias("at")), "at").join(seen_nodes.select(F.col("id").alias("far")), "far", "left_semi")
+        step = cut(ways.join(frontier.select(F.col("id").alias("at")), "at", "left_semi").join(seen.select(F.col("id").alias("far")), "far", "left_semi").select("far", "edge_id"))
         touched = step.select("edge_id") if touched is None else touched.unionByName(step.select("edge_id"))
         fresh = step.select(F.col("far").alias("id")).distinct().join(reached, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
         if limit is not None:  # the feature: a bounded answer
@@ -76,7 +75,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], max_hops: in
         if frontier.isEmpty():
             break
     found = edges.join(touched.distinct().withColumnRenamed("edge_id", "id"), "id", "left_semi") if touched is not None else edges.limit(0)
-    return seen_nodes.join(reached, "id"), found
+    return seen.join(reached, "id"), found
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops: int = 6, relation_types: list[str] | None = None, include_proposed: bool = False) -> DataFrame:

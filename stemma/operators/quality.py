@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,7 +66,7 @@ def isotonic_curve(pairs: DataFrame, partitions: int = 32) -> DataFrame:
         return pd.DataFrame(isotonic_steps(list(pdf.sort_values("x")[["x", "w", "s"]].itertuples(index=False, name=None))), columns=["boundary", "value"])
 
     pooled = ranges.mapInPandas(pool, "x double, w double, s double")
-    return pooled.groupBy(F.lit(1)).applyInPandas(fit, "boundary double, value double")
+    return pooled.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "boundary double, value double")
 
 
 def isotonic_predict(rows: DataFrame, curve: DataFrame, x: str = "confidence") -> DataFrame:
@@ -84,35 +85,80 @@ def conformal_rank(n: int, alpha: float) -> int | None:
     return k if n and k <= n else None
 
 
-def conformal_threshold(scores: DataFrame, alpha: float, by: list[str] | None = None) -> DataFrame:
+def conformal_threshold(scores: DataFrame, alpha: float, by: list[str] | None = None, bins: int = 1024) -> DataFrame:
     """n and the conformal quantile of ``score`` (null where it is out of reach), for each group of ``by``.
 
-    Counts a score come first, so the running rank goes over distinct scores.
+    Counts in ``bins`` ranges of the unit interval find the range that holds the rank (scores outside it
+    fall to the outer ranges), and only that range's distinct scores are ranked.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     by = by or []
-    tied = scores.where("score IS NOT NULL").groupBy(*by, "score").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tied.withColumn("upto", F.sum("c").over(w))
-    total = tied.groupBy(*by).agg(F.sum("c").alias("n"))
+    known = scores.where("score IS NOT NULL").select(*by, "score", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("score") * bins))).cast("int").alias("bin"))
+    counts = known.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    groups = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("bars"))  # at most ``bins`` a group
     k = F.ceil((F.col("n") + 1) * F.lit(1 - alpha))
-    joined = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))  # one row
-    return joined.groupBy(*by, "n").agg(F.min(F.when(F.col("upto") >= k, F.col("score"))).alias("threshold"))
+    steps = F.aggregate("bars", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("before")), lambda s, x: F.when((s["bin"] < 0) & (s["upto"] + x["c"] >= F.col("k")), F.struct((s["upto"] + x["c"]).alias("upto"), x["bin"].alias("bin"), s["upto"].alias("before"))).otherwise(F.struct((s["upto"] + x["c"]).alias("upto"), s["bin"].alias("bin"), s["before"].alias("before"))))
+    if not by:  # without any score there is still one answer
+        groups = groups.select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("bars", F.array().cast("array<struct<bin:int,c:bigint>>")).alias("bars"))
+    wanted = groups.withColumn("k", k).withColumn("at", steps).select(*by, "n", (F.col("k") - F.col("at.before")).alias("left"), F.col("at.bin").alias("bin"))
+    tied = known.join(F.broadcast(wanted.select(*by, "bin")), [*by, "bin"], "left_semi").groupBy(*by, "score").agg(F.count("*").alias("c"))  # a row a group
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = tied.withColumn("upto", upto)
+    joined = wanted.join(ranked, by, "left") if by else wanted.crossJoin(ranked.groupBy().agg(F.collect_list(F.struct("score", "upto")).alias("r"))).select("n", "left", F.explode_outer("r").alias("r")).select("n", "left", "r.*")
+    return joined.groupBy(*by, "n").agg(F.min(F.when(F.col("upto") >= F.col("left"), F.col("score"))).alias("threshold"))
 
 
-def conformal_triage(nodes: DataFrame, reviews: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """For each kind's current stream (engine of its latest review): counts, threshold, needed sample.
+STREAM = ["engine", "model", "prompt_version"]
 
-    An item's score is its latest review in that stream; its outcome is its status.
+
+def calibration_scores(nodes: DataFrame, edges: DataFrame | None, reviews: DataFrame) -> DataFrame:
+    """kind, engine, model, prompt_version, score, status of reviewed items that people decided.
+
+    Each kind's stream is that of its latest review: engine, model (null is a model of its own) and
+    prompt. An item's score is its latest in that stream.
     """
-    stream = reviews.groupBy("kind").agg(F.max_by("engine", F.struct("created_ts", "seq")).alias("engine"))
-    w = Window.partitionBy("kind", "item_id").orderBy(F.desc("created_ts"), F.desc("seq"))
-    latest = reviews.join(F.broadcast(stream), ["kind", "engine"]).withColumn("r", F.row_number().over(w)).where("r = 1")  # a row a kind
-    scored = latest.join(nodes.select(F.col("id").alias("item_id"), "status"), "item_id")
-    counts = scored.groupBy("kind", "engine").agg(F.count_if(F.col("status") == "rejected").alias("n_rejected"), F.count_if(F.col("status") == "verified").alias("n_verified"))
-    cut = conformal_threshold(scored.where("status = 'rejected'").select("kind", "score"), alpha, ["kind"]).select("kind", "threshold")
-    return counts.join(cut, "kind", "left").withColumn("needed", F.lit(math.ceil((1 - alpha) / alpha)).cast("long"))
+    latest = reviews.groupBy("kind").agg(F.max_by(F.struct(*STREAM), F.struct("created_ts", "seq")).alias("s")).select(F.col("kind").alias("_kind"), *[F.col(f"s.{c}").alias(f"_{c}") for c in STREAM])
+    same = F.col("kind") == F.col("_kind")
+    for c in STREAM:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    mine = reviews.join(F.broadcast(latest), same).groupBy("kind", "item_id", *STREAM).agg(F.max_by("score", F.struct("created_ts", "seq")).alias("score"))  # a row a kind
+    decided = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("item_id"), "status")
+    if edges is not None:
+        decided = decided.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("id").alias("item_id"), "status"))
+    return mine.join(decided.where(F.col("status").isin("verified", "rejected")), ["kind", "item_id"])
+
+
+def conformal_triage(nodes: DataFrame, reviews: DataFrame, alpha: float = 0.05, edges: DataFrame | None = None) -> DataFrame:
+    """For each kind's current stream: counts, threshold, needed sample."""
+    scored = calibration_scores(nodes, edges, reviews)
+    counts = scored.groupBy("kind", *STREAM).agg(F.count_if(F.col("status") == "rejected").alias("n_rejected"), F.count_if(F.col("status") == "verified").alias("n_verified"))
+    line = conformal_threshold(scored.where("status = 'rejected'").select("kind", "score"), alpha, ["kind"]).select("kind", "threshold")
+    return counts.join(line, "kind", "left").withColumn("needed", F.lit(math.ceil((1 - alpha) / alpha)).cast("long"))
+
+
+def triage(nodes: DataFrame, edges: DataFrame, reviews: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row for the store, nodes and edges pooled: available, alpha, threshold, n_rejected, n_verified, needed."""
+    scored = calibration_scores(nodes, edges, reviews)
+    counts = scored.agg(F.count_if(F.col("status") == "rejected").alias("n_rejected"), F.count_if(F.col("status") == "verified").alias("n_verified"))
+    line = conformal_threshold(scored.where("status = 'rejected'"), alpha).select("threshold")
+    return counts.crossJoin(F.broadcast(line)).select(F.col("threshold").isNotNull().alias("available"), F.lit(alpha).alias("alpha"), "threshold", "n_rejected", "n_verified", F.lit(math.ceil((1 - alpha) / alpha)).cast("long").alias("needed"))  # one row
+
+
+LEAST_OUTCOMES = 20
+
+
+def review_outcomes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(confidence, label) of decided items with a confidence; nodes and edges pool."""
+    both = nodes.select("status", "confidence").unionByName(edges.select("status", "confidence"))
+    return both.where(F.col("status").isin("verified", "rejected") & F.col("confidence").isNotNull()).select("confidence", (F.col("status") == "verified").cast("int").alias("label"))
+
+
+def calibration_report(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row: n, min_required, available, ece; the isotonic curve, empty where outcomes are too few)."""
+    pairs = review_outcomes(nodes, edges)
+    report = ece(pairs).select("n", F.lit(LEAST_OUTCOMES).cast("long").alias("min_required"), (F.col("n") >= LEAST_OUTCOMES).alias("available"), "ece")
+    return report, isotonic_curve(pairs).join(F.broadcast(report.where("available").select("available")), how="left_semi")
 
 
 def precision_recall(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,18 +177,30 @@ def missing(gold: DataFrame, found: DataFrame, keys: list[str], limit: int = 20)
 
 
 def bootstrap_f1(tp: int, fp: int, fn: int, draws: int = 2000, seed: int = 7) -> tuple[float, float]:
-    """Percentile interval (95 %) of F1 over resampled outcomes."""
-    outcomes = ["tp"] * tp + ["fp"] * fp + ["fn"] * fn
-    if not outcomes:
+    """Percentile interval (95 %) of F1 over resampled outcomes, to four places.
+
+    The draws are those of ``random.Random(seed).randrange(total)`` one after the other: numpy's
+    generator takes over its state, and values of ``total`` or more are drawn again.
+    """
+    total = tp + fp + fn
+    if not total:
         return 1.0, 1.0
-    rng = random.Random(seed)
-    scores = []
-    for _ in range(draws):
-        drawn = rng.choices(outcomes, k=len(outcomes))
-        t = drawn.count("tp")
-        scores.append(2 * t / (2 * t + len(drawn) - t))
-    scores.sort()
-    return scores[int(0.025 * draws)], scores[min(draws - 1, int(0.975 * draws))]
+    state = random.Random(seed).getstate()[1]
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    shift = np.uint64(32 - total.bit_length())
+    hits, misses = np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+    done, wanted = 0, draws * total
+    while done < wanted:
+        drawn = source.random_raw(min(wanted - done + 1024, 1 << 22)) >> shift
+        drawn = drawn[drawn < total][: wanted - done]
+        sample = (done + np.arange(len(drawn))) // total
+        hits += np.bincount(sample[drawn < tp], minlength=draws)
+        misses += np.bincount(sample[drawn >= tp], minlength=draws)
+        done += len(drawn)
+    f1 = np.sort(2 * hits / (2 * hits + misses))
+    low, high = int((1 - 0.95) / 2 * draws), min(draws - 1, int((1 - (1 - 0.95) / 2) * draws) - 1)
+    return round(float(f1[low]), 4), round(float(f1[high]), 4)
 
 
 def bootstrap_interval(counts: DataFrame) -> DataFrame:
@@ -178,6 +236,3 @@ def zero_filled(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
     every = spark.createDataFrame([(v,) for v in values], f"{column} string")
     return every.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").fillna({"n": 0})
 
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

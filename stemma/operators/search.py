@@ -4,21 +4,48 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..plans.checkpoints import cut
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 DIMENSIONS = 256
 
 
+def _accented() -> tuple[str, str]:
+    """Letters with marks, and the letters they fold to, by canonical decomposition of the Latin, Greek and Cyrillic blocks."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for lo, hi in ((0xC0, 0x600), (0x1E00, 0x2000)) for c in range(lo, hi) if chr(c).isalpha()]
+    kept = [(c, base) for c, base in pairs if base != c]
+    return "".join(c for c, _ in kept), "".join(base for _, base in kept)
+
+
+_MARKED, _BARE = _accented()
+
+
+def fold(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.lower(F.translate(text, _MARKED, _BARE))
+
+
 def tokens(text: Column) -> Column:
-    """Letters and digits, lower case; everything else parts tokens."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Letters and digits, folded; everything else parts tokens."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def query_phrases(query: str) -> list[list[str]]:
+    """What a query asks for: its words, each a phrase of the tokens it holds (``a_b`` is "a b")."""
+    folded = query.translate(str.maketrans(_MARKED, _BARE)).lower()
+    words = [re.findall(r"[^\W_]+", w) for w in re.findall(r"\w+", folded)]
+    return [list(p) for p in sorted({tuple(w) for w in words if w})]
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,25 +54,65 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """key, score over all rows of ``docs``: r / (1 + r) of the BM25 sum r. Only query terms leave the scan."""
-    terms = sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 256) -> None:
+    """The search index: postings dealt by term (a query reads its terms' folders only), and row lengths with their totals."""
+    rows = postings(docs, key, text).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("shard").sortWithinPartitions("term").write.mode("error").partitionBy("shard").parquet(f"{path}/postings")
+    lengths = docs.select(F.size(tokens(F.coalesce(text, F.lit("")))).alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).write.mode("error").parquet(f"{path}/stats")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str, buckets: int = 256) -> DataFrame:
+    """``bm25`` from a written index: only the terms' postings are read. Phrases need the rows' texts and are refused."""
+    phrases = query_phrases(query)
+    if any(len(p) > 1 for p in phrases):
+        raise ValueError("an index of terms answers no phrases")
+    terms = spark.createDataFrame([(p[0],) for p in phrases], "term string")
+    shards = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+    words = [p[0] for p in phrases]
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(shards) & F.col("term").isin(words))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    stats = spark.read.parquet(f"{path}/stats")
+    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row a term; one row
+    scored = rows.groupBy("key").agg(F.sum(_weight(F.col("tf"), F.col("n"), F.col("df"), F.col("dl"), F.col("avg_dl"))).alias("r"))
+    return scored.select("key", (F.col("r") / (1 + F.col("r"))).alias("score"))
+
+
+def _weight(tf: Column, n: Column, df: Column, dl: Column, avg_dl: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
+    return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))).otherwise(0.0)
+
+
+def _occurrences(array: str, phrase: list[str]) -> Column:
+    if len(phrase) == 1:
+        return F.size(F.filter(array, lambda x: x == phrase[0]))
+    starts = F.sequence(F.lit(0), F.size(array) - len(phrase))
+
+    def here(i: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.get(array, i + k) == w for k, w in enumerate(phrase)])
+
+    return F.when(F.size(array) >= len(phrase), F.size(F.filter(starts, here))).otherwise(0)
+
+
+def bm25(docs: DataFrame, key: str, text: str | list[str], query: str) -> DataFrame:
+    """key, score over all rows of ``docs``: r / (1 + r) of the BM25 sum r.
+
+    A text is cut into tokens once; what is kept of a row is its length and the query's counts.
+    Several columns count as one text, but no phrase runs from one into the next.
+    """
+    phrases = query_phrases(query)
     spark = docs.sparkSession
-    if not terms:
+    if not phrases:
         return spark.createDataFrame([], "key string, score double")
-    t = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
-    one = lambda w: F.size(F.filter("t", lambda x: x == w))
-    f = t.select("key", F.size("t").alias("dl"), *[one(w).alias(f"f{i}") for i, w in enumerate(terms)])
-    stats = f.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    scored = f.where(" OR ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
-
-    def part(i: int) -> Column:
-        tf, n, df = F.col(f"f{i}"), F.col("n"), F.col(f"n{i}")
-        idf = F.log((n - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))).otherwise(0.0)
-
-    raw = sum((part(i) for i in range(len(terms))), F.lit(0.0))
+    columns = [text] if isinstance(text, str) else text
+    t = docs.select(F.col(key).alias("key"), *[tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
+    every = range(len(columns))
+    counts = [reduce(lambda a, b: a + b, [_occurrences(f"t{i}", p) for i in every]).alias(f"f{k}") for k, p in enumerate(phrases)]
+    f = cut(t.select("key", reduce(lambda a, b: a + b, [F.size(f"t{i}") for i in every]).alias("dl"), *counts))
+    stats = f.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(phrases))])
+    scored = f.where(" OR ".join(f"f{k} > 0" for k in range(len(phrases)))).crossJoin(F.broadcast(stats))  # one row
+    raw = reduce(lambda a, b: a + b, [_weight(F.col(f"f{k}"), F.col("n"), F.col(f"n{k}"), F.col("dl"), F.col("avg_dl")) for k in range(len(phrases))])
     return scored.select("key", F.greatest(raw, F.lit(0.0)).alias("r")).select("key", (F.col("r") / (1 + F.col("r"))).alias("score"))
 
 
@@ -173,8 +240,50 @@ def hash_embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def node_text(nodes: DataFrame) -> Column:
-    """What a node's embedding is made from: name, aliases, properties."""
-    return F.concat_ws(" | ", "name", F.array_join("aliases", ", "), F.array_join(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", "))
+    """What a node's embedding is made from: name, aliases, properties, each parted by a bar."""
+    said = F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return F.array_join(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce(said, F.array().cast("array<string>"))), " | ")
+
+
+def embed_missing(nodes: DataFrame, embed, model: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes whose visible rows all carry ``model``'s embedding; one row: embedded, skipped).
+
+    ``embed`` is a column function of text (such as ``hash_embedding``). Only rows without an
+    embedding of this model are embedded, rejected ones never.
+    """
+    live = F.col("status").isin("proposed", "verified")
+    stale = live & (F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model)))
+    stats = nodes.agg(F.count_if(stale).alias("embedded"), F.count_if(~stale & F.col("embedding_model").eqNullSafe(F.lit(model))).alias("skipped"))
+    fresh = nodes.where(stale).withColumn("embedding", embed(node_text(nodes))).withColumn("embedding_model", F.lit(model))
+    return nodes.where(~stale | stale.isNull()).unionByName(fresh), stats
+
+
+def pack_vector(vector: Column) -> Column:
+    """Little-endian 32-bit floats."""
+    return _packed(vector)
+
+
+def unpack_vector(blob: Column) -> Column:
+    return _unpacked(blob)
+
+
+@F.pandas_udf("binary")
+def _packed(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in vectors:
+        yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _unpacked(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in blobs:
+        yield s.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4").tolist())
+
+
+def citing_documents(items: DataFrame, citations: DataFrame, kind: str = "node") -> DataFrame:
+    """``items`` with ``source_documents``: the sorted distinct documents that cite each, else its own."""
+    cited = citations.where(F.col("kind") == kind).groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_set("doc_id")).alias("cited"))
+    own = F.array("source_doc")
+    return items.join(cited, "id", "left").withColumn("source_documents", F.when(F.size(F.coalesce("cited", F.array().cast(f"array<{dict(citations.dtypes)['doc_id']}>"))) > 0, F.col("cited")).otherwise(own)).drop("cited")
 
 
 def expand_query(query: str, limit: int = 8, width: int = 50) -> list[str]:

@@ -229,18 +229,33 @@ def _(s, d):
     return quality.conformal_threshold(scored, 0.1)
 
 
+_STREAM_SQL = (
+    ", stream AS (SELECT kind, unnest(arg_max({'engine': engine, 'model': model, 'prompt_version': prompt_version}, (created_ts, seq))) FROM reviews GROUP BY kind),"
+    " latest AS (SELECT r.kind, item_id, r.engine, r.model, r.prompt_version, arg_max(score, (created_ts, seq)) AS score FROM reviews r JOIN stream s ON r.kind = s.kind AND r.engine = s.engine AND r.model IS NOT DISTINCT FROM s.model AND r.prompt_version = s.prompt_version GROUP BY ALL),"
+    " sc AS (SELECT latest.*, status FROM latest JOIN kg_nodes ON id = item_id WHERE status IN ('verified', 'rejected')),"
+    " rej AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY score) AS r, count(*) OVER (PARTITION BY kind) AS n FROM sc WHERE status = 'rejected' AND score IS NOT NULL)"
+)
+
+
 @query(
     "conformal_triage",
     _LATEST
-    + ", stream AS (SELECT kind, arg_max(engine, (created_ts, seq)) AS engine FROM reviews GROUP BY kind),"
-    " latest AS (SELECT kind, item_id, engine, arg_max(score, (created_ts, seq)) AS score FROM reviews JOIN stream USING (kind, engine) GROUP BY ALL),"
-    " sc AS (SELECT latest.*, status FROM latest JOIN kg_nodes ON id = item_id),"
-    " rej AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY score) AS r, count(*) OVER (PARTITION BY kind) AS n FROM sc WHERE status = 'rejected')"
-    " SELECT kind, engine, count(*) FILTER (status = 'rejected') AS n_rejected, count(*) FILTER (status = 'verified') AS n_verified, any_value(t.threshold) AS threshold, CAST(19 AS BIGINT) AS needed"
-    " FROM sc LEFT JOIN (SELECT kind, min(score) FILTER (r = CAST(ceil((n + 1) * (1 - 0.05::DOUBLE)) AS BIGINT)) AS threshold FROM rej GROUP BY kind) t USING (kind) GROUP BY kind, engine",
+    + _STREAM_SQL
+    + " SELECT kind, engine, model, prompt_version, count(*) FILTER (status = 'rejected') AS n_rejected, count(*) FILTER (status = 'verified') AS n_verified, any_value(t.threshold) AS threshold, CAST(19 AS BIGINT) AS needed"
+    " FROM sc LEFT JOIN (SELECT kind, min(score) FILTER (r = CAST(ceil((n + 1) * (1 - 0.05::DOUBLE)) AS BIGINT)) AS threshold FROM rej GROUP BY kind) t USING (kind) GROUP BY kind, engine, model, prompt_version",
 )
 def _(s, d):
-    return quality.conformal_triage(tb.nodes(s, d), tb.reviews(s, d)).select("kind", "engine", "n_rejected", "n_verified", "threshold", "needed")
+    return quality.conformal_triage(tb.nodes(s, d), tb.reviews(s, d)).select("kind", "engine", "model", "prompt_version", "n_rejected", "n_verified", "threshold", "needed")
+
+
+@query("conformal_triage_store", _LATEST + _STREAM_SQL + ", line AS (SELECT min(score) FILTER (r = CAST(ceil((n + 1) * (1 - 0.3::DOUBLE)) AS BIGINT)) AS threshold FROM rej) SELECT threshold IS NOT NULL AS available, 0.3::DOUBLE AS alpha, threshold, (SELECT count(*) FROM sc WHERE status = 'rejected') AS n_rejected, (SELECT count(*) FROM sc WHERE status = 'verified') AS n_verified, CAST(3 AS BIGINT) AS needed FROM line")
+def _(s, d):
+    return quality.triage(*_ne(s, d), tb.reviews(s, d), 0.3)
+
+
+@query("calibration_report", GRAPH_SQL + ", pairs AS (SELECT confidence, CASE status WHEN 'verified' THEN 1 ELSE 0 END AS label FROM (SELECT status, confidence FROM kg_nodes UNION ALL SELECT status, confidence FROM kg_edges) WHERE status IN ('verified', 'rejected') AND confidence IS NOT NULL), b AS (SELECT least(floor(confidence * 10), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg(CAST(label AS DOUBLE)) AS o FROM pairs GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, CAST(20 AS BIGINT) AS min_required, sum(n) >= 20 AS available, round(sum(n * abs(c - o)) / sum(n), 4) AS ece FROM b")
+def _(s, d):
+    return quality.calibration_report(*_ne(s, d))[0]
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -319,7 +334,7 @@ def _(s, d):
 def _bm25_sql(source: str, terms: list[str], where: str = "") -> str:
     quoted = ", ".join(f"'{t}'" for t in terms)
     return (
-        f"WITH d AS ({source}), tok AS (SELECT key, kind, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM d),"
+        f"WITH d AS ({source}), tok AS (SELECT key, kind, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM d),"
         " n AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM tok),"
         f" tf AS (SELECT key, kind, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM tok, (SELECT unnest([{quoted}]) AS term)),"
         " df AS (SELECT term, count(*) FILTER (f > 0) AS df FROM tf GROUP BY term),"
@@ -343,7 +358,7 @@ def _(s, d):
     return search.top_k(scored, 10).select("key", _r("score").alias("score"))
 
 
-@query("term_postings", "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY term")
+@query("term_postings", "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY term")
 def _(s, d):
     p = search.postings(tb.table(s, d, "documents"), "doc_id", "text")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -398,7 +413,7 @@ def _(s, d):
 
 @query("hash_embedding")
 def _(s, d):
-    return tb.table(s, d, "part").select("p_partkey", search.hash_embedding(F.col("p_name")).alias("embedding"))
+    return tb.nodes(s, d).select("id", search.hash_embedding(F.col("name")).alias("embedding"))
 
 
 # Graph ------------------------------------------------------------------------------------
@@ -427,12 +442,12 @@ def _(s, d):
     return found.select("id", "hop")
 
 
-@query("shortest_path", _WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs AS (SELECT 'S1' AS id, 0 AS hop UNION SELECT far, hop + 1 FROM bfs JOIN ways ON here = id WHERE hop < 4) SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE id = 'R0' HAVING min(hop) IS NOT NULL")
+@query("shortest_path", _WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs AS (SELECT 'S1' AS id, 0 AS hop UNION SELECT far, hop + 1 FROM bfs JOIN ways ON here = id WHERE hop < 6) SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE id = 'R0' HAVING min(hop) IS NOT NULL")
 def _(s, d):
     return graph.shortest_path(*_ne(s, d), "S1", "R0").groupBy().agg(F.max("step").alias("hops")).where("hops IS NOT NULL")
 
 
-_LOCAL = "(SELECT src, dst FROM ve WHERE relation_type IN ('located_in', 'part_of'))"
+_LOCAL = "(SELECT src, dst FROM ve)"
 
 
 @query(
@@ -443,12 +458,12 @@ _LOCAL = "(SELECT src, dst FROM ve WHERE relation_type IN ('located_in', 'part_o
 )
 def _(s, d):
     n, e = _ne(s, d)
-    return graph.connected_components(graph.visible(n), graph.verified_subgraph(n, e).where("relation_type IN ('located_in', 'part_of')"))
+    return graph.connected_components(graph.visible(n), graph.verified_subgraph(n, e))
 
 
 def _labels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, e = _ne(s, d)
-    near = graph.verified_subgraph(n, e).where("relation_type IN ('located_in', 'part_of')")
+    near = graph.verified_subgraph(n, e)
     return graph.visible(n), near, community.communities(community.label_propagation(graph.visible(n), near))
 
 
@@ -507,10 +522,11 @@ def _(s, d):
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
-    return tb.nodes(s, d).where("entity_type = 'Part'").select(F.col("k").alias("seq"), "entity_type", "name", "normalized_name", "confidence")
+    seq = F.col("k") * 5 + F.array_position(F.array(*[F.lit(t) for t in ("Region", "Nation", "Supplier", "Part", "Customer")]), F.col("entity_type")) - 1
+    return tb.nodes(s, d).select(seq.cast("long").alias("seq"), "entity_type", "name", "normalized_name", "confidence")
 
 
-_PARTS = with_sql(NODES_SQL) + ", m AS (SELECT k AS seq, * FROM kg_nodes WHERE entity_type = 'Part')"
+_PARTS = with_sql(NODES_SQL) + ", m AS (SELECT k * 5 + list_position(['Region', 'Nation', 'Supplier', 'Part', 'Customer'], entity_type) - 1 AS seq, * FROM kg_nodes)"
 
 
 @query("resolve_entities", _PARTS + " SELECT entity_type, normalized_name, arg_min(name, seq) AS name, min(seq) AS minted_by, count(*) AS citations, max(confidence) AS confidence FROM m WHERE normalized_name <> '' GROUP BY entity_type, normalized_name")
@@ -524,7 +540,7 @@ def _(s, d):
     return resolve.resolve_sequentially(m)
 
 
-@query("bind_mentions", _PARTS + ", vis AS (SELECT * FROM kg_nodes WHERE status <> 'rejected' AND entity_type = 'Part'), ex AS (SELECT normalized_name AS key, min(id) AS exact_id FROM vis GROUP BY 1), al AS (SELECT substr(normalized_name, 5) AS key, min(id) AS alias_id FROM vis GROUP BY 1) SELECT seq, coalesce(exact_id, alias_id) AS node_id FROM m LEFT JOIN ex ON ex.key = normalized_name LEFT JOIN al ON al.key = normalized_name")
+@query("bind_mentions", _PARTS + ", vis AS (SELECT * FROM kg_nodes WHERE status <> 'rejected'), ex AS (SELECT entity_type AS t, normalized_name AS key, min(id) AS exact_id FROM vis GROUP BY ALL), al AS (SELECT entity_type AS t, substr(normalized_name, 5) AS key, min(id) AS alias_id FROM vis WHERE entity_type = 'Part' GROUP BY ALL) SELECT seq, coalesce(exact_id, alias_id) AS node_id FROM m LEFT JOIN ex ON ex.key = normalized_name AND ex.t = entity_type LEFT JOIN al ON al.key = normalized_name AND al.t = entity_type")
 def _(s, d):
     n = tb.nodes(s, d)
     return resolve.bind_to_existing(_mentions(s, d), n, _aliases(n)).select("seq", "node_id")
@@ -542,12 +558,12 @@ def _(s, d):
     return resolve.dedupe_edges(rows)
 
 
-def _suppliers(s: SparkSession, d: str) -> DataFrame:
-    return graph.visible(tb.nodes(s, d), True).where("entity_type IN ('Supplier', 'Nation', 'Region')")
+def _known(s: SparkSession, d: str) -> DataFrame:
+    return graph.visible(tb.nodes(s, d), True)
 
 
 _BLOCK = with_sql(NODES_SQL) + (
-    ", vis AS (SELECT id, entity_type, normalized_name AS t FROM kg_nodes WHERE status <> 'rejected' AND entity_type IN ('Supplier', 'Nation', 'Region')),"
+    ", vis AS (SELECT id, entity_type, normalized_name AS t FROM kg_nodes WHERE status <> 'rejected'),"
     " key AS (SELECT DISTINCT id, entity_type, t AS key, false AS gram FROM vis UNION ALL SELECT DISTINCT id, entity_type, substr(t, i, 3), true FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM vis WHERE length(t) >= 3)),"
     " ok AS (SELECT entity_type, key, gram FROM key GROUP BY ALL HAVING count(*) > 1 AND (NOT gram OR count(*) <= 64)),"
     " pair AS (SELECT DISTINCT x.id AS a, y.id AS b FROM key x JOIN key y USING (entity_type, key, gram) JOIN ok USING (entity_type, key, gram) WHERE x.id < y.id)"
@@ -556,12 +572,12 @@ _BLOCK = with_sql(NODES_SQL) + (
 
 @query("merge_block_pairs", _BLOCK + " SELECT a, b FROM pair")
 def _(s, d):
-    return resolve.block_pairs(_suppliers(s, d))
+    return resolve.block_pairs(_known(s, d))
 
 
 @query("merge_containment", _BLOCK + " SELECT a, b FROM pair JOIN vis x ON x.id = a JOIN vis y ON y.id = b WHERE x.t <> y.t AND least(length(x.t), length(y.t)) >= 4 AND (strpos(x.t, y.t) > 0 OR strpos(y.t, x.t) > 0)")
 def _(s, d):
-    n = _suppliers(s, d)
+    n = _known(s, d)
     return resolve.containment(resolve.pair_names(resolve.block_pairs(n), n)).select("a", "b")
 
 
@@ -576,16 +592,18 @@ def _(s, d):
 
 @query("merge_name_similarity")
 def _(s, d):
-    n = _suppliers(s, d)
+    n = _known(s, d)
     pairs = resolve.pair_names(resolve.block_pairs(n), n)
     return pairs.withColumn("ratio", resolve.name_ratio("name_a", "name_b")).where(F.col("ratio") >= resolve.NAME_RATIO).select("a", "b", _r("ratio").alias("ratio"))
 
 
 @query("merge_candidates")
 def _(s, d):
-    n = _suppliers(s, d)
-    none = s.createDataFrame([], "node_id string, normalized_alias string")
-    return resolve.scan_candidates(n, none).select("a", "b", _r("score").alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+    n = _known(s, d)
+    kind = F.when(F.col("vec_id") % 2 == 0, "Part").otherwise("Customer")
+    vectors = tb.table(s, d, "embeddings").select(F.concat(F.substring(kind, 1, 1), (F.floor(F.col("vec_id") / 2) + 1).cast("string")).alias("id"), "embedding").join(n.select("id", "entity_type"), "id")
+    near = search.knn_pairs(vectors, "id", "embedding", "entity_type", threshold=resolve.COSINE)
+    return resolve.scan_candidates(n, _aliases(n), near).select("a", "b", _r("score").alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(
@@ -613,9 +631,9 @@ def _(s, d):
     return one("node", n).unionByName(one("edge", e))
 
 
-@query("invalidate_effect", with_sql(EDGES_SQL) + "SELECT id, CASE WHEN src = 'S1' AND status = 'verified' AND invalidated_ts IS NULL THEN 9e9::DOUBLE ELSE invalidated_ts END AS invalidated_ts FROM kg_edges WHERE relation_type = 'supplies'")
+@query("invalidate_effect", with_sql(EDGES_SQL) + "SELECT id, CASE WHEN src = 'S1' AND status = 'verified' AND invalidated_ts IS NULL THEN 9e9::DOUBLE ELSE invalidated_ts END AS invalidated_ts FROM kg_edges")
 def _(s, d):
-    e = tb.edges(s, d).where("relation_type = 'supplies'")
+    e = tb.edges(s, d)
     return review.invalidate(e, e.where("src = 'S1'").select("id"), 9e9).select("id", "invalidated_ts")
 
 
@@ -644,17 +662,24 @@ def _(s, d):
     return docs_.collapse_duplicates(_records(s, d), ["src3", "src1"]).select("identity", "arrival", "records")
 
 
-@query("chunk_documents")
+#: A chunk ends at the last blank of its second half, and the next starts after the first blank of the shared stretch.
+_CHUNKS = (
+    "WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS chunk, 0 AS a, CAST(CASE WHEN length(text) <= 12000 THEN length(text) ELSE {end0} END AS INTEGER) AS e FROM documents WHERE text IS NOT NULL"
+    " UNION ALL SELECT doc_id, text, chunk + 1, s, CAST(CASE WHEN s + 12000 >= length(text) THEN length(text) ELSE {end} END AS INTEGER)"
+    " FROM (SELECT doc_id, text, chunk, CAST(greatest(CASE WHEN strpos(substr(text, greatest(e - 600, 0) + 1, e - greatest(e - 600, 0)), ' ') > 0 THEN greatest(e - 600, 0) + strpos(substr(text, greatest(e - 600, 0) + 1, e - greatest(e - 600, 0)), ' ') ELSE greatest(e - 600, 0) END, a + 1) AS INTEGER) AS s FROM c WHERE e < length(text))) "
+).format(**{k: f"CASE WHEN strpos(reverse(substr(text, {a} + 1, 12000)), ' ') > 0 AND {a} + 12000 - strpos(reverse(substr(text, {a} + 1, 12000)), ' ') >= {a} + 6000 THEN {a} + 12000 - strpos(reverse(substr(text, {a} + 1, 12000)), ' ') ELSE {a} + 12000 END" for k, a in (("end0", "0"), ("end", "s"))})
+
+
+@query("chunk_documents", _CHUNKS + "SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, a AS char_offset, e - a AS n_chars, greatest(1, CAST((e - a) // 4 AS INTEGER)) AS tokens FROM c")
 def _(s, d):
     c = docs_.chunk_documents(tb.table(s, d, "documents").select("doc_id", "text"))
     return c.select("doc_id", "chunk", "char_offset", F.length("text").alias("n_chars"), T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("chunk_counts", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, greatest(1, CAST(length(text) // 4 AS INTEGER)) AS tokens FROM documents WHERE length(text) <= 12000")
+@query("chunk_counts", _CHUNKS + "SELECT doc_id, count(*) AS chunks, CAST(max(e) AS INTEGER) AS n_chars, CAST(sum(greatest(1, CAST((e - a) // 4 AS INTEGER))) AS BIGINT) AS tokens FROM c GROUP BY doc_id")
 def _(s, d):
     c = docs_.chunk_documents(tb.table(s, d, "documents").select("doc_id", "text"))
-    one = c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.first("text").alias("text")).where("chunks = 1 AND length(text) <= 12000")
-    return one.select("doc_id", F.length("text").alias("n_chars"), T.estimate_tokens(F.col("text")).alias("tokens"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.col("char_offset") + F.length("text")).alias("n_chars"), F.sum(T.estimate_tokens(F.col("text"))).alias("tokens"))
 
 
 _MENTION = "regexp_extract_all(t, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b')"

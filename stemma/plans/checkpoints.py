@@ -1,15 +1,47 @@
-"""Durable lineage cuts in the shared checkpoint folder."""
+"""Durable lineage cuts: tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders of this process's cuts, deleted when it ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a single-machine session gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stemma-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder of the session; a folder is made only where none is set."""
+    """``df`` written once as Parquet and read back (``checkpoint()`` would run its plan twice)."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stemma-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def release() -> None:
+    """Delete the tables of all cuts; nothing may read them afterwards."""
+    while _made:
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete(*_made.pop())

@@ -70,9 +70,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Critic reviews: kind, item_id, engine, score, created_ts, seq."""
+    """Critic reviews: kind, item_id, engine, model (null for some), prompt_version, score, created_ts, seq."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.lit("node").alias("kind"), F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("item_id"), F.col("event_type").alias("engine"), F.least(F.col("value") / F.lit(500.0).cast("double"), F.lit(1.0).cast("double")).alias("score"), F.col("ts").alias("created_ts"), F.col("event_id").alias("seq"))
+    return e.select(F.lit("node").alias("kind"), F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("item_id"), F.col("event_type").alias("engine"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))).alias("model"), F.concat(F.lit("p"), (F.col("event_id") % 2).cast("string")).alias("prompt_version"), F.least(F.col("value") / F.lit(500.0).cast("double"), F.lit(1.0).cast("double")).alias("score"), F.col("ts").alias("created_ts"), F.col("event_id").alias("seq"))
 
 
 _STATUS = "CASE WHEN {fixed} THEN 'verified' WHEN {m} = 0 THEN 'rejected' WHEN {m} <= 2 THEN 'proposed' ELSE 'verified' END"
@@ -103,7 +103,7 @@ EDGES_SQL = (
     " UNION ALL SELECT DISTINCT 'supplies', 'S', l_suppkey, 'P', l_partkey FROM lineitem"
     " UNION ALL SELECT DISTINCT 'ordered', 'C', o_custkey, 'P', l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"
 )
-REVIEWS_SQL = "reviews AS (SELECT 'node' AS kind, 'C' || user_id AS item_id, event_type AS engine, least(value / 500.0::DOUBLE, 1.0::DOUBLE) AS score, ts AS created_ts, event_id AS seq FROM events)"
+REVIEWS_SQL = "reviews AS (SELECT 'node' AS kind, 'C' || user_id AS item_id, event_type AS engine, CASE WHEN event_id % 3 <> 0 THEN 'm' || (event_id % 3) END AS model, 'p' || (event_id % 2) AS prompt_version, least(value / 500.0::DOUBLE, 1.0::DOUBLE) AS score, ts AS created_ts, event_id AS seq FROM events)"
 SUB_SQL = (
     "vn AS (SELECT * FROM kg_nodes WHERE status = 'verified'), "
     "ve AS (SELECT e.* FROM kg_edges e JOIN vn s ON e.src = s.id JOIN vn d ON e.dst = d.id WHERE e.status = 'verified' AND e.invalidated_ts IS NULL)"
