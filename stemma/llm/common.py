@@ -10,8 +10,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..plans.checkpoints import delete, shared_folder
 from ..plans.shipping import ship
 
 
@@ -32,14 +31,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set, a single-machine session gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stemma-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    return shared_folder(spark)
 
 
 def persist_table(df: DataFrame, label: str) -> DataFrame:
@@ -56,10 +48,7 @@ def drop_table(df: DataFrame) -> None:
     """Delete a table made by ``persist_table``; nothing may read it afterwards."""
     path = getattr(df, "_stemma_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+        delete(df.sparkSession, path)
 
 
 def map_batches(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:

@@ -41,6 +41,9 @@ ACCOUNT = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?i
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>|]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.A)
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
+# Every match of a pattern has one of its hints, and every plain address the shape of ``_DOTTED``.
+_DOTTED = re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]")
+_ACCOUNT_HINTS = ("user", "login", "account", "client", "access", "tenant")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 Span = tuple[int, int]
@@ -55,9 +58,14 @@ def strong_spans(text: str) -> dict[str, list[Span]]:
     }
 
 
-def weak_spans(text: str) -> dict[str, list[Span]]:
-    bare = [m.span() for m in BARE.finditer(text) if any(c.isalpha() for c in m[0])]
-    return {"account": [m.span() for m in ACCOUNT.finditer(text)], "bare": bare, "endpoint": [m.span() for m in ENDPOINT.finditer(text)]}
+def weak_spans(text: str, found: dict[str, list[Span]] | None = None) -> dict[str, list[Span]]:
+    """The weak parts; with ``found``, bare tokens only where one has a possible complement in the text."""
+    low = text.lower()
+    account = [m.span() for m in ACCOUNT.finditer(text)] if any(h in low for h in _ACCOUNT_HINTS) else []
+    endpoint = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text or _DOTTED.search(text) else []
+    alone = found is not None and not (found["access"] or account or endpoint)
+    bare = [] if alone else [m.span() for m in BARE.finditer(text) if any(c.isalpha() for c in m[0])]
+    return {"account": account, "bare": bare, "endpoint": endpoint}
 
 
 def merged(spans: list[Span]) -> list[Span]:
@@ -108,7 +116,7 @@ def secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every reported span, in order."""
     text = text or ""
     found = strong_spans(text)
-    found |= link_parts(text, found, weak_spans(text))
+    found |= link_parts(text, found, weak_spans(text, found))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((k, a, b) for k, spans in found.items() for a, b in spans), key=lambda s: (s[1], order[s[0]], s[2]))
 
