@@ -88,7 +88,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
         return spark.createDataFrame([], schema)
     if source == target:
         return spark.createDataFrame([(0, source, None)], schema)
-    ways = adjacency(current(visible(edges, include_proposed)), "both", relation_types).join(seen.select(F.col("id").alias("far")), "far", "left_semi")
+    ways = cut(adjacency(current(visible(edges, include_proposed)), "both", relation_types).join(seen.select(F.col("id").alias("far")), "far", "left_semi"))
     reached = spark.createDataFrame([(source, None, None, 0)], "id string, parent string, edge_id string, hop int")
     frontier = reached
     for hop in range(1, max_hops + 1):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -170,24 +170,14 @@ def dismiss(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, target: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Fold ``source`` into ``target``: frames after the merge.
+    """Fold ``source`` into ``target`` where only nodes and edges are kept (``store.merge_store`` takes all frames).
 
-    The source is rejected with a tombstone note. Its edges move; a moved edge that repeats a live
-    one, or loops, is rejected.
+    The source is rejected with a note. Its current edges move; one that would repeat a live edge,
+    or loop, is rejected where it stands.
     """
-    if target == source:
-        raise ValueError("a node can't be merged into itself")
-    types = [r["entity_type"] for r in visible(nodes, True).where(F.col("id").isin(target, source)).select("entity_type").collect()]
-    if len(types) != 2 or types[0] != types[1]:
-        raise ValueError("both nodes must be visible and of one type")
+    from .store import check_merge, repoint_edges
+
+    check_merge(nodes, target, source)
     is_source = F.col("id") == source
     kept = nodes.withColumn("review_note", F.when(is_source, F.lit(f"merged-into:{target}"))).withColumn("status", F.when(is_source, "rejected").otherwise(F.col("status")))
-    moved = edges.withColumn("moved", (F.col("src") == source) | (F.col("dst") == source))
-    moved = moved.withColumns({c: F.when(F.col(c) == source, target).otherwise(F.col(c)) for c in ("src", "dst")})
-    live = F.col("status").isin("proposed", "verified") & F.col("invalidated_ts").isNull()
-    # Only edges that touch the target can collide; the window sees those alone.
-    near = (F.col("src") == target) | (F.col("dst") == target)
-    w = Window.partitionBy("relation_type", "src", "dst", live).orderBy("moved", "id")
-    at = moved.where(near).withColumn("again", (F.row_number().over(w) > 1) & F.col("moved") & live)
-    settled = at.withColumn("status", F.when(F.col("again") | (F.col("moved") & (F.col("src") == F.col("dst"))), "rejected").otherwise(F.col("status"))).drop("again")
-    return kept, moved.where(~near).unionByName(settled).drop("moved")
+    return kept, repoint_edges(edges, target, source).select(*edges.columns)

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from ..plans.checkpoints import cut
 
@@ -267,7 +267,7 @@ def unpack_vector(blob: Column) -> Column:
     return _unpacked(blob)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _packed(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in vectors:
         yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import community, graph, ledger, packs, quality, resolve, review, search
+from ..operators import community, graph, ledger, packs, quality, resolve, review, search, store
 from ..sources import documents as docs_
 from ..sources import registry
 from . import testbed as tb
@@ -442,9 +442,9 @@ def _(s, d):
     return found.select("id", "hop")
 
 
-@query("shortest_path", _WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs AS (SELECT 'S1' AS id, 0 AS hop UNION SELECT far, hop + 1 FROM bfs JOIN ways ON here = id WHERE hop < 6) SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE id = 'R0' HAVING min(hop) IS NOT NULL")
+@query("shortest_path", _WAYS.replace("WITH ", "WITH RECURSIVE ", 1) + ", bfs AS (SELECT 'S3' AS id, 0 AS hop UNION SELECT far, hop + 1 FROM bfs JOIN ways ON here = id WHERE hop < 6) SELECT CAST(min(hop) AS INTEGER) AS hops FROM bfs WHERE id = 'R0' HAVING min(hop) IS NOT NULL")
 def _(s, d):
-    return graph.shortest_path(*_ne(s, d), "S1", "R0").groupBy().agg(F.max("step").alias("hops")).where("hops IS NOT NULL")
+    return graph.shortest_path(*_ne(s, d), "S3", "R0").groupBy().agg(F.max("step").alias("hops")).where("hops IS NOT NULL")
 
 
 _LOCAL = "(SELECT src, dst FROM ve)"
@@ -606,16 +606,111 @@ def _(s, d):
     return resolve.scan_candidates(n, _aliases(n), near).select("a", "b", _r("score").alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
+_REPOINT = (
+    "touch AS (SELECT *, status IN ('proposed', 'verified') AND invalidated_ts IS NULL AS live, (src = 'S3' OR dst = 'S3') AND status IN ('proposed', 'verified') AND invalidated_ts IS NULL AS moved FROM kg_edges),"
+    " sent AS (SELECT *, CASE WHEN moved AND src = 'S3' THEN 'S4' ELSE src END AS s2, CASE WHEN moved AND dst = 'S3' THEN 'S4' ELSE dst END AS d2 FROM touch),"
+    " ranked AS (SELECT *, moved AND s2 = d2 AS lp, first_value(id) OVER (PARTITION BY relation_type, s2, d2, live AND NOT (moved AND s2 = d2) ORDER BY moved, id) AS keeper FROM sent),"
+    " merged_edges AS (SELECT id, CASE WHEN moved AND NOT lp AND keeper = id THEN s2 ELSE src END AS src, CASE WHEN moved AND NOT lp AND keeper = id THEN d2 ELSE dst END AS dst, CASE WHEN lp OR (moved AND keeper <> id) THEN 'rejected' ELSE status END AS status, CASE WHEN moved AND NOT lp AND keeper <> id THEN keeper END AS keeper, CASE WHEN lp THEN 'self_loop' WHEN moved AND keeper <> id THEN 'duplicate' WHEN moved THEN 'repointed' END AS outcome FROM ranked)"
+)
+
+
+@query("merge_nodes_effect", GRAPH_SQL + ", " + _REPOINT + " SELECT id, src, dst, status FROM merged_edges")
+def _(s, d):
+    _n, e = resolve.merge_nodes(*_ne(s, d), "S4", "S3")
+    return e.select("id", "src", "dst", "status")
+
+
+def _store(s: SparkSession, d: str) -> store.Store:
+    """Every node is also known as "aka" its name and holds its key; S3 to S6 are candidates."""
+    n, e = _ne(s, d)
+    n = n.withColumn("aliases", F.array(F.concat(F.lit("aka "), "name"))).withColumn("properties", F.create_map(F.concat(F.lit("p"), (F.col("k") % 2).cast("string")), F.col("k").cast("string")))
+    known = n.select(F.col("id").alias("node_id"), T.normalize_name(F.col("aliases")[0]).alias("normalized_alias"), F.col("aliases")[0].alias("surface"))
+    c = _citations(s, d).unionByName(e.select(F.lit("edge").alias("kind"), F.col("id").alias("item_id"), (F.col("created_ts") % 97).cast("long").alias("doc_id"), F.lit(0).alias("start"), F.lit(9).alias("end")))
+    pairs = s.createDataFrame([("S3", "S4", "proposed"), ("S3", "S5", "proposed"), ("S3", "S6", "dismissed"), ("S5", "S6", "proposed")], "a string, b string, status string")
+    return store.Store(n, e, known, c, pairs)
+
+
+def _frames(st: store.Store) -> DataFrame:
+    """frame, id, detail of every row of a store; citations as counts by item and document."""
+    row = lambda frame, key, *detail: [F.lit(frame).alias("frame"), key.alias("id"), F.concat_ws("|", *detail).alias("detail")]
+    joined = lambda c: F.array_join(c, ",")
+    out = st.nodes.select(*row("node", F.col("id"), F.col("status"), joined(F.col("aliases")), joined(F.array_sort(F.map_keys("properties")))))
+    out = out.unionByName(st.edges.select(*row("edge", F.col("id"), F.col("src"), F.col("dst"), F.col("status"))))
+    out = out.unionByName(st.aliases.select(*row("alias", F.col("node_id"), F.col("normalized_alias"), F.col("surface"))))
+    cited = st.citations.groupBy("kind", "item_id", "doc_id").agg(F.count("*").cast("string").alias("n"))
+    out = out.unionByName(cited.select(*row("citation", F.col("item_id"), F.col("kind"), F.col("doc_id").cast("string"), F.col("n"))))
+    if st.candidates is not None:
+        out = out.unionByName(st.candidates.select(*row("candidate", F.concat_ws("-", "a", "b"), F.col("status"))))
+    return out
+
+
+_STORE_SQL = (
+    ", st AS (SELECT *, 'aka ' || name AS alias, 'p' || (k % 2) AS prop FROM kg_nodes), al AS (SELECT id AS node_id, " + normalize_sql("'aka ' || name") + " AS normalized_alias, alias AS surface FROM st),"
+    " cites AS (SELECT 'node' AS kind, id AS item_id, source_doc AS doc_id FROM kg_nodes UNION ALL SELECT 'edge', id, CAST(created_ts % 97 AS BIGINT) FROM kg_edges)"
+)
+
+
 @query(
-    "merge_nodes_effect",
+    "merge_store_effect",
+    GRAPH_SQL + _STORE_SQL + ", " + _REPOINT
+    + ", src AS (SELECT * FROM st WHERE id = 'S3'), tgt AS (SELECT * FROM st WHERE id = 'S4')"
+    " SELECT 'node' AS frame, id, concat_ws('|', CASE WHEN id = 'S3' THEN 'rejected' ELSE status END, CASE WHEN id = 'S4' THEN alias || ',' || (SELECT name || ',' || alias FROM src) ELSE alias END, CASE WHEN id = 'S4' THEN 'p0,p1' ELSE prop END) AS detail FROM st"
+    " UNION ALL SELECT 'edge', id, concat_ws('|', src, dst, status) FROM merged_edges"
+    " UNION ALL SELECT 'alias', node_id, concat_ws('|', normalized_alias, surface) FROM (SELECT * FROM al WHERE node_id <> 'S3' UNION ALL SELECT 'S4', normalized_alias, surface FROM al WHERE node_id = 'S3' UNION ALL SELECT 'S4', normalized_name, name FROM src)"
+    " UNION ALL SELECT 'citation', item_id, concat_ws('|', kind, doc_id, count(*)) FROM (SELECT c.kind, CASE WHEN c.kind = 'node' AND item_id = 'S3' THEN 'S4' ELSE coalesce(m.keeper, item_id) END AS item_id, doc_id FROM cites c LEFT JOIN merged_edges m ON c.kind = 'edge' AND m.id = item_id) GROUP BY kind, item_id, doc_id"
+    " UNION ALL SELECT 'candidate', * FROM (VALUES ('S3-S4', 'merged'), ('S3-S5', 'stale'), ('S3-S6', 'dismissed'), ('S5-S6', 'proposed')) v(id, detail)",
+)
+def _(s, d):
+    return _frames(store.merge_store(_store(s, d), "S4", "S3")[0])
+
+
+def _proposals(s: SparkSession, d: str) -> tuple[store.Store, DataFrame, DataFrame]:
+    """The even nodes are known; every supplier and part is mentioned, and every line item is a relation."""
+    st = _store(s, d)
+    known = st.nodes.where("k % 2 = 0").select("id", "entity_type", "name", "normalized_name", "aliases", "properties", "status")
+    st = store.Store(known, st.edges.where("relation_type = 'supplies' AND created_ts % 2 = 0"), st.aliases.join(known.select(F.col("id").alias("node_id")), "node_id", "left_semi"), st.citations.limit(0))
+    said = tb.nodes(s, d).where("entity_type IN ('Supplier', 'Part')")
+    at = [F.lit(5).cast("long").alias("doc_id"), F.lit(0).alias("start"), F.lit(1).alias("end")]
+    e = said.select((F.col("k") * 2 + (F.col("entity_type") == "Part").cast("int")).alias("seq"), F.concat(F.lit("m"), "id").alias("id"), "entity_type", "name", F.array(F.concat("name", F.lit(" again"))).alias("aliases"), F.create_map(F.lit("seen"), F.lit("y")).alias("properties"), "confidence", *at, (F.col("k") % 3 == 0).alias("synthesized"))
+    line = tb.table(s, d, "lineitem")
+    r = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat_ws("-", F.lit("r"), "l_orderkey", "l_linenumber").alias("id"), F.lit("supplies").alias("relation_type"), F.concat(F.lit("mS"), "l_suppkey").alias("src"), F.concat(F.lit("mP"), "l_partkey").alias("dst"), F.lit(0.5).alias("confidence"), *at)
+    return st, e, r
+
+
+_INSERT = (
     GRAPH_SQL
-    + ", moved AS (SELECT id, relation_type, CASE WHEN src = 'S3' THEN 'S4' ELSE src END AS src, CASE WHEN dst = 'S3' THEN 'S4' ELSE dst END AS dst, status, invalidated_ts, src = 'S3' OR dst = 'S3' AS moved FROM kg_edges),"
-    " marked AS (SELECT *, row_number() OVER (PARTITION BY relation_type, src, dst, status IN ('proposed', 'verified') AND invalidated_ts IS NULL ORDER BY moved, id) > 1 AND moved AND status IN ('proposed', 'verified') AND invalidated_ts IS NULL AS again FROM moved)"
-    " SELECT id, src, dst, CASE WHEN again OR (moved AND src = dst) THEN 'rejected' ELSE status END AS status FROM marked WHERE src = 'S4' OR dst = 'S4'",
+    + ", known AS (SELECT * FROM kg_nodes WHERE k % 2 = 0), said AS (SELECT *, 'm' || id AS mid, k * 2 + CAST(entity_type = 'Part' AS INTEGER) AS seq FROM kg_nodes WHERE entity_type IN ('Supplier', 'Part')),"
+    " ex AS (SELECT entity_type AS t, normalized_name AS key, min(id) AS hit FROM known WHERE status <> 'rejected' GROUP BY ALL), fm AS (SELECT entity_type AS t, normalized_name AS key, arg_min(mid, seq) AS mint FROM said GROUP BY ALL),"
+    " bound AS (SELECT said.*, coalesce(hit, mint) AS node_id, coalesce(hit, mint) = mid AS minted FROM said JOIN fm ON fm.t = entity_type AND fm.key = normalized_name LEFT JOIN ex ON ex.t = entity_type AND ex.key = normalized_name),"
+    " rel AS (SELECT 'r-' || l_orderkey || '-' || l_linenumber AS id, l_orderkey * 10 + l_linenumber AS seq, a.node_id AS src, b.node_id AS dst FROM lineitem JOIN bound a ON a.mid = 'mS' || l_suppkey JOIN bound b ON b.mid = 'mP' || l_partkey),"
+    " held AS (SELECT src, dst, min(id) AS held FROM kg_edges WHERE relation_type = 'supplies' AND created_ts % 2 = 0 AND status <> 'rejected' AND invalidated_ts IS NULL GROUP BY ALL),"
+    " put AS (SELECT rel.*, held, arg_min(rel.id, seq) OVER (PARTITION BY rel.src, rel.dst) AS first FROM rel LEFT JOIN held USING (src, dst))"
+)
+
+
+@query(
+    "insert_proposed_stats",
+    _INSERT
+    + " SELECT (SELECT count(*) FILTER (minted) FROM bound) AS nodes_new, (SELECT count(*) FILTER (NOT minted) FROM bound) AS nodes_merged, (SELECT count(*) FILTER (k % 3 = 0) FROM bound) AS synthesized_endpoints, count(*) FILTER (held IS NULL AND id = first) AS edges_new, count(*) FILTER (held IS NOT NULL OR id <> first) AS edges_merged FROM put",
 )
 def _(s, d):
-    _n, e = resolve.merge_nodes(*_ne(s, d), "S4", "S3")
-    return e.where("src = 'S4' OR dst = 'S4'").select("id", "src", "dst", "status")
+    return store.insert_proposed(*_proposals(s, d))[2]
+
+
+@query(
+    "insert_proposed_effect",
+    _INSERT
+    + ", more AS (SELECT node_id, string_agg(surface, ',' ORDER BY seq) AS surfaces FROM (SELECT node_id, key, arg_min(surface, seq) AS surface, min(seq) AS seq FROM (SELECT node_id, seq, name || ' again' AS surface, " + normalize_sql("name || ' again'") + " AS key FROM bound WHERE NOT minted) GROUP BY node_id, key) x WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.minted AND b.node_id = x.node_id) GROUP BY node_id)"
+    " SELECT 'node' AS frame, id, concat_ws('|', status, 'aka ' || name || coalesce(',' || surfaces, ''), CASE WHEN surfaces IS NULL THEN 'p' || (k % 2) ELSE 'p' || (k % 2) || ',seen' END) AS detail FROM known LEFT JOIN more ON node_id = id"
+    " UNION ALL SELECT 'node', mid, concat_ws('|', 'proposed', name || ' again', 'seen') FROM bound WHERE minted"
+    " UNION ALL SELECT 'edge', id, concat_ws('|', src, dst, status) FROM kg_edges WHERE relation_type = 'supplies' AND created_ts % 2 = 0"
+    " UNION ALL SELECT 'edge', id, concat_ws('|', src, dst, 'proposed') FROM put WHERE held IS NULL AND id = first"
+    " UNION ALL SELECT 'alias', id, concat_ws('|', " + normalize_sql("'aka ' || name") + ", 'aka ' || name) FROM known"
+    " UNION ALL SELECT 'alias', node_id, concat_ws('|', key, arg_min(surface, (seq, pos))) FROM (SELECT node_id, seq, 1 AS pos, name || ' again' AS surface, " + normalize_sql("name || ' again'") + " AS key FROM bound UNION ALL SELECT node_id, seq, 0, name, normalized_name FROM bound WHERE NOT minted) GROUP BY node_id, key"
+    " UNION ALL SELECT 'citation', node_id, concat_ws('|', 'node', 5, count(*)) FROM bound GROUP BY node_id UNION ALL SELECT 'citation', coalesce(held, first), concat_ws('|', 'edge', 5, count(*)) FROM put GROUP BY 2",
+)
+def _(s, d):
+    return _frames(store.insert_proposed(*_proposals(s, d))[0])
 
 
 @query(
@@ -683,12 +778,12 @@ def _(s, d):
 
 
 _MENTION = "regexp_extract_all(t, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b')"
-_DOCS_M = "WITH d AS (SELECT p_partkey AS doc_id, replace(p_name || ' ' || p_brand || ' ' || p_type, ' ', '') || ' ' || p_brand || 'Maker ' || replace(p_type, ' ', '') AS t FROM part), m AS (SELECT doc_id, " + _MENTION + " AS all_m FROM d), u AS (SELECT doc_id, list_filter(all_m, lambda x, i: list_position(all_m, x) = i) AS m FROM m) "
+_DOCS_M = "WITH d AS (SELECT p_partkey AS doc_id, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') || ' uses Maker' || replace(p_brand, '#', '') || ', not ' || p_type || 'Maker' AS t FROM part), m AS (SELECT doc_id, " + _MENTION + " AS all_m FROM d), u AS (SELECT doc_id, list_filter(all_m, lambda x, i: list_position(all_m, x) = i) AS m FROM m) "
 
 
 def _mention_docs(s: SparkSession, d: str) -> DataFrame:
-    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    return tb.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(bare(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit(" "), F.col("p_brand"), F.lit("Maker "), bare(F.col("p_type"))).alias("text"))
+    maker = F.concat(F.lit(" uses Maker"), F.replace("p_brand", F.lit("#"), F.lit("")))
+    return tb.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), maker, F.lit(", not "), "p_type", F.lit("Maker")).alias("text"))
 
 
 @query("mock_extract_entities", _DOCS_M + "SELECT doc_id, CAST(unnest(range(1, len(m) + 1)) AS INTEGER) AS pos, unnest(m) AS name FROM u")
@@ -783,7 +878,7 @@ def _(s, d):
 @query(
     "extraction_completeness",
     "WITH st AS (SELECT DISTINCT user_id % 97 AS doc_id, event_type AS engine FROM events), runs AS (SELECT o_orderkey AS run_id, o_custkey % 97 AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' ELSE 'signup' END AS engine, o_orderstatus = 'F' AS complete FROM orders),"
-    " ch AS (SELECT l_orderkey AS run_id, count(*) FILTER (l_linestatus <> 'F') AS open FROM lineitem GROUP BY 1), k AS (SELECT doc_id, engine, bool_or(complete AND coalesce(open, 1) = 0) AS ok, count(*) AS runs FROM runs LEFT JOIN ch USING (run_id) GROUP BY ALL)"
+    " ch AS (SELECT l_orderkey AS run_id, count(*) FILTER (l_linestatus <> 'F') AS open FROM lineitem GROUP BY 1), k AS (SELECT doc_id, engine, bool_or(complete AND coalesce(open, 0) = 0) AS ok, count(*) AS runs FROM runs LEFT JOIN ch USING (run_id) GROUP BY ALL)"
     " SELECT doc_id, engine, CASE WHEN ok THEN 'satisfied' WHEN runs > 0 THEN 'incomplete' ELSE 'unknown' END AS state, coalesce(runs, 0) AS runs FROM st LEFT JOIN k USING (doc_id, engine)",
 )
 def _(s, d):
@@ -791,7 +886,70 @@ def _(s, d):
     m = F.col("o_orderkey") % 4
     runs = tb.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 97).alias("doc_id"), F.when(m == 0, "click").when(m == 1, "view").when(m == 2, "purchase").otherwise("signup").alias("engine"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"))
     chunks = tb.table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", "succeeded").otherwise("pending").alias("status"))
-    return packs.completeness(streams, runs, chunks)
+    return packs.completeness(streams, runs, chunks).drop("chunks_of")
+
+
+def _attributed(rows: DataFrame, k: Column, unnamed: Column | None = None) -> DataFrame:
+    """``rows`` with a stream drawn from the number ``k``; none where ``unnamed``."""
+    said = {
+        "engine": F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "signup")]), (k % 3 + 1).cast("int")),
+        "model": F.when(k % 4 != 0, F.concat(F.lit("m"), (k % 2).cast("string"))),
+        "prompt_version": F.concat(F.lit("p"), (k % 2).cast("string")),
+        "decode_params": F.when(k % 5 != 0, F.lit('{"t":0}')),
+    }
+    return rows.withColumns({c: F.when(~unnamed, v) if unnamed is not None else v for c, v in said.items()})
+
+
+_STREAM_OF = "CASE {k} % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END AS engine, CASE WHEN {k} % 4 <> 0 THEN 'm' || ({k} % 2) END AS model, 'p' || ({k} % 2) AS prompt_version, CASE WHEN {k} % 5 <> 0 THEN '{{\"t\":0}}' END AS decode_params"
+_FILLED = "coalesce(engine, '') AS engine, coalesce(model, '') AS model, coalesce(prompt_version, '') AS prompt_version, coalesce(decode_params, 'null') AS decode_params"
+
+
+@query(
+    "shipped_stream_states",
+    SUBGRAPH_SQL
+    + ", n AS (SELECT id, source_doc, k % 2 + 1 AS sv, " + _STREAM_OF.format(k="k") + " FROM vn), e AS (SELECT id, src, dst, CAST(created_ts % 97 AS BIGINT) AS source_doc, CAST(created_ts AS BIGINT) % 2 + 1 AS sv, " + _STREAM_OF.format(k="CAST(created_ts AS BIGINT)") + " FROM kg_edges WHERE status = 'verified' AND invalidated_ts IS NULL),"
+    " shipped AS (SELECT 'node' AS kind, id AS item_id, source_doc, sv FROM n UNION ALL SELECT 'edge', e.id, e.source_doc, sv FROM e WHERE e.id IN (SELECT id FROM ve)),"
+    " c0 AS (SELECT 'node' AS kind, id AS item_id, source_doc AS doc_id, CAST(NULL AS BIGINT) AS q FROM kg_nodes UNION ALL SELECT 'node', id, source_doc, NULL FROM kg_nodes WHERE k % 10 = 3 UNION ALL SELECT 'node', id, (source_doc + 1) % 97, NULL FROM kg_nodes WHERE k % 11 = 0 UNION ALL SELECT 'edge', id, CAST(created_ts % 89 AS BIGINT), CAST(created_ts AS BIGINT) + 1 FROM kg_edges),"
+    " cites AS (SELECT kind, item_id, doc_id, CASE WHEN q IS NOT NULL THEN engine END AS engine, CASE WHEN q IS NOT NULL THEN model END AS model, CASE WHEN q IS NOT NULL THEN prompt_version END AS prompt_version, CASE WHEN q IS NOT NULL THEN decode_params END AS decode_params FROM (SELECT *, " + _STREAM_OF.format(k="coalesce(q, 0)") + " FROM c0)),"
+    " runs AS (SELECT o_orderkey AS run_id, o_custkey % 97 AS doc_id, o_orderkey % 2 + 1 AS sv, o_orderstatus = 'F' AS complete, engine, coalesce(model, '') AS model, prompt_version, coalesce(decode_params, 'null') AS decode_params FROM (SELECT *, " + _STREAM_OF.format(k="o_orderkey") + " FROM orders)),"
+    " cited AS (SELECT cites.*, source_doc, sv FROM cites JOIN shipped USING (kind, item_id)),"
+    " doubtful AS (SELECT DISTINCT doc_id, sv FROM (SELECT doc_id, sv FROM cited WHERE engine IS NULL AND source_doc = doc_id GROUP BY kind, item_id, doc_id, sv HAVING count(*) > 1)),"
+    f" streams AS (SELECT source_doc AS doc_id, sv, {_FILLED} FROM n UNION SELECT source_doc, sv, {_FILLED} FROM e UNION SELECT doc_id, sv, {_FILLED} FROM cited WHERE engine IS NOT NULL OR source_doc <> doc_id UNION SELECT doc_id, sv, {_FILLED} FROM runs JOIN doubtful USING (doc_id, sv)),"
+    " held AS (SELECT s.*, 'sha256:' || sha256(text) AS content_hash FROM streams s JOIN documents USING (doc_id)),"
+    " ch AS (SELECT l_orderkey AS run_id, count(*) FILTER (l_linestatus <> 'F') AS open, count(*) AS n FROM lineitem GROUP BY 1),"
+    " k AS (SELECT doc_id, sv, engine, model, prompt_version, decode_params, bool_or(complete AND coalesce(open, 0) = 0) AS ok, count(*) AS runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks_of FROM runs LEFT JOIN ch USING (run_id) GROUP BY ALL)"
+    " SELECT doc_id, content_hash, CAST(sv AS BIGINT) AS schema_version_id, engine, model, prompt_version, decode_params, CASE WHEN ok THEN 'satisfied' WHEN runs > 0 THEN 'incomplete' ELSE 'unknown' END AS state, coalesce(runs, 0) AS runs, coalesce(chunks_of, 0) AS chunks_of FROM held LEFT JOIN k USING (doc_id, sv, engine, model, prompt_version, decode_params)",
+)
+def _(s, d):
+    n, e = _ne(s, d)
+    ts = F.col("created_ts").cast("long")
+    nodes = _attributed(n.withColumn("schema_version_id", F.col("k") % 2 + 1), F.col("k"))
+    edges = _attributed(e.withColumns({"schema_version_id": ts % 2 + 1, "source_doc": (F.col("created_ts") % 97).cast("long")}), ts)
+    cite = lambda rows, kind, doc, q: rows.select(F.lit(kind).alias("kind"), F.col("id").alias("item_id"), doc.alias("doc_id"), q.cast("long").alias("q"))
+    none = F.lit(None)
+    c = cite(n, "node", F.col("source_doc"), none).unionByName(cite(n.where("k % 10 = 3"), "node", F.col("source_doc"), none)).unionByName(cite(n.where("k % 11 = 0"), "node", (F.col("source_doc") + 1) % 97, none))
+    c = c.unionByName(cite(e, "edge", (F.col("created_ts") % 89).cast("long"), ts + 1))
+    c = _attributed(c, F.coalesce("q", F.lit(0)), F.col("q").isNull())
+    docs = tb.table(s, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+    runs = tb.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 97).alias("doc_id"), (F.col("o_orderkey") % 2 + 1).alias("schema_version_id"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"))
+    runs = _attributed(runs, F.col("run_id")).withColumns({k: F.coalesce(k, F.lit(v)) for k, v in packs.STREAM.items()})
+    chunks = tb.table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", "succeeded").otherwise("pending").alias("status"))
+    streams = packs.shipped_streams(nodes, edges, c, docs, runs)
+    keys = ["doc_id", "schema_version_id", *packs.STREAM]
+    states = packs.completeness(streams, runs, chunks, keys)  # a run's document is known by its id here
+    return streams.join(states, keys).select("doc_id", "content_hash", "schema_version_id", *packs.STREAM, "state", "runs", "chunks_of")
+
+
+@query("pack_diff_triples", SUBGRAPH_SQL + ", o AS (SELECT * FROM ve WHERE created_ts % 3 <> 0), w AS (SELECT * FROM ve WHERE created_ts % 4 <> 0) SELECT coalesce(o.id, w.id) AS id, CASE WHEN o.id IS NULL THEN 'added' ELSE 'removed' END AS change, '' AS fields, a.name || ' -[' || coalesce(w.relation_type, o.relation_type) || ']-> ' || b.name AS label FROM o FULL JOIN w ON o.id = w.id JOIN kg_nodes a ON a.id = coalesce(w.src, o.src) JOIN kg_nodes b ON b.id = coalesce(w.dst, o.dst) WHERE o.id IS NULL OR w.id IS NULL")
+def _(s, d):
+    n, e = _ne(s, d)
+    e = packs.with_triples(graph.verified_subgraph(n, e), n)
+    return packs.diff(e.where("created_ts % 3 <> 0"), e.where("created_ts % 4 <> 0"), ["confidence", "status"], "triple")
+
+
+@query("pack_staleness", _SNAP + " SELECT (SELECT count(*) FROM o) AS pack_items, (SELECT count(*) FROM w) AS live_items, greatest(0, (SELECT count(*) FROM w) - (SELECT count(*) FROM o)) AS pending, count(*) FILTER (added) AS additions, count(*) FILTER (removed) AS invalidations, count(*) FILTER (NOT added AND NOT removed AND dn) AS replacements FROM b")
+def _(s, d):
+    return packs.staleness(*_snapshots(s, d), ["name", "entity_type"])
 
 
 # Ledger -----------------------------------------------------------------------------------

@@ -200,7 +200,7 @@ def test_merge_guards(tiny):
         resolve.merge_nodes(n, e, "a", "e")
     n2, e2 = resolve.merge_nodes(n, e, "a", "b")
     got = {r["id"]: (r["src"], r["dst"], r["status"]) for r in e2.collect()}
-    assert got["ab"] == ("a", "a", "rejected") and got["bc"] == ("a", "c", "verified")
+    assert got["ab"] == ("a", "b", "rejected") and got["bc"] == ("a", "c", "verified")
     assert {r["id"]: r["review_note"] for r in n2.collect()}["b"] == "merged-into:a"
 
 
