@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, persist_table, rows_to_batch
+from .common import _arrow_schema, persist_table, rows_to_batch, trim_worker
 from .tokens import CACHE_PIECES, default_path, encoder, slices
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -188,6 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                     seen[n] += 1
                     at += n
             yield rows_to_batch(rows, out)
+        trim_worker()  # the encoder stays, what its batches took goes
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
