@@ -7,11 +7,12 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of this process's cuts, deleted when it ends.
-_made: list[tuple[SparkSession, str]] = []
+#: What takes away this process's scratch tables when it ends.
+_made: list[Callable[[], object]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
+    at_end(lambda: delete(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,9 +40,13 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def at_end(undo: Callable[[], object]) -> None:
+    _made.append(undo)
+
+
 @atexit.register
 def release() -> None:
-    """Delete the tables of all cuts; nothing may read them afterwards."""
+    """Delete the scratch tables made so far; nothing may read them afterwards."""
     while _made:
         with contextlib.suppress(Exception):  # the session may be gone
-            delete(*_made.pop())
+            _made.pop()()
