@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..plans.checkpoints import delete, shared_folder
+from ..plans.checkpoints import at_end, delete, shared_folder
 from ..plans.shipping import ship
 
 
@@ -35,10 +35,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def persist_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage durably."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage durably.
+
+    The table goes with ``drop_table``, or when the process ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at_end(lambda: delete(spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stemma_path = path  # type: ignore[attr-defined]
     return out

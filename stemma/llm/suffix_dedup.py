@@ -47,6 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import at_end, delete
 from .common import _arrow_schema, persist_table, rows_to_batch, scratch_root
 
 LENGTH, GRAM = 50, 16
@@ -512,6 +513,7 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = 2 << 20, bucket_bytes: in
     name = f"stemma_batches_{uuid.uuid4().hex}"
     # A bucketed table: both later passes over the texts find them where they lie.
     _batches(docs, batch_bytes).write.bucketBy(shuffles, "batch").option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
+    at_end(lambda: (spark.sql(f"DROP TABLE IF EXISTS {name}"), delete(spark, f"{scratch_root(spark)}/{name}")))
     texts = spark.table(name)
     total = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(3 * shuffles, -(-total // bucket_bytes))

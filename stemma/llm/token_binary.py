@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import at_end, delete
 from .common import _arrow_schema, drop_table, persist_table, rows_to_batch, scratch_root
 from .tokens import END_ID, default_path, encoder, slices
 
@@ -225,4 +226,6 @@ def _decode(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
 
 
 def op5_token_binary(docs: DataFrame, **options) -> DataFrame:
-    return digest_token_blocks(docs.sparkSession, write_token_blocks(docs, **options))
+    spark, path = docs.sparkSession, write_token_blocks(docs, **options)
+    at_end(lambda: delete(spark, path))  # the query returns digests; who wants the files writes them
+    return digest_token_blocks(spark, path)
