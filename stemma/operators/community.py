@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -73,8 +74,8 @@ def communities(labels: DataFrame, partitions: int = 64) -> DataFrame:
     return labels.join(number.select("label", name.alias("community_id")), "label")
 
 
-def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
-    """community_id, member_count, top_members, summary."""
+def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame, write: Callable[[Column], Column] | None = None) -> DataFrame:
+    """community_id, member_count, top_members, summary; ``write`` turns the extracted summary into another text."""
     w = Window.partitionBy("community_id").orderBy(F.desc("degree"), "name", "id")
     ranked = members.join(nodes.select("id", "name"), "id").join(degree(edges), "id", "left").fillna({"degree": 0}).withColumn("r", F.row_number().over(w))
     top = ranked.groupBy("community_id").agg(F.count("*").alias("member_count"), F.array_sort(F.collect_list(F.when(F.col("r") <= TOP, F.struct("r", "name")))).alias("t"))
@@ -85,4 +86,4 @@ def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFra
     names = F.transform("t", lambda x: x["name"])
     relations = F.array_join(F.transform("rels", lambda x: F.concat(x["relation_type"], F.lit(" ×"), (-x["k"]).cast("string"))), ", ")
     text = F.concat(F.col("member_count").cast("string"), F.lit(" entities centered on "), F.array_join(names, ", "), F.when(F.col("rels").isNotNull(), F.concat(F.lit("; internal relations: "), relations)).otherwise(""))
-    return top.join(said, "community_id", "left").select("community_id", "member_count", F.array_join(names, ", ").alias("top_members"), text.alias("summary"))
+    return top.join(said, "community_id", "left").select("community_id", "member_count", F.array_join(names, ", ").alias("top_members"), (write(text) if write else text).alias("summary"))

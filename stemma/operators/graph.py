@@ -157,18 +157,48 @@ def compact(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "name", "entity_type", "status", F.substring(F.concat_ws(" · ", aka, said), 1, 120).alias("snippet"))
 
 
-def entity_context(nodes: DataFrame, edges: DataFrame, citations: DataFrame, documents: DataFrame, node_id: str) -> DataFrame:
-    """One row: the node, its relations with direction and far end, and its mentions with excerpts."""
+def project_nodes(rows: DataFrame) -> DataFrame:
+    """Stored rows (aliases_json, properties_json, source_span as JSON text) with nested columns; unreadable JSON is null."""
+    nested = {"aliases": ("aliases_json", "array<string>"), "properties": ("properties_json", "map<string,string>"), "span": ("source_span", "struct<start: int, end: int>")}
+    return rows.select(*[c for c in rows.columns if c not in {k for k, _ in nested.values()}], *[F.from_json(c, kind).alias(name) for name, (c, kind) in nested.items() if c in rows.columns])
+
+
+def candidate_neighbours(candidates: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
+    """other_id, other_name, other_status, score of the node's pending merge candidates, best first."""
+    mine = candidates.where((F.col("status") == "proposed") & ((F.col("a") == node_id) | (F.col("b") == node_id)))
+    other = mine.select(F.when(F.col("a") == node_id, F.col("b")).otherwise(F.col("a")).alias("other_id"), "score")
+    named = nodes.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"), F.col("status").alias("other_status"))
+    return other.join(named, "other_id").orderBy(F.desc("score"), "other_id")
+
+
+def entity_context(nodes: DataFrame, edges: DataFrame, citations: DataFrame, documents: DataFrame, node_id: str, reviews: DataFrame | None = None, candidates: DataFrame | None = None, page: int = 50) -> DataFrame:
+    """One row: the node, its relations with direction and far end, its mentions with excerpts, counts of both.
+
+    A page of each is listed, in the order of its fields; counts are of all. ``reviews`` add the
+    latest critic_score, ``candidates`` the pending merge candidates.
+    """
     from ..functions.text import span_excerpt
+    from .review import latest_review
 
     node = nodes.where(F.col("id") == node_id)
     ways = edges.where((F.col("src") == node_id) | (F.col("dst") == node_id))
     ways = ways.select("id", "relation_type", "status", F.when(F.col("src") == node_id, "out").otherwise("in").alias("direction"), F.when(F.col("src") == node_id, F.col("dst")).otherwise(F.col("src")).alias("far"))
-    far = nodes.select(F.col("id").alias("far"), F.col("name").alias("far_name"))
-    relations = ways.join(far, "far").agg(F.array_sort(F.collect_list(F.struct("relation_type", "direction", "far", "far_name", "id", "status"))).alias("relations"))
-    cited = citations.where((F.col("kind") == "node") & (F.col("item_id") == node_id)).join(documents.select("doc_id", "text"), "doc_id", "left")
-    mentions = cited.agg(F.array_sort(F.collect_list(F.struct("doc_id", "start", "end", span_excerpt(F.col("text"), F.col("start"), F.col("end")).alias("excerpt")))).alias("mentions"))
-    return node.crossJoin(F.broadcast(relations)).crossJoin(F.broadcast(mentions))  # one row each
+    ways = ways.join(nodes.select(F.col("id").alias("far"), F.col("name").alias("far_name")), "far")
+    order = ["relation_type", "direction", "far", "far_name", "id", "status"]
+    listed = lambda rows, fields, name: rows.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    cited = citations.where((F.col("kind") == "node") & (F.col("item_id") == node_id))
+    first = cited.orderBy("doc_id", "start", "end").limit(page).join(documents.select("doc_id", "text"), "doc_id", "left")
+    excerpt = span_excerpt(F.col("text"), F.col("start"), F.col("end")).alias("excerpt")
+    parts = [listed(ways.orderBy(*order).limit(page), order, "relations"), ways.agg(F.count("*").alias("n_relations")), listed(first, ["doc_id", "start", "end", excerpt], "mentions"), cited.agg(F.count("*").alias("n_mentions"))]
+    if reviews is not None:
+        mine = latest_review(reviews.where((F.col("kind") == "node") & (F.col("item_id") == node_id)))
+        parts.append(mine.agg(F.max("review_score").alias("critic_score")))
+    if candidates is not None:
+        near = candidate_neighbours(candidates, nodes, node_id).limit(page)
+        parts.append(near.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "other_id", "other_name"))), lambda x: F.struct(x["other_id"].alias("id"), x["other_name"].alias("name"), (-x["k"]).alias("score"))).alias("candidates")))
+    for part in parts:
+        node = node.crossJoin(F.broadcast(part))  # one row each
+    return node
 
 
 def document_context(citations: DataFrame, nodes: DataFrame, edges: DataFrame, documents: DataFrame, doc_id, limit: int = 40_000) -> DataFrame:

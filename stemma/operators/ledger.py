@@ -68,7 +68,7 @@ def decide_annotations(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def enrichment_worklist(nodes: DataFrame, annotations: DataFrame, resources: list[str], limit: int = 50) -> DataFrame:
     """id, name, resource still to be looked up: verified symbols, oldest first, decided pairs skipped."""
-    work = nodes.where((F.col("status") == "verified") & looks_like_symbol(F.col("name"))).orderBy("created_ts", "id").limit(limit)
+    work = nodes.where((F.col("status") == "verified") & looks_like_symbol(F.col("name"))).orderBy(F.coalesce("verified_ts", "created_ts") if "verified_ts" in nodes.columns else "created_ts", "id").limit(limit)
     pairs = work.select("id", "name", F.explode(F.array(*[F.lit(r) for r in resources])).alias("resource"))
     decided = annotations.where(F.col("status").isin("accepted", "rejected")).select(F.col("node_id").alias("id"), "resource")
     return pairs.join(decided, ["id", "resource"], "left_anti")
@@ -95,8 +95,15 @@ def check_relation_types(relations: DataFrame, entities: DataFrame) -> DataFrame
     return open_.join(names.withColumnRenamed("name", "end"), "end", "left_anti").select("name", "end").distinct()
 
 
+#: What makes two extraction runs the same one.
+RUN_IDENTITY = ["doc_id", "content_hash", "schema_version_id", "engine", "model", "prompt_version", "decode_params"]
+
+
 def plan_chunks(planned: DataFrame, known: DataFrame) -> DataFrame:
-    """Chunks to run: new ones, and known ones that are pending, failed or interrupted."""
-    keys = ["doc_id", "engine", "chunk"]
+    """Chunks to run: new ones, and known ones that are pending, failed or interrupted.
+
+    A run is known by those of ``RUN_IDENTITY`` that both sides have.
+    """
+    keys = [*(c for c in RUN_IDENTITY if c in planned.columns and c in known.columns), "chunk"]
     done = known.where("status IN ('succeeded', 'running')").select(*keys)
     return planned.join(done, keys, "left_anti")

@@ -176,6 +176,13 @@ def missing(gold: DataFrame, found: DataFrame, keys: list[str], limit: int = 20)
     return gold.select(*keys).distinct().join(found.select(*keys), keys, "left_anti").orderBy(*keys).limit(limit)
 
 
+def evaluate(gold: DataFrame, found: DataFrame, keys: list[str], limit: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores with the F1 interval, the first missing rows, the first spurious ones)."""
+    counts = precision_recall(gold, found, keys)
+    scores = counts.join(bootstrap_interval(counts), ["tp", "fp", "fn"])
+    return scores, missing(gold, found, keys, limit), missing(found, gold, keys, limit)
+
+
 def bootstrap_f1(tp: int, fp: int, fn: int, draws: int = 2000, seed: int = 7) -> tuple[float, float]:
     """Percentile interval (95 %) of F1 over resampled outcomes, to four places.
 

@@ -99,12 +99,19 @@ def block_keys(nodes: DataFrame, alias_keys: str | None = None) -> DataFrame:
 
 
 def block_pairs(nodes: DataFrame, alias_keys: str | None = None, max_block: int = MAX_GRAM_BLOCK) -> DataFrame:
-    """Pairs a < b of one type that share a key; grams of more than ``max_block`` nodes say nothing and open no pairs."""
+    """Pairs a < b of one type that share a key.
+
+    Grams of more than ``max_block`` nodes say nothing and open no pairs. A whole name or alias that
+    more nodes share makes them one class: each is paired with its smallest member only.
+    """
+    on = ["entity_type", "key", "gram"]
     keys = block_keys(nodes, alias_keys)
-    small = keys.groupBy("entity_type", "key", "gram").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (~F.col("gram") | (F.col("n") <= max_block)))
-    k = keys.join(small.select("entity_type", "key", "gram"), ["entity_type", "key", "gram"])
-    other = k.select(F.col("id").alias("b"), "entity_type", "key", "gram")
-    return k.select(F.col("id").alias("a"), "entity_type", "key", "gram").join(other, ["entity_type", "key", "gram"]).where("a < b").select("a", "b").distinct()
+    sized = keys.groupBy(*on).agg(F.count("*").alias("n"), F.min("id").alias("first")).where((F.col("n") > 1) & (~F.col("gram") | (F.col("n") <= max_block)))
+    k = keys.join(sized, on)
+    few = k.where(F.col("n") <= max_block)
+    every = few.select(F.col("id").alias("a"), *on).join(few.select(F.col("id").alias("b"), *on), on).select("a", "b")
+    star = k.where(F.col("n") > max_block).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return every.unionByName(star).where("a < b").distinct()
 
 
 @F.pandas_udf(DoubleType())
@@ -161,6 +168,24 @@ def pending_candidates(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     return candidates.where("status = 'proposed'").join(ends[0], "a", "left").join(ends[1], "b", "left").withColumn("stale", ~(seen("a") & seen("b")))
 
 
+def review_candidates(candidates: DataFrame, nodes: DataFrame, citations: DataFrame) -> DataFrame:
+    """``pending_candidates`` with both ends' numbers of citations, best score first."""
+    n = citations.where("kind = 'node'").groupBy("item_id").agg(F.count("*").alias("n"))
+    out = pending_candidates(candidates, nodes)
+    for end in ("a", "b"):
+        out = out.join(n.select(F.col("item_id").alias(end), F.col("n").alias(f"citations_{end}")), end, "left")
+    return out.fillna({"citations_a": 0, "citations_b": 0}).orderBy(F.desc("score"), "a", "b")
+
+
+def scan_stats(nodes: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of a scan: nodes looked at, pairs compared, candidates found, and the share of all pairs that was compared."""
+    seen = visible(nodes, True).agg(F.count("*").alias("nodes"))
+    parts = [pairs.agg(F.count("*").alias("pairs_checked")), found.agg(F.count("*").alias("candidates"))]
+    for part in parts:
+        seen = seen.crossJoin(F.broadcast(part))  # one row each
+    return seen.withColumn("share", F.when(F.col("nodes") > 1, F.col("pairs_checked") / (F.col("nodes") * (F.col("nodes") - 1) / 2)).otherwise(0.0))
+
+
 def dismiss(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     hit = pairs.select("a", "b").distinct().withColumn("_hit", F.lit(True))
     return candidates.join(hit, ["a", "b"], "left").withColumn("status", F.when(F.col("_hit") & (F.col("status") == "proposed"), "dismissed").otherwise(F.col("status"))).drop("_hit")

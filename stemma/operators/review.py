@@ -56,6 +56,16 @@ def review_queue(nodes: DataFrame, edges: DataFrame, reviews: DataFrame, order:
     return page.withColumn("pos", F.row_number().over(Window.orderBy(*keys)))  # over one page
 
 
+def with_evidence(page: DataFrame, citations: DataFrame, documents: DataFrame) -> DataFrame:
+    """A queue's page with ``evidence``: the excerpt of each item's first citation by document and place."""
+    from ..functions.text import span_excerpt
+
+    first = citations.join(F.broadcast(page.select("kind", "item_id")), ["kind", "item_id"], "left_semi").groupBy("kind", "item_id").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"))  # a page
+    texts = first.select("kind", "item_id", "at.*").join(documents.select("doc_id", "text"), "doc_id", "left")
+    said = texts.select("kind", "item_id", span_excerpt(F.col("text"), F.col("start"), F.col("end")).alias("evidence"))
+    return page.join(said, ["kind", "item_id"], "left")
+
+
 def cursor_of(row, order: str) -> tuple:
     key, down = ORDERS[order]
     ties = (row["created_ts"], row["kind"], row["item_id"])
@@ -136,3 +146,13 @@ def bulk_approve(nodes: DataFrame, edges: DataFrame, entity_type: str | None = N
     chosen = edges.where(pick).select("id", "src", "dst")
     chosen = chosen.join(scope.select(F.col("id").alias("src")), "src", "left_semi").join(scope.select(F.col("id").alias("dst")), "dst", "left_semi")
     return approve_edges(nodes, edges, chosen.select("id"))
+
+
+def bulk_report(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """kind, approved, skipped: what a bulk approval changed, and the proposed rows that it left."""
+    out = None
+    for kind, old, new in zip(("node", "edge"), before, after):
+        both = old.where("status = 'proposed'").select("id").join(new.select("id", "status"), "id")
+        one = both.agg(F.count_if(F.col("status") == "verified").alias("approved"), F.count_if(F.col("status") == "proposed").alias("skipped")).select(F.lit(kind).alias("kind"), "approved", "skipped")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -317,6 +317,11 @@ def _(s, d):
     return quality.missing(*_gold(s, d), _TRIPLE)
 
 
+@query("spurious_triples_top20", _GOLD + " SELECT * FROM found EXCEPT SELECT * FROM gold ORDER BY relation_type, src, dst LIMIT 20")
+def _(s, d):
+    return quality.evaluate(*_gold(s, d), _TRIPLE)[2]
+
+
 @query("bootstrap_f1")
 def _(s, d):
     return quality.bootstrap_interval(quality.precision_recall(*_gold(s, d), _TRIPLE))
@@ -411,9 +416,17 @@ def _(s, d):
     return found.select("key", _r("score").alias("score"))
 
 
-@query("hash_embedding")
+@query(
+    "hash_embedding",
+    with_sql(NODES_SQL)
+    + ", w AS (SELECT id, list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '') AS words FROM kg_nodes), p AS (SELECT id, words, ' ' || array_to_string(words, ' ') || ' ' AS t FROM w),"
+    " f AS (SELECT id, md5(unnest(list_concat(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), words))) AS h FROM p),"
+    " v AS (SELECT id, CAST('0x' || substr(h, 1, 2) AS INTEGER) AS dim, sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM f GROUP BY ALL)"
+    " SELECT id, dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 6) AS value FROM v WHERE s <> 0",
+)
 def _(s, d):
-    return tb.nodes(s, d).select("id", search.hash_embedding(F.col("name")).alias("embedding"))
+    made = tb.nodes(s, d).select("id", search.hash_embedding(F.col("name")).alias("embedding"))
+    return made.select("id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0").select("id", "dim", _r(F.col("value").cast("double")).alias("value"))
 
 
 # Graph ------------------------------------------------------------------------------------
@@ -485,10 +498,59 @@ def _(s, d):
     return rows.groupBy(F.col("src_entity_type").alias("src_type"), F.col("dst_entity_type").alias("dst_type"), "relation_type").agg(F.count("*").alias("n"))
 
 
-@query("entity_context")
+_CANDIDATES = "(VALUES ('N3', 'N4', 0.9), ('N1', 'N3', 0.95), ('N5', 'N6', 0.9)) v(a, b, score)"
+
+
+def _candidates(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("N3", "N4", 0.9, "proposed"), ("N1", "N3", 0.95, "proposed"), ("N5", "N6", 0.9, "proposed"), ("N3", "N7", 0.9, "dismissed")], "a string, b string, score double, status string")
+
+
+@query(
+    "entity_context",
+    GRAPH_SQL
+    + ", way AS (SELECT relation_type, CASE WHEN src = 'N3' THEN 'out' ELSE 'in' END AS direction, CASE WHEN src = 'N3' THEN dst ELSE src END AS far, e.id, e.status, n.name FROM kg_edges e JOIN kg_nodes n ON n.id = CASE WHEN src = 'N3' THEN dst ELSE src END WHERE (src = 'N3' OR dst = 'N3') AND e.status IN ('verified', 'proposed')),"
+    " page AS (SELECT * FROM way ORDER BY relation_type, direction, far, name, id LIMIT 50)"
+    " SELECT id, (SELECT count(*) FROM way) AS n_relations, (SELECT string_agg(concat_ws(' ', relation_type, direction, name), ';' ORDER BY relation_type, direction, far, name, id) FROM page) AS relations, CAST(1 AS BIGINT) AS n_mentions,"
+    f" (SELECT string_agg(n.name || ' ' || CAST(score AS DOUBLE), ';' ORDER BY score DESC) FROM {_CANDIDATES} JOIN kg_nodes n ON n.id = CASE WHEN a = 'N3' THEN b ELSE a END WHERE a = 'N3' OR b = 'N3') AS candidates FROM kg_nodes WHERE id = 'N3'",
+)
 def _(s, d):
     n, e = _ne(s, d)
-    return graph.entity_context(n, graph.visible(e, True), _citations(s, d), tb.table(s, d, "documents"), "N3").select("id", "relations", "mentions")
+    row = graph.entity_context(n, graph.visible(e, True), _citations(s, d), tb.table(s, d, "documents"), "N3", tb.reviews(s, d), _candidates(s))
+    joined = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    return row.select("id", "n_relations", joined("relations", lambda x: F.concat_ws(" ", x["relation_type"], x["direction"], x["far_name"])), "n_mentions", joined("candidates", lambda x: F.concat_ws(" ", x["name"], x["score"].cast("string"))))
+
+
+@query("candidate_neighbours", with_sql(NODES_SQL) + f"SELECT n.id AS other_id, n.name AS other_name, n.status AS other_status, CAST(score AS DOUBLE) AS score FROM {_CANDIDATES} JOIN kg_nodes n ON n.id = CASE WHEN a = 'N3' THEN b ELSE a END WHERE a = 'N3' OR b = 'N3'")
+def _(s, d):
+    return graph.candidate_neighbours(_candidates(s), tb.nodes(s, d), "N3")
+
+
+@query("json_projection", "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def _(s, d):
+    return tb.table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("citing_documents", with_sql(NODES_SQL) + ", cite AS (SELECT id, source_doc AS doc_id FROM kg_nodes WHERE k % 3 = 0 UNION SELECT id, (source_doc + 5) % 97 FROM kg_nodes WHERE k % 3 = 0) SELECT n.id, coalesce(c.docs, CAST(source_doc AS VARCHAR)) AS source_documents FROM kg_nodes n LEFT JOIN (SELECT id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM cite GROUP BY id) c USING (id)")
+def _(s, d):
+    n = tb.nodes(s, d)
+    one = lambda doc: n.where("k % 3 = 0").select(F.lit("node").alias("kind"), F.col("id").alias("item_id"), doc.alias("doc_id"))
+    cited = one(F.col("source_doc")).unionByName(one((F.col("source_doc") + 5) % 97)).unionByName(one(F.col("source_doc")))
+    return search.citing_documents(n, cited).select("id", F.array_join(F.col("source_documents").cast("array<string>"), ",").alias("source_documents"))
+
+
+@query("embed_backfill", with_sql(NODES_SQL) + "SELECT count(*) FILTER (k % 3 <> 0 AND status <> 'rejected') AS embedded, count(*) FILTER (k % 3 = 0) AS skipped FROM kg_nodes")
+def _(s, d):
+    n = tb.nodes(s, d).withColumns({"aliases": F.array("normalized_name"), "properties": F.create_map(F.lit("k"), F.col("k").cast("string"))})
+    had = F.when(F.col("k") % 3 != 2, F.array(F.lit(1.0).cast("float")))
+    n = n.withColumns({"embedding": had, "embedding_model": F.when(F.col("k") % 3 == 0, "hash").when(F.col("k") % 3 == 1, "old")})
+    return search.embed_missing(n, search.hash_embedding, "hash")[1]
+
+
+@query("vector_round_trip", "SELECT vec_id, len(embedding) * 4 AS bytes, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings")
+def _(s, d):
+    rows = tb.table(s, d, "embeddings").select("vec_id", search.pack_vector(F.col("embedding")).alias("blob"))
+    back = rows.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), search.unpack_vector(F.col("blob")).alias("v"))
+    return back.select("vec_id", "bytes", F.element_at("v", 1).cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
 
 
 def _citations(s: SparkSession, d: str) -> DataFrame:
@@ -511,6 +573,22 @@ def _(s, d):
     return rows.select("item_id", T.span_excerpt(F.col("text"), F.col("start"), F.col("end")).alias("excerpt"))
 
 
+@query(
+    "review_queue_evidence",
+    _PENDING + ", page AS (SELECT item_id, kind FROM q ORDER BY created_ts, kind, item_id LIMIT 100), spans AS (SELECT id, CAST(k % 50 AS INTEGER) AS s, CAST(k % 50 + 20 AS INTEGER) AS e, text FROM kg_nodes JOIN documents ON doc_id = source_doc)"
+    " SELECT item_id, kind, CASE WHEN spans.id IS NULL THEN CASE WHEN kind = 'node' THEN '' END WHEN least(e, length(text)) <= s THEN '' ELSE substr(substr(text, greatest(s - 160, 0) + 1, s - greatest(s - 160, 0)) || '>>>' || substr(text, s + 1, least(e, length(text)) - s) || '<<<' || substr(text, least(e, length(text)) + 1, 160), 1, 600) END AS evidence FROM page LEFT JOIN spans ON kind = 'node' AND spans.id = item_id",
+)
+def _(s, d):
+    page = review.review_queue(*_ne(s, d), tb.reviews(s, d)).select("kind", "item_id")
+    return review.with_evidence(page, _citations(s, d), tb.table(s, d, "documents")).select("item_id", "kind", "evidence")
+
+
+@query("candidate_review", with_sql(NODES_SQL) + f"SELECT a, b, score, x.name AS name_a, y.name AS name_b, NOT (x.status <> 'rejected' AND y.status <> 'rejected') AS stale, CAST(1 AS BIGINT) AS citations_a, CAST(1 AS BIGINT) AS citations_b FROM (SELECT a, b, CAST(score AS DOUBLE) AS score FROM {_CANDIDATES}) JOIN kg_nodes x ON x.id = a JOIN kg_nodes y ON y.id = b")
+def _(s, d):
+    found = resolve.review_candidates(_candidates(s), tb.nodes(s, d), _citations(s, d))
+    return found.select("a", "b", "score", "name_a", "name_b", "stale", "citations_a", "citations_b")
+
+
 @query("provenance_records", with_sql(NODES_SQL, REVIEWS_SQL) + ", latest AS (SELECT item_id, arg_max(score, (created_ts, seq)) AS critic_score FROM reviews GROUP BY item_id) SELECT id AS item_id, source, critic_score FROM kg_nodes LEFT JOIN documents ON doc_id = source_doc LEFT JOIN latest ON item_id = id WHERE status = 'verified'")
 def _(s, d):
     n = graph.visible(tb.nodes(s, d)).select(F.lit("node").alias("kind"), F.col("id").alias("item_id"))
@@ -565,8 +643,8 @@ def _known(s: SparkSession, d: str) -> DataFrame:
 _BLOCK = with_sql(NODES_SQL) + (
     ", vis AS (SELECT id, entity_type, normalized_name AS t FROM kg_nodes WHERE status <> 'rejected'),"
     " key AS (SELECT DISTINCT id, entity_type, t AS key, false AS gram FROM vis UNION ALL SELECT DISTINCT id, entity_type, substr(t, i, 3), true FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM vis WHERE length(t) >= 3)),"
-    " ok AS (SELECT entity_type, key, gram FROM key GROUP BY ALL HAVING count(*) > 1 AND (NOT gram OR count(*) <= 64)),"
-    " pair AS (SELECT DISTINCT x.id AS a, y.id AS b FROM key x JOIN key y USING (entity_type, key, gram) JOIN ok USING (entity_type, key, gram) WHERE x.id < y.id)"
+    " ok AS (SELECT entity_type, key, gram, count(*) AS n, min(id) AS first FROM key GROUP BY ALL HAVING count(*) > 1 AND (NOT gram OR count(*) <= 64)),"
+    " pair AS (SELECT DISTINCT x.id AS a, y.id AS b FROM key x JOIN key y USING (entity_type, key, gram) JOIN ok USING (entity_type, key, gram) WHERE x.id < y.id AND (n <= 64 OR x.id = first))"
 )
 
 
@@ -726,6 +804,18 @@ def _(s, d):
     return one("node", n).unionByName(one("edge", e))
 
 
+@query(
+    "bulk_approve_report",
+    GRAPH_SQL
+    + ", n2 AS (SELECT id, status AS was, CASE WHEN status = 'proposed' AND entity_type = 'Customer' AND coalesce(confidence >= 0.5, false) THEN 'verified' ELSE status END AS status, entity_type FROM kg_nodes),"
+    " e2 AS (SELECT e.status AS was, CASE WHEN e.status = 'proposed' AND coalesce(e.confidence >= 0.5, false) AND s.status = 'verified' AND d.status = 'verified' AND s.entity_type = 'Customer' AND d.entity_type = 'Customer' THEN 'verified' ELSE e.status END AS status FROM kg_edges e LEFT JOIN n2 s ON s.id = src LEFT JOIN n2 d ON d.id = dst)"
+    " SELECT 'node' AS kind, count(*) FILTER (status = 'verified') AS approved, count(*) FILTER (status = 'proposed') AS skipped FROM n2 WHERE was = 'proposed' UNION ALL SELECT 'edge', count(*) FILTER (status = 'verified'), count(*) FILTER (status = 'proposed') FROM e2 WHERE was = 'proposed'",
+)
+def _(s, d):
+    before = _ne(s, d)
+    return review.bulk_report(before, review.bulk_approve(*before, entity_type="Customer", min_confidence=0.5))
+
+
 @query("invalidate_effect", with_sql(EDGES_SQL) + "SELECT id, CASE WHEN src = 'S1' AND status = 'verified' AND invalidated_ts IS NULL THEN 9e9::DOUBLE ELSE invalidated_ts END AS invalidated_ts FROM kg_edges")
 def _(s, d):
     e = tb.edges(s, d)
@@ -796,7 +886,20 @@ def _(s, d):
     return docs_.mock_relations(_mention_docs(s, d))
 
 
-@query("html_to_text")
+def _unescaped(x: str) -> str:
+    for mark, said in (("&copy;", "'©'"), ("&middot;", "'·'"), ("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{mark}', {said})"
+    return x
+
+
+@query(
+    "html_to_text",
+    "WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script[^>]*>.*?</script|style[^>]*>.*?</style)\\s*>', '', 'g') AS h FROM pages),"
+    " t AS (SELECT page_id, regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1) AS title, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<(?:head|noscript|template|svg)\\b.*?</(?:head|noscript|template|svg)\\s*>', '', 'g') AS h FROM p),"
+    " b AS (SELECT page_id, title, regexp_replace(regexp_replace(regexp_replace(h, '>\\s+<', '><', 'g'), '(?i)</?(?:" + "|".join(sorted(T.BREAKS)) + ")(?:\\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM t),"
+    f" l AS (SELECT page_id, nullif(trim({_unescaped('title')}), '') AS title, list_transform(string_split({_unescaped('h')}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS lines FROM b)"
+    " SELECT page_id, title, trim(regexp_replace(array_to_string(lines, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM l",
+)
 def _(s, d):
     return tb.table(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t")).select("page_id", "t.title", "t.text")
 

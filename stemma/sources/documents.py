@@ -24,6 +24,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.lit("upload").alias("source_kind"), uri.alias("source_uri"), F.regexp_extract(uri, r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"), F.col("value").alias("text"))
 
 
+WEB_BYTES = 5 << 20
+
+
+def read_pages(pages: DataFrame, hosts: list[str]) -> DataFrame:
+    """Web documents of (url, html): https pages of the allowed hosts, 5 MiB at most, with text in them."""
+    from ..functions.text import html_to_text
+    from .papers import allowed
+
+    kept = pages.where(allowed(F.col("url"), hosts) & (F.octet_length("html") <= WEB_BYTES))
+    read = kept.select(F.lit("web").alias("source_kind"), F.col("url").alias("source_uri"), html_to_text(F.col("html")).alias("page"))
+    return read.select("source_kind", "source_uri", F.coalesce("page.title", "source_uri").alias("title"), "page.text").where("text <> ''")
+
+
 def first_by_hash(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
     """content_hash and the first ``order`` that carries it, with how many share it. No text moves."""
     return docs.select(content_hash(F.col(text)).alias("content_hash"), order).groupBy("content_hash").agg(F.min(order).alias(order), F.count("*").alias("copies"))
@@ -50,7 +63,7 @@ def enrich_fulltext(docs: DataFrame, bodies: DataFrame) -> tuple[DataFrame, Data
     n = F.length("body")
     joined = docs.join(bodies, "doc_id", "left")
     fits = F.col("body").isNotNull() & (n >= FULLTEXT_LEAST)
-    stats = joined.agg(F.count_if(F.col("body").isNotNull()).alias("eligible"), F.count_if(fits).alias("fetched"), F.count_if(n < FULLTEXT_LEAST).alias("too_short"))
+    stats = joined.agg(F.count_if(F.col("body").isNotNull()).alias("eligible"), F.count_if(fits).alias("fetched"), F.count_if(n < FULLTEXT_LEAST).alias("too_short"), F.count_if(F.col("body").isNull()).alias("failed"))
     return joined.withColumn("text", F.when(fits, F.substring("body", 1, FULLTEXT_MOST)).otherwise(F.col("text"))).drop("body"), stats
 
 

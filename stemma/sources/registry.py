@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cas_valid
+from ..functions.text import cas_valid, surface_key
 
 
 def surface_conflicts(rows: DataFrame, surface: str = "surface", code: str = "code") -> DataFrame:
@@ -29,11 +29,16 @@ def import_eppo(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.trim(F.col(f"`{c}`")).alias(k) for k, c in found.items()])
 
 
+def eppo_registry(spark: SparkSession, path: str) -> DataFrame:
+    """surface, code of an export, surfaces folded; a surface of two codes is an error."""
+    return build_registry(import_eppo(spark, path).select(surface_key(F.col("name")).alias("surface"), "code").where("surface <> '' AND code <> ''"))
+
+
 def import_pubchem(synonyms: DataFrame) -> DataFrame:
-    """surface, code: synonyms (cid, surface) joined by compound to its one valid CAS number."""
+    """surface, code: synonyms (cid, surface) joined by compound to its one valid CAS number; a surface of two codes is an error."""
     cas = synonyms.where(cas_valid(F.col("surface"))).select("cid", F.col("surface").alias("code")).distinct()
     single = cas.groupBy("cid").agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n = 1").select("cid", "code")
-    return synonyms.join(single, "cid").select("surface", "code").distinct()
+    return build_registry(synonyms.join(single, "cid").select("surface", "code"))
 
 
 def resolve(rows: DataFrame, registry: DataFrame, surface: str = "surface") -> DataFrame:
@@ -42,12 +47,22 @@ def resolve(rows: DataFrame, registry: DataFrame, surface: str = "surface") -> D
     return out.withColumn("status", F.when(F.col("code").isNotNull(), "resolved").otherwise("unresolved"))
 
 
-def normalize_proposals(proposals: DataFrame, registry: DataFrame, field: str) -> DataFrame:
+def resolve_with_absence(rows: DataFrame, registry: DataFrame | None, surface: str = "surface") -> DataFrame:
+    """``resolve`` where the registry may not have been imported yet: then every status is ``cache_absent``."""
+    if registry is None:
+        return rows.withColumns({"code": F.lit(None).cast("string"), "status": F.lit("cache_absent")})
+    return resolve(rows, registry, surface)
+
+
+def normalize_proposals(proposals: DataFrame, registry: DataFrame | None, field: str) -> DataFrame:
     """Properties with the registry's code under ``field``: the first of (name, aliases...) that resolves wins.
 
-    A differing value that was there moves to ``<field>_dropped``; a miss is flagged.
+    A differing value that was there moves to ``<field>_dropped``; a miss is flagged. Without an
+    imported registry nothing changes.
     """
-    surfaces = proposals.select("id", F.posexplode(F.concat(F.array("name"), "aliases")).alias("pos", "raw")).withColumn("surface", F.lower(F.trim("raw")))
+    if registry is None:
+        return proposals
+    surfaces = proposals.select("id", F.posexplode(F.concat(F.array("name"), "aliases")).alias("pos", "raw")).withColumn("surface", surface_key(F.col("raw")))
     best = resolve(surfaces, registry).where("code IS NOT NULL").groupBy("id").agg(F.min_by("code", "pos").alias("code"))
     joined = proposals.join(best, "id", "left")
     old = F.element_at("properties", field)
