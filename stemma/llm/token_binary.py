@@ -115,14 +115,13 @@ def _tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         enc, squeeze = encoder(path), zstandard.ZstdCompressor(level=1)
         counts = np.zeros(enc.tokenizer.get_vocab_size() + 1, np.int64)
         for keys, texts in slices(batches):
-            rows = []
-            for key, ids in zip(keys, enc.encode(texts)):
-                ids = np.append(ids, np.uint32(end_id))
-                top = int(ids.max())
-                if top >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(top + 1 - len(counts), np.int64)])
-                counts += np.bincount(ids, minlength=len(counts))
-                wide = top > 0xFFFF
+            rows, found = [], [np.append(ids, np.uint32(end_id)) for ids in enc.encode(texts)]
+            seen = np.bincount(np.concatenate(found))  # once a slice: the vocabulary is longer than most documents
+            if len(seen) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), np.int64)])
+            counts[: len(seen)] += seen
+            for key, ids in zip(keys, found):
+                wide = int(ids.max()) > 0xFFFF
                 rows.append((0, key, wide, squeeze.compress(ids.astype("<u4" if wide else "<u2").tobytes())))
             yield rows_to_batch(rows, out)
         if counts.any():
