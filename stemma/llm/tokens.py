@@ -47,6 +47,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_pieces = max_pieces
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id's token begins with a space (written as the byte-level alphabet has it).
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -73,6 +77,25 @@ class PieceEncoder:
         shift = np.repeat(starts - (np.cumsum(lens) - lens), lens)
         return lens, self.flat[shift + np.arange(len(shift))]
 
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Learn pieces of letters alone, many in one text; returns those whose places can't be told.
+
+        Every such piece with its space is a token group of its own whose first token alone begins
+        with the space, so the groups' starts part a text's ids.
+        """
+        runs = [words[a : a + 256] for a in range(0, len(words), 256)]
+        left: list[str] = []
+        for at in range(0, len(runs), 64):
+            part = runs[at : at + 64]
+            for run, e in zip(part, self.tokenizer.encode_batch_fast([" " + " ".join(run) for run in part], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                starts = np.flatnonzero(self.opens[ids])
+                if len(starts) == len(run) and starts[0] == 0:
+                    self._append(run, self.later, np.diff(np.append(starts, len(ids))), ids)
+                else:
+                    left += run
+        return left
+
     def _learn(self, names: list[str], index: dict[str, int], space: str) -> None:
         for at in range(0, len(names), 20_000):
             part = names[at : at + 20_000]
@@ -84,7 +107,9 @@ class PieceEncoder:
         marked = [(p, stem) for p in names if p[-1:] in self.MARKS and (stem := p.rstrip(self.MARKS)).isalpha()]
         names.difference_update(p for p, _ in marked)
         names.update(stem for _, stem in marked if stem not in self.later)
-        self._learn(list(names), self.later, " ")
+        words = [p for p in names if p.isalpha()]
+        names.difference_update(words)
+        self._learn([*names, *self._learn_words(words)], self.later, " ")
         if marked:
             tails = [p[len(stem) :] for p, stem in marked]
             self._learn(list(set(tails).difference(self.first)), self.first, "")
