@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -130,15 +130,20 @@ class PieceEncoder:
         cuts = [[] if w or not t else self._cut(t) for t, w in zip(texts, whole)]
         heads = [cut.pop(0) if cut else None for cut in cuts]
         self._learn(list({h for h in heads if h is not None}.difference(self.first)), self.first, "")
-        self._learn_later(set().union(*cuts).difference(self.later))
-        out, get = [], self.later.__getitem__
-        for text, head, cut, w in zip(texts, heads, cuts, whole):
+        numbers = [np.fromiter(map(self.later.get, cut, repeat(-1)), np.int64, len(cut)) for cut in cuts]
+        unknown = [np.flatnonzero(n < 0).tolist() for n in numbers]
+        self._learn_later({cut[i] for cut, at in zip(cuts, unknown) for i in at})
+        for cut, n, at in zip(cuts, numbers, unknown):
+            if at:
+                n[at] = [self.later[cut[i]] for i in at]
+        out = []
+        for text, head, n, w in zip(texts, heads, numbers, whole):
             if w:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
             elif head is None:
                 out.append(np.zeros(0, np.uint32))
             else:
-                out.append(self._gather(np.fromiter(chain((self.first[head],), map(get, cut)), np.int64, len(cut) + 1))[1])
+                out.append(self._gather(np.concatenate([[self.first[head]], n]))[1])
         return out
 
 
