@@ -16,6 +16,7 @@ from .secret_scan import op3_multipart_secrets
 from .simhash import op9_simhash_near_dedup
 from .suffix_dedup import op6_suffix_array_dedup
 from .token_binary import op5_token_binary
+from .whitening import op11_embedding_whitening
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": _over(op8_benchmark_decontamination, "documents", "benchmark"),
         "op9_simhash_near_dedup": _over(op9_simhash_near_dedup, "documents"),
         "op10_license_scan": _over(op10_license_scan, "documents"),
+        "op11_embedding_whitening": _over(op11_embedding_whitening, "embeddings"),
     }
 
 
