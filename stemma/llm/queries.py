@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_token_alignment
 from .common import read_table
 from .compression import op2_compression_quality, op4_compression_language_id
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": _over(op9_simhash_near_dedup, "documents"),
         "op10_license_scan": _over(op10_license_scan, "documents"),
         "op11_embedding_whitening": _over(op11_embedding_whitening, "embeddings"),
+        "op12_token_alignment": _over(op12_token_alignment, "documents"),
     }
 
 
