@@ -14,6 +14,7 @@ from .license_scan import op10_license_scan, op10_sql
 from .packing import op7_best_fit_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op3_multipart_secrets
+from .sharding import op13_external_shuffle
 from .simhash import op9_simhash_near_dedup
 from .suffix_dedup import op6_suffix_array_dedup
 from .token_binary import op5_token_binary
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": _over(op10_license_scan, "documents"),
         "op11_embedding_whitening": _over(op11_embedding_whitening, "embeddings"),
         "op12_token_alignment": _over(op12_token_alignment, "documents"),
+        "op13_external_shuffle": _over(op13_external_shuffle, "documents"),
     }
 
 
