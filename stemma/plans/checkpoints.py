@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The JVM and its Hadoop settings; both outlive a stopped session.
+_hadoop: list = []
 #: What takes away this process's scratch tables when it ends.
 _made: list[Callable[[], object]] = []
 
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stemma-"))
         root = spark.sparkContext.getCheckpointDir()
+    _hadoop[:] = [spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()]
     return root.rstrip("/")
 
 
@@ -36,8 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete a folder; one made by a session that has been stopped goes too."""
+    if not _hadoop:
+        shared_folder(spark)
+    jvm, settings = _hadoop
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(settings).delete(folder, True)
 
 
 def at_end(undo: Callable[[], object]) -> None:
