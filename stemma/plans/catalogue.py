@@ -1116,3 +1116,6 @@ def _(s, d):
     from ..streaming.ingest import windowed_costs
 
     return windowed_costs(tb.table(s, d, "events")).select(F.col("window.start").alias("start"), "event_type", "calls", F.round("total", 2).alias("total"))
+
+
+from . import queries_runs  # noqa: E402, F401  registers its queries
