@@ -12,8 +12,10 @@ the language. Texts are lower-cased on both sides and encoded in blocks of ``BLO
 the bare dictionary, so that what a dictionary saves grows with the text and the margin doesn't fall
 with length; sizes are summed over the blocks. The margin to the runner-up, relative to it, is scored and narrow ones rejected.
 
-Samples are bounded in rows (``per_class``, ``per_language``) and, as a text of any length gives
-``PIECES`` stretches spread over the whole of it at most, in bytes. Scoring takes whole texts.
+Samples are bounded in rows: ``per_class`` for quality, whose sampled texts are learned whole, and
+``per_language``. A language's dictionary holds ``dictionary_bytes``, less than its sampled texts
+have, so every text gives stretches of its own: of up to ``PIECES`` spread over it the dictionary
+takes them in turn, beginning with another one from text to text. Scoring takes whole texts.
 
 Defined cases: null and empty texts have signal 0 (quality) and are ``und`` with score 0
 (language), as are texts without a letter; texts of any length are compressed whole, quality in
@@ -39,8 +41,10 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, alone, fold, spread_pieces, with_columns_schema
 from .quality_rules import balanced_sample, labelled_ids
 
-#: What a sampled text is learned from: at most so many stretches of so many characters, spread over all of it.
-PIECES, PIECE_CHARS, LANGUAGE_PIECE_CHARS = 8, 2048, 512
+#: Quality: a sampled text is learned whole, in consecutive pieces of so many characters.
+PIECE_CHARS = 2048
+#: Language: stretches of a sampled text, so many of so many characters, spread over all of it; which ones a dictionary takes turns from text to text.
+PIECES, LANGUAGE_PIECE_CHARS = 8, 512
 #: The curve of a model without labels of both classes: (signal, log ratio, intercept).
 PLAIN_CURVE = (0.0, 1.5, 2.0)
 #: Languages are told on blocks of this many bytes, summed over the whole text.
@@ -61,14 +65,14 @@ def _compressor(dictionary: bytes, raw: bool):
 # Quality ------------------------------------------------------------------------------------
 
 
-def build_dictionary(texts: list[bytes], size: int) -> tuple[bytes, str]:
-    """(dictionary, kind): trained on the pieces, or the pieces themselves where they are too few."""
+def build_dictionary(texts: list[list[bytes]], size: int) -> tuple[bytes, str]:
+    """(dictionary, kind) of texts in pieces: trained on all pieces, or a share of each text where they are too few."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, texts, k=256, d=8).as_bytes(), "trained"
+        return zstandard.train_dictionary(size, [p for pieces in texts for p in pieces], k=256, d=8).as_bytes(), "trained"
     except zstandard.ZstdError:  # too little text for statistics
-        return b"\n".join(texts)[-size:], "raw"
+        return interleave(texts, size), "raw"
 
 
 def _coder(dictionary: bytes, kind: str):
@@ -137,15 +141,16 @@ class QualityModel:
 def fit_quality_dictionaries(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", per_class: int = 1500, dictionary_bytes: int = 112_640) -> QualityModel:
     """Learned from at most ``per_class`` labelled documents a class, chosen by key hash.
 
-    What reaches the driver is ``PIECES`` stretches of each document for the dictionaries and two
-    numbers of each for the curve.
+    What reaches the driver is these documents' texts for the dictionaries and two numbers of each
+    for the curve.
     """
     chosen, totals = balanced_sample(labelled_ids(labels, label).where(keep), per_class)
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0).withColumn("part", part)  # at most 2 * per_class ids
-    pieces = sample.where("part > 0").select("doc_id", "y", spread_pieces(F.col("text"), PIECE_CHARS, PIECES).alias("pieces"))
-    rows = sorted(tuple(r) for r in pieces.groupBy("doc_id", "y").agg(F.min("pieces")).collect())
-    good, bad = (build_dictionary([p.encode() for _, k, some in rows if k == y for p in some], dictionary_bytes) for y in (1, 0))
+    pieces = sample.where("part > 0").select("doc_id", "y", F.col("text"))
+    rows = sorted(tuple(r) for r in pieces.groupBy("doc_id", "y").agg(F.min("text")).collect())
+    whole = lambda t: [t[a : a + PIECE_CHARS].encode() for a in range(0, len(t), PIECE_CHARS)]
+    good, bad = (build_dictionary([whole(t) for _, k, t in rows if k == y], dictionary_bytes) for y in (1, 0))
     model = QualityModel(good, bad, PLAIN_CURVE)
     if model.kind == "plain":
         return model
@@ -214,7 +219,8 @@ def fit_languages(docs: DataFrame, keep: Column, per_language: int = 400, dictio
     texts: dict[str, list[list[bytes]]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
         if len(mine := texts.setdefault(r["lang"], [])) < per_language:
-            mine.append([p.lower().encode() for p in r["pieces"]])
+            turn = len(mine) % max(len(r["pieces"]), 1)
+            mine.append([p.lower().encode() for p in r["pieces"][turn:] + r["pieces"][:turn]])
     return {lang: interleave(mine, dictionary_bytes) for lang, mine in texts.items()}
 
 

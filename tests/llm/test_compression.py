@@ -90,3 +90,32 @@ def test_long_texts_are_sampled_to_their_end(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(spread_pieces(F.col("t"), 40, 4)).collect()]
     assert got[:3] == [[], [], ["short"]] and "".join(got[3]) == "ab" * 50
     assert len(got[4]) == 4 and got[4][0] == "a" * 40 and got[4][-1] == "j" * 40
+
+
+def test_raw_dictionaries_have_a_share_of_every_text(monkeypatch):
+    """Two long texts where training fails: both are in the dictionary."""
+
+    def fails(*_args, **_options):
+        raise zstandard.ZstdError("too little text")
+
+    monkeypatch.setattr(zstandard, "train_dictionary", fails)
+    texts = [[bytes([65 + k]) * 2048 for _ in range(60)] for k in range(2)]
+    made, kind = compression.build_dictionary(texts, 112_640)
+    assert kind == "raw" and made.count(b"A") > 50_000 and made.count(b"B") > 50_000
+
+
+def test_language_stretches_take_turns(spark):
+    """Dictionaries hold the middle and the end of sampled texts, not their beginnings alone."""
+    body = "".join(c * 512 for c in "abcdefgh")
+    rows = [(i, f"{body}{i:04d}", "en") for i in range(40)]
+    made = compression.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=40, dictionary_bytes=16_000)["en"]
+    assert len({c for c in b"abcdefgh" if made.count(bytes([c])) > 500}) >= 6
+
+
+def test_long_labelled_texts_are_learned_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(compression, "build_dictionary", lambda texts, size: (seen.append(texts), (b"", "raw"))[1])
+    docs = spark.createDataFrame([(i, text("en", i, 20_000)) for i in range(6)], "doc_id long, text string")
+    compression.fit_quality_dictionaries(docs, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int"), F.lit(True))
+    learned = {b"".join(pieces).decode() for texts in seen for pieces in texts}
+    assert learned <= {text("en", i, 20_000) for i in range(6)} and learned
