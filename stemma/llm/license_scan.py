@@ -18,8 +18,10 @@ pair from these counts only where a window of the template's own length reaches
 Word frequencies are document counts over the whole corpus.
 Only the rarest words open a pair, so frequent words never gather candidates.
 
-``TELLING`` names words that a label can't do without: a template that only such a word tells from
-another one counts where the block (or, across line breaks, the window) holds it.
+``reached`` lists the labels of every template that some block (or, across line breaks, window)
+holds at the threshold. ``labels`` are told from their neighbours: ``TELLING`` names words that a
+label can't do without, and a template that only such a word tells from another one adds its label
+where the block or window holds that word.
 
 Rows are told apart by a number of their own, written with them, so a doc_id may repeat or be null.
 
@@ -105,7 +107,7 @@ def frequency_ranks(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, reached."""
     spark = docs.sparkSession
     longest = max(len(t.split()) for _, t in templates)
     if longest > block_words // 2:
@@ -149,11 +151,17 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     open_ = first.where(F.least(F.size("ordered") - F.col("at.j"), F.size("block") - F.col("at.i")) >= F.col("need"))
     length = F.element_at(lengths, F.col("template"))
     windows = F.sequence(F.lit(1), F.greatest(F.size("run") - length + 1, F.lit(1)))
-    shared = lambda words: F.when(F.col("telling").isNull() | F.array_contains(words, F.col("telling")), F.size(F.array_intersect("ordered", words))).otherwise(0)
-    inside = F.array_max(F.transform(windows, lambda i: shared(F.slice("run", i, length))))
-    both = F.when(F.col("run").isNull() | (shared(F.col("block")) < F.col("need")), shared(F.col("block"))).otherwise(inside)
-    found = open_.select("row", "label", both.alias("common"), "need", F.size("ordered").alias("of")).where("common >= need")
-    found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("of")).alias("best"))
+    shared = lambda words: F.size(F.array_intersect("ordered", words))
+    told = lambda words: F.when(F.col("telling").isNull() | F.array_contains(words, F.col("telling")), shared(words)).otherwise(0)
+
+    def most(count) -> Column:
+        """What the block holds, or the best window of one that lies across lines."""
+        inside = F.array_max(F.transform(windows, lambda i: count(F.slice("run", i, length))))
+        return F.when(F.col("run").isNull() | (count(F.col("block")) < F.col("need")), count(F.col("block"))).otherwise(inside)
+
+    hits = open_.select("row", "label", "need", F.size("ordered").alias("of"), most(shared).alias("common"), most(told).alias("told")).where("common >= need")
+    held = F.col("told") >= F.col("need")
+    found = hits.groupBy("row").agg(F.collect_set(F.when(held, F.col("label"))).alias("more"), F.max(F.when(held, F.col("told") / F.col("of"))).alias("best"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("reached"))
 
     starts = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
     own = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
@@ -168,6 +176,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         F.array_join(F.array_sort(F.array_distinct("own")), ",").alias("base_labels"),
         F.array_join(all_labels, ",").alias("labels"),
         F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.coalesce("reached", F.lit("")).alias("reached"),
     )
 
 
@@ -202,11 +211,11 @@ WITH doc AS (
 ), hit AS (
   SELECT rid, label, telling, words, b FROM block, template WHERE len(b) > 0 UNION ALL FROM stretch
 ), found AS (
-  SELECT rid, label, max(common / CAST(size AS DOUBLE)) AS best FROM (SELECT rid, label, len(list_intersect(words, b)) AS common, len(words) AS size FROM hit WHERE telling = '' OR list_contains(b, telling)) WHERE common >= ceil({THRESHOLD} * size - 1e-9) GROUP BY rid, label
+  SELECT rid, label, max(common / CAST(size AS DOUBLE)) FILTER (told) AS best FROM (SELECT rid, label, telling = '' OR list_contains(b, telling) AS told, len(list_intersect(words, b)) AS common, len(words) AS size FROM hit) WHERE common >= ceil({THRESHOLD} * size - 1e-9) GROUP BY rid, label
 ), named AS (
-  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM found UNION ALL SELECT rid, label FROM places) GROUP BY rid
-), best AS (SELECT rid, max(best) AS best FROM found GROUP BY rid)
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM found WHERE best IS NOT NULL UNION ALL SELECT rid, label FROM places) GROUP BY rid
+), best AS (SELECT rid, max(best) AS best, string_agg(DISTINCT label, ',' ORDER BY label) AS reached FROM found GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word, CAST(base.b AS BIGINT) AS last_word,
-       coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.best, 0.0::DOUBLE) END AS score
+       coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.best, 0.0::DOUBLE) END AS score, coalesce(best.reached, '') AS reached
 FROM doc LEFT JOIN base USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)
 """

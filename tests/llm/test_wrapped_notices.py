@@ -46,3 +46,13 @@ def test_sql_sees_wrapped_notices(spark):
     got = license_scan.op10_license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
     want = duck.sql(license_scan.op10_sql())
     assert comparable(got.collect(), got.columns) == comparable(want.fetchall(), want.columns)
+
+
+def test_every_block_at_the_threshold_is_reported(spark):
+    """The LGPL notice without "lesser" is 20 of 21 words of the template: reached, though its label is gpl."""
+    notice = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    rows = [(1, notice), (2, notice.replace("GNU", "GNU Lesser")), (3, "nothing here"), (4, notice.replace(" you ", "\nyou "))]
+    got = {r["doc_id"]: (r["labels"], r["reached"]) for r in license_scan.op10_license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "lgpl" not in got[1][0] and "lgpl" in got[1][1].split(",")
+    assert "lgpl" in got[2][0].split(",") and "lgpl" in got[2][1].split(",")
+    assert got[3] == ("", "") and "lgpl" in got[4][1].split(",")
