@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -181,8 +181,10 @@ def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
     return tagged.groupBy("key").agg(F.sum("s").alias("s")).crossJoin(F.broadcast(full)).select("key", (F.col("s") / (F.col("lists") / F.lit(float(k + 1)))).alias("score"))  # one row
 
 
-def hybrid_search(docs: DataFrame, key: str, text: str, query: str, vectors: DataFrame, vector_key: str, vector: str, query_vector: list[float], k: int = 10, min_score: float = 0.0, extra_queries: list[str] | None = None) -> DataFrame:
-    legs = [top_k(bm25(docs, key, text, q), 2 * k) for q in [query, *(extra_queries or [])]]
+def hybrid_search(docs: DataFrame, key: str, text: str, query: str, vectors: DataFrame, vector_key: str, vector: str, query_vector: list[float], k: int = 10, min_score: float = 0.0, extra_queries: list[str] | None = None, lexical: Callable[[str, int], DataFrame] | None = None) -> DataFrame:
+    """Lexical and vector ranks fused; ``lexical(query, n)`` (an index's ``search``, say) replaces the scan of ``docs``."""
+    lexical = lexical or (lambda q, n: top_k(bm25(docs, key, text, q), n))
+    legs = [lexical(q, 2 * k) for q in [query, *(extra_queries or [])]]
     legs.append(top_k(vector_search(vectors, vector_key, vector, query_vector), 2 * k))
     return top_k(rrf(legs).where(F.col("score") >= min_score), k)
 

@@ -353,7 +353,27 @@ _DOC_BM25 = ["ing", "tion", "password", "license"]
 
 @query("bm25_search", _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", _DOC_BM25, "ORDER BY r / (1 + r) DESC, key LIMIT 10"))
 def _(s, d):
-    return search.top_k(search.bm25(tb.table(s, d, "documents"), "doc_id", "text", " ".join(_DOC_BM25)), 10).select("key", _r("score").alias("score"))
+    return tb.text_index(s, d).search(" ".join(_DOC_BM25), 10).select("key", _r("score").alias("score"))
+
+
+@query(
+    "text_index_terms",
+    "SELECT term, count(*) AS rows, CAST(sum(f) AS BIGINT) AS occurrences, CAST(max(f) AS INTEGER) AS most, CAST(sum(p) AS BIGINT) AS places FROM (SELECT key, term, count(*) AS f, sum(i) AS p FROM (SELECT doc_id AS key, unnest(t) AS term, unnest(range(len(t))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS t FROM documents)) GROUP BY key, term) GROUP BY term",
+)
+def _(s, d):
+    postings = tb.text_index(s, d).log.read("postings")
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return postings.groupBy("term").agg(F.count("*").alias("rows"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"), F.sum(places).alias("places"))
+
+
+@query("bm25_scan", _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", _DOC_BM25))
+def _(s, d):
+    return search.bm25(tb.table(s, d, "documents"), "doc_id", "text", " ".join(_DOC_BM25)).select("key", _r("score").alias("score"))
+
+
+@query("bm25_indexed_scores", _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", _DOC_BM25))
+def _(s, d):
+    return tb.text_index(s, d).scores(" ".join(_DOC_BM25)).select("key", _r("score").alias("score"))
 
 
 @query("bm25_search_typed", _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", ["de", "la"], "WHERE kind = 'fr' ORDER BY r / (1 + r) DESC, key LIMIT 10"))
@@ -412,7 +432,7 @@ _HYB = _bm25_sql("SELECT doc_id AS key, lang AS kind, text FROM documents", ["pa
     " SELECT key, round(sum(u.s) / ((SELECT count(DISTINCT leg) FROM u) / CAST(61 AS DOUBLE)), 6) AS score FROM u GROUP BY key ORDER BY sum(u.s) DESC, key LIMIT 10",
 )
 def _(s, d):
-    found = search.hybrid_search(tb.table(s, d, "documents"), "doc_id", "text", "password", tb.table(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d))
+    found = search.hybrid_search(tb.table(s, d, "documents"), "doc_id", "text", "password", tb.table(s, d, "embeddings"), "vec_id", "embedding", _query_vector(s, d), lexical=tb.text_index(s, d).search)
     return found.select("key", _r("score").alias("score"))
 
 

@@ -87,16 +87,23 @@ class PackSession:
     def semantic_search(self, query: str, k: int = 10, expand: bool = False, min_score: float = 0.0) -> tuple[DataFrame, str]:
         """(key, score, rank) and the tier used: vectors join in only where the graph has the embedder's model."""
         n = graph.visible(self.graph.nodes).withColumn("body", search.node_text(self.graph.nodes))
+        every = self.graph.nodes.withColumn("body", search.node_text(self.graph.nodes))
+
+        def lexical(q: str, most: int | None = None) -> DataFrame:
+            """Statistics over all rows of the graph; only visible ones are answers."""
+            scored = search.bm25(every, "id", "body", q).join(n.select(F.col("id").alias("key")), "key", "left_semi")
+            return scored if most is None else search.top_k(scored, most)
+
         extra = search.expand_query(query) if expand else []
         vectors = n.where(F.col("embedding_model") == self.model) if self.embed and self.model else None
         tier = "fts5"
         if vectors is not None and not vectors.isEmpty():
             tier += "+vec-rrf"
-            found = search.hybrid_search(n, "id", "body", query, vectors, "id", "embedding", self.embed(query), 3 * k if self.rerank else k, min_score, extra)
+            found = search.hybrid_search(n, "id", "body", query, vectors, "id", "embedding", self.embed(query), 3 * k if self.rerank else k, min_score, extra, lexical)
         elif extra:
-            found = search.top_k(search.rrf([search.top_k(search.bm25(n, "id", "body", q), 2 * k) for q in [query, *extra]]).where(F.col("score") >= min_score), k)
+            found = search.top_k(search.rrf([lexical(q, 2 * k) for q in [query, *extra]]).where(F.col("score") >= min_score), k)
         else:
-            found = search.top_k(search.bm25(n, "id", "body", query).where(F.col("score") >= min_score), k)
+            found = search.top_k(lexical(query).where(F.col("score") >= min_score), k)
         if self.rerank:
             raw = self.rerank(found.join(n.select(F.col("id").alias("key"), "body"), "key"), query)
             found = search.top_k(raw.select("key", search.sigmoid(F.col("raw")).alias("score")), k)

@@ -5,16 +5,35 @@ Regions, nations, suppliers, parts and customers are nodes; keys decide status a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
+from ..operators.text_index import TextIndex, build_index
+from .checkpoints import at_end, delete, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_indexes: dict[tuple, TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of ``documents``, built once for each session and state of the table, as an index is meant to be."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    written = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    known = (spark.sparkContext.applicationId, sf_dir, written)
+    if known not in _indexes:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        at_end(lambda: delete(spark, folder))
+        _indexes[known] = build_index(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
+    return _indexes[known]
+
+
 _NODES = [("R", "Region", "region", "r_regionkey", "r_name"), ("N", "Nation", "nation", "n_nationkey", "n_name"), ("S", "Supplier", "supplier", "s_suppkey", "s_name"), ("P", "Part", "part", "p_partkey", "p_name"), ("C", "Customer", "customer", "c_custkey", "c_name")]
 
 
