@@ -138,17 +138,8 @@ def vector_search(rows: DataFrame, key: str, vector: str, query: list[float], mo
     return rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), ((cosine(F.col(vector), q) + 1) / 2).alias("score"))
 
 
-def knn_pairs(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, threshold: float = 0.9, block: int = 512) -> DataFrame:
-    """Pairs a < b within a group whose cosine reaches the threshold and where one is among the other's k nearest.
-
-    A group is cut into blocks by key hash and every block meets every other as one task, so no task
-    holds a whole group; each task keeps only k neighbours a row.
-    """
-    spark = rows.sparkSession
-    sized = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    r = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(group).alias("g")).join(sized.select(F.col(group).alias("g"), "blocks"), "g").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = r.select("g", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "key", "v", F.lit(0).alias("side"))
-    right = r.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("blk").alias("j"), "key", "v", F.lit(1).alias("side"))
+def nearest_in_block(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The k nearest of side 1 for each row of side 0, by cosine; a row isn't its own neighbour."""
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [pdf[pdf["side"] == s].sort_values("key") for s in (0, 1)]
@@ -164,8 +155,28 @@ def knn_pairs(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, th
         out = pd.DataFrame({"key": keys[0][rows_], "other": keys[1][top.ravel()], "cos": cos[rows_, top.ravel()]})
         return out[np.isfinite(out["cos"])]
 
+    return near
+
+
+def knn_pairs(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, threshold: float = 0.9, block: int = 512) -> DataFrame:
+    """Pairs a < b within a group whose cosine reaches the threshold and where one is among the other's k nearest.
+
+    A group is cut into blocks by key hash and every block meets every other as one task, so no task
+    holds a whole group; each task keeps only k neighbours a row.
+    """
+    spark = rows.sparkSession
+    sized = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    r = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(group).alias("g")).join(sized.select(F.col(group).alias("g"), "blocks"), "g").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    left = r.select("g", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "key", "v", F.lit(0).alias("side"))
+    right = r.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("blk").alias("j"), "key", "v", F.lit(1).alias("side"))
+
     kind = dict(rows.dtypes)[key]
-    found = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(near, f"key {kind}, other {kind}, cos double")
+    found = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(nearest_in_block(k), f"key {kind}, other {kind}, cos double")
+    return mutual_pairs(found, k, threshold)
+
+
+def mutual_pairs(found: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs a < b of (key, other, cos) rows where one is among the other's k best and the cosine reaches the threshold."""
     w = Window.partitionBy("key").orderBy(F.desc("cos"), "other")
     best = found.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) & (F.col("cos") >= threshold))
     return best.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), "cos").groupBy("a", "b").agg(F.max("cos").alias("cosine"))
