@@ -1,4 +1,13 @@
-"""Communities: label propagation inside connected components, with extractive summaries."""
+"""Communities: label propagation, in tasks or by joins, with extractive summaries.
+
+Labels spread in id order: in a round a vertex sees the new labels of smaller neighbours and the old
+ones of larger neighbours. Small components are worked through one a task. A large one is solved by
+joins: a round's labels are the only solution of label(v) = commonest of (new labels of smaller
+neighbours, old labels of larger ones), since each vertex depends on smaller ones alone, and so
+starting from the old labels and recomputing the vertices whose inputs changed, until none does,
+ends at just the labels that the serial order gives. Vertices whose neighbours stand still are left
+alone, within a round and from round to round.
+"""
 
 from __future__ import annotations
 
@@ -34,29 +43,61 @@ def propagate(nodes: list[str], pairs: list[tuple[str, str]], rounds: int = ROUN
     return label
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, most_edges: int = 5_000_000) -> DataFrame:
-    """id, label. Components can't touch each other, so each runs alone; edges are undirected, loops dropped.
+def _commonest(ways: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, label: the commonest label over ``ways`` (id, far, smaller), ties to the smallest; ``labels`` has (id, old, new)."""
+    seen = ways.join(labels.select(F.col("id").alias("far"), "old", "new"), "far").select("id", F.when(F.col("smaller"), F.col("new")).otherwise(F.col("old")).alias("label"))
+    counts = seen.groupBy("id", "label").agg(F.count("*").alias("n"))
+    return counts.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("id", F.col("best.label").alias("said"))
 
-    Labels spread in id order, one after the other, so a component is one task. One of more than
-    ``most_edges`` edges is refused with its size rather than given to a task that can't hold it.
-    """
+
+def propagate_by_joins(pairs: DataFrame, rounds: int = ROUNDS, most_steps: int = 1000) -> DataFrame:
+    """id, label of all vertices of ``pairs`` (a, b), as ``propagate`` gives them, however large a component is."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("far")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("far"))).where("id <> far").distinct()
+    ways = cut(both.withColumn("smaller", F.col("far") < F.col("id")))
+    labels = cut(ways.select("id").distinct().select("id", F.col("id").alias("old"), F.col("id").alias("new")))
+    touched = None  # all of them
+    steps = 0
+    for _ in range(rounds):
+        while True:
+            asked = ways if touched is None else ways.join(touched, "id", "left_semi")
+            said = _commonest(asked, labels)
+            now = labels.join(said, "id", "left").select("id", "old", F.coalesce("said", "new").alias("next"), "new")
+            stepped = cut(now.select("id", "old", F.col("next").alias("new"), (F.col("next") != F.col("new")).alias("moved")))
+            labels, moved = stepped.select("id", "old", "new"), stepped.where("moved").select(F.col("id").alias("far"))
+            touched = cut(ways.where("smaller").join(moved, "far", "left_semi").select("id").distinct())
+            steps += 1
+            if touched.isEmpty():
+                break
+            if steps > most_steps:
+                raise RuntimeError(f"labels did not settle in {most_steps} steps")
+        changed = labels.where("old <> new").select(F.col("id").alias("far"))
+        if changed.isEmpty():
+            break
+        touched = cut(ways.where("NOT smaller").join(changed, "far", "left_semi").select("id").distinct())
+        labels = labels.select("id", F.col("new").alias("old"), "new")
+    return labels.select("id", F.col("new").alias("label"))
+
+
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, most_edges: int = 1_000_000) -> DataFrame:
+    """id, label; edges are undirected, loops dropped. A component of up to ``most_edges`` edges is one task, a larger one goes by joins."""
     from ..plans.shipping import ship
 
     ship(nodes.sparkSession)
     inside = cut(between(edges, nodes).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     parts = cut(connected_components(nodes, inside.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     placed = cut(inside.join(parts.withColumnRenamed("id", "a"), "a").select("component", "a", "b"))
-    largest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest > most_edges:
-        raise ValueError(f"a component of {largest} edges is more than one task takes ({most_edges}); thin the edge set")
-    rows = parts.select("component", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(placed)
+    large = cut(placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).select("component"))
+    rows = parts.select("component", F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(placed).join(large, "component", "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = pdf["b"].isna()
         label = propagate(sorted(pdf.loc[alone, "a"]), list(zip(pdf.loc[~alone, "a"], pdf.loc[~alone, "b"])), rounds)
         return pd.DataFrame(label.items(), columns=["id", "label"])
 
-    return rows.groupBy("component").applyInPandas(run, "id string, label string")
+    small = rows.groupBy("component").applyInPandas(run, "id string, label string")
+    if large.isEmpty():
+        return small
+    return small.unionByName(propagate_by_joins(placed.join(large, "component", "left_semi"), rounds))
 
 
 def communities(labels: DataFrame, partitions: int = 64) -> DataFrame:
@@ -76,9 +117,13 @@ def communities(labels: DataFrame, partitions: int = 64) -> DataFrame:
 
 def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame, write: Callable[[Column], Column] | None = None) -> DataFrame:
     """community_id, member_count, top_members, summary; ``write`` turns the extracted summary into another text."""
-    w = Window.partitionBy("community_id").orderBy(F.desc("degree"), "name", "id")
-    ranked = members.join(nodes.select("id", "name"), "id").join(degree(edges), "id", "left").fillna({"degree": 0}).withColumn("r", F.row_number().over(w))
-    top = ranked.groupBy("community_id").agg(F.count("*").alias("member_count"), F.array_sort(F.collect_list(F.when(F.col("r") <= TOP, F.struct("r", "name")))).alias("t"))
+    ranked = members.join(nodes.select("id", "name"), "id").join(degree(edges), "id", "left").fillna({"degree": 0})
+    place = F.struct((-F.col("degree")).alias("d"), "name", "id")
+    dealt = ranked.select("community_id", place.alias("t"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+    w = Window.partitionBy("community_id", "part").orderBy("t")  # the best of a community are among the best of its parts
+    sizes = dealt.groupBy("community_id").agg(F.count("*").alias("member_count"))
+    few = dealt.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOP).groupBy("community_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, TOP).alias("t"))
+    top = sizes.join(few, "community_id")
     a = members.select(F.col("id").alias("src"), F.col("community_id"))
     b = members.select(F.col("id").alias("dst"), F.col("community_id").alias("other"))
     inner = edges.join(a, "src").join(b, "dst").where("community_id = other").groupBy("community_id", "relation_type").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -119,6 +119,34 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def numbered_letters(text: Column) -> Column:
+    """The letters of a text as an array, each with how many of it came so far: shared elements are shared letters, counted."""
+    upto = lambda i: F.substring(text, F.lit(1), i)
+    letter = lambda i: F.substring(text, i, F.lit(1))
+    each = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(letter(i), (i - F.length(F.replace(upto(i), letter(i), F.lit("")))).cast("string")))
+    return F.when(F.length(text) > 0, each).otherwise(F.array().cast("array<string>"))
+
+
+def within_reach(named: DataFrame, nodes: DataFrame, threshold: float = NAME_RATIO) -> DataFrame:
+    """Those of (a, b, name_a, name_b) whose ratio may reach ``threshold``, by two upper bounds of it.
+
+    The ratio is 2 * matches / (both lengths), and no more can match than the shorter name has
+    letters, nor than both have of each letter.
+    """
+    a, b = F.length("name_a"), F.length("name_b")
+    near = named.where((a + b == 0) | (2.0 * F.least(a, b) / (a + b) >= threshold))
+    letters = nodes.select("id", numbered_letters(F.col("normalized_name")).alias("letters"))  # once a node, not once a pair
+    both = near.join(letters.select(F.col("id").alias("a"), F.col("letters").alias("letters_a")), "a").join(letters.select(F.col("id").alias("b"), F.col("letters").alias("letters_b")), "b")
+    shared = F.size(F.array_intersect("letters_a", "letters_b"))
+    return both.where((a + b == 0) | (2.0 * shared / (a + b) >= threshold)).select(*named.columns)
+
+
+def similar_names(named: DataFrame, nodes: DataFrame, threshold: float = NAME_RATIO) -> DataFrame:
+    """a, b, ratio of the pairs that reach ``threshold``; the ratio itself is taken where the bounds allow it only."""
+    rated = within_reach(named, nodes, threshold).select("a", "b", name_ratio("name_a", "name_b").alias("ratio"))
+    return rated.where(F.col("ratio") >= threshold)
+
+
 def pair_names(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("id", "normalized_name")
     return pairs.join(n.select(F.col("id").alias("a"), F.col("normalized_name").alias("name_a")), "a").join(n.select(F.col("id").alias("b"), F.col("normalized_name").alias("name_b")), "b")
@@ -143,8 +171,8 @@ def scan_candidates(nodes: DataFrame, aliases: DataFrame, vector_pairs: DataFram
     named = named.join(seen.select(F.col("id").alias("a"), full("keys_a")), "a").join(seen.select(F.col("id").alias("b"), full("keys_b")), "b")
     a, b = F.col("name_a"), F.col("name_b")
     inner = (a != b) & (F.least(F.length(a), F.length(b)) >= CONTAINED_LENGTH) & (F.contains(a, b) | F.contains(b, a))
-    r = name_ratio(a, b)
-    signals = named.withColumn("ratio", r).withColumn("alike", F.when(F.col("ratio") >= NAME_RATIO, F.col("ratio"))).withColumn("inside", F.when(inner, SCORES["containment"])).withColumn("alias", F.when(F.arrays_overlap("keys_a", "keys_b"), SCORES["shared alias"]))
+    alike = similar_names(named.select("a", "b", "name_a", "name_b"), seen).withColumnRenamed("ratio", "alike")
+    signals = named.join(alike, ["a", "b"], "left").withColumn("inside", F.when(inner, SCORES["containment"])).withColumn("alias", F.when(F.arrays_overlap("keys_a", "keys_b"), SCORES["shared alias"]))
     if vector_pairs is not None:
         signals = signals.join(vector_pairs.select("a", "b", F.when(F.col("cosine") >= COSINE, F.col("cosine")).alias("near")), ["a", "b"], "left")
     else:

@@ -505,6 +505,26 @@ def _(s, d):
     return _labels(s, d)[2].select("id", "community_id")
 
 
+def _near_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The embeddings as vertices; neighbours of one label, among the five nearest and alike to some degree, as edges."""
+    vectors = tb.table(s, d, "embeddings")
+    pairs = search.knn_pairs(vectors, "vec_id", "embedding", "label", threshold=0.3)
+    nodes = vectors.select(F.col("vec_id").cast("string").alias("id"))
+    return nodes, pairs.select(F.concat_ws("-", "a", "b").alias("id"), F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
+
+
+@query("neighbour_communities")
+def _(s, d):
+    return community.communities(community.label_propagation(*_near_graph(s, d))).select("id", "community_id")
+
+
+@query("neighbour_communities_joined")
+def _(s, d):
+    """The same labels by joins alone, as for components that no task can hold."""
+    nodes, edges = _near_graph(s, d)
+    return community.communities(community.label_propagation(nodes, edges, most_edges=0)).select("id", "community_id")
+
+
 @query("community_summary")
 def _(s, d):
     n, e, members = _labels(s, d)
@@ -691,8 +711,23 @@ def _(s, d):
 @query("merge_name_similarity")
 def _(s, d):
     n = _known(s, d)
-    pairs = resolve.pair_names(resolve.block_pairs(n), n)
-    return pairs.withColumn("ratio", resolve.name_ratio("name_a", "name_b")).where(F.col("ratio") >= resolve.NAME_RATIO).select("a", "b", _r("ratio").alias("ratio"))
+    return resolve.similar_names(resolve.pair_names(resolve.block_pairs(n), n), n).select("a", "b", _r("ratio").alias("ratio"))
+
+
+_SHARED = "list_sum(list_transform(list_distinct(string_split(x.t, '')), lambda c: least(length(x.t) - length(replace(x.t, c, '')), length(y.t) - length(replace(y.t, c, '')))))"
+
+
+@query(
+    "merge_name_bounds",
+    _BLOCK + f", m AS (SELECT x.t AS p, y.t AS q, length(x.t) + length(y.t) AS n, least(length(x.t), length(y.t)) AS short, {_SHARED} AS shared FROM pair JOIN vis x ON x.id = a JOIN vis y ON y.id = b)"
+    f" SELECT count(*) AS pairs, count(*) FILTER (n = 0 OR 2.0::DOUBLE * shared / n >= {resolve.NAME_RATIO}) AS rated FROM m",
+)
+def _(s, d):
+    """How many blocked pairs the bounds leave for the ratio."""
+    n = _known(s, d)
+    named = resolve.pair_names(resolve.block_pairs(n), n)
+    rated = resolve.within_reach(named, n).agg(F.count("*").alias("rated"))
+    return named.agg(F.count("*").alias("pairs")).crossJoin(F.broadcast(rated))  # one row each
 
 
 @query("merge_candidates")

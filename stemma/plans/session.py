@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import community, graph, search
+from ..operators import community, leiden, graph, search
 
 TABLES = {
     "nodes": "id string, entity_type string, name string, normalized_name string, aliases array<string>, properties map<string,string>, status string, confidence double, embedding array<float>, embedding_model string, created_ts double",
@@ -111,11 +111,11 @@ class PackSession:
 
 
 def detect_communities(nodes: DataFrame, edges: DataFrame, method: str = "auto", resolution: float | None = None) -> DataFrame:
-    """Label propagation; the optional community libraries' methods are refused by name where they are missing."""
+    """id, label, community_id by label propagation (``auto``), ``leiden`` (modularity) or ``cpm`` at a resolution."""
+    if method == "cpm" and not (resolution and resolution > 0):
+        raise ValueError("cpm needs a resolution above zero")
     if method in ("leiden", "cpm"):
-        if method == "cpm" and not (resolution and resolution > 0):
-            raise ValueError("cpm needs a resolution above zero")
-        raise NotImplementedError(f"method {method!r} needs igraph and leidenalg, which aren't installed")
+        return community.communities(leiden.leiden(nodes, edges, resolution if method == "cpm" else None))
     if method not in ("auto", "label_propagation"):
         raise ValueError(f"unknown method {method!r}")
     return community.communities(community.label_propagation(nodes, edges))

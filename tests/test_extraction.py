@@ -104,7 +104,7 @@ def test_driver_side_helpers(loaded):
     assert S.read_intent({"action": "build_pack", "params": {"name": " p ", "z": 1}}) == ("build_pack", {"name": "p"}, True)
     assert S.read_intent({"action": "rm"}) == ("unknown", {}, False)
     g, _ = loaded
-    with pytest.raises(NotImplementedError, match="leiden"):
-        S.detect_communities(g.nodes, g.edges, "leiden")
+    with pytest.raises(ValueError, match="louvain"):
+        S.detect_communities(g.nodes, g.edges, "louvain")
     with pytest.raises(ValueError):
         S.detect_communities(g.nodes, g.edges, "cpm")
