@@ -34,11 +34,26 @@ def eppo_registry(spark: SparkSession, path: str) -> DataFrame:
     return build_registry(import_eppo(spark, path).select(surface_key(F.col("name")).alias("surface"), "code").where("surface <> '' AND code <> ''"))
 
 
+def read_pubchem(spark: SparkSession, path: str) -> DataFrame:
+    """cid, surface of a dump of ``CID<TAB>synonym`` lines (gzip or not); another line is an error."""
+    parts = F.split("value", "\t")
+    cid, surface = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+    fault = F.when(F.size(parts) != 2, "not CID<TAB>synonym").when(~cid.rlike("^[0-9]+$"), "CID isn't a number").when(surface == "", "empty synonym")
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(": "), "value")).cast("string"))
+    return spark.read.text(path).select(F.coalesce(checked, cid).alias("cid"), surface.alias("surface"))
+
+
 def import_pubchem(synonyms: DataFrame) -> DataFrame:
-    """surface, code: synonyms (cid, surface) joined by compound to its one valid CAS number; a surface of two codes is an error."""
-    cas = synonyms.where(cas_valid(F.col("surface"))).select("cid", F.col("surface").alias("code")).distinct()
-    single = cas.groupBy("cid").agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n = 1").select("cid", "code")
-    return build_registry(synonyms.join(single, "cid").select("surface", "code"))
+    """surface (folded), code: synonyms (cid, surface) joined by compound to its CAS number.
+
+    A compound of two valid CAS numbers, a surface of two codes and a synonym that folds to nothing
+    are errors; compounds without a CAS number have no rows.
+    """
+    cas = synonyms.where(cas_valid(F.col("surface"))).groupBy("cid").agg(F.min("surface").alias("code"), F.max("surface").alias("other"))
+    one = F.when(F.col("code") == F.col("other"), F.col("code")).otherwise(F.raise_error(F.concat(F.lit("several CAS numbers for compound "), F.col("cid").cast("string"))).cast("string"))
+    key = surface_key(F.col("surface"))
+    folded = F.when(key != "", key).otherwise(F.raise_error(F.concat(F.lit("synonym without letters: "), "surface")).cast("string"))
+    return build_registry(synonyms.select("cid", folded.alias("surface")).join(cas.select("cid", one.alias("code")), "cid").select("surface", "code"))
 
 
 def resolve(rows: DataFrame, registry: DataFrame, surface: str = "surface") -> DataFrame:
