@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import papers, registry
+from ..sources import papers, reader, registry
 from . import testbed as tb
 from .catalogue import query
 
@@ -13,7 +13,7 @@ from .catalogue import query
 _PAYLOADS = {
     "crossref": ("named_struct('message', named_struct('items', array(named_struct('DOI', doi, 'URL', concat('https://c.org/', doc_id), 'title', array(title), 'abstract', text))))", "'https://c.org/' || doc_id"),
     "semanticscholar": ("named_struct('data', array(named_struct('title', title, 'abstract', text, 'url', concat('https://s.org/', doc_id), 'externalIds', named_struct('DOI', doi))))", "'https://s.org/' || doc_id"),
-    "europepmc": ("named_struct('resultList', named_struct('result', array(named_struct('id', cast(doc_id as string), 'source', 'MED', 'title', title, 'abstractText', text, 'doi', doi))))", "'https://europepmc.org/article/MED/' || doc_id"),
+    "europepmc": ("named_struct('resultList', named_struct('result', array(named_struct('id', cast(doc_id as string), 'source', 'MED', 'title', title, 'abstractText', text, 'doi', doi))))", "'https://doi.org/' || doi"),
     "biorxiv": ("named_struct('collection', array(named_struct('doi', doi, 'title', title, 'abstract', text)))", "'https://doi.org/' || doi"),
     "clinicaltrials": ("named_struct('studies', array(named_struct('protocolSection', named_struct('identificationModule', named_struct('nctId', concat('NCT', doc_id), 'briefTitle', title), 'descriptionModule', named_struct('briefSummary', text)))))", "'https://clinicaltrials.gov/study/NCT' || doc_id"),
     "elsevier": ("named_struct('search-results', named_struct('entry', array(named_struct('dc:title', title, 'dc:description', text, 'prism:doi', doi, 'prism:url', concat('https://e.org/', doc_id)))))", "'https://e.org/' || doc_id"),
@@ -47,6 +47,31 @@ for _source, (_payload, _uri) in _PAYLOADS.items():
     _register(_source, _payload, _uri)
 
 
+#: Every document is one source's page: some sources aren't known, some pages weren't fetched, some are cut off.
+_ORDER = [*_PAYLOADS, "unheard-of"]
+_PAGES = f"p AS (SELECT doc_id AS page, ({_ORDER!r})[CAST(doc_id % {len(_ORDER)} AS INTEGER) + 1] AS source, doc_id % 17 = 0 AS unfetched, doc_id % 13 = 0 AS broken, text FROM documents WHERE text IS NOT NULL)".replace("(['", "['").replace("'])[", "'][")
+_FAULT = "CASE WHEN source = 'unheard-of' THEN 'unsupported' WHEN unfetched THEN 'fetch_failed' WHEN broken THEN 'unreadable' END"
+
+
+def _read(s, d):
+    rows = _papers(s, d)
+    source = F.element_at(F.array(*[F.lit(x) for x in _ORDER]), (F.col("doc_id") % len(_ORDER)).cast("int") + 1)
+    payload = F.coalesce(*[F.when(source == name, F.to_json(F.expr(p))) for name, (p, _uri) in _PAYLOADS.items()], F.lit("{}"))
+    whole = F.when(F.col("doc_id") % 13 == 0, F.substring(payload, 1, 40)).otherwise(payload)
+    error = F.when(F.col("doc_id") % 17 == 0, "fetch_failed")
+    return reader.read_payloads(rows.select(source.alias("source"), F.col("doc_id").alias("page"), whole.alias("payload"), error.alias("error")))
+
+
+@query("source_failures", f"WITH {_PAGES} SELECT source, page, {_FAULT} AS failure FROM p WHERE {_FAULT} IS NOT NULL")
+def _(s, d):
+    return _read(s, d)[1]
+
+
+@query("source_records", f"WITH {_PAGES} SELECT source, count(*) AS records, CAST(sum(page) AS BIGINT) AS pages FROM p WHERE {_FAULT} IS NULL AND (source NOT IN ('searxng', 'clinicaltrials') OR trim(text) <> '') GROUP BY source")
+def _(s, d):
+    return _read(s, d)[0].groupBy("source").agg(F.count("*").alias("records"), F.sum("page").alias("pages"))
+
+
 _CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0D\\x0E-\\x1F]"
 
 

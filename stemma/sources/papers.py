@@ -21,17 +21,25 @@ def _record(rows: DataFrame, source: str, title: Column, abstract: Column, uri:
     d = normalize_doi(doi)
     link = F.coalesce(F.when(uri != "", uri), F.concat(F.lit("https://doi.org/"), d))
     kind = kind if kind is not None else F.lit(None).cast("string")
-    out = rows.select(F.lit(source).alias("source"), title.alias("title"), text.alias("text"), link.alias("source_uri"), d.alias("doi"), evidence_grade(F.lit(source), kind, pub).alias("evidence_grade"))
+    carried = [c for c in ("page", "pos") if c in rows.columns]
+    out = rows.select(*carried, F.lit(source).alias("source"), title.alias("title"), text.alias("text"), link.alias("source_uri"), d.alias("doi"), evidence_grade(F.lit(source), kind, pub).alias("evidence_grade"))
     return out.where((F.col("text") != "") & F.col("source_uri").isNotNull())
 
 
 def _items(payloads: DataFrame, schema: str, path: str) -> DataFrame:
-    return payloads.select(F.from_json("payload", schema).alias("p")).select(F.explode(F.col(f"p.{path}")).alias("r"))
+    return _each(payloads, F.from_json("payload", schema), F.col(f"p.{path}"))
+
+
+def _each(payloads: DataFrame, parsed: Column, items: Column) -> DataFrame:
+    """A row ``r`` for each item; rows that are told apart by ``page`` keep it, with the item's place in it."""
+    if "page" not in payloads.columns:
+        return payloads.select(parsed.alias("p")).select(F.explode(items).alias("r"))
+    return payloads.select("page", parsed.alias("p")).select("page", F.posexplode(items).alias("pos", "r"))
 
 
 def parse_arxiv(payloads: DataFrame) -> DataFrame:
     schema = "entry array<struct<id: string, title: string, summary: string>>"
-    rows = payloads.select(F.from_xml(F.regexp_replace("payload", r'\sxmlns(:\w+)?="[^"]*"', ""), schema, {"rowTag": "feed"}).alias("p")).select(F.explode("p.entry").alias("r")).where("trim(r.id) <> ''")
+    rows = _each(payloads, F.from_xml(F.regexp_replace("payload", r'\sxmlns(:\w+)?="[^"]*"', ""), schema, {"rowTag": "feed"}), F.col("p.entry")).where("trim(r.id) <> ''")
     return _record(rows, "arxiv", F.col("r.title"), F.col("r.summary"), F.trim("r.id"), F.lit(None).cast("string"))
 
 
@@ -57,18 +65,47 @@ def parse_semanticscholar(payloads: DataFrame) -> DataFrame:
 
 
 def parse_europepmc(payloads: DataFrame) -> DataFrame:
-    rows = _items(payloads, "resultList struct<result: array<struct<id: string, source: string, title: string, abstractText: string, doi: string, pubType: string, pmcid: string, inEPMC: string>>>", "resultList.result")
-    uri = F.concat(F.lit("https://europepmc.org/article/"), F.col("r.source"), F.lit("/"), F.col("r.id"))
-    return _record(rows, "europepmc", F.col("r.title"), F.col("r.abstractText"), uri, F.col("r.doi"), F.col("r.source"), F.col("r.pubType"))
+    """A record's address is its DOI's where it has one; see ``europepmc_links`` for its texts."""
+    rows = _europepmc(payloads)
+    r = F.col("r")
+    doi = F.trim(F.coalesce(r["doi"], F.lit("")))
+    uri = F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise(F.concat(F.lit("https://europepmc.org/abstract/"), r["source"], F.lit("/"), r["id"]))
+    return _record(rows, "europepmc", r["title"], r["abstractText"], uri, r["doi"], r["source"], r["pubType"])
+
+
+def _europepmc(payloads: DataFrame) -> DataFrame:
+    return _items(payloads, "resultList struct<result: array<struct<id: string, source: string, title: string, abstractText: string, doi: string, pubType: string, pmcid: string, inEPMC: string, fullTextUrlList: struct<fullTextUrl: array<struct<documentStyle: string, availability: string, url: string>>>>>>", "resultList.result")
+
+
+def europepmc_links(payloads: DataFrame) -> DataFrame:
+    """id, doi, pdf_url (the first open-access PDF listed) and fulltext_url (where the service itself holds the text)."""
+    is_ = lambda c, v: F.lower(F.trim(c)) == v
+    open_pdf = F.filter("r.fullTextUrlList.fullTextUrl", lambda x: is_(x["documentStyle"], "pdf") & is_(x["availability"], "open access"))
+    own = europepmc_fulltext(F.trim(F.col("r.pmcid")), F.upper(F.trim(F.col("r.inEPMC"))))
+    return _europepmc(payloads).select("r.id", normalize_doi(F.col("r.doi")).alias("doi"), F.get(open_pdf, F.lit(0))["url"].alias("pdf_url"), own.alias("fulltext_url"))
 
 
 def europepmc_fulltext(pmcid: Column, in_epmc: Column) -> Column:
     return F.when((in_epmc == "Y") & pmcid.rlike(r"^PMC\d{1,12}$"), F.concat(F.lit("https://www.ebi.ac.uk/europepmc/webservices/rest/"), pmcid, F.lit("/fullTextXML")))
 
 
-def parse_biorxiv(payloads: DataFrame, query: str | None = None) -> DataFrame:
-    """With a query, records that share one of its terms of three characters or more."""
-    rows = _items(payloads, "collection array<struct<doi: string, title: string, abstract: string>>", "collection")
+#: The service has no search: a window of so many days is read and filtered here.
+BIORXIV_DAYS = 28
+
+
+def biorxiv_window(today: Column) -> tuple[Column, Column]:
+    """First and last day of the window."""
+    return F.date_sub(today, BIORXIV_DAYS), F.to_date(today)
+
+
+def parse_biorxiv(payloads: DataFrame, query: str | None = None, today: str | None = None) -> DataFrame:
+    """With a query, records that share one of its terms of three characters or more (none, if it has no such term);
+    with a day, those dated within the window before it (undated ones stay)."""
+    rows = _items(payloads, "collection array<struct<doi: string, title: string, abstract: string, date: string>>", "collection")
+    if today is not None:
+        first, last = biorxiv_window(F.lit(today).cast("date"))
+        day = F.expr("try_cast(r.date AS date)")
+        rows = rows.where(day.isNull() | day.between(first, last))
     out = _record(rows, "biorxiv", F.col("r.title"), F.col("r.abstract"), F.concat(F.lit("https://doi.org/"), F.col("r.doi")), F.col("r.doi"))
     if query is None:
         return out
@@ -78,7 +115,7 @@ def parse_biorxiv(payloads: DataFrame, query: str | None = None) -> DataFrame:
 
 def parse_pubmed(payloads: DataFrame) -> DataFrame:
     schema = "PubmedArticle array<struct<MedlineCitation: struct<PMID: string, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<string>>>>, PubmedData: struct<ArticleIdList: struct<ArticleId: array<struct<_IdType: string, _VALUE: string>>>>>>"
-    rows = payloads.select(F.from_xml("payload", schema, {"rowTag": "PubmedArticleSet"}).alias("p")).select(F.explode("p.PubmedArticle").alias("r"))
+    rows = _each(payloads, F.from_xml("payload", schema, {"rowTag": "PubmedArticleSet"}), F.col("p.PubmedArticle"))
     article = "r.MedlineCitation.Article"
     doi = F.get(F.filter("r.PubmedData.ArticleIdList.ArticleId", lambda x: x["_IdType"] == "doi"), F.lit(0))["_VALUE"]
     uri = F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("r.MedlineCitation.PMID"), F.lit("/"))
@@ -111,9 +148,9 @@ def parse_core(payloads: DataFrame) -> DataFrame:
 
 def parse_searxng(payloads: DataFrame, limit: int = 5) -> DataFrame:
     """Results with an abstract, ``limit`` at most a response."""
-    rows = payloads.select(F.from_json("payload", "results array<struct<url: string, title: string, content: string, doi: string>>").alias("p"))
+    parsed = F.from_json("payload", "results array<struct<url: string, title: string, content: string, doi: string>>")
     kept = F.slice(F.filter("p.results", lambda x: F.trim(F.coalesce(x["content"], F.lit(""))) != ""), 1, limit)
-    return _record(rows.select(F.explode(kept).alias("r")), "searxng", F.col("r.title"), F.col("r.content"), F.col("r.url"), F.col("r.doi"))
+    return _record(_each(payloads, parsed, kept), "searxng", F.col("r.title"), F.col("r.content"), F.col("r.url"), F.col("r.doi"))
 
 
 PARSERS = {"arxiv": parse_arxiv, "crossref": parse_crossref, "openalex": parse_openalex, "semanticscholar": parse_semanticscholar, "europepmc": parse_europepmc, "biorxiv": parse_biorxiv, "pubmed": parse_pubmed, "clinicaltrials": parse_clinicaltrials, "elsevier": parse_elsevier, "springer": parse_springer, "core": parse_core, "searxng": parse_searxng}
