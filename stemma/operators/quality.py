@@ -192,6 +192,8 @@ def bootstrap_f1(tp: int, fp: int, fn: int, draws: int = 2000, seed: int = 7) ->
     total = tp + fp + fn
     if not total:
         return 1.0, 1.0
+    if total >= 2**32:
+        raise ValueError("more outcomes than a 32-bit draw can tell apart")
     state = random.Random(seed).getstate()[1]
     source = np.random.MT19937()
     source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
@@ -205,19 +207,30 @@ def bootstrap_f1(tp: int, fp: int, fn: int, draws: int = 2000, seed: int = 7) ->
         hits += np.bincount(sample[drawn < tp], minlength=draws)
         misses += np.bincount(sample[drawn >= tp], minlength=draws)
         done += len(drawn)
+    return interval_of(hits, misses)
+
+
+def interval_of(hits: np.ndarray, misses: np.ndarray) -> tuple[float, float]:
+    """The percentile interval (95 %) of the samples' F1, to four places."""
+    draws = len(hits)
     f1 = np.sort(2 * hits / (2 * hits + misses))
     low, high = int((1 - 0.95) / 2 * draws), min(draws - 1, int((1 - (1 - 0.95) / 2) * draws) - 1)
     return round(float(f1[low]), 4), round(float(f1[high]), 4)
 
 
-def bootstrap_interval(counts: DataFrame) -> DataFrame:
-    """low and high for each row of (tp, fp, fn); the resampling needs only the counts."""
+#: Draws up to which a bootstrap is one task; a larger one takes a task for each stretch of the stream.
+SERIAL_DRAWS = 1 << 26
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(int(r.tp), int(r.fp), int(r.fn), *bootstrap_f1(int(r.tp), int(r.fp), int(r.fn))) for r in pdf.itertuples()], columns=["tp", "fp", "fn", "low", "high"])
 
-    return counts.select("tp", "fp", "fn").mapInPandas(run, "tp long, fp long, fn long, low double, high double")
+def bootstrap_interval(counts: DataFrame) -> DataFrame:
+    """low and high for each row of (tp, fp, fn), a row an evaluation; the resampling needs only the counts."""
+    from .bootstrap import spread_bootstrap
+
+    spark = counts.sparkSession
+    asked = {tuple(map(int, r)) for r in counts.select("tp", "fp", "fn").distinct().collect()}
+    spread = [(c, spread_bootstrap(spark, *c)) for c in sorted(asked) if 2000 * sum(c) > SERIAL_DRAWS]
+    rows = [(*c, *found) for c, found in spread] + [(*c, *bootstrap_f1(*c)) for c in sorted(asked - {c for c, _ in spread})]
+    return spark.createDataFrame(rows, "tp long, fp long, fn long, low double, high double")
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
