@@ -41,7 +41,7 @@ def test_stages(spark, folder):
         kept[name] = {r["doc_id"]: r["text"] for r in said.collect()}
         assert set(kept[name]) <= set(before)
     assert {42, 43}.isdisjoint(kept["language_id"]) and set(range(40)) <= set(kept["language_id"])
-    after = kept["simhash_near_dedup"]
+    after = kept["near_dedup"]
     assert 40 not in after and 3 in after
     fps = {k: simhash.fingerprint(t) for k, t in after.items()}
     assert all(bin(fps[a] ^ fps[b]).count("1") > 4 for a in fps for b in fps if a < b)
@@ -57,3 +57,40 @@ def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).toPandas()
     assert rows.groupby("sequence_id").length.sum().max() <= 1024
     assert set(range(40)) <= set(rows.doc_id)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, piece int, component_id long"
+
+
+def odd_folder(spark, folder, rows):
+    spark.createDataFrame([(k, t, lang, None, None, 0.5, 1, 2) for k, t, lang in rows], ODD).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, text("en", 7777, 15)), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    folder = odd_folder(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0, name
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_repeated_null_and_very_long_rows(spark, tmp_path):
+    long = text("en", 5, 60_000)
+    rows = [(i, text(("en", "fr")[i % 2], i), ("en", "fr")[i % 2]) for i in range(24)]
+    rows += [(3, rows[3][1], "fr"), (3, text("en", 90), "en"), (None, text("en", 91), "en"), (None, text("fr", 92), None), (50, long, "en"), (51, None, None), (52, "", "en"), (53, "123 !!!", "en")]
+    folder = odd_folder(spark, tmp_path, rows)
+    out = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        from stemma.llm.common import persist_table
+
+        out = persist_table(stage(spark, out, folder), name)
+        assert out.columns == corpus_pipeline.COLUMNS
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    ids = sorted(k for k, _ in kept if k is not None)
+    assert ids == [*range(24), 50] and dict(kept)[50] == long  # of the rows of document 3 one stays
+    assert sorted(t for k, t in kept if k is None) == sorted([text("en", 91), text("fr", 92)])
+    assert all(dict(kept)[k] == t for k, t, _ in rows[:24] if k != 3) and dict(kept)[3] in (rows[3][1], text("en", 90))
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, folder).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 1024 and packed[packed.doc_id == 50].length.sum() > 60_000
