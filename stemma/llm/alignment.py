@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, drop_table, persist_table, rows_to_batch, trim_worker, worker_cache
+from .common import _arrow_schema, persist_table, rows_to_batch, trim_worker, worker_cache
 from .tokens import _SAFE_CUT, PieceEncoder, default_path, slices
 
 #: Pieces either encoder remembers, and ids that these may have in all, before it starts afresh.
