@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
@@ -49,35 +49,11 @@ def query_phrases(query: str) -> list[list[str]]:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl (tokens of the row), term, tf. Kept and joined, it is the search index."""
+    """key, dl (tokens of the row), term, tf (see ``text_index`` for a kept index)."""
     t = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).select("key", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return t.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 256) -> None:
-    """The search index: postings dealt by term (a query reads its terms' folders only), and row lengths with their totals."""
-    rows = postings(docs, key, text).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("shard").sortWithinPartitions("term").write.mode("error").partitionBy("shard").parquet(f"{path}/postings")
-    lengths = docs.select(F.size(tokens(F.coalesce(text, F.lit("")))).alias("dl"))
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).write.mode("error").parquet(f"{path}/stats")
-
-
-def bm25_indexed(spark: SparkSession, path: str, query: str, buckets: int = 256) -> DataFrame:
-    """``bm25`` from a written index: only the terms' postings are read. Phrases need the rows' texts and are refused."""
-    phrases = query_phrases(query)
-    if any(len(p) > 1 for p in phrases):
-        raise ValueError("an index of terms answers no phrases")
-    terms = spark.createDataFrame([(p[0],) for p in phrases], "term string")
-    shards = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
-    words = [p[0] for p in phrases]
-    hits = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(shards) & F.col("term").isin(words))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = spark.read.parquet(f"{path}/stats")
-    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row a term; one row
-    scored = rows.groupBy("key").agg(F.sum(_weight(F.col("tf"), F.col("n"), F.col("df"), F.col("dl"), F.col("avg_dl"))).alias("r"))
-    return scored.select("key", (F.col("r") / (1 + F.col("r"))).alias("score"))
-
-
 def _weight(tf: Column, n: Column, df: Column, dl: Column, avg_dl: Column) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)

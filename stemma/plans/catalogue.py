@@ -565,9 +565,12 @@ def _(s, d):
     return graph.candidate_neighbours(_candidates(s), tb.nodes(s, d), "N3")
 
 
-@query("json_projection", "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("json_projection", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS alias, CAST(event_id % 7 AS INTEGER) AS start, CAST(NULL AS INTEGER) AS broken_end FROM events")
 def _(s, d):
-    return tb.table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    number = F.col("event_id").cast("string")
+    rows = tb.table(s, d, "events").select("event_id", F.col("props").alias("properties_json"), F.to_json(F.array("event_type")).alias("aliases_json"), F.concat(F.lit('{"start": '), (F.col("event_id") % 7).cast("string"), F.lit(', "end": "x'), number, F.lit('"}')).alias("source_span"))
+    nested = graph.project_nodes(rows)
+    return nested.select("event_id", F.col("properties")["k"].alias("k"), F.get("aliases", F.lit(0)).alias("alias"), F.col("span.start").alias("start"), F.col("span.end").alias("broken_end"))
 
 
 @query("citing_documents", with_sql(NODES_SQL) + ", cite AS (SELECT id, source_doc AS doc_id FROM kg_nodes WHERE k % 3 = 0 UNION SELECT id, (source_doc + 5) % 97 FROM kg_nodes WHERE k % 3 = 0) SELECT n.id, coalesce(c.docs, CAST(source_doc AS VARCHAR)) AS source_documents FROM kg_nodes n LEFT JOIN (SELECT id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM cite GROUP BY id) c USING (id)")
@@ -947,18 +950,79 @@ def _unescaped(x: str) -> str:
     return x
 
 
-@query(
-    "html_to_text",
+_HTML = (
     "WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script[^>]*>.*?</script|style[^>]*>.*?</style)\\s*>', '', 'g') AS h FROM pages),"
     " t AS (SELECT page_id, regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1) AS title, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<(?:head|noscript|template|svg)\\b.*?</(?:head|noscript|template|svg)\\s*>', '', 'g') AS h FROM p),"
     " b AS (SELECT page_id, title, regexp_replace(regexp_replace(regexp_replace(h, '>\\s+<', '><', 'g'), '(?i)</?(?:" + "|".join(sorted(T.BREAKS)) + ")(?:\\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM t),"
-    f" l AS (SELECT page_id, nullif(trim({_unescaped('title')}), '') AS title, list_transform(string_split({_unescaped('h')}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS lines FROM b)"
-    " SELECT page_id, title, trim(regexp_replace(array_to_string(lines, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM l",
+    f" l AS (SELECT page_id, nullif(trim({_unescaped('title')}), '') AS title, list_transform(string_split({_unescaped('h')}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS lines FROM b),"
+    " x AS (SELECT page_id, title, trim(regexp_replace(array_to_string(lines, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM l)"
 )
+
+
+@query("html_to_text", _HTML + " SELECT page_id, title, text FROM x")
 def _(s, d):
     return tb.table(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t")).select("page_id", "t.title", "t.text")
 
 
+#: Hosts with several pages are allowed; addresses have no user or port.
+_WEB = _HTML + ", u AS (SELECT pages.*, x.title, x.text, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1)) AS n FROM pages JOIN x USING (page_id)), o AS (SELECT *, CASE WHEN url NOT LIKE 'https://%' OR n < 3 THEN 'refused' WHEN text = '' THEN 'no_text' END AS failure FROM u)"
+
+
+def _web(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    pages = tb.table(s, d, "pages")
+    hosts = pages.groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n")).where("n >= 3").collect()  # an allowlist
+    return pages, [r["host"] for r in hosts]
+
+
+@query("web_documents", _WEB + " SELECT url AS source_uri, coalesce(title, url) AS title, md5(text) AS text_md5 FROM o WHERE failure IS NULL")
+def _(s, d):
+    return docs_.read_pages(*_web(s, d)).select("source_uri", "title", F.md5("text").alias("text_md5"))
+
+
+@query("web_failures", _WEB + " SELECT url, failure FROM o WHERE failure IS NOT NULL")
+def _(s, d):
+    return docs_.page_failures(*_web(s, d))
+
+
+def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders by price as a ranked answer; every fifth order number is what was expected."""
+    orders = tb.table(s, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), "o_totalprice")
+    ranked = orders.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("o_totalprice"), "id")))
+    return ranked.select("query", "id", "rank"), orders.where("id % 5 = 0").select("query", "id")
+
+
+@query(
+    "retrieval_metrics",
+    "WITH r AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), b AS (SELECT query, min(rank) AS rank FROM r WHERE id % 5 = 0 GROUP BY query)"
+    " SELECT round(avg(CAST(rank <= 5 AS INTEGER)), 6) AS hit_at_k, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM b",
+)
+def _(s, d):
+    return quality.retrieval_metrics(*_ranked(s, d)).select(_r("hit_at_k").alias("hit_at_k"), _r("mrr").alias("mrr"))
+
+
+_FRESH = "l AS (SELECT 'P' || l_partkey AS p, 'S' || l_suppkey AS q, CAST(l_linenumber AS DOUBLE) / 10 AS score, l_orderkey AS o FROM lineitem), known AS (SELECT DISTINCT p AS a, q AS b, 0.5::DOUBLE AS score, 'dismissed' AS status FROM l WHERE o % 4 = 0), fresh AS (SELECT p AS a, q AS b, max(score) AS score FROM l WHERE o % 4 <> 0 GROUP BY ALL)"
+
+
+def _recorded(s: SparkSession, d: str) -> DataFrame:
+    """Parts and their suppliers as candidates, fresh ones in either order; those of every fourth order were dismissed before."""
+    line = tb.table(s, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("p"), F.concat(F.lit("S"), "l_suppkey").alias("q"), (F.col("l_linenumber") / 10).alias("score"), "l_orderkey", "l_linenumber")
+    known = line.where("l_orderkey % 4 = 0").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct().select("a", "b", F.lit(0.5).alias("score"), F.lit("dismissed").alias("status"))
+    turned = F.col("l_linenumber") % 2 == 0
+    fresh = line.where("l_orderkey % 4 <> 0").select(F.when(turned, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(turned, F.col("p")).otherwise(F.col("q")).alias("b"), "score")
+    return resolve.record_candidates(known, fresh)
+
+
+@query("record_candidates", f"WITH {_FRESH} SELECT * FROM known UNION ALL SELECT *, 'proposed' FROM fresh ANTI JOIN known USING (a, b)")
+def _(s, d):
+    return _recorded(s, d).select("a", "b", "score", "status")
+
+
+@query("dismiss_candidates", f"WITH {_FRESH}, c AS (SELECT * FROM known UNION ALL SELECT *, 'proposed' FROM fresh ANTI JOIN known USING (a, b)) SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'proposed' AND length(a) % 2 = 0 THEN 'dismissed' ELSE status END AS status FROM c) GROUP BY status")
+def _(s, d):
+    c = _recorded(s, d)
+    return resolve.dismiss(c, c.where("length(a) % 2 = 0")).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("doi_normalize", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '10.1/ab' || doc_id WHEN 1 THEN '10.1/ab' || doc_id WHEN 2 THEN NULL WHEN 3 THEN '10.1/ab' || doc_id ELSE NULL END AS doi FROM documents")
 def _(s, d):
     k = F.col("doc_id").cast("string")

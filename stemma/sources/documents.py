@@ -27,14 +27,25 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 WEB_BYTES = 5 << 20
 
 
-def read_pages(pages: DataFrame, hosts: list[str]) -> DataFrame:
-    """Web documents of (url, html): https pages of the allowed hosts, 5 MiB at most, with text in them."""
+def _outcomes(pages: DataFrame, hosts: list[str]) -> DataFrame:
+    """url, page (title, text) and failure of (url, html); only pages that may be read are parsed."""
     from ..functions.text import html_to_text
     from .papers import allowed
 
-    kept = pages.where(allowed(F.col("url"), hosts) & (F.octet_length("html") <= WEB_BYTES))
-    read = kept.select(F.lit("web").alias("source_kind"), F.col("url").alias("source_uri"), html_to_text(F.col("html")).alias("page"))
-    return read.select("source_kind", "source_uri", F.coalesce("page.title", "source_uri").alias("title"), "page.text").where("text <> ''")
+    fault = F.when(~allowed(F.col("url"), hosts), "refused").when(F.col("html").isNull(), "not_fetched").when(F.octet_length("html") > WEB_BYTES, "too_large")
+    read = pages.select("url", fault.alias("fault"), html_to_text(F.when(fault.isNull(), F.col("html"))).alias("page"))
+    return read.select("url", "page", F.coalesce("fault", F.when(F.col("page.text") == "", "no_text")).alias("failure"))
+
+
+def read_pages(pages: DataFrame, hosts: list[str]) -> DataFrame:
+    """Web documents of (url, html): https pages of the allowed hosts, 5 MiB at most, with text in them."""
+    good = _outcomes(pages, hosts).where("failure IS NULL")
+    return good.select(F.lit("web").alias("source_kind"), F.col("url").alias("source_uri"), F.coalesce("page.title", "url").alias("title"), "page.text")
+
+
+def page_failures(pages: DataFrame, hosts: list[str]) -> DataFrame:
+    """url and failure of the pages that ``read_pages`` leaves out: refused, not_fetched, too_large, no_text."""
+    return _outcomes(pages, hosts).where("failure IS NOT NULL").select("url", "failure")
 
 
 def first_by_hash(docs: DataFrame, order: str, text: str = "text") -> DataFrame:

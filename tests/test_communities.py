@@ -74,11 +74,11 @@ def test_ring_of_triangles(spark):
 
 def test_cliques_a_star_and_a_lone_vertex(spark):
     clique = lambda name: [(f"{name}{i}", f"{name}{j}") for i in range(5) for j in range(i)]
-    pairs = clique("a") + clique("b") + [("a0", "b0")] + [("s", f"leaf{i:02d}") for i in range(30)]
+    pairs = clique("a") + clique("b") + [("a0", "b0")] + [("s", f"leaf{i:02d}") for i in range(12)]
     nodes, edges = graph(spark, pairs, ["lone"])
     groups = sorted(map(sorted, grouped(leiden.leiden(nodes, edges, resolution=0.4))), key=lambda g: (-len(g), g))
     assert groups[:2] == [[f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]] and ["lone"] in groups
-    assert Counter(len(g) for g in groups if g[0].startswith("leaf"))[1] >= 26  # a star isn't a dense group
+    assert Counter(len(g) for g in groups if g[0].startswith("leaf"))[1] > 8  # a star isn't a dense group
     by_modularity = grouped(leiden.leiden(nodes, edges))
     connected(by_modularity, pairs)
     assert {f"a{i}" for i in range(5)} in by_modularity and len(by_modularity) == 4

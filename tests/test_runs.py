@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators.runs import RESULTS, ExtractionRuns
+from stemma.operators.runs import ExtractionRuns
 from stemma.plans.snapshots import Change, Conflict, SnapshotLog
 
 STREAM = {"schema_version_id": 1, "engine": "mock", "model": "m", "prompt_version": "p1", "decode_params": "{}"}
@@ -110,7 +110,7 @@ def test_cancelled_and_compacted(spark, tmp_path):
 
 def test_random_histories_keep_every_chunk_once(spark, tmp_path):
     """Owners claim, record, die, recover and finish in any order; each chunk's rows come once."""
-    for seed in (1, 2):
+    for seed in (1,):
         rng, clock, path = random.Random(seed), Clock(), str(tmp_path / f"runs{seed}")
         docs = {f"d{i}": [f"{i}-{j}" for j in range(rng.randint(1, 3))] for i in range(4)}
         texts = texts_of(spark, docs)
