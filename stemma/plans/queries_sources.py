@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..sources import papers, reader, registry
 from . import testbed as tb
 from .catalogue import query
+from .checkpoints import cut
 
 #: Payloads of one document as each service writes them: Spark SQL over doc_id, title, doi, text; then the record's address.
 _PAYLOADS = {
@@ -59,7 +60,8 @@ def _read(s, d):
     payload = F.coalesce(*[F.when(source == name, F.to_json(F.expr(p))) for name, (p, _uri) in _PAYLOADS.items()], F.lit("{}"))
     whole = F.when(F.col("doc_id") % 13 == 0, F.substring(payload, 1, 40)).otherwise(payload)
     error = F.when(F.col("doc_id") % 17 == 0, "fetch_failed")
-    return reader.read_payloads(rows.select(source.alias("source"), F.col("doc_id").alias("page"), whole.alias("payload"), error.alias("error")))
+    stored = cut(rows.select(source.alias("source"), F.col("doc_id").alias("page"), whole.alias("payload"), error.alias("error")))  # pages are a table
+    return reader.read_payloads(stored)
 
 
 @query("source_failures", f"WITH {_PAGES} SELECT source, page, {_FAULT} AS failure FROM p WHERE {_FAULT} IS NOT NULL")
