@@ -132,3 +132,20 @@ def summaries(nodes: DataFrame, edges: DataFrame, members: DataFrame, write: Cal
     relations = F.array_join(F.transform("rels", lambda x: F.concat(x["relation_type"], F.lit(" ×"), (-x["k"]).cast("string"))), ", ")
     text = F.concat(F.col("member_count").cast("string"), F.lit(" entities centered on "), F.array_join(names, ", "), F.when(F.col("rels").isNotNull(), F.concat(F.lit("; internal relations: "), relations)).otherwise(""))
     return top.join(said, "community_id", "left").select("community_id", "member_count", F.array_join(names, ", ").alias("top_members"), (write(text) if write else text).alias("summary"))
+
+
+def list_communities(summarized: DataFrame, limit: int = 20) -> DataFrame:
+    """The largest communities of ``summaries``, ties by id."""
+    return summarized.orderBy(F.desc("member_count"), "community_id").limit(limit)
+
+
+class UnknownCommunity(LookupError):
+    """No community has this id."""
+
+
+def community_members(summarized: DataFrame, members: DataFrame, nodes: DataFrame, community_id: str) -> DataFrame:
+    """id, name, entity_type, status of one community's members by (name, id); an id that no community has is an error."""
+    if summarized.where(F.col("community_id") == community_id).isEmpty():
+        raise UnknownCommunity(community_id)
+    mine = members.where(F.col("community_id") == community_id).select("id")
+    return nodes.join(mine, "id", "left_semi").select("id", "name", "entity_type", "status").orderBy("name", "id")

@@ -6,7 +6,7 @@ so lineage stays short and a lost executor costs one hop's tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import cut
@@ -211,9 +211,57 @@ def document_context(citations: DataFrame, nodes: DataFrame, edges: DataFrame, d
     return cited.join(F.broadcast(doc), "doc_id").select("kind", "item_id", "label", F.when(inside, F.col("start")).alias("start"), F.when(inside, F.col("end")).alias("end"))
 
 
-def provenance(items: DataFrame, citations: DataFrame, documents: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Each item's citations with their documents and its latest critic review."""
+def provenance(items: DataFrame, citations: DataFrame, documents: DataFrame, reviews: DataFrame, page: int = 50) -> DataFrame:
+    """Each item's first ``page`` citations by (doc_id, start, end) with their documents, their number in all, and its latest critic review.
+
+    An item's citations are dealt to parts, whose first ones hold the item's first ones, so no task
+    gets all citations of a much cited item.
+    """
+    from .review import latest_review
+
+    place = F.struct("doc_id", "start", "end")
+    dealt = citations.select("kind", "item_id", place.alias("at"), F.pmod(F.xxhash64("doc_id", "start", "end"), F.lit(64)).alias("part"))
+    w = Window.partitionBy("kind", "item_id", "part").orderBy("at")
+    few = dealt.withColumn("r", F.row_number().over(w)).where(F.col("r") <= page).groupBy("kind", "item_id").agg(F.slice(F.array_sort(F.collect_list("at")), 1, page).alias("at"))  # 64 pages at most
+    named = few.select("kind", "item_id", F.explode("at").alias("at")).select("kind", "item_id", "at.*").join(documents.select("doc_id", "source"), "doc_id", "left")
+    cited = named.groupBy("kind", "item_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source", "start", "end"))).alias("citations"))
+    numbers = citations.groupBy("kind", "item_id").agg(F.count("*").alias("n_citations"))
+    out = items.join(cited, ["kind", "item_id"], "left").join(numbers, ["kind", "item_id"], "left").fillna({"n_citations": 0})
+    return out.join(latest_review(reviews), ["kind", "item_id"], "left")
+
+
+#: Columns of items and documents that a lineage shows; what a store lacks is null.
+_LINEAGE = {"label": "string", "status": "string", "confidence": "double", "engine": "string", "model": "string", "prompt_version": "string", "created_ts": "double", "verified_by": "string", "verified_ts": "double", "note": "string", "source_doc": "long", "start": "int", "end": "int"}
+_DOCUMENT = {"title": "string", "source_uri": "string", "source": "string", "fetched_ts": "double", "text": "string"}
+
+
+def lineage(items: DataFrame, documents: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Where each item (kind, item_id, and what there is of ``_LINEAGE``) came from, one row an item.
+
+    kind, item_id, label, status, confidence; extraction (engine, model, prompt_version, created_ts);
+    review (verified_by, verified_ts, note) by people; document (doc_id, title, source_uri, source,
+    fetched_ts), null where it isn't stored; span (start, end) and excerpt, null without a span;
+    critic (engine, model, score, rationale, created_ts), the latest critic review, which is advice.
+    """
+    from ..functions.text import span_excerpt
     from .review import latest_review
 
-    cited = citations.join(documents.select("doc_id", "source"), "doc_id", "left").groupBy("kind", "item_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source", "start", "end"))).alias("citations"))
-    return items.join(cited, ["kind", "item_id"], "left").join(latest_review(reviews), ["kind", "item_id"], "left")
+    whole = lambda rows, fields: rows.withColumns({c: F.lit(None).cast(t) for c, t in fields.items() if c not in rows.columns})
+    rows, docs = whole(items, _LINEAGE), whole(documents, _DOCUMENT)
+    spanned = F.col("start").isNotNull() & F.col("end").isNotNull()
+    docs = docs.select(F.col("doc_id").alias("source_doc"), F.struct("doc_id", *[c for c in _DOCUMENT if c != "text"]).alias("document"), F.col("text").alias("_text"))
+    read = rows.join(docs, "source_doc", "left").select(
+        "kind",
+        "item_id",
+        "label",
+        "status",
+        "confidence",
+        F.struct("engine", "model", "prompt_version", "created_ts").alias("extraction"),
+        F.struct("verified_by", "verified_ts", "note").alias("review"),
+        "document",
+        F.when(spanned, F.struct("start", "end")).alias("span"),
+        F.when(spanned, span_excerpt(F.col("_text"), F.col("start"), F.col("end"))).alias("excerpt"),
+    )
+    said = whole(reviews, {"rationale": "string"})
+    critic = latest_review(said).select("kind", "item_id", F.struct(*[F.col(f"review_{c}").alias(c) for c in ("engine", "model", "score", "rationale", "created_ts")]).alias("critic"))
+    return read.join(critic, ["kind", "item_id"], "left")

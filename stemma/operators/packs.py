@@ -37,21 +37,26 @@ class Incomplete(ValueError):
     """A pack whose extraction isn't known to be complete."""
 
 
-def build_pack(spark: SparkSession, path: str, name: str, tables: dict[str, DataFrame], created_ts: float, states: DataFrame | None = None, allow_incomplete: bool = False) -> dict:
+def check_name(name: str) -> None:
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", name) or not name.strip("."):
+        raise ValueError("pack names hold letters, digits, dots, dashes and underscores, and not dots alone")
+
+
+def build_pack(spark: SparkSession, path: str, name: str, tables: dict[str, DataFrame], created_ts: float, states: DataFrame | None = None, allow_incomplete: bool = False, notes: dict | None = None) -> dict:
     """Write Parquet tables and a manifest; existing packs are never overwritten.
 
     ``states`` (``completeness`` of the shipped streams) gates the pack: where a stream is unknown
     or incomplete nothing is written, unless that is allowed, and the manifest says so either way.
+    ``notes`` are further fields of the manifest.
     """
-    if not re.fullmatch(r"[A-Za-z0-9._-]+", name):
-        raise ValueError("pack names hold letters, digits, dots, dashes and underscores")
+    check_name(name)
     gate = {"status": "not_checked"} if states is None else completeness_summary(states)
     if gate["status"] == "incomplete" and not allow_incomplete:
         raise Incomplete(f"{gate['unknown']} streams unknown, {gate['incomplete']} incomplete")
     for t, df in tables.items():
         df.write.mode("error").parquet(f"{path}/{name}/{t}")
     stored = {t: spark.read.parquet(f"{path}/{name}/{t}") for t in tables}
-    manifest = {"name": name, "created_ts": created_ts, "counts": {t: df.count() for t, df in stored.items()}, "content_hash": content_hash(stored), "completeness": gate}
+    manifest = {"name": name, "created_ts": created_ts, "counts": {t: df.count() for t, df in stored.items()}, "content_hash": content_hash(stored), "completeness": gate} | (notes or {})
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("error").text(f"{path}/{name}/manifest")
     return manifest
 

@@ -66,6 +66,17 @@ def with_evidence(page: DataFrame, citations: DataFrame, documents: DataFrame) -
     return page.join(said, ["kind", "item_id"], "left")
 
 
+def with_properties(page: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A queue's page with its items' ``properties`` (of nodes also ``aliases``); a table without such a column has none."""
+    asked = F.broadcast(page.select("kind", "item_id"))  # a page
+
+    def of(rows: DataFrame, kind: str) -> DataFrame:
+        get = lambda c, t: (F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c)
+        return rows.select(F.lit(kind).alias("kind"), F.col("id").alias("item_id"), get("aliases", "array<string>"), get("properties", "map<string,string>")).join(asked, ["kind", "item_id"], "left_semi")
+
+    return page.join(F.broadcast(of(nodes, "node").unionByName(of(edges, "edge"))), ["kind", "item_id"], "left")  # a page's items
+
+
 def cursor_of(row, order: str) -> tuple:
     key, down = ORDERS[order]
     ties = (row["created_ts"], row["kind"], row["item_id"])

@@ -192,8 +192,12 @@ def name_search(nodes: DataFrame, query: Column | str, limit: int = 8, include_p
     return hits.orderBy("bucket", F.length("name"), "name", "id").limit(limit)
 
 
-def entity_lookup(nodes: DataFrame, aliases: DataFrame, name: str, include_proposed: bool = False, entity_type: str | None = None, limit: int = 5, fuzzy: bool = False) -> DataFrame:
-    """id, tier, score: normalized name (1.0), alias (0.95), then lexical matches; an id's first tier wins."""
+def entity_lookup(nodes: DataFrame, aliases: DataFrame, name: str, include_proposed: bool = False, entity_type: str | None = None, limit: int = 5, fuzzy: bool = False, lexical: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """id, tier, score: normalized name (1.0), alias (0.95), then lexical matches; an id's first tier wins.
+
+    Lexical matches are of name, aliases and properties, as far as ``nodes`` has these columns.
+    ``lexical(query)`` gives (key, score) over all rows in another way, such as ``TextIndex.scores``.
+    """
     from ..functions.text import normalize_name
     from .graph import visible
 
@@ -204,8 +208,10 @@ def entity_lookup(nodes: DataFrame, aliases: DataFrame, name: str, include_propo
     by_alias = aliases.where(F.col("normalized_alias") == q).select(F.col("node_id").alias("id")).distinct()
     hits = hits.unionByName(seen.join(by_alias, "id", "left_semi").select("id", F.lit(2).alias("tier"), F.lit(0.95).alias("score")))
     if fuzzy:
-        lexical = bm25(nodes, "id", "name", name).join(seen.select(F.col("id").alias("key")), "key", "left_semi")
-        hits = hits.unionByName(top_k(lexical, limit).select(F.col("key").alias("id"), F.lit(3).alias("tier"), "score"))
+        whole = {"aliases", "properties"} <= set(nodes.columns)
+        scored = lexical(name) if lexical else bm25(nodes.withColumn("_body", node_text(nodes) if whole else F.col("name")), "id", "_body", name)
+        found = scored.join(seen.select(F.col("id").alias("key")), "key", "left_semi")
+        hits = hits.unionByName(top_k(found, limit).select(F.col("key").alias("id"), F.lit(3).alias("tier"), "score"))
     first = hits.groupBy("id").agg(F.min(F.struct("tier", "score")).alias("b")).select("id", "b.tier", "b.score")
     return first.orderBy("tier", F.desc("score"), "id").limit(limit)
 

@@ -87,6 +87,62 @@ def normalize_proposals(proposals: DataFrame, registry: DataFrame | None, field:
     return joined.withColumn("properties", F.map_concat(rest, dropped, said)).drop("code")
 
 
+# What a registry knows of a proposal. Entity types, then the properties for the code, the
+# name that matched, a differing code that was there, and the flag of a miss.
+DOMAINS = {
+    "eppo": (("Crop", "Pathogen", "Pest", "Weed"), "eppo_code", "eppo_matched_surface", "eppo_code_dropped", "no_eppo_match"),
+    "cas": (("ActiveIngredient",), "cas_number", "cas_matched_surface", "cas_number_dropped", "no_cas_match"),
+}
+MOA_SCHEMES = ("FRAC", "IRAC", "HRAC")
+MOA_FIELDS = ("moa_scheme", "moa_code")
+
+
+def moa_registry(rows: DataFrame) -> DataFrame:
+    """cas_number, scheme, code of mode-of-action rows; raises at run time on an invalid or conflicting one. Repeats collapse."""
+    cas, scheme, code = F.trim("cas_number"), F.upper(F.trim("scheme")), F.trim("code")
+    valid = F.coalesce(cas_valid(cas) & scheme.isin(*MOA_SCHEMES) & (code != ""), F.lit(False))
+    said = F.concat_ws(", ", F.lit("invalid mode of action"), "cas_number", "scheme", "code")
+    checked = rows.select(F.when(valid, cas).otherwise(F.raise_error(said).cast("string")).alias("cas_number"), F.struct(scheme.alias("scheme"), code.alias("code")).alias("moa"))
+    one = F.when(F.min("moa") == F.max("moa"), F.min("moa")).otherwise(F.raise_error(F.concat(F.lit("conflicting modes of action for "), F.first("cas_number"))).cast("struct<scheme: string, code: string>"))
+    return checked.groupBy("cas_number").agg(one.alias("moa")).select("cas_number", "moa.scheme", "moa.code")
+
+
+def normalize_domain(proposals: DataFrame, registry: DataFrame | None, domain: str, moa: DataFrame | None = None) -> DataFrame:
+    """Proposals (id, entity_type, name, aliases, properties) with what a registry (surface, code) says of its entity types.
+
+    The first of (name, aliases...) that the registry knows gives the code and is noted; a code that
+    the proposal came with stays only as what was dropped, where it differs. A miss is flagged.
+    Modes of action (``moa_registry``) come from the code alone, never from the proposal. Without an
+    imported registry the proposal's own code goes and nothing is flagged. Rows of other entity types
+    stay as they are; null aliases and properties count as empty. Ids are distinct.
+    """
+    types, code, matched, dropped, miss = DOMAINS[domain]
+    own = [code, *(MOA_FIELDS if domain == "cas" else ())]
+    mine = F.coalesce(F.col("entity_type").isin(*types), F.lit(False))
+    empty = F.create_map().cast("map<string,string>")
+    had = F.coalesce("properties", empty)
+    marks = [matched, dropped, "normalization"]
+    rest = F.map_filter(had, lambda k, _: ~k.isin(*own, *marks))
+    if registry is None:
+        return proposals.withColumn("properties", F.when(mine, rest).otherwise(F.col("properties")))
+    surfaces = proposals.where(mine).select("id", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "raw"))
+    known = surfaces.withColumn("surface", surface_key(F.col("raw"))).join(registry.select("surface", F.col("code").alias("_code")), "surface")
+    best = known.groupBy("id").agg(F.min_by(F.struct("_code", "raw"), "pos").alias("_hit")).select("id", "_hit._code", F.col("_hit.raw").alias("_raw"))
+    if moa is not None and domain == "cas":
+        best = best.join(moa.select(F.col("cas_number").alias("_code"), F.col("scheme").alias("_scheme"), F.col("code").alias("_moa")), "_code", "left")
+    else:
+        best = best.withColumns({"_scheme": F.lit(None).cast("string"), "_moa": F.lit(None).cast("string")})
+    before = F.element_at(had, F.lit(code))
+    hit = F.col("_code").isNotNull()
+    only = lambda when, *kv: F.when(when, F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])).otherwise(empty)
+    found = only(hit, code, F.col("_code"), matched, F.col("_raw"))
+    action = only(hit & F.col("_scheme").isNotNull(), MOA_FIELDS[0], F.col("_scheme"), MOA_FIELDS[1], F.col("_moa"))
+    lost = only(before.isNotNull() & ~before.eqNullSafe(F.col("_code")), dropped, before)
+    missed = only(~hit, "normalization", F.lit(miss))
+    said = F.map_concat(rest, found, action, lost, missed)
+    return proposals.join(best, "id", "left").withColumn("properties", F.when(mine, said).otherwise(F.col("properties"))).select(*proposals.columns)
+
+
 # Curated resources: a record counts only where its symbol is the name asked for.
 
 RESOURCES = {
@@ -107,3 +163,46 @@ def parse_resource(payloads: DataFrame, resource: str) -> DataFrame:
 
 def registry_for(entity_type: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in REGISTRY_OF.items() for x in kv]), entity_type)
+
+
+# Registry hints: one registry a type of entity, one row a name, failures included.
+
+_UNIPROT = "struct<results: array<struct<primaryAccession: string, proteinDescription: struct<recommendedName: struct<fullName: struct<value: string>>>, genes: array<struct<geneName: struct<value: string>>>, organism: struct<scientificName: string>>>>"
+_PUBCHEM = "struct<PropertyTable: struct<Properties: array<struct<CID: string, Title: string, MolecularFormula: string>>>>"
+_CLINVAR = "struct<result: map<string,string>>"
+#: Fixed value: what stands before a molecular formula.
+FORMULA = "분자식 "
+
+
+def _present(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
+def registry_hints(payloads: DataFrame) -> DataFrame:
+    """name, entity_type, registry, accession, label, detail, error of stored registry answers.
+
+    ``payloads``: name, entity_type, payload (the registry's JSON answer; for ClinVar the summary of
+    the first record found) and error (of a call that failed, else null). Types without a registry
+    give no row. An answer without a record is ``not_found``, one that isn't a JSON object ``unreadable``, and
+    rows with an error have an empty accession and detail and the name as label.
+    """
+    rows = payloads.withColumn("registry", registry_for(F.col("entity_type"))).where("registry IS NOT NULL")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    object_ = F.from_json("payload", "map<string,string>").isNotNull() & F.trim("payload").startswith("{")
+    protein = F.get(F.from_json("payload", _UNIPROT)["results"], F.lit(0))
+    compound = F.get(F.from_json("payload", _PUBCHEM)["PropertyTable"]["Properties"], F.lit(0))
+    variants = F.from_json("payload", _CLINVAR)["result"]
+    uid = F.get(F.from_json(F.element_at(variants, "uids"), "array<string>"), F.lit(0))
+    variant = F.from_json(F.element_at(variants, uid), "struct<title: string, gene_name: array<string>>")
+    gene_organism = F.regexp_replace(F.concat(text(F.get(protein["genes"], F.lit(0))["geneName"]["value"]), F.lit(" · "), text(protein["organism"]["scientificName"])), "^[ ·]+|[ ·]+$", "")
+    formula = text(compound["MolecularFormula"])
+    of = {
+        "uniprot": (protein.isNotNull(), text(protein["primaryAccession"]), _present(protein["proteinDescription"]["recommendedName"]["fullName"]["value"]), gene_organism),
+        "pubchem": (compound.isNotNull(), text(compound["CID"]), _present(compound["Title"]), F.when(formula != "", F.concat(F.lit(FORMULA), formula)).otherwise("")),
+        "clinvar": (uid.isNotNull(), text(uid), _present(variant["title"]), text(F.array_join(F.slice(variant["gene_name"], 1, 2), " "))),
+    }
+    pick = lambda i: F.coalesce(*[F.when(F.col("registry") == name, parts[i]) for name, parts in of.items()])
+    failed = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.coalesce(object_, F.lit(False)), "unreadable").when(~F.coalesce(pick(0), F.lit(False)), "not_found")
+    read = rows.select("name", "entity_type", "registry", failed.alias("failed"), pick(1).alias("a"), pick(2).alias("l"), pick(3).alias("d"))
+    fine = F.col("failed").isNull()
+    return read.select("name", "entity_type", "registry", F.when(fine, F.col("a")).otherwise("").alias("accession"), F.coalesce(F.when(fine, F.col("l")), "name").alias("label"), F.when(fine, F.col("d")).otherwise("").alias("detail"), F.col("failed").alias("error"))
