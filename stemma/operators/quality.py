@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
+
 
 def ece_bins(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, claimed, observed of (confidence, label); equal-width bins, 1.0 in the last."""
@@ -69,12 +71,24 @@ def isotonic_curve(pairs: DataFrame, partitions: int = 32) -> DataFrame:
     return pooled.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "boundary double, value double")
 
 
-def isotonic_predict(rows: DataFrame, curve: DataFrame, x: str = "confidence") -> DataFrame:
-    """``rows`` with ``calibrated``: the step at or below x, else the first."""
-    steps = curve.agg(F.array_sort(F.collect_list(F.struct("boundary", "value"))).alias("steps"))
-    below = F.filter("steps", lambda s: s["boundary"] <= F.col(x))
-    value = F.when(F.size("steps") == 0, None).when(F.size(below) > 0, F.element_at(below, -1)["value"]).otherwise(F.get("steps", F.lit(0))["value"])
-    return rows.crossJoin(F.broadcast(steps)).withColumn("calibrated", F.when(F.col(x).isNotNull(), value)).drop("steps")  # one row
+def isotonic_predict(rows: DataFrame, curve: DataFrame, x: str = "confidence", partitions: int = 64) -> DataFrame:
+    """``rows`` with ``calibrated``: the value of the step at or below x, else of the first; null without x or steps.
+
+    Distinct values of x and the steps' boundaries are dealt to ranges together. Values rise along a
+    fitted curve, so the step at or below x has the largest value among those of its range up to it
+    and those of all ranges before, one number a range.
+    """
+    asked = rows.select(F.col(x).cast("double").alias("_at")).where("_at IS NOT NULL").distinct()
+    steps = curve.select(F.col("boundary").alias("_at"), "value")
+    both = steps.unionByName(asked.withColumn("value", F.lit(None).cast("double")))
+    dealt = cut(both.repartitionByRange(partitions, "_at").withColumn("_part", F.spark_partition_id()))
+    inner = F.max("value").over(Window.partitionBy("_part").orderBy("_at"))  # ties included
+    earlier = F.max("top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = dealt.groupBy("_part").agg(F.max("value").alias("top")).select("_part", earlier.alias("_before"))  # a row a range
+    first = dealt.agg(F.min("value").alias("_first"))  # one row
+    found = dealt.withColumn("_inner", inner).where("value IS NULL").join(F.broadcast(before), "_part").crossJoin(F.broadcast(first))
+    values = found.select("_at", F.coalesce(F.greatest("_inner", "_before"), "_first").alias("_value"))
+    return rows.join(values, F.col(x).cast("double") == F.col("_at"), "left").withColumn("calibrated", F.col("_value")).drop("_at", "_value")
 
 
 def conformal_rank(n: int, alpha: float) -> int | None:
