@@ -1237,4 +1237,4 @@ def _(s, d):
     return windowed_costs(tb.table(s, d, "events")).select(F.col("window.start").alias("start"), "event_type", "calls", F.round("total", 2).alias("total"))
 
 
-from . import queries_neighbours, queries_runs, queries_served, queries_sources  # noqa: E402, F401  register their queries
+from . import queries_enrichment, queries_neighbours, queries_runs, queries_served, queries_sources  # noqa: E402, F401  register their queries
