@@ -297,6 +297,13 @@ def _(s, d):
     return quality.isotonic_predict(grid, quality.isotonic_curve(_pairs(s, d))).select("k", _r("calibrated").alias("calibrated"))
 
 
+@query("calibrated_documents", _ISO + ", c AS (SELECT doc_id, CAST(n_chars % 1000 AS DOUBLE) / 1000.0::DOUBLE AS x FROM documents) SELECT doc_id, CASE WHEN x IS NOT NULL THEN round(coalesce(value, (SELECT arg_min(value, boundary) FROM curve)), 6) END AS calibrated FROM c ASOF LEFT JOIN curve ON c.x >= curve.boundary")
+def _(s, d):
+    """Every document's confidence, labelled or not, on the curve of the labelled ones."""
+    rows = tb.table(s, d, "documents").select("doc_id", ((F.col("n_chars") % 1000).cast("double") / F.lit(1000.0)).alias("confidence"))
+    return quality.isotonic_predict(rows, quality.isotonic_curve(_pairs(s, d))).select("doc_id", _r("calibrated").alias("calibrated"))
+
+
 def _gold(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = tb.edges(s, d)
     h = F.col("created_ts").cast("long")
