@@ -7,9 +7,9 @@ the recurrence's polynomial names. The polynomial is found from the generator's
 however far out it is.
 
 Values of ``total`` or more are drawn again, so where a stretch's draws belong depends on how many
-were accepted before it: a first pass counts them by stretch, their running sums are the places, and
-a second pass deals hits and misses out to the samples. The result is the serial stream's, draw by
-draw.
+were accepted before it: a first pass counts them and their hits by stretch, their running sums are
+the places, and a second pass deals out to the samples what lies in stretches of several samples.
+The result is the serial stream's, draw by draw.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS, DEGREE = 624, 19_937
-#: Raw draws of a stretch; a smaller bootstrap is one.
-STRETCH = 1 << 23
+#: Raw draws of a stretch (a smaller bootstrap is one), and of what is looked at in one go.
+STRETCH, CHUNK = 1 << 21, 1 << 16
 
 
 def _generator(key: np.ndarray, pos: int) -> np.random.MT19937:
@@ -97,13 +97,26 @@ def draws_from(seed: int, first: int) -> np.random.MT19937:
     return _generator(key, 0)
 
 
-def _accepted(seed: int, stretch: int, size: int, total: int) -> np.ndarray:
-    raw = draws_from(seed, stretch * size).random_raw(size) >> np.uint64(32 - total.bit_length())
-    return raw[raw < total]
+def _chunks(source: np.random.MT19937, size: int) -> Iterator[np.ndarray]:
+    """The next ``size`` raw draws, in pieces that stay in a processor's cache."""
+    draw = np.random.Generator(source)
+    for at in range(0, size, CHUNK):
+        yield draw.integers(0, 1 << 32, min(CHUNK, size - at), np.uint32)
+
+
+def _key(source: np.random.MT19937) -> tuple[bytes, int]:
+    state = source.state["state"]
+    return state["key"].astype("<u4").tobytes(), int(state["pos"])
 
 
 def spread_bootstrap(spark: SparkSession, tp: int, fp: int, fn: int, draws: int = 2000, seed: int = 7, stretch: int = STRETCH) -> tuple[float, float]:
-    """``quality.bootstrap_f1`` with a task for every stretch of the stream."""
+    """``quality.bootstrap_f1`` with a task for every run of the stream's stretches.
+
+    A task jumps to its first stretch only and then draws on. What it says of a stretch is its
+    accepted draws, its hits and the generator's state at its start, so that the second pass draws
+    only the stretches anew in which one sample ends and the next begins, of which there are as many
+    as samples at most however many outcomes there are.
+    """
     from ..plans.checkpoints import cut
     from .quality import interval_of
 
@@ -113,29 +126,54 @@ def spread_bootstrap(spark: SparkSession, tp: int, fp: int, fn: int, draws: int
     wanted, chance = draws * total, total / 2 ** total.bit_length()
     raw = wanted / chance
     count = int((raw + 12 * (raw * (1 - chance) / chance) ** 0.5) // stretch) + 1
+    shift = 32 - total.bit_length()
+    above, good = total << shift, tp << shift  # a raw draw's leading bits are below a number where it is below this
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, at = None, -1
         for batch in batches:
-            at = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([len(_accepted(seed, i, stretch, total)) for i in at], pa.int64())], names=["id", "n"])
+            rows = []
+            for i in batch.column(0).to_pylist():
+                if i != at:
+                    source = draws_from(seed, i * stretch)
+                key, pos = _key(source)
+                n = hits = 0
+                for drawn in _chunks(source, stretch):
+                    n += int(np.count_nonzero(drawn < above)) if above < 1 << 32 else len(drawn)
+                    hits += int(np.count_nonzero(drawn < good)) if good < 1 << 32 else len(drawn)
+                rows.append((i, n, hits, key, pos))
+                at = i + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["id", "n", "hits", "key", "pos"])
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, before in zip(*(c.to_pylist() for c in batch.columns)):
-                drawn = _accepted(seed, i, stretch, total)[: max(0, wanted - before)]
-                sample = (before + np.arange(len(drawn))) // total
-                first = int(before // total)
-                hits, misses = (np.bincount(sample[m] - first) for m in (drawn < tp, drawn >= tp))
-                n = max(len(hits), len(misses))
-                pad = lambda v: np.pad(v, (0, n - len(v)))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(n)), pa.array(pad(hits).astype(np.int64)), pa.array(pad(misses).astype(np.int64))], names=["sample", "hits", "misses"])
-
-    stretches = spark.range(0, count, 1, count)
-    counts = cut(stretches.mapInArrow(counted, "id long, n long"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a stretch
-    placed = counts.select("id", before.alias("before")).where(F.col("before") < wanted).repartition(count, "id")
-    got: DataFrame = placed.mapInArrow(dealt, "sample long, hits long, misses long").groupBy("sample").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
-    rows = got.where(F.col("sample") < draws).toPandas()  # a row a sample
+            for key, pos, before in zip(*(c.to_pylist() for c in batch.columns)):
+                source = _generator(np.frombuffer(key, "<u4").astype(np.uint32), pos)
+                first, at = before // total, before
+                hits = np.zeros(stretch // total + 2, np.int64)
+                misses = np.zeros_like(hits)
+                for drawn in _chunks(source, stretch):
+                    drawn = (drawn >> np.uint32(shift))[: max(0, wanted - at)] if above == 1 << 32 else (drawn[drawn < above] >> np.uint32(shift))[: max(0, wanted - at)]
+                    sample = (at + np.arange(len(drawn))) // total - first
+                    hit = drawn < tp
+                    hits += np.bincount(sample[hit], minlength=len(hits))
+                    misses += np.bincount(sample[~hit], minlength=len(hits))
+                    at += len(drawn)
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(hits))), pa.array(hits), pa.array(misses)], names=["sample", "hits", "misses"])
+
+    tasks = min(count, 4 * spark.sparkContext.defaultParallelism)  # each a run of neighbours, and one jump
+    stretches = spark.range(0, count, 1, tasks)
+    counts = cut(stretches.mapInArrow(counted, "id long, n long, hits long, key binary, pos int"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a stretch, no states
+    placed = counts.select("id", "n", "hits", before.alias("before")).where(F.col("before") < wanted)
+    sample = F.expr(f"before DIV {total}")
+    inside = F.expr(f"(before + greatest(n, 1) - 1) DIV {total}") == sample
+    whole = placed.where(inside).select(sample.alias("sample"), "hits", (F.col("n") - F.col("hits")).alias("misses"))
+    parted = placed.where(~inside).select("id", "before").join(counts.select("id", "key", "pos"), "id").select("key", "pos", "before").repartition(tasks)
+    got: DataFrame = whole.unionByName(parted.mapInArrow(dealt, "sample long, hits long, misses long")).groupBy("sample").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    rows = got.where(F.col("sample") < draws).orderBy("sample").toPandas()  # a row a sample
     hits, misses = rows["hits"].to_numpy(), rows["misses"].to_numpy()
     if len(rows) != draws or (hits + misses != total).any():
         raise RuntimeError("the stretches held fewer draws than were wanted")

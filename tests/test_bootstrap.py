@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -33,3 +34,9 @@ def test_large_bootstraps_are_spread(spark, monkeypatch):
     want = sorted(map(tuple, quality.bootstrap_interval(df).collect()))
     monkeypatch.setattr(quality, "SERIAL_DRAWS", 100_000)
     assert sorted(map(tuple, quality.bootstrap_interval(df).collect())) == want
+
+
+def test_a_run_of_stretches_takes_one_jump(spark):
+    began = time.monotonic()
+    assert bootstrap.spread_bootstrap(spark, 300, 40, 70, stretch=1_009) == quality.bootstrap_f1(300, 40, 70)  # a thousand stretches
+    assert time.monotonic() - began < 120
