@@ -9,6 +9,8 @@ import pytest
 
 from stemma.operators import bootstrap, quality
 
+from .conftest import DATA
+
 
 @pytest.mark.parametrize("first", [0, 1, 623, 624, 19_937, 100_003])
 def test_jumps_reach_the_serial_stream(first):
@@ -40,3 +42,13 @@ def test_a_run_of_stretches_takes_one_jump(spark):
     began = time.monotonic()
     assert bootstrap.spread_bootstrap(spark, 300, 40, 70, stretch=1_009) == quality.bootstrap_f1(300, 40, 70)  # a thousand stretches
     assert time.monotonic() - began < 120
+
+
+def test_spurious_triples_resample_nothing(spark, monkeypatch):
+    from stemma.plans import catalogue
+
+    def refuse(counts):
+        raise AssertionError("a list of triples needs no interval")
+
+    monkeypatch.setattr(quality, "bootstrap_interval", refuse)
+    assert catalogue.queries()["spurious_triples_top20"](spark, DATA).count() == 20
