@@ -336,3 +336,8 @@ def test_stream_is_idempotent(spark, tmp_path):
     docs([(4, "b", "s"), (5, "c", "s")]).write.mode("append").parquet(src)
     ingest_stream(spark, src, out, ck).awaitTermination()
     assert sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(out).collect()) == [(1, "a"), (3, "b"), (5, "c")]
+
+
+def test_references_without_a_semicolon_are_text():
+    page = "<title>A&amp;&amp</title><h1>A&amp;&amp</h1><p>&lt;b&gt; &#65; &copy=1 &ampx; &nosuch;</p>"
+    assert T.visible_text(page) == ("A&&amp", "A&&amp\n\n<b> A &copy=1 &ampx; &nosuch;")
