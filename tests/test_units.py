@@ -341,3 +341,10 @@ def test_stream_is_idempotent(spark, tmp_path):
 def test_references_without_a_semicolon_are_text():
     page = "<title>A&amp;&amp</title><h1>A&amp;&amp</h1><p>&lt;b&gt; &#65; &copy=1 &ampx; &nosuch;</p>"
     assert T.visible_text(page) == ("A&&amp", "A&&amp\n\n<b> A &copy=1 &ampx; &nosuch;")
+
+
+def test_web_documents_keep_cut_references(spark):
+    from stemma.sources.documents import read_pages
+
+    pages = spark.createDataFrame([("https://a.org/1", "<title>A &amp</title><p>x</p>")], "url string, html string")
+    assert [tuple(r) for r in read_pages(pages, ["a.org"]).select("title", "text").collect()] == [("A &amp", "x")]
