@@ -39,7 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles at a similarity of 0.8 or more) stays.
 
-    Equal texts are near copies, and so are rows that repeat a doc_id; rows without a doc_id all
+    Candidates are what SimHash's covering tables connect and what shares a min-hash band; each is
+    verified. Equal texts are near copies, and so are rows that repeat a doc_id; rows without a doc_id all
     stay. Null texts are like empty ones, and of texts without words one stays. The row kept is the
     one with the smallest doc_id.
     """

@@ -1,7 +1,9 @@
 """Near copies of the pipeline's stage: five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
-Words and case follow the fingerprints of ``simhash``. Equal sets are one row. Candidates come from
-min-hash bands: ``BANDS`` bands of ``ROWS`` minima each, so a pair at exactly 0.8 shares no band
+Words and case follow the fingerprints of ``simhash``. Equal sets are one row. Candidates are first
+the sets that ``simhash``'s covering tables connect: fingerprints within its radius, directly or
+through others, are one bucket. A pair at 0.8 may differ in more bits than that, so min-hash bands
+add buckets: ``BANDS`` bands of ``ROWS`` minima each, so a pair at exactly 0.8 shares no band
 with a chance of (1 - 0.8^4)^20, under 3 in 100,000, and closer pairs less often. Every candidate is
 verified on the whole shingle sets.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, alone, drop_table, persist_table
-from .simhash import _LOWER, components, first_of_each
+from .simhash import _LOWER, components, fingerprint, first_of_each, near_links
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 20, 4, 42
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -89,15 +91,17 @@ def _keys(found: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the shingle set), bands."""
-    schema = "doc_id long, key long, bands array<long>"
+    """doc_id, key (hash of the shingle set), fp (SimHash fingerprint), bands."""
+    schema = "doc_id long, key long, fp long, bands array<long>"
     out = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _family()
         for batch in batches:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _keys(found), _lists([bands(s, family) for s in found], out.field(2).type)], schema=out)
+            texts = batch.column(1).to_pylist()
+            found = [shingles(t) for t in texts]
+            fps = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _keys(found), fps, _lists([bands(s, family) for s in found], out.field(3).type)], schema=out)
 
     return docs.select("doc_id", "text").mapInArrow(alone(run), schema)
 
@@ -146,10 +150,17 @@ def link_similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.n
     return label
 
 
+def fingerprint_buckets(marked: DataFrame) -> DataFrame:
+    """key, bucket of ``sketches``: sets whose fingerprints ``simhash`` connects share a bucket."""
+    pairs = marked.select("key", "fp").distinct()
+    roots = components(near_links(pairs.select("fp").distinct()))
+    return pairs.join(roots, "fp", "left").select("key", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket")).distinct()
+
+
 def similar_links(docs: DataFrame, marked: DataFrame, block_rows: int = 1024) -> DataFrame:
     """Edges (a, b) between keys that connect all candidates of ``sketches`` with similar sets."""
     distinct = persist_table(marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "distinct")
-    keyed = distinct.select("key", F.explode("bands").alias("bucket"))
+    keyed = persist_table(distinct.select("key", F.explode("bands").alias("bucket")).unionByName(fingerprint_buckets(marked)), "keyed")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.bit_xor(F.xxhash64("key")).alias("members")).where("n > 1")
     buckets = persist_table(sizes.groupBy("n", "low", "members").agg(F.min("bucket").alias("bucket")), "buckets")
     met = persist_table(keyed.join(buckets.select("bucket", "n", "low"), "bucket"), "members")
@@ -172,7 +183,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, block_rows: int = 1024) ->
         return pd.DataFrame({"a": root[moved], "b": keys[moved]})
 
     links = persist_table(routed.join(sets, "key").groupBy("g", "i", "j").applyInPandas(join, "a long, b long"), "links")
-    for table in (distinct, buckets, met):
+    for table in (distinct, keyed, buckets, met):
         drop_table(table)
     return stars(links)
 

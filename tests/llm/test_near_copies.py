@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stemma.llm import near_copies, simhash
@@ -70,3 +71,15 @@ def test_flood_meets_every_pair():
         for b in range(a):
             if len(np.intersect1d(rows[a], rows[b])) >= 0.8 * len(np.union1d(rows[a], rows[b])) - 1e-9:
                 assert label[a] == label[b]
+
+
+def test_fingerprints_bring_candidates(spark):
+    """Without a shared band, SimHash's links alone connect sets that are similar."""
+    rng = random.Random(5)
+    words = [rng.choice([f"w{i}" for i in range(3000)]) for _ in range(400)]
+    far = " ".join(rng.choices(words, k=400))
+    near = next(t for i in range(400) if simhash.fingerprint(t := " ".join([*words[:i], "other", *words[i + 1 :]])) != simhash.fingerprint(" ".join(words)) and (simhash.fingerprint(t) ^ simhash.fingerprint(" ".join(words))).bit_count() <= 4)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, near), (3, far)], "doc_id long, text string")
+    marked = near_copies.sketches(docs).withColumn("bands", F.array("key"))
+    keys = {r["doc_id"]: r["key"] for r in marked.collect()}
+    assert [{r["a"], r["b"]} for r in near_copies.similar_links(docs, marked).collect()] == [{keys[1], keys[2]}]
