@@ -13,16 +13,19 @@ documents reaches one:
 1. Documents are kept in batches (a bucketed table in the shared folder). In every 50-byte window
    the least hashed 16-byte string is its anchor; windows in a row with one anchor form a segment.
    Equal windows have equal anchors, and so lie in segments of the same anchor.
-2. For each batch and anchor one entry goes to the anchor's bucket. Anchors of a single document
-   are done with. Where all segments of an anchor have one digest, the smallest doc_id decides for all.
+2. For each batch, anchor and distinct segment one entry goes to the anchor's bucket. Anchors of a
+   single document are done with. Segments that share a window share the ``HALF`` bytes on one side
+   of the anchor, so one whose hashes of both sides nobody else has is done with too: of many texts
+   that hold an anchor by chance only the few that go on alike are left. Where those have one
+   digest, the smallest doc_id decides for all.
 3. Where they differ, each batch sends its distinct segments; a bucket builds suffix arrays over
    them, and equal 50-byte prefixes of neighbouring suffixes form the classes whose smallest
    doc_id is returned. An anchor with more than ``HOT_SEGMENTS`` segments sends single windows
    keyed by their own digest instead, so no bucket gathers a frequent passage's surroundings.
 4. Batches mark the bytes of windows that a smaller doc_id holds.
 
-Every message is one for each batch and key, so a passage that a third of all documents share
-weighs no more than one entry a batch. Segments are told apart by 96-bit digests of two independent
+Every message is one for each batch and distinct segment, so a passage that a third of all
+documents share weighs no more than one entry a batch. Segments are told apart by 96-bit digests of two independent
 hashes, hot windows by 128 bits of BLAKE2b; a 64-bit hash alone decides nothing (anchors that share
 one only share a bucket's entry, and stretches are compared byte by byte before they are merged).
 
@@ -52,6 +55,7 @@ from .common import _arrow_schema, persist_table, rows_to_batch, scratch_root
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
+HALF = (LENGTH - GRAM) // 2  # of a window's bytes beside its anchor, so many or more stand on one side
 HOT_SEGMENTS = 4096
 NULL_ID = 2**63 - 1
 _ONE, _NONE = 0, 1  # what an answer says of an anchor: all segments equal, or not
@@ -235,7 +239,13 @@ def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     head = struct.pack("<I", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_by_place(a) for a in arrays))
+
+
+def _by_place(a: np.ndarray) -> bytes:
+    """The items' first bytes, then their second ones: most high bytes are alike, and pack better side by side."""
+    a = np.ascontiguousarray(a)
+    return a.tobytes() if a.itemsize == 1 else a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -250,7 +260,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     out = []
     for kind, n in kinds:
         dtype = np.dtype("<" + kind.decode())
-        out.append(np.frombuffer(raw, dtype, n, at))
+        items = np.frombuffer(raw, dtype, n, at)
+        out.append(items if dtype.itemsize == 1 else np.ascontiguousarray(items.view(np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel())
         at += n * dtype.itemsize
     return out
 
@@ -317,45 +328,79 @@ def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def _sides(b: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes of the ``HALF`` bytes before and after each segment's anchor; 0 where the segment has fewer."""
+    end = max(len(b.raw) - 1, 0)
+
+    def side(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(at), U)
+        for k in range(HALF):
+            found = found * U(_STEP) + b.raw[np.clip(at + k, 0, end)]
+        return np.where(inside, _mix(found) % U(65535) + U(1), U(0)).astype(np.uint16)
+
+    after = b.place + GRAM
+    return side(b.place - HALF, b.place - HALF >= b.first), side(after, after + HALF <= b.last + LENGTH)
+
+
 def _send_anchors(blob: bytes, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """One entry for each anchor of the batch: its segment, smallest doc_id, distinct segments, whether two documents."""
+    """One entry for each distinct segment of the batch: anchor, digest, smallest doc_id, whether two documents, sides."""
     b = Batch(blob)
+    if not len(b.anchor):
+        return
     order = np.lexsort((b.more, b.segment, b.anchor))
     anchor, segment, more, ids = b.anchor[order], b.segment[order], b.more[order], b.doc_id[order]
-    at = _runs(anchor)
-    if not len(at):
-        return
-    fresh = _fresh(anchor, segment, more)
-    kinds = np.minimum(np.add.reduceat(fresh.astype(np.int64), at), 65535).astype(np.uint16)
+    at = np.flatnonzero(_fresh(anchor, segment, more))
     low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-    entry = (anchor[at], segment[at], more[at], low, kinds, (low != high).astype(np.uint8))
+    left, right = (x[order[at]] for x in _sides(b))
+    entry = (anchor[at], segment[at], more[at], low, (low != high).astype(np.uint8), left, right)
     where = entry[0] % U(buckets)
-    order = np.lexsort((entry[0], where))
+    order = np.argsort(where, kind="stable")
     where = where[order]
     edges = np.append(_runs(where), len(where))
     for a, e in zip(edges[:-1], edges[1:]):
         yield int(where[a]), _pack(*(c[order[a:e]] for c in entry))
 
 
+def _met(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which entries have a side in common with another of their group."""
+    out = np.zeros(len(group), bool)
+    for side in (left, right):
+        order = np.lexsort((side, group))
+        same = ~_fresh(group[order], side[order]) & (side[order] > 0)
+        out[order[same]] = True
+        out[order[np.flatnonzero(same) - 1]] = True
+    return out
+
+
 def _settle_anchors(pdf: pd.DataFrame, hot: int = HOT_SEGMENTS) -> pd.DataFrame:
-    """Of one bucket: tell each batch which of its anchors repeat across documents."""
+    """Of one bucket: tell each batch which of its anchors have segments that may repeat across documents."""
     batches = pdf["batch"].to_numpy()
     parts = [_unpack(x) for x in pdf["payload"]]
     owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    anchor, segment, more, low, kinds, many = (np.concatenate(c) for c in zip(*parts))
+    anchor, segment, more, low, many, left, right = (np.concatenate(c) for c in zip(*parts))
     order = np.argsort(anchor, kind="stable")
-    anchor, segment, more, low, kinds, many, owner = (c[order] for c in (anchor, segment, more, low, kinds, many, owner))
+    at = _runs(anchor[order])
+    count = np.diff(np.append(at, len(order)))
+    shared = (np.minimum.reduceat(low[order], at) != np.maximum.reduceat(low[order], at)) | (np.maximum.reduceat(many[order], at) > 0)
+    order = order[np.repeat(shared, count)]  # by anchor, then by batch
+    if not len(order):
+        return pd.DataFrame({"batch": [], "payload": []}).astype({"batch": "int64", "payload": "object"})
+    anchor, segment, more, low, many, left, right, owner = (c[order] for c in (anchor, segment, more, low, many, left, right, owner))
     at = _runs(anchor)
-    count = np.diff(np.append(at, len(anchor)))
-    least, most = np.minimum.reduceat(low, at), np.maximum.reduceat(low, at)
-    shared = (least != most) | (np.maximum.reduceat(many, at) > 0)
-    total = np.add.reduceat(kinds.astype(np.int64), at)
-    differ = np.maximum.reduceat(kinds, at) > 1
+    spread = lambda x: np.repeat(x, np.diff(np.append(at, len(anchor))))
+    open_ = _met(spread(np.arange(len(at))), left, right) | (many > 0)
+    some = np.maximum.reduceat(open_, at)
+    differ = ~some
     for part in (segment, more):
-        differ |= np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)
-    mode = np.where(differ, np.where(total > hot, _HOT, _NONE), _ONE).astype(np.uint8)
-    spread = lambda x: np.repeat(x, count)
-    tell = spread(shared) & (spread(differ) | (low > spread(least)) | (many > 0))
+        top = np.iinfo(part.dtype).max
+        differ |= np.minimum.reduceat(np.where(open_, part, top), at) != np.maximum.reduceat(np.where(open_, part, part.dtype.type(0)), at)
+    batch_at = np.flatnonzero(_fresh(anchor, owner))  # a batch's segments of an anchor
+    mixed = np.minimum.reduceat(open_, batch_at) != np.maximum.reduceat(open_, batch_at)
+    differ |= np.maximum.reduceat(np.repeat(mixed, np.diff(np.append(batch_at, len(anchor)))), at)  # an answer is the anchor's, so all of them go on
+    least = np.minimum.reduceat(np.where(open_, low, NULL_ID), at)
+    mode = np.where(differ, np.where(np.add.reduceat(open_.astype(np.int64), at) > hot, _HOT, _NONE), _ONE).astype(np.uint8)
+    tell = np.flatnonzero(open_ & (spread(differ) | (low > spread(least)) | (many > 0)))
+    tell = tell[_fresh(anchor[tell], owner[tell])]
     owner, anchor, least, mode = owner[tell], anchor[tell], spread(least)[tell], spread(mode)[tell]
     order = np.argsort(owner, kind="stable")
     edges = np.append(_runs(owner[order]), len(order))
@@ -526,7 +571,7 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = 2 << 20, bucket_bytes: in
                 yield rows_to_batch([(bucket, key, payload) for bucket, payload in _send_anchors(blob, buckets)], sent)
 
     asked = texts.select("batch", "blob").mapInArrow(ask, message)
-    anchored = persist_table(asked.groupBy("bucket").applyInPandas(lambda pdf: _settle_anchors(pdf, hot_segments), "batch long, payload binary"), "anchors")
+    anchored = persist_table(asked.groupBy("bucket").applyInPandas(lambda pdf: _settle_anchors(pdf, hot_segments), "batch long, payload binary"), "anchors", free=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

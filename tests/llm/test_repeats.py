@@ -90,3 +90,17 @@ def test_equal_stretch_hashes_are_compared_byte_by_byte(monkeypatch):
         a = number // 11 * 60 + number % 11
         seen.setdefault(text[a : a + S.LENGTH], set()).add(number)
     assert {n for same in seen.values() if len(same) > 1 for n in same} <= done
+
+
+def test_anchors_shared_by_chance_send_no_segments():
+    """Texts that have single words in common, but no 50 bytes, are done with after their anchors; copies among them by digest."""
+    rng = random.Random(4)
+    phrases = ["".join(rng.choice("abcdefghij") for _ in range(17)) + " " for _ in range(40)]
+    rows = [(k, " ".join("".join(rng.choice("klmnopqrst") for _ in range(18)) + " " + rng.choice(phrases) for _ in range(20))) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    assert by_hand(rows, 7, 4096) == repeats(rows)
+    blobs = [S._pack(np.array([k], "<i8"), np.array([len(t)], "<i8"), np.frombuffer(t.encode(), np.uint8)) for k, t in rows]
+    asked = pd.DataFrame([(n, payload) for n, blob in enumerate(blobs) for _, payload in S._send_anchors(blob, 1)], columns=["batch", "payload"])
+    told = S._settle_anchors(asked)
+    open_ = [m for payload in told["payload"] for m in S._unpack(payload)[2].tolist()]
+    assert open_.count(S._ONE) > 100 and open_.count(S._NONE) < 50  # some hundreds otherwise
