@@ -3,8 +3,9 @@
 Tables of one ``SnapshotLog``; every commit is a segment, numbered by its version:
 
 * ``postings``: term, block, key, dl, tf, positions. A row's block is a hash of its key, so all
-  terms deal rows alike. Parts are range-partitioned and sorted by (term, block): a frequent term is
-  spread over many files, and a reader's filters on both reach the file statistics.
+  terms deal rows alike. Parts are dealt by a hash of (term, block) and sorted by them: a frequent term
+  is spread over all files, and a reader's filters on both reach the statistics of pages. (Ranges would
+  take a pass more, to sample the order.)
 * ``bounds``: of each term and block of a segment, how many rows, the largest tf and the smallest
   dl / tf. A weight is 1 / (1 + a / tf + b * dl / tf) but for factors, so these two bound what any row
   of the block can score, whatever the corpus numbers are by then. A deletion adds negative counts.
@@ -21,12 +22,15 @@ all of them, a query with phrases scores all its rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
 from ..plans.snapshots import Change, SnapshotLog
 from .search import _weight, query_phrases, tokens, top_k
 
@@ -36,6 +40,29 @@ BLOCK_ROWS = 128
 MOST_NAMED = 2_000
 
 
+#: Rows whose tokens are grouped at a time.
+GROUPED_ROWS = 500
+
+
+def grouped_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, dl, terms, positions of (key, tokens): each row's distinct terms, and the places of each, rising."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, GROUPED_ROWS):
+            batch = whole.slice(first, GROUPED_ROWS)
+            said = batch.column(1)
+            dl = said.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = said.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(dl)), dl)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(dl) - dl, dl)
+            group = row * max(len(words.dictionary), 1) + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            terms = words.dictionary.take(words.indices.take(pa.array(order[starts])))
+            places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            ends = pa.array(np.searchsorted(row[order[starts]], np.arange(len(dl) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl, pa.int32()), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, places)], names=["key", "dl", "terms", "positions"])
+
+
 def _back(steps: int) -> Callable[[Column], Column]:
     return lambda x: x - steps
 
@@ -71,6 +98,8 @@ class TextIndex:
 
     def _alive(self, rows: DataFrame, base: int) -> DataFrame:
         """Without rows that a later segment deleted."""
+        if not self.log.manifest(base)["tables"].get("gone"):
+            return rows
         gone = self.log.read("gone", base).groupBy("key").agg(F.max("segment").alias("until"))
         return rows.join(gone, "key", "left").where("until IS NULL OR segment >= until").drop("until")
 
@@ -86,17 +115,17 @@ class TextIndex:
 
     def upsert(self, docs: DataFrame, key: str, text: str) -> int:
         """Index rows; those whose key is there already replace it, in the same version. Keys of ``docs`` are distinct."""
-        cut = docs.select(F.col(key).cast(self.key_type).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-        spread = cut.select("key", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-        posted = spread.groupBy("term", "key", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))  # a term's places in one row
-        posted = posted.select("term", self._block().alias("block"), "key", "dl", "tf", "positions")
-        part = self.log.write_part(posted.repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block"))  # tokens are cut once, whatever conflicts follow
+        words = docs.select(F.col(key).cast(self.key_type).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+        said = cut(words.mapInArrow(grouped_tokens, f"key {self.key_type}, dl int, terms array<string>, positions array<array<int>>"))  # texts are read and grouped once; only postings are dealt
+        each = said.select("key", "dl", F.explode(F.arrays_zip("terms", "positions")).alias("p"))
+        posted = each.select(F.col("p.terms").alias("term"), self._block().alias("block"), "key", "dl", F.size("p.positions").alias("tf"), F.col("p.positions").alias("positions"))
+        part = self.log.write_part(posted.repartition("term", "block").sortWithinPartitions("term", "block"))
         stored = self.spark.read.schema(posted.schema).parquet(f"{self.log.path}/parts/{part['id']}")
 
         def change(base: int) -> Change:
             segment = F.lit(base + 1).cast("long").alias("segment")
-            rows = cut.select("key", F.size("t").alias("dl"), F.array_distinct("t").alias("terms"))
-            what = {name: [frame] for name, frame in (self._removal(cut, base) if base else {}).items()}
+            rows = said.select("key", "dl", "terms")
+            what = {name: [frame] for name, frame in (self._removal(said, base) if base else {}).items()}
             add = {
                 "bounds": stored.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("least")).select("*", segment),
                 "rows": rows.select("*", segment),
@@ -122,7 +151,7 @@ class TextIndex:
             segment = F.lit(base + 1).cast("long").alias("segment")
             bounds = live.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("least"))
             totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
-            anew = {"postings": live.drop("segment").repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block"), "bounds": bounds, "rows": rows.drop("segment"), "totals": totals}
+            anew = {"postings": live.drop("segment").repartition("term", "block").sortWithinPartitions("term", "block"), "bounds": bounds, "rows": rows.drop("segment"), "totals": totals}
             return Change(replace={name: frame.select("*", segment) for name, frame in anew.items()} | {"gone": self.log.read("gone", 0)}, note="compact")
 
         return self.log.update(change)

@@ -75,3 +75,30 @@ def test_an_empty_index(spark, tmp_path):
     assert index.search("river").count() == 0 and index.scores("a_b").count() == 0
     index.upsert(spark.createDataFrame([(1, None)], "id long, text string"), "id", "text")
     assert index.search("river").count() == 0
+
+
+def test_texts_are_read_once_for_an_index(spark, tmp_path):
+    """A pass over the texts is most of the work of an index; postings, rows and totals come from one."""
+    from pyspark.sql import functions as F
+
+    rows = texts(3, 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    index = build_index(frame(spark, rows).withColumn("text", read("text")), "id", "text", str(tmp_path / "index"))
+    assert seen.value == len(rows)
+    same(spark, index, rows, ["the river stone"])
+
+
+def test_grouped_tokens_of_odd_rows():
+    import pyarrow as pa
+
+    said = [["b", "a", "b"], [], ["a"] * 3, ["ü", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(said, pa.list_(pa.string()))], names=["key", "t"])
+    got = [r for b in text_index.grouped_tokens(iter([batch.slice(1), batch.slice(0, 0), batch.slice(1, 1)])) for r in b.to_pylist()]
+    assert [r["key"] for r in got] == [1, 2, 3, 1]
+    assert [dict(zip(r["terms"], r["positions"])) for r in got] == [{}, {"a": [0, 1, 2]}, {"ü": [0], "b": [1]}, {}] and [r["dl"] for r in got] == [0, 3, 2, 0]
