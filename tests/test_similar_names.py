@@ -51,3 +51,21 @@ def test_neighbour_communities(spark):
         for i, label in labels.items():
             want.setdefault(label, set()).add(i)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(got) > 5
+
+
+def test_chains_of_many_small_sets_are_walked_in_one_pass(spark):
+    """Tasks walk their sets row by row; a call and a frame for each set was three quarters of the time."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("TU"), f"n{rng.randrange(60)}", [f"n{rng.randrange(60)}" for _ in range(rng.randrange(3))] if i % 2 else []) for i in range(80)]
+    want, exact, alias = {}, {}, {}
+    for seq, kind, name, keys in rows:
+        owner = exact.get((kind, name), alias.get((kind, name)))
+        if owner is None:
+            owner = exact[kind, name] = seq
+        for k in keys:
+            alias.setdefault((kind, k), owner)
+        want[seq] = owner
+    df = spark.createDataFrame(rows[::-1], "seq long, entity_type string, normalized_name string, alias_keys array<string>")
+    found = resolve.resolve_sequentially(df)
+    assert "FlatMapGroupsIn" not in found._jdf.queryExecution().toString()
+    assert {r["seq"]: r["node_key"] for r in found.collect()} == want
