@@ -12,16 +12,17 @@ A store's frames and the columns they need (others are kept):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
 from ..plans.checkpoints import cut
 from .graph import connected_components, visible
-from .resolve import fill_properties
+from .resolve import fill_properties, in_order
 
 
 @dataclass
@@ -162,22 +163,31 @@ def bind_entities(store: Store, entities: DataFrame) -> DataFrame:
     rows = forms.withColumn("at", node("normalized_name")).join(place, "at").select("component", "entity_type", F.col("normalized_name").alias("key"), "alias_keys", "seq", "id", none.cast("string").alias("exact"), none.cast("string").alias("alias"))
     rows = rows.unionByName(owners.withColumn("at", node("key")).join(place, "at").select("component", "entity_type", "key", F.array().cast("array<string>").alias("alias_keys"), none.cast("long").alias("seq"), none.cast("string").alias("id"), "exact", "alias"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["seq"].isna()]
-        exact = {k: v for k, v in zip(known["key"], known["exact"]) if isinstance(v, str)}
-        alias = {k: v for k, v in zip(known["key"], known["alias"]) if isinstance(v, str)}
-        out = []
-        for r in pdf[pdf["seq"].notna()].sort_values("seq").itertuples():
-            owner = exact.get(r.key) or alias.get(r.key)
-            minted = owner is None
-            if minted:
-                owner = exact[r.key] = r.id
-            for k in (*([] if minted else [r.key]), *r.alias_keys):
-                alias.setdefault(k, owner)
-            out.append((r.entity_type, r.key, list(r.alias_keys), owner, minted))
-        return pd.DataFrame(out, columns=["entity_type", "normalized_name", "alias_keys", "node_id", "new"])
-
-    bound = rows.groupBy("component").applyInPandas(walk, "entity_type string, normalized_name string, alias_keys array<string>, node_id string, new boolean")
+    kind = "entity_type string, normalized_name string, alias_keys array<string>, node_id string, new boolean"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, exact, alias = None, {}, {}
+        for batch in batches:
+            out = []
+            for component, entity_type, key, keys, seq, id_, known, known_alias in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != at:
+                    at, exact, alias = component, {}, {}
+                if seq is None:  # what the store knows, before all forms
+                    exact |= {key: known} if known is not None else {}
+                    alias |= {key: known_alias} if known_alias is not None else {}
+                    continue
+                owner = exact.get(key) or alias.get(key)
+                minted = owner is None
+                if minted:
+                    owner = exact[key] = id_
+                for k in (*([] if minted else [key]), *keys):
+                    alias.setdefault(k, owner)
+                out.append((entity_type, key, keys, owner, minted))
+            columns = list(zip(*out)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["entity_type", "normalized_name", "alias_keys", "node_id", "new"])
+
+    bound = in_order(rows, "component", "seq").mapInArrow(walk, kind)  # a null seq comes first
     joined = named.join(bound, ["entity_type", "normalized_name", "alias_keys"])
     return joined.withColumn("minted", F.col("id") == F.col("node_id")).drop("alias_keys", "new")
 
