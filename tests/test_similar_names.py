@@ -69,3 +69,17 @@ def test_chains_of_many_small_sets_are_walked_in_one_pass(spark):
     found = resolve.resolve_sequentially(df)
     assert "FlatMapGroupsIn" not in found._jdf.queryExecution().toString()
     assert {r["seq"]: r["node_key"] for r in found.collect()} == want
+
+
+def test_containment_compares_names_and_not_their_bearers(spark):
+    """The pairs of all bearers are those of ``block_pairs``; names with many bearers are compared once."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(3, 7))) for _ in range(30)]
+    words += [w + "xy" for w in words[:12]] + ["", "abc"]
+    rows = [(f"{i}", rng.choice("TU"), w) for i, w in enumerate(words * 3)] + [(f"m{i}", "T", words[0]) for i in range(40)] + [(f"q{i}", "U", words[3] + "xy") for i in range(70)]
+    nodes = spark.createDataFrame(rows, "id string, entity_type string, normalized_name string")
+    for most in (4, 64):
+        pairs = resolve.block_pairs(nodes, max_block=most)
+        want = {(r["a"], r["b"]) for r in resolve.containment(resolve.pair_names(pairs, nodes)).collect()}
+        got = [(r["a"], r["b"]) for r in resolve.contained_names(nodes, most).collect()]
+        assert set(got) == want and len(got) == len(want) and (most == 4 or want)
