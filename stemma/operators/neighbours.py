@@ -14,15 +14,17 @@ that wasn't probed can be missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import cosine, mutual_pairs, nearest_in_block
+from ..plans.checkpoints import cut
+from .search import SPLITS, Nearest, cosine, in_pieces, mutual_pairs, number_keys, spread, unit_rows
 
 SAMPLE_ROWS, SAMPLE_QUERIES, MOST_LISTS, ROUNDS = 20_000, 500, 16_384, 10
 
@@ -82,54 +84,94 @@ def _probes(found: Lists, x: np.ndarray, groups: np.ndarray, k: int, recall: flo
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
 
+def shelves(found: Lists) -> int:
+    """Lists lie on shelves by their number; a query goes to a shelf once, however many of its lists it probes."""
+    return min(SPLITS, len(found.centroids))
+
+
 def deal(rows: DataFrame, vector: str, found: Lists) -> DataFrame:
-    """``rows`` with ``lists``: the probed lists, their own first."""
+    """``rows`` with ``list``, their own one, and ``probed``: for each shelf the probed lists as bits, null where there are none."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-    schema = StructType([*rows.schema.fields, StructField("lists", ArrayType(IntegerType()))])
+    schema = StructType([*rows.schema.fields, StructField("list", IntegerType()), StructField("probed", ArrayType(BinaryType()))])
     out = to_arrow_schema(schema)
-    at = rows.columns.index(vector)
+    at, n = rows.columns.index(vector), shelves(found)
     held = rows.sparkSession.sparkContext.broadcast(found)  # MOST_LISTS vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             column = batch.column(at)
             v = np.asarray(column.flatten(), float).reshape(len(column), -1)
             near = held.value.nearest(v, held.value.probes).astype(np.int32)
-            ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]) if len(near) else pa.array([0], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], schema=out)
+            asks = np.zeros((len(near), len(held.value.centroids)), bool)
+            np.put_along_axis(asks, near, True, 1)
+            bits = [np.packbits(asks[:, s::n], axis=1) for s in range(n)]
+            probed = [[b[i].tobytes() if b[i].any() else None for b in bits] for i in range(len(near))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0]), pa.array(probed, out.field("probed").type)], schema=out)
 
     return rows.mapInArrow(run, schema)
 
 
-def candidate_blocks(rows: DataFrame, key: str, vector: str, group: str, found: Lists, block: int = 512) -> DataFrame:
-    """Both sides of every comparison: (g, list, i, j, key, v, side); a task holds ``block`` members and about as many queries."""
-    dealt = deal(rows.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(vector).alias("v")), "v", found)
-    members = dealt.select("g", "key", "v", F.get("lists", F.lit(0)).alias("list"))
-    asked = dealt.select("g", "key", "v", F.explode("lists").alias("list"))
-    pieces = lambda df, name: df.groupBy("g", "list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    size = pieces(members, "js").join(pieces(asked, "is"), ["g", "list"])
+def candidate_blocks(rows: DataFrame, key: str, vector: str, group: str, found: Lists, block: int = 65_536) -> DataFrame:
+    """Both sides of every comparison: (g, shelf, i, j, key, v, slot, bits, side); a task holds ``block`` members and about as many queries of a shelf."""
+    dealt = cut(deal(rows.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(vector).alias("v")), "v", found))  # read four times
+    n = F.lit(shelves(found))
+    members = dealt.select("g", "key", "v", F.floor(F.col("list") / n).cast("int").alias("slot"), F.pmod("list", n).alias("shelf"))
+    asked = dealt.select("g", "key", "v", F.posexplode("probed").alias("shelf", "bits")).where("bits IS NOT NULL")
+    size = members.groupBy("g", "shelf").agg(F.ceil(F.count("*") / block).cast("int").alias("js")).join(asked.groupBy("g", "shelf").agg(in_pieces(F.count("*"), block).alias("is")), ["g", "shelf"])
     number = lambda count: F.pmod(F.xxhash64("key"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = asked.join(size, ["g", "list"]).withColumn("i", number("is")).select("g", "list", "i", every("js").alias("j"), "key", "v", F.lit(0).alias("side"))
-    right = members.join(size, ["g", "list"]).withColumn("j", number("js")).select("g", "list", every("is").alias("i"), "j", "key", "v", F.lit(1).alias("side"))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = asked.join(size, ["g", "shelf"]).withColumn("i", number("is")).select("g", "shelf", "i", every("js").alias("j"), "key", "v", none("int").alias("slot"), "bits", F.lit(0).alias("side"))
+    right = members.join(size, ["g", "shelf"]).withColumn("j", number("js")).select("g", "shelf", every("is").alias("i"), "j", "key", "v", "slot", none("binary").alias("bits"), F.lit(1).alias("side"))
     return left.unionByName(right)
 
 
+def by_list(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, list[tuple[np.ndarray, np.ndarray]]]:
+    """A block's queries and members, each by key, and for each of its lists the places of those that meet there."""
+    asked, members = (pdf[pdf["side"] == s].sort_values("key") for s in (0, 1))
+    if asked.empty or members.empty:
+        return asked, members, []
+    bits = np.unpackbits(np.frombuffer(b"".join(asked["bits"]), np.uint8).reshape(len(asked), -1), axis=1)
+    own = members["slot"].to_numpy().astype(int)
+    order = np.argsort(own, kind="stable")
+    meets = np.split(order, np.flatnonzero(np.diff(own[order])) + 1)
+    return asked, members, [(np.flatnonzero(bits[:, own[m[0]]]), m) for m in meets]
+
+
 def comparisons(blocks: DataFrame) -> int:
     """How many pairs of rows are compared."""
-    sides = blocks.groupBy("g", "list", "i", "j").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    return sides.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [sum(len(a) * len(b) for a, b in by_list(pdf)[2])]})
+
+    return blocks.groupBy("g", "shelf", "i", "j").applyInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def nearest_in_lists(k: int, threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The k nearest of a block's members for each of its queries, among the lists that it probes."""
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, members, meets = by_list(pdf)
+        keys, others = asked["key"].to_numpy(), members["key"].to_numpy()
+        best = Nearest(len(keys), k, threshold)
+        if meets:
+            x, y, codes = unit_rows(asked["v"]), unit_rows(members["v"]), number_keys(keys, others)
+            for rows, places in meets:
+                best.meet(x, rows, y, places, codes)
+        return best.frame(keys, others)
+
+    return near
 
 
-def knn_pairs_indexed(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, threshold: float = 0.9, recall: float = 0.95, block: int = 512) -> DataFrame:
+def knn_pairs_indexed(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, threshold: float = 0.9, recall: float = 0.95, block: int = 65_536) -> DataFrame:
     """``search.knn_pairs`` by lists: a, b, cosine."""
     kind = dict(rows.dtypes)[key]
     found = fit_lists(rows, key, vector, k, recall, group=group)
     if found is None:
         return rows.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cosine double")
-    near = candidate_blocks(rows, key, vector, group, found, block).groupBy("g", "list", "i", "j").applyInPandas(nearest_in_block(k), f"key {kind}, other {kind}, cos double")
+    near = spread(candidate_blocks(rows, key, vector, group, found, block), "g", "shelf", "i", "j").groupBy("g", "shelf", "i", "j").applyInPandas(nearest_in_lists(k, threshold), f"key {kind}, other {kind}, cos double")
     return mutual_pairs(near, k, threshold)
 
 
@@ -139,7 +181,7 @@ def write_vectors(rows: DataFrame, key: str, vector: str, path: str, k: int = 10
     if found is None:
         return None
     dealt = deal(rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v")), "v", found)
-    dealt.select("key", "v", F.get("lists", F.lit(0)).alias("list")).repartitionByRange("list").sortWithinPartitions("list").write.parquet(f"{path}/rows")
+    dealt.select("key", "v", "list").repartitionByRange("list").sortWithinPartitions("list").write.parquet(f"{path}/rows")
     spark = rows.sparkSession
     spark.createDataFrame([(i, c.tolist(), found.probes) for i, c in enumerate(found.centroids)], "list int, centroid array<double>, probes int").write.parquet(f"{path}/lists")
     return found

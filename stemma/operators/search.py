@@ -114,43 +114,101 @@ def vector_search(rows: DataFrame, key: str, vector: str, query: list[float], mo
     return rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), ((cosine(F.col(vector), q) + 1) / 2).alias("score"))
 
 
-def nearest_in_block(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The k nearest of side 1 for each row of side 0, by cosine; a row isn't its own neighbour."""
+#: ``SPLITS`` blocks share a group where each then has over ``SHARED`` rows; a task's matrices have up to ``CELLS`` rows and columns.
+SPLITS, SHARED, CELLS = 6, 512, 2048
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Nearest:
+    """The k best cosines that n rows have met, ties (to 12 places, so that copies tie wherever they lie) to the lower place."""
+
+    def __init__(self, n: int, k: int, threshold: float):
+        self.k, self.threshold = k, threshold
+        self.cos, self.place = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def meet(self, x: np.ndarray, rows: np.ndarray, y: np.ndarray, places: np.ndarray, codes: tuple[np.ndarray, np.ndarray]) -> None:
+        """``rows`` of ``x`` meet ``places`` of ``y``; ``codes`` number the keys of both, and a key never meets itself."""
+        for r in (rows[i : i + CELLS] for i in range(0, len(rows), CELLS)):
+            for p in (places[i : i + CELLS] for i in range(0, len(places), CELLS)):
+                c = x[r] @ y[p].T
+                c[codes[0][r, None] == codes[1][None, p]] = -np.inf
+                top = c.max(1)
+                better = (top >= self.threshold - 1e-9) & (top >= self.cos[r].min(1) - 1e-11)
+                if better.any():
+                    self._take(r[better], c[better], p)
+
+    def _take(self, r: np.ndarray, c: np.ndarray, p: np.ndarray) -> None:
+        k = self.k
+        c, p = np.hstack([self.cos[r], c]), np.hstack([self.place[r], np.broadcast_to(p, c.shape)])
+        best = np.argpartition(-c, k - 1, axis=1)[:, :k]
+        tied = (c >= np.take_along_axis(c, best, 1).min(1, keepdims=True) - 1e-11).sum(1) > k
+        best[tied] = np.lexsort((p[tied], -np.round(c[tied], 12)), axis=1)[:, :k]
+        self.cos[r], self.place[r] = np.round(np.take_along_axis(c, best, 1), 12), np.take_along_axis(p, best, 1)
+
+    def frame(self, keys: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+        """key, other, cos of what reaches the threshold."""
+        at, slot = np.nonzero(np.isfinite(self.cos) & (self.cos >= self.threshold))
+        return pd.DataFrame({"key": keys[at], "other": others[self.place[at, slot]], "cos": self.cos[at, slot]})
+
+
+def number_keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    return codes[: len(a)], codes[len(a) :]
+
+
+def nearest_in_blocks(k: int, threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The k nearest, by cosine, that the rows of two blocks (sides 0 and 1) have in each other; side 0 alone: within itself."""
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [pdf[pdf["side"] == s].sort_values("key") for s in (0, 1)]
-        if parts[0].empty or parts[1].empty:
-            return pd.DataFrame({"key": [], "other": [], "cos": []}).astype({"key": parts[0]["key"].dtype, "other": parts[0]["key"].dtype})
-        m = [np.array(p["v"].tolist(), float) for p in parts]
-        m = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in m]
-        cos = m[0] @ m[1].T
-        keys = [p["key"].to_numpy() for p in parts]
-        cos[keys[0][:, None] == keys[1][None, :]] = -np.inf
-        top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        rows_ = np.repeat(np.arange(len(keys[0])), top.shape[1])
-        out = pd.DataFrame({"key": keys[0][rows_], "other": keys[1][top.ravel()], "cos": cos[rows_, top.ravel()]})
-        return out[np.isfinite(out["cos"])]
-
-    return near
-
-
-def knn_pairs(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, threshold: float = 0.9, block: int = 512) -> DataFrame:
+        sides = [(p["key"].to_numpy(), unit_rows(p["v"])) for p in parts if len(p)]
+        out = []
+        for (keys, x), (others, y) in zip(sides, sides[::-1]):
+            found = Nearest(len(x), k, threshold)
+            found.meet(x, np.arange(len(x)), y, np.arange(len(y)), number_keys(keys, others))
+            out.append(found.frame(keys, others))
+        return pd.concat(out)
+
+    def checked(pdf: pd.DataFrame) -> pd.DataFrame:
+        one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        alone = not one_block and pdf["side"].nunique() < 2
+        return near(pdf) if not alone else pd.DataFrame({"key": pdf["key"][:0], "other": pdf["key"][:0], "cos": np.zeros(0)})
+
+    return checked
+
+
+def knn_pairs(rows: DataFrame, key: str, vector: str, group: str, k: int = 5, threshold: float = 0.9, block: int = 65_536) -> DataFrame:
     """Pairs a < b within a group whose cosine reaches the threshold and where one is among the other's k nearest.
 
-    A group is cut into blocks by key hash and every block meets every other as one task, so no task
-    holds a whole group; each task keeps only k neighbours a row.
+    A group is cut into blocks by key hash and every two of them meet in one task, so no task holds a
+    whole group; each task keeps only k neighbours a row. ``SPLITS`` blocks share a group, more only
+    where one would have over ``block`` rows, so a row goes to few tasks however large its group is.
     """
-    spark = rows.sparkSession
-    sized = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    r = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(group).alias("g")).join(sized.select(F.col(group).alias("g"), "blocks"), "g").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = r.select("g", F.col("blk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "key", "v", F.lit(0).alias("side"))
-    right = r.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("blk").alias("j"), "key", "v", F.lit(1).alias("side"))
+    known = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(group).alias("g"))
+    sized = known.groupBy("g").agg(F.count("*").alias("n")).select("g", in_pieces(F.col("n"), block).alias("blocks"))
+    r = known.join(sized, "g").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    met = r.select("g", "blk", "key", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("far"))
+    dealt = met.select("g", F.least("blk", "far").alias("i"), F.greatest("blk", "far").alias("j"), "key", "v", (F.col("blk") > F.col("far")).cast("int").alias("side"))
 
     kind = dict(rows.dtypes)[key]
-    found = left.unionByName(right).groupBy("g", "i", "j").applyInPandas(nearest_in_block(k), f"key {kind}, other {kind}, cos double")
+    found = spread(dealt, "g", "i", "j").groupBy("g", "i", "j").applyInPandas(nearest_in_blocks(k, threshold), f"key {kind}, other {kind}, cos double")
     return mutual_pairs(found, k, threshold)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by all of ``keys``, tasks not merged by their bytes: their work grows with the square of these."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def in_pieces(n: Column, block: int) -> Column:
+    """Into how many pieces ``n`` rows are cut: ``SPLITS`` at most, but more where one would have over ``block`` rows."""
+    return F.greatest(F.ceil(n / block), F.least(F.lit(SPLITS), F.ceil(n / SHARED))).cast("int")
+
+
 def mutual_pairs(found: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs a < b of (key, other, cos) rows where one is among the other's k best and the cosine reaches the threshold."""
     w = Window.partitionBy("key").orderBy(F.desc("cos"), "other")

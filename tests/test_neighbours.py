@@ -70,3 +70,18 @@ def test_no_vectors(spark):
     assert neighbours.knn_pairs_indexed(df, "id", "v", "g").count() == 0
     one = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 1)], "id long, v array<double>, g int")
     assert found(neighbours.knn_pairs_indexed(one, "id", "v", "g", threshold=-1.0)) == found(search.knn_pairs(one, "id", "v", "g", threshold=-1.0))
+
+
+def test_rows_go_to_few_blocks(spark):
+    """A query goes to a shelf once, however many of its lists it probes; copies tie by key in whatever block they lie."""
+    v = np.random.default_rng(5).normal(size=(1500, 16))
+    df = frame(spark, v)
+    lists = neighbours.fit_lists(df, "id", "v")
+    assert lists.probes > search.SPLITS
+    blocks = neighbours.candidate_blocks(df, "id", "v", "g", lists)
+    sides = {r["side"]: r["count"] for r in blocks.groupBy("side").count().collect()}
+    assert sides[0] <= search.SPLITS * 1500 and sides[1] <= search.SPLITS * 1500
+    copies = frame(spark, np.vstack([v[:40]] * 40))
+    got = found(search.knn_pairs(copies, "id", "v", "g", k=2, block=100))
+    want = {tuple(sorted((i, j))) for i in range(1600) for j in [x for x in range(i % 40, 1600, 40) if x != i][:2]}
+    assert set(got) == want
