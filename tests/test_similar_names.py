@@ -83,3 +83,23 @@ def test_containment_compares_names_and_not_their_bearers(spark):
         want = {(r["a"], r["b"]) for r in resolve.containment(resolve.pair_names(pairs, nodes)).collect()}
         got = [(r["a"], r["b"]) for r in resolve.contained_names(nodes, most).collect()]
         assert set(got) == want and len(got) == len(want) and (most == 4 or want)
+
+
+def test_very_common_keys_stay_where_they_are(spark, monkeypatch):
+    """Keys beyond ``HOT`` open the same pairs without going through one task; two names are rated once for all their bearers."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abc", k=rng.randint(2, 6))) for _ in range(25)]
+    rows = [(f"{i}", rng.choice("TU"), w) for i, w in enumerate(words * 4)]
+    nodes = spark.createDataFrame(rows, "id string, entity_type string, normalized_name string")
+    want = {(r["a"], r["b"]) for r in resolve.block_pairs(nodes, max_block=3).collect()}
+    monkeypatch.setattr(resolve, "HOT", 3)
+    got = resolve.block_pairs(nodes, max_block=3)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and want
+    named = resolve.pair_names(got, nodes)
+    names = {i: w for i, _, w in rows}
+    ratios = {p: SequenceMatcher(None, names[p[0]], names[p[1]]).ratio() for p in want}
+    seen = []
+    bounds = resolve.within_reach
+    monkeypatch.setattr(resolve, "within_reach", lambda pairs, *more: seen.append(pairs) or bounds(pairs, *more))
+    assert {(r["a"], r["b"]): r["ratio"] for r in resolve.similar_names(named, nodes).collect()} == {p: r for p, r in ratios.items() if r >= resolve.NAME_RATIO}
+    assert seen[0].count() == len({(names[a], names[b]) for a, b in want if names[a] != names[b]})
