@@ -12,15 +12,16 @@ from ..operators.runs import RESULTS, ExtractionRuns, planned
 from ..sources.documents import chunk_documents
 from . import testbed as tb
 from .catalogue import _CHUNKS, query
-from .checkpoints import at_end, delete, shared_folder
+from .checkpoints import at_end, cut, delete, shared_folder
 
 STREAM = {"schema_version_id": 3, "engine": "rule", "model": "long-words", "prompt_version": "p1", "decode_params": '{"t":0}'}
 _WORDS = "[a-z]{9,}"
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    docs = tb.table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    return chunk_documents(docs).join(docs.select("doc_id", content_hash(F.col("text")).alias("content_hash")), "doc_id")
+    """Chunks carry their document's hash along, so no text is joined."""
+    docs = tb.table(s, d, "documents").where("text IS NOT NULL").select(F.struct("doc_id", content_hash(F.col("text")).alias("content_hash")).alias("doc"), "text")
+    return chunk_documents(docs, "doc").select("doc.doc_id", "chunk", "char_offset", "text", "doc.content_hash")
 
 
 _FIRST = _CHUNKS + ", f AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text), k AS (SELECT doc_id, c.text AS whole, chunk, a, substr(c.text, a + 1, e - a) AS piece FROM c JOIN f USING (doc_id))"
@@ -51,9 +52,9 @@ def _resumed(s: SparkSession, d: str) -> ExtractionRuns:
     at_end(lambda: delete(s, path))
     now = [0.0]
     lost, next_ = (ExtractionRuns(s, path, owner, lease=60.0, clock=lambda: now[0]) for owner in ("lost", "next"))
-    chunks = _chunks(s, d)
+    chunks = cut(_chunks(s, d))  # read four times below
     lost.plan(chunks, **STREAM)
-    texts = chunks.select(content_hash(F.col("text")).alias("content_hash"), "text").dropDuplicates(["content_hash"])
+    texts = cut(chunks.select(content_hash(F.col("text")).alias("content_hash"), "text").dropDuplicates(["content_hash"]))
     claimed = lost.claim()
     lost.record(_long_words(claimed.where("chunk = 0").join(texts, "content_hash")))
     now[0] = 61.0

@@ -173,3 +173,16 @@ def test_columns_grow_and_parts_go(spark, tmp_path):
     assert len(log.forget(v)) == 2 and sorted(map(tuple, log.read("t").collect())) == want
     with pytest.raises(ValueError):
         log.commit(v, Change({"t": spark.createDataFrame([(1,)], "other int")}))
+
+
+def test_texts_are_chunked_and_dealt_once(spark):
+    """The plan's chunks are made without a join of texts, whose second reading and shuffle were most of the time."""
+    from stemma.plans import queries_runs
+
+    from .conftest import DATA
+
+    made = queries_runs._chunks(spark, DATA)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL")
+    assert {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "'sha256:' || sha2(text, 256) AS h").collect()} == {r["doc_id"]: r["content_hash"] for r in made.collect()}
