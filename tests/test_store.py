@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import community, graph, packs, quality, resolve, search, store
+from stemma.operators import community, graph, packs, quality, resolve, review, search, store
 
 NODES = "id string, entity_type string, name string, normalized_name string, aliases array<string>, properties map<string,string>, status string, embedding array<float>, embedding_model string"
 EDGES = "id string, relation_type string, src string, dst string, status string, invalidated_ts double"
@@ -165,3 +165,26 @@ def test_linked_sets_of_proposals_are_walked_in_one_pass(spark):
     bound = store.bind_entities(store.Store(nodes, None, aliases, None), entities)
     assert "FlatMapGroupsIn" not in bound._jdf.queryExecution().toString()
     assert {r["id"]: (r["node_id"], r["minted"]) for r in bound.collect()} == {"m0": ("N1", False), "m1": ("N1", False), "m2": ("N2", False), "m3": ("m3", True), "m4": ("m4", True), "m5": ("m4", False), "m6": ("m3", False)}
+
+
+def in_parts(edges, n=5):
+    """The same edges as a union, as where a store is derived from several tables."""
+    parts = [edges.where(F.pmod(F.hash("id"), F.lit(n)) == i) for i in range(n)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_bulk_approval_joins_only_what_it_may_change(small):
+    """Joins by id ran over all edges, one for each table they came from, in one task."""
+    sure = in_parts(small.edges.withColumn("confidence", F.when(F.col("id") != "cb", 0.9)))
+    nodes = small.nodes.withColumn("confidence", F.lit(0.9))
+    n, e = review.bulk_approve(nodes, sure, min_confidence=0.5)
+    assert {r["status"] for r in n.collect()} == {"verified"}
+    assert {r["id"]: r["status"] for r in e.collect()} == {"ab": "verified", "bc": "verified", "ac": "verified", "cb": "proposed", "old": "verified"}
+    assert joins(e) == 2
