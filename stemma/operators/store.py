@@ -51,20 +51,23 @@ def repoint_edges(edges: DataFrame, target: str, source: str) -> DataFrame:
     A moved edge that would loop, or that repeats a live one (an unmoved one before a moved one,
     then by id), is rejected where it stands and names its keeper; edges that aren't current stay.
     """
-    touches = live(edges) & ((F.col("src") == source) | (F.col("dst") == source))
+    touches = F.coalesce(live(edges) & ((F.col("src") == source) | (F.col("dst") == source)), F.lit(False))
+    held = F.coalesce(live(edges) & ((F.col("src") == target) | (F.col("dst") == target)), F.lit(False))
     to = {c: F.when(F.col(c) == source, F.lit(target)).otherwise(F.col(c)) for c in ("src", "dst")}
-    marked = edges.withColumns({"_moved": F.coalesce(touches, F.lit(False)), "_src": F.when(touches, to["src"]).otherwise(F.col("src")), "_dst": F.when(touches, to["dst"]).otherwise(F.col("dst"))})
+    near = edges.where(touches | held)  # only edges at the two nodes are compared
+    marked = cut(near.withColumns({"_moved": touches, "_src": F.when(touches, to["src"]).otherwise(F.col("src")), "_dst": F.when(touches, to["dst"]).otherwise(F.col("dst"))}))
     loop = F.col("_moved") & (F.col("_src") == F.col("_dst"))
-    near = live(edges) & ~loop & ((F.col("_src") == target) | (F.col("_dst") == target))
     keys = ["relation_type", "_src", "_dst", *(["schema_version_id"] if "schema_version_id" in edges.columns else [])]
-    keeper = marked.where(near).groupBy(*keys).agg(F.min(F.struct("_moved", "id"))["id"].alias("keeper"))  # one row a triple at the target
+    keeper = marked.where(~loop).groupBy(*keys).agg(F.min(F.struct("_moved", "id"))["id"].alias("keeper"))  # one row a triple at the target
     found = marked.join(keeper, keys, "left")
     again = F.col("_moved") & ~loop & (F.col("keeper") != F.col("id"))
     outcome = F.when(loop, "self_loop").when(again, "duplicate").when(F.col("_moved"), "repointed")
     out = found.withColumn("outcome", outcome).withColumn("keeper", F.when(F.col("outcome") == "duplicate", F.col("keeper")))
     gone = F.col("outcome").isin("self_loop", "duplicate")
     moved = F.col("outcome") == "repointed"
-    return out.withColumns({"status": F.when(gone, "rejected").otherwise(F.col("status")), "src": F.when(moved, F.col("_src")).otherwise(F.col("src")), "dst": F.when(moved, F.col("_dst")).otherwise(F.col("dst"))}).select(*edges.columns, "outcome", "keeper")
+    decided = out.withColumns({"status": F.when(gone, "rejected").otherwise(F.col("status")), "src": F.when(moved, F.col("_src")).otherwise(F.col("src")), "dst": F.when(moved, F.col("_dst")).otherwise(F.col("dst"))})
+    rest = edges.where(~(touches | held)).withColumns({"outcome": F.lit(None).cast("string"), "keeper": F.lit(None).cast(dict(edges.dtypes)["id"])})
+    return rest.unionByName(cut(decided.select(*edges.columns, "outcome", "keeper")))
 
 
 def check_merge(nodes: DataFrame, target: str, source: str) -> None:
@@ -116,7 +119,7 @@ def merge_store(store: Store, target: str, source: str, by: str = "user", note:
     kept = store.aliases.where(F.col("node_id") != b)
     have = kept.where(F.col("node_id") == a).select(F.col("normalized_alias").alias("key"))
     added = surfaces.join(have, "key", "left_anti").select(a.alias("node_id"), F.col("key").alias("normalized_alias"), "surface")
-    moved = cut(repoint_edges(store.edges, target, source))
+    moved = repoint_edges(store.edges, target, source)  # edges are read as they are stored; what changed is written once
     again = moved.where("keeper IS NOT NULL").select(F.lit("edge").alias("kind"), F.col("id").alias("item_id"), "keeper")
     citations = store.citations.join(again, ["kind", "item_id"], "left")
     to = F.when((F.col("kind") == "node") & (F.col("item_id") == b), a).otherwise(F.coalesce("keeper", "item_id"))

@@ -180,6 +180,14 @@ def joins(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
 
 
+def test_a_merge_compares_only_edges_at_its_two_nodes(small):
+    """All edges went through a join on (relation, ends), so a task's sorts grew with the store."""
+    want = by(store.repoint_edges(small.edges, "a", "b"), "id")
+    split = store.repoint_edges(in_parts(small.edges), "a", "b")
+    assert by(split, "id") == want and {want[i]["outcome"] for i in [("ab",), ("bc",), ("cb",), ("old",)]} == {"self_loop", "duplicate", "repointed", None}
+    assert joins(split) == 0
+
+
 def test_bulk_approval_joins_only_what_it_may_change(small):
     """Joins by id ran over all edges, one for each table they came from, in one task."""
     sure = in_parts(small.edges.withColumn("confidence", F.when(F.col("id") != "cb", 0.9)))
