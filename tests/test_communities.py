@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemma.operators import community, leiden
 
@@ -89,3 +90,21 @@ def test_cliques_a_star_and_a_lone_vertex(spark):
 def test_no_edges(spark):
     nodes, _ = graph(spark, [], ["x", "y"])
     assert grouped(leiden.leiden(nodes, spark.createDataFrame([], "id string, src string, dst string"))) == [{"x"}, {"y"}]
+
+
+@pytest.mark.parametrize("row", [3, 50_000])
+def test_kinds_of_ids_go_by_stretches(spark, monkeypatch, row):
+    """A graph whose edges join kinds takes one step a kind and round; components and joins over all edges took many."""
+    rng = random.Random(row)
+    pairs = [(f"{a}{rng.randrange(12):02d}", f"{b}{rng.randrange(12):02d}") for a, b in ("ab", "cb", "cd", "bd", "da") for _ in range(14)]
+    nodes, edges = graph(spark, pairs, ["a99", "lone"])
+    ordered = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    starts = community.stretches(ordered)
+    assert 0 < len(starts) <= 3 and not any(a >= s and all(t > b for t in starts if t > s) for s in starts for a, b in [sorted(p) for p in pairs])
+    assert community.stretches(ordered, most=1) is None
+    monkeypatch.setattr(community, "ROW", row)
+    monkeypatch.setattr(community, "connected_components", lambda *_: pytest.fail("no components are needed"))
+    for rounds in (1, 2, 20):
+        want = community.propagate(sorted({x for p in pairs for x in p} | {"a99", "lone"}), pairs, rounds)
+        got = {r["id"]: r["label"] for r in community.label_propagation(nodes, edges, rounds, most_edges=5).collect()}
+        assert got == want and len(set(got.values())) > 2
