@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.operators import community, leiden
+from stemma.plans import catalogue
+
+from .conftest import DATA
 
 
 def graph(spark, pairs, alone=()):
@@ -108,3 +111,9 @@ def test_kinds_of_ids_go_by_stretches(spark, monkeypatch, row):
         want = community.propagate(sorted({x for p in pairs for x in p} | {"a99", "lone"}), pairs, rounds)
         got = {r["id"]: r["label"] for r in community.label_propagation(nodes, edges, rounds, most_edges=5).collect()}
         assert got == want and len(set(got.values())) > 2
+
+
+def test_summaries_read_a_stored_graph(spark):
+    """Labels, degrees and inner relations each derived the graph anew."""
+    found = catalogue.queries()["community_summary"](spark, DATA)
+    assert not [f for f in found.inputFiles() if "lineitem" in f] and found.count() >= 1
