@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.operators import community, packs
+from stemma.plans import pack_shelf, testbed
 from stemma.plans import session as S
 from stemma.plans.pack_shelf import NoPack, PackShelf, pack_contents
 from stemma.plans.shipping import ship
 
+from .conftest import DATA
+
 NODES = "id string, entity_type string, name string, normalized_name string, aliases array<string>, properties map<string,string>, status string, confidence double, source_doc long, created_ts double"
 
 
@@ -118,3 +121,13 @@ def test_several_packs_and_names(spark, shelf, graph):
     graph.nodes.limit(0).write.parquet(f"{shelf.path}/broken/nodes")  # a build that broke off
     with pytest.raises(NoPack):
         shelf.load("broken")
+
+
+def test_citations_are_chosen_by_the_stored_graph(spark, monkeypatch):
+    """The verified edges were derived once more for the citations and documents of a pack."""
+    monkeypatch.setattr(pack_shelf, "detect_communities", lambda nodes, *_: nodes.select("id", F.col("id").alias("community_id")))
+    n, e = testbed.nodes(spark, DATA), testbed.edges(spark, DATA)
+    cited = n.select(F.lit("node").alias("kind"), F.col("id").alias("item_id"), F.col("source_doc").alias("doc_id"))
+    t = pack_contents(n, e, cited, testbed.table(spark, DATA, "documents").select("doc_id"), n.limit(0).selectExpr("id AS node_id", "name AS surface", "name AS normalized_alias"))
+    assert not [f for f in t["citations"].inputFiles() + t["documents"].inputFiles() if "lineitem" in f]
+    assert t["citations"].count() == t["nodes"].count() > 0
