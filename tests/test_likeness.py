@@ -48,6 +48,14 @@ def by_type(nodes):
     return [(a, b) for a, b in combinations(rows, 2) if a[1] == b[1]]
 
 
+def test_names_that_many_bear_lose_no_similar_pair(spark, crowded):
+    n = catalogue._known(spark, crowded[0])
+    want = {(a[0], b[0]): round(r, 6) for a, b in by_type(n) if (r := ratio(a[2], b[2])) is not None}
+    rows = catalogue.queries()["merge_name_similarity"](spark, crowded[0]).collect()
+    got = {(r["a"], r["b"]): r["ratio"] for r in rows}
+    assert got == want and len(rows) == len(got) > 5000
+
+
 def test_candidates_have_every_pair_that_a_signal_speaks_for(spark, crowded):
     folder, vectors = crowded
     unit = {("P" if i % 2 == 0 else "C") + str(i // 2 + 1): v / np.linalg.norm(v) for i, v in enumerate(vectors)}
